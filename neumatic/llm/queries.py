@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .language_id import op8_language_id
+from .ngram_join import op6_ngram_jaccard_join
 from .secrets import op2_secret_scans
+from .warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict:
     return {
         "op2_secret_scans": op2_secret_scans,
+        "op4_warc": op4_warc,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op8_language_id": op8_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": OP4_SQL}

@@ -29,6 +29,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import kept
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
@@ -154,31 +156,20 @@ def thresholds(found: DataFrame, fdr: float) -> dict[int, int]:
 def scan(docs: DataFrame, *, text: str = "text", fdr: float = 0.01) -> DataFrame:
     """docs without its text, with _base and _spans added (arrays of start, kind, end).
 
-    The per-row spans are small; they are cut from the lineage by checkpoint()
-    where a checkpoint folder is set, so that the texts are scanned once.
+    The per-row spans are small; checkpoint() keeps them, so that the texts are
+    scanned once.
     """
     rest = [c for c in docs.columns if c not in (text, "_base", "_cand", "_spans")]
     value = F.coalesce(F.col(text), F.lit(""))
     based = docs.select(*rest, value.alias("_value"), base_spans(value).alias("_base"))
     found = based.select(*rest, "_base", candidates(F.col("_value"), F.col("_base")).alias("_cand"))
-    found = _kept(found)
+    found = kept(found)
     cut = thresholds(found, fdr)
     least = F.create_map(*[F.lit(x) for kv in sorted(cut.items()) for x in kv]) if cut else F.create_map(F.lit(-1), F.lit(0))
     random = F.transform(F.filter("_cand", lambda c: c["bin"] >= F.coalesce(least[c["cls"]], F.lit(1 << 30))), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     return found.select(*rest, "_base", F.array_sort(F.concat("_base", random)).alias("_spans"))
 
 
-def _kept(frame: DataFrame) -> DataFrame:
-    """checkpoint() if the session has a folder for it, else the frame as it is."""
-    spark = frame.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            return frame
-        spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint()
-
-
 def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mark: str = "[secret]", fdr: float = 0.01) -> DataFrame:
     """docs with every span of its text replaced by `mark`; overlapping spans become one mark.
 
