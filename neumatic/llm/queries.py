@@ -5,6 +5,7 @@ from __future__ import annotations
 from .language_id import op8_language_id
 from .ngram_join import op6_ngram_jaccard_join
 from .secrets import op2_secret_scans
+from .suffix_dedup import op9_suffix_array_dedup
 from .warc import OP4_SQL, op4_warc
 
 
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op4_warc": op4_warc,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op8_language_id": op8_language_id,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
     }
 
 
