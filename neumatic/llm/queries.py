@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontamination import op5_benchmark_decontamination
+from .fingerprints import op3_document_fingerprints
 from .language_id import op8_language_id
 from .ngram_join import op6_ngram_jaccard_join
 from .secrets import op2_secret_scans
@@ -12,7 +14,9 @@ from .warc import OP4_SQL, op4_warc
 def queries() -> dict:
     return {
         "op2_secret_scans": op2_secret_scans,
+        "op3_document_fingerprints": op3_document_fingerprints,
         "op4_warc": op4_warc,
+        "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op8_language_id": op8_language_id,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
