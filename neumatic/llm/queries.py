@@ -8,11 +8,13 @@ from .language_id import op8_language_id
 from .ngram_join import op6_ngram_jaccard_join
 from .secrets import op2_secret_scans
 from .suffix_dedup import op9_suffix_array_dedup
+from .token_counts import op1_token_counts
 from .warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_secret_scans": op2_secret_scans,
         "op3_document_fingerprints": op3_document_fingerprints,
         "op4_warc": op4_warc,
