@@ -6,7 +6,10 @@ list is ordered by set size and cut into size blocks; only sets of the same or
 the next block can be similar, all others are skipped. No list is turned into
 pairs: each member is assigned to the first member of its own and of the
 previous block, so the rows made are linear in the list. Members of one
-assignment form a group, and every similar pair meets in some group.
+assignment form a group, and every similar pair meets in some group. The
+prefixes are longer than one common hash needs, by `extra` percent of the set:
+similar sets then share many prefix hashes, and a set that shares too few with
+sets of fitting sizes is left out before any set is moved.
 
 Inside a group the sets are matched exactly: local rare-first prefixes with
 lists ordered by size (runs of too small sets are skipped by position), sets
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import kept
@@ -70,7 +73,12 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long, one long, two long")
 
 
-def postings(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def prefix_share(n: np.ndarray, extra: int):
+    """How many hashes of both prefixes two similar sets have in common at least, by the smaller set's size."""
+    return 1 + n * extra // 100
+
+
+def postings(docs: DataFrame, width: int, percent: int, extra: int) -> DataFrame:
     """(hash, size, key) of every prefix n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +86,7 @@ def postings(docs: DataFrame, width: int, percent: int) -> DataFrame:
             keys = batch.column("key")
             for first, end, value, offsets in sets_of(batch.column("text"), width):
                 n = np.diff(offsets)
-                take = np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
+                take = np.where(n > 0, np.minimum(n, n - least_overlap(n, percent) + prefix_share(n, extra)), 0)
                 at = np.repeat(offsets[:-1] - np.r_[0, np.cumsum(take)[:-1]], take) + np.arange(take.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32)), pa.array(spark_long(value[at])))
                 yield pa.RecordBatch.from_arrays([keys.slice(first, end - first), pa.array(n.astype(np.int32)), lists], ["key", "n", "h"])
@@ -88,34 +96,54 @@ def postings(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def assignments(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct (key, group): members of each list, assigned to the first of their size block and of the block before."""
+    """(key, group, shared, hits): list members assigned to the first of their size block and of the block before.
+
+    `hits` counts the hashes by which a key is in a group; the sum of `shared`
+    over a key counts its hashes that a set of the same or a neighbouring size
+    block also has.
+    """
     ratio = np.log(100 / percent + 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.empty(0, np.int64),) * 3
+        counted = np.empty(0, bool)  # of the held list heads: already counted as shared
         for batch in batches:
             h, n, key = (batch.column(i).to_numpy() for i in range(3))
             block = np.floor(np.log(n) / ratio).astype(np.int64)
             own = len(held[0])
             h, block, key = (np.concatenate(x) for x in zip(held, (h, block, key)))
             starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (block[1:] != block[:-1])])
-            seg = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(h)]))
+            size = np.diff(np.r_[starts, len(h)])
+            seg = np.repeat(np.arange(len(starts)), size)
             head = key[starts]
             chained = np.r_[False, (h[starts][1:] == h[starts][:-1]) & (block[starts][1:] == block[starts][:-1] + 1)]
             before = np.r_[head[:1], head[:-1]]
             fresh = np.arange(len(h)) >= own
             inner = fresh & (np.arange(len(h)) != starts[seg])
             lower = fresh & chained[seg]
-            member = np.concatenate([key[inner], head[seg[inner]], key[lower], before[seg[lower]]])
-            group = np.concatenate([head[seg[inner]], head[seg[inner]], before[seg[lower]], before[seg[lower]]])
+            # a head is shared once its list has a second member or a next block
+            done = np.zeros(len(starts), bool)
+            done[: len(counted)] = counted
+            lead = (size > 1) | chained | np.r_[chained[1:], False]
+            lead_now = lead & ~done
+            alone = lower & ~inner & (np.arange(len(h)) != starts[seg])
+            member = np.concatenate([key[inner], head[seg[inner]], key[lower], before[seg[lower]], head[lead_now]])
+            group = np.concatenate([head[seg[inner]], head[seg[inner]], before[seg[lower]], before[seg[lower]], head[lead_now]])
+            shared = np.concatenate([np.ones(inner.sum(), np.int64), np.zeros(inner.sum(), np.int64), alone[lower].astype(np.int64), np.zeros(lower.sum(), np.int64), np.ones(lead_now.sum(), np.int64)])
             if len(member):
-                pairs = np.unique(np.stack([group, member]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], ["key", "group"])
-            last = starts[-2:] if len(starts) > 1 and chained[-1] else starts[-1:]
-            held = (h[last], block[last], key[last])
+                # a token may bring the same pair twice (as its own head and for a later member); such rows add no hit
+                hit = np.concatenate([np.ones(inner.sum(), np.int64), np.zeros(inner.sum(), np.int64), np.ones(lower.sum(), np.int64), np.zeros(lower.sum(), np.int64), np.ones(lead_now.sum(), np.int64)])
+                order = np.lexsort((member, group))
+                member, group, shared, hit = member[order], group[order], shared[order], hit[order]
+                new = np.flatnonzero(np.r_[True, (member[1:] != member[:-1]) | (group[1:] != group[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(member[new]), pa.array(group[new]), pa.array(np.add.reduceat(shared, new)), pa.array(np.add.reduceat(hit, new))], ["key", "group", "shared", "hits"])
+            count = 2 if len(starts) > 1 and chained[-1] else 1
+            held = (h[starts[-count:]], block[starts[-count:]], key[starts[-count:]])
+            counted = (done | lead)[-count:]
 
     spread = lists.repartition("h").sortWithinPartitions("h", "n", "key")
-    return spread.mapInArrow(run, "key long, group long").distinct()
+    found = spread.mapInArrow(run, "key long, group long, shared long, hits long")
+    return found.groupBy("key", "group").agg(F.sum("shared").alias("shared"), F.sum("hits").alias("hits"))
 
 
 def _gather(first: np.ndarray, length: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -186,10 +214,15 @@ def match(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     return links
 
 
-def similar_links(docs: DataFrame, signed: DataFrame, *, width: int, percent: int, group_rows: int) -> DataFrame:
+def similar_links(docs: DataFrame, signed: DataFrame, *, width: int, percent: int, extra: int, group_rows: int) -> DataFrame:
     """(a, b): links between different sets that span the components of the whole join."""
-    lone = signed.where("n > 0 and key is not null").groupBy("one", "two", "n").agg(F.min("key").alias("key")).select("key")
-    members = assignments(postings(docs, width, percent), percent).join(lone, "key", "left_semi")
+    lone = signed.where("n > 0 and key is not null").groupBy("one", "two", "n").agg(F.min("key").alias("key")).select("key", "n")
+    members = kept(assignments(postings(docs, width, percent, extra), percent))
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * extra / 100)
+    able = members.groupBy("key").agg(F.sum("shared").alias("shared")).join(lone, "key").where(F.col("shared") >= least).select("key", least.alias("least"))
+    # two similar sets have `least` hashes in common; each may leave its thinnest groups as long as these hold less than half of them
+    thinnest = Window.partitionBy("key").orderBy("hits", "group")
+    members = members.join(able, "key").withColumn("so_far", F.sum("hits").over(thinnest)).where(2 * F.col("so_far") >= F.col("least")).select("key", "group")
     members = kept(members)
     sizes = members.groupBy("group").agg(F.count("*").alias("m")).where("m > 1")
     placed = members.join(sizes, "group").withColumn("parts", F.ceil(F.col("m") / group_rows).cast("int"))
@@ -222,7 +255,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, *, width: int, percent: in
     return shipped.groupBy("g").applyInArrow(pair, "a long, b long")
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, group_rows: int = 4096) -> DataFrame:
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, extra: int = 15, group_rows: int = 4096) -> DataFrame:
     """key, n_shingles and component_id of every row.
 
     Two rows link when 100 * intersection >= percent * union of their sets;
@@ -232,7 +265,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     signed = kept(signatures(source, width))
     classes = signed.where("n > 0 and key is not null").groupBy("one", "two", "n").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
     copies = signed.where("n > 0 and key is not null").join(classes.where("copies > 1"), ["one", "two", "n"]).where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
-    links = similar_links(source, signed, width=width, percent=percent, group_rows=group_rows).unionAll(copies)
+    links = similar_links(source, signed, width=width, percent=percent, extra=extra, group_rows=group_rows).unionAll(copies)
     found = components(links)
     return signed.join(found, signed["key"] == found["id"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
