@@ -6,6 +6,8 @@ from .decontamination import op5_benchmark_decontamination
 from .fingerprints import op3_document_fingerprints
 from .language_id import op8_language_id
 from .ngram_join import op6_ngram_jaccard_join
+from .quality_lm import op7_quality_classifier
+from .sampling import op10_sentencepiece_sampling
 from .secrets import op2_secret_scans
 from .suffix_dedup import op9_suffix_array_dedup
 from .token_counts import op1_token_counts
@@ -20,8 +22,10 @@ def queries() -> dict:
         "op4_warc": op4_warc,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_language_id": op8_language_id,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
+        "op10_sentencepiece_sampling": op10_sentencepiece_sampling,
     }
 
 
