@@ -1 +1 @@
-""""""
+"""Operators over the score corpus; each takes and returns DataFrames."""
