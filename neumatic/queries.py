@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import ledger, measures  # noqa: F401
+from .plans import joins, ledger, measures  # noqa: F401
 from .registry import QUERIES, SQL
 
 
