@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import joins, ledger, measures, review, texts  # noqa: F401
+from .plans import joins, ledger, measures, review, sequences, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 

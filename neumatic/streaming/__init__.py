@@ -1 +1 @@
-""""""
+"""Streaming forms of the event-log operators."""
