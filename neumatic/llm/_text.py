@@ -7,6 +7,7 @@ bounded by a slice (or by the longest single text) whatever the batch holds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,3 +155,38 @@ def windows(h: np.ndarray, row: np.ndarray, width: int, short: bool = True) -> t
 def spark_long(h: np.ndarray) -> np.ndarray:
     """The same bits as signed longs."""
     return h.view(np.int64)
+
+
+class Table:
+    """Open-addressing look-up of 64-bit keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(math.ceil(math.log2(max(1, len(keys)) * 3))))
+        n = 1 << self.bits
+        self.keys, self.values = np.full(n, np.uint64(2**64 - 1)), np.zeros(n, values.dtype)
+        todo, at = np.arange(len(keys)), self._home(keys)
+        while len(todo):
+            free = self.keys[at] == np.uint64(2**64 - 1)
+            _, lead = np.unique(np.where(free, at, -1), return_index=True)
+            lead = lead[free[lead]]
+            self.keys[at[lead]], self.values[at[lead]] = keys[todo[lead]], values[todo[lead]]
+            rest = np.ones(len(todo), bool)
+            rest[lead] = False
+            todo, at = todo[rest], (at[rest] + 1) & (n - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, value)."""
+        at = self._home(keys)
+        have = self.keys[at]
+        found, value = have == keys, self.values[at]
+        open_ = np.flatnonzero(~found & (have != np.uint64(2**64 - 1)))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            have = self.keys[at[open_]]
+            hit = have == keys[open_]
+            found[open_[hit]], value[open_[hit]] = True, self.values[at[open_[hit]]]
+            open_ = open_[~hit & (have != np.uint64(2**64 - 1))]
+        return found, value

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Prefix, mix, slices
+from ._text import Prefix, Table, mix, slices
 from .unigram import DEFAULT_MODEL, MARK, Vocabulary, pretokens
 
 
@@ -48,19 +48,51 @@ class Pieces:
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         end = np.cumsum([len(t) for t in texts])
         h = Prefix(points).span(np.r_[0, end[:-1]], end)
-        order = np.argsort(h)
-        self.hash = h[order]
-        self.id = np.array([vocabulary.pieces[t][0] for t in texts], np.int64)[order]
-        self.score = np.array([vocabulary.pieces[t][1] for t in texts])[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+        self.table = Table(h, np.arange(len(texts)))
+        self.id = np.array([vocabulary.pieces[t][0] for t in texts], np.int64)
+        self.score = np.array([vocabulary.pieces[t][1] for t in texts])
+        starts = np.r_[0, end[:-1]]
+        self.begun = np.zeros(1 << 22, bool)  # hashes of all beginnings of pieces
+        for size in range(1, self.longest + 1):
+            long_enough = starts[end - starts >= size]
+            self.begun[(Prefix(points).span(long_enough, long_enough + size) >> np.uint64(42)).astype(np.int64)] = True
+        lengths = np.array([len(x) for x in vocabulary.spelling])
+        self.spelt_at, self.spelt_len = np.cumsum(lengths) - lengths, lengths
+        self.spelt = np.frombuffer(b"".join(vocabulary.spelling), np.uint8)
+        self.byte_ids = np.array(vocabulary.byte_ids, np.int64)
+
+    def spell_out(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids with those below 0 (-1 - code point) as byte pieces, and the ids each of them gave."""
+        point = np.where(ids < 0, -1 - ids, 0)
+        count = np.where(ids < 0, 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF), 1)
+        out = np.repeat(ids, count)
+        odd = np.flatnonzero(out < 0)
+        if len(odd):
+            nth = odd - np.repeat(np.cumsum(count) - count, count)[odd]
+            point, size = -1 - out[odd], np.repeat(count, count)[odd]
+            bits = point >> (6 * (size - 1 - nth))
+            out[odd] = self.byte_ids[np.where(nth > 0, bits & 0x3F | 0x80, bits | np.array([0, 0, 0xC0, 0xE0, 0xF0])[size])]
+        return out, count
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of a sequence of ids, and how many each gave."""
+        size = self.spelt_len[ids]
+        return self.spelt[np.repeat(self.spelt_at[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are pieces, and their places."""
-        maybe = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.hash, h[maybe]), len(self.hash) - 1)
-        real = self.hash[place] == h[maybe]
-        return maybe[real], place[real]
+        real, place = self.table.get(h)
+        hit = np.flatnonzero(real)
+        return hit, place[hit]
+
+
+def _grouped(left: np.ndarray, source: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Order by left, then source, then as in `start`; stable sorts of 16-bit keys are linear."""
+    order = start
+    for key in (source & 0xFFFF, source >> 16 & 0xFFFF, source >> 32, left & 0xFFFF, left >> 16):
+        if len(key) and (key != key[0]).any():
+            order = order[np.argsort(key[order].astype(np.uint16), kind="stable")]
+    return order
 
 
 class Lattices:
@@ -95,11 +127,17 @@ class Lattices:
         prefix = Prefix(symbol)
         at = np.arange(n)
         source, reach, piece, score = [], [], [], []
+        p = at
         for size in range(1, pieces.longest + 1):
-            p = at[at + size <= stop] if size > 1 else at
+            if size > 1:
+                p = p[p + size <= stop[p]]
             if not len(p):
                 break
-            hit, place = pieces.find(prefix.span(p, p + size))
+            h = prefix.span(p, p + size)
+            begun = pieces.begun[(h >> np.uint64(42)).astype(np.int64)]
+            if size > 1:
+                p, h = p[begun], h[begun]
+            hit, place = pieces.find(h)
             source.append(p[hit])
             reach.append(np.full(len(hit), size))
             piece.append(pieces.id[place])
@@ -113,9 +151,10 @@ class Lattices:
                 reach.append(np.ones(len(spelt), np.int64))
                 piece.append(-1 - point)
                 score.append((1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)) * pieces.byte_score)
+                p = p[begun]
         source, reach, piece, score = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (source, reach, piece, score))
         left = (stop - at)[source] if n else source
-        order = np.lexsort((reach, source, left))
+        order = _grouped(left, source, np.arange(len(source))[::-1])  # longest piece first: it is mostly the one drawn
         source, reach, piece, score, left = (x[order] for x in (source, reach, piece, score, left))
         target = np.where(reach == left, 0, source + reach + 1)
         # backward mass, by symbols left: an edge ends where fewer are left
@@ -292,7 +331,7 @@ def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int =
         v: Vocabulary = shared.value
         pieces = Pieces(v)
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column("text"), 1 << 20):
+            for first, end, data, offsets in slices(batch.column("text"), 1 << 19):
                 s, e, row, marked, h = pretokens(data, offsets)
                 _, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
                 lat = Lattices(pieces, data, s[lead], e[lead], marked[lead])
@@ -301,17 +340,21 @@ def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int =
                 seeds = batch.column("seed").slice(first, end - first).to_numpy().view(np.uint64).copy()
                 found, kappa = sample_slice(lat, nodes, row, mix(seeds), k)
                 picked, rows = [], {f.name: [] for f in out.fields[1:]}
-                for i, paths in enumerate(found):
-                    body = bytes(raw[offsets[i] : offsets[i + 1]])
+                paths = [(i, rank, *path) for i, own in enumerate(found) for rank, path in enumerate(own, 1)]
+                edges = np.concatenate([p[2] for p in paths]) if paths else np.empty(0, np.int64)
+                ids, count = pieces.spell_out(lat.piece[edges])
+                text_bytes, size = pieces.decode(ids)
+                ends = np.cumsum([len(p[2]) for p in paths])
+                id_end = np.r_[0, np.cumsum(count)][ends].tolist() if paths else []
+                byte_end = np.r_[0, np.cumsum(size)][id_end].tolist() if paths else []
+                ids, spelt, a, b = ids.astype("<i4"), memoryview(text_bytes), 0, 0
+                for (i, rank, _, log_p, g), a2, b2 in zip(paths, id_end, byte_end):
                     limit = kappa[i] if kappa[i] is not None and np.isfinite(kappa[i]) else None
-                    for rank, (edges, log_p, g) in enumerate(paths[:k], 1):
-                        ids = lat.piece[edges]
-                        if len(ids) and ids.min() < 0:
-                            spelt = [[x] if x >= 0 else [v.byte_ids[b] for b in chr(-1 - x).encode()] for x in ids.tolist()]
-                            ids = np.array([y for x in spelt for y in x], np.int64)
-                        picked.append(first + i)
-                        for name, value in (("rank", rank), ("n_pieces", len(ids)), ("log_prob", log_p), ("perturbed", g), ("inclusion", 1.0 if limit is None else float(-np.expm1(-np.exp(min(700.0, log_p - limit))))), ("ids_sha256", hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()), ("decoded", v.decode(ids.tolist()) == body), *([("ids", ids.astype(np.int32))] if with_ids else [])):
-                            rows[name].append(value)
+                    decoded = spelt[b + 1 : b2] == raw[offsets[i] : offsets[i + 1]]
+                    picked.append(first + i)
+                    for name, value in (("rank", rank), ("n_pieces", a2 - a), ("log_prob", log_p), ("perturbed", g), ("inclusion", 1.0 if limit is None else float(-np.expm1(-np.exp(min(700.0, log_p - limit))))), ("ids_sha256", hashlib.sha256(ids[a:a2].tobytes()).hexdigest()), ("decoded", decoded), *([("ids", ids[a:a2])] if with_ids else [])):
+                        rows[name].append(value)
+                    a, b = a2, b2
                 keys = batch.column("key").take(pa.array(picked, pa.int64()))
                 kinds = {"rank": pa.int32(), "n_pieces": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string()}
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array(rows[f.name], kinds.get(f.name)) for f in out.fields[1:])], [f.name for f in out.fields])

@@ -19,6 +19,7 @@ columns pass through (a column named as a result is replaced).
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,44 +39,46 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.score, self.count = [0.0], [0]
+        self.child: dict[int, int] = {}
+        self.score, self.count = array("d", [0.0]), array("l", [0])
         self.terminal: dict[int, int] = {}
 
-    def _best(self, symbols: list[str], d: int, score: list[float], count: list[int], base: int) -> tuple[float, int]:
+    def _best(self, word: str, d: int, score: list[float], count: list[int], base: int) -> tuple[float, int]:
         """Best (score, count) of the first d symbols, given those of shorter prefixes (score[i - base])."""
-        pieces, best, fewest = self.v.pieces, -1e300, 0
-        low = max(0, d - self.v.longest)
-        for i in range(d - 1, low - 1, -1):
-            found = pieces.get("".join(symbols[i:d]))
+        get, best, fewest = self.v.pieces.get, -1e300, 0
+        for i in range(max(0, d - self.v.longest), d):
+            found = get(word[i:d])
             if found is not None:
                 s = score[i - base] + found[1]
                 if s > best or s == best and count[i - base] + 1 < fewest:
                     best, fewest = s, count[i - base] + 1
-        spelt = self.v.fallback(symbols[d - 1])
-        if spelt is not None:
-            s = score[d - 1 - base] + len(spelt) * self.v.byte_score
+        last = word[d - 1]
+        if last not in self.v.pieces:
+            size = len(last.encode())
+            s = score[d - 1 - base] + size * self.v.byte_score
             if s > best:
-                best, fewest = s, count[d - 1 - base] + len(spelt)
+                best, fewest = s, count[d - 1 - base] + size
         return best, fewest
 
-    def insert(self, symbols: list[str]) -> int:
+    def insert(self, word: str) -> int:
         """Number of pieces of the best segmentation."""
-        node, score, count = 0, [0.0], [0]
-        depth = min(len(symbols), self.max_depth)
+        node, score, count, child = 0, [0.0], [0], self.child
+        depth = min(len(word), self.max_depth)
         for d in range(1, depth + 1):
-            key = (node, symbols[d - 1])
-            node = self.child.get(key, -1)
+            key = node << 21 | ord(word[d - 1])
+            node = child.get(key, -1)
             if node < 0:
-                s, c = self._best(symbols, d, score, count, 0)
-                node = self.child[key] = len(self.score)
+                s, c = self._best(word, d, score, count, 0)
+                node = child[key] = len(self.score)
                 self.score.append(s)
                 self.count.append(c)
-            score.append(self.score[node])
-            count.append(self.count[node])
+            else:
+                s, c = self.score[node], self.count[node]
+            score.append(s)
+            count.append(c)
         base = 0
-        for d in range(depth + 1, len(symbols) + 1):
-            s, c = self._best(symbols, d, score, count, base)
+        for d in range(depth + 1, len(word) + 1):
+            s, c = self._best(word, d, score, count, base)
             score.append(s)
             count.append(c)
             if len(score) > 4 * self.v.longest + 64:
@@ -85,7 +88,7 @@ class Trie:
         return count[-1]
 
 
-def count_tokens(docs: DataFrame, *, text: str = "text", model: str = DEFAULT_MODEL, max_nodes: int = 400_000, max_depth: int = 64) -> DataFrame:
+def count_tokens(docs: DataFrame, *, text: str = "text", model: str = DEFAULT_MODEL, max_nodes: int = 1_000_000, max_depth: int = 64) -> DataFrame:
     """docs without its text, with n_pretokens and n_tokens added."""
     rest = [f for f in docs.schema.fields if f.name not in (text, "n_pretokens", "n_tokens")]
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
@@ -104,7 +107,7 @@ def count_tokens(docs: DataFrame, *, text: str = "text", model: str = DEFAULT_MO
                     c = known.get(key)
                     if c is None:
                         word = bytes(raw[s[at] : e[at]]).decode()
-                        c = known[key] = trie.insert([MARK] if word == " " else trie.v.symbols(word, bool(marked[at])))
+                        c = known[key] = trie.insert(MARK if word == " " else trie.v.spelt(word, bool(marked[at])))
                         if len(trie.score) > max_nodes or len(known) > max_nodes:
                             trie.clear()
                             known = trie.terminal

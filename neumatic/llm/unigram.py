@@ -52,13 +52,9 @@ class Vocabulary:
             spelling[i] = bytes([b])
         return cls(pieces, lowest - 2.0, byte_ids, tuple(spelling), max(map(len, pieces)))
 
-    def symbols(self, word: str, marked: bool) -> list[str]:
-        """Characters of a pre-token; a literal mark becomes a symbol that is in no piece."""
-        return ([MARK] if marked else []) + [MARK + MARK if c == MARK else c for c in word]
-
-    def fallback(self, symbol: str) -> bytes | None:
-        """UTF-8 bytes of a symbol that has no piece of its own, else None."""
-        return None if symbol in self.pieces else symbol[-1:].encode() if symbol != MARK else b" "
+    def spelt(self, word: str, marked: bool) -> str:
+        """A pre-token as looked up in the pieces; a literal mark becomes a character of equal UTF-8 length that is in no piece."""
+        return (MARK if marked else "") + word.replace(MARK, "\uffff")
 
     def decode(self, ids: list[int]) -> bytes:
         """The UTF-8 text of piece ids: their bytes without the extra first mark."""
