@@ -12,8 +12,8 @@ from ordinary text of its length:
 * lag-1 serial correlation of character codes, which must stay within what
   independent draws give.
 
-Chi-squared and runs combine (Stouffer) into one p-value under "ordinary
-text"; Benjamini-Hochberg at rate `fdr` then runs separately in each length
+Both chi-squared and runs must speak against "ordinary text": the larger of
+their p-values counts. Benjamini-Hochberg at rate `fdr` then runs separately in each length
 class. The p-values are rounded up to a fixed grid, so the ranks come from a
 histogram of bounded size (length classes x grid) and not from a global sort.
 
@@ -96,7 +96,7 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z < 4, near).otherwise(far)
 
 
-def battery(token: Column, *, text_collision: float = 0.075, text_change: float = 0.08, serial_z: float = 3.5) -> Column:
+def battery(token: Column, *, text_collision: float = 0.06, text_change: float = 0.08, serial_z: float = 3.5) -> Column:
     """struct<encoding, score>: -log10 of the p-value under ordinary text; 0 if the serial correlation is off."""
     n = F.length(token).cast("double")
     chars = F.split(token, "")
@@ -119,7 +119,7 @@ def battery(token: Column, *, text_collision: float = 0.075, text_change: float
     var = F.aggregate(code, F.lit(0.0), lambda a, c: a + (c - avg) * (c - avg))
     cov = F.aggregate(F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code) - 1), lambda a, b: (a - avg) * (b - avg)), F.lit(0.0), lambda a, x: a + x)
     z_serial = F.when(var > 0, cov / var * F.sqrt(n)).otherwise(F.sqrt(n))
-    score = F.when(F.abs(z_serial) <= serial_z, _upper_tail((z_chi + z_runs) / math.sqrt(2))).otherwise(0.0)
+    score = F.when(F.abs(z_serial) <= serial_z, _upper_tail(F.least(z_chi, z_runs))).otherwise(0.0)
     return F.struct(name.alias("encoding"), F.least(F.greatest(score, F.lit(0.0)), F.lit(float(TOP))).alias("score"))
 
 
