@@ -28,3 +28,10 @@ def kept(frame: DataFrame) -> DataFrame:
     """frame.checkpoint() in the shared folder: computed once, and it survives lost executors."""
     _folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python tasks at most `rows` texts at once in this session: a batch of texts is held several times over on its way."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)

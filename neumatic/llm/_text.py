@@ -11,9 +11,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -41,12 +42,12 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept between calls."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + (1 << 16))
         have = np.empty(size, dtype=np.uint64)
         have[0] = 1
         have[1:] = base
         np.multiply.accumulate(have, out=have)
-        if size <= 8 * SLICE_BYTES:
+        if size <= 4 * SLICE_BYTES:
             _powers[int(base)] = have
     return have[:n]
 
@@ -178,10 +179,11 @@ class Table:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, value)."""
+        """(found, value); the value of a key that is not there is 0."""
         at = self._home(keys)
         have = self.keys[at]
-        found, value = have == keys, self.values[at]
+        found = have == keys
+        value = np.where(found, self.values[at], self.values.dtype.type(0))
         open_ = np.flatnonzero(~found & (have != np.uint64(2**64 - 1)))
         while len(open_):
             at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
@@ -190,3 +192,11 @@ class Table:
             found[open_[hit]], value[open_[hit]] = True, self.values[at[open_[hit]]]
             open_ = open_[~hit & (have != np.uint64(2**64 - 1))]
         return found, value
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct value, and for each element which of them it is; by hashing, not sorting."""
+    inverse, values = pd.factorize(h)
+    lead = np.empty(len(values), np.int64)
+    lead[inverse[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return lead, inverse

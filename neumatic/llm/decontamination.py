@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import small_batches
 from ._text import mix, slices, windows, word_hashes, words
 
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("distance", T.IntegerType())])
@@ -154,6 +155,7 @@ class ItemIndex:
 
 def mark(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.75, radius: int = 40, block_items: int = 20_000, max_item_words: int = 5000) -> DataFrame:
     """docs with `leaks` added: the items that a window of the text matches, best window each."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rest = [f for f in docs.schema.fields if f.name != "leaks"]
     rest = [f for f in rest if f.name != "_lower"]

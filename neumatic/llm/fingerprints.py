@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import small_batches
 from ._text import SLICE_BYTES, buffer_of, mix, windows, word_hashes, words
 
 TABLE_BITS = 18
@@ -130,6 +131,7 @@ def _in_order(docs: DataFrame, ranges: int) -> DataFrame:
 
 def fingerprint(docs: DataFrame, *, key: str = "doc_id", text: str = "text", samples: int = 64, width: int = 2) -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row."""
+    small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _in_order(docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), 4 * parts)
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import small_batches
 from ._text import LOWER, SLICE_BYTES, slices
 
 NGRAMS = (2, 3, 4)
@@ -152,6 +153,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text",
     keep = [c for c in keep if c not in clash]
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    small_batches(docs.sparkSession)
     source = docs.select(*keep, F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     out = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)

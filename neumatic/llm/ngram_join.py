@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import kept
+from ._shared import kept, small_batches
 from ._text import mix, slices, spark_long, windows, word_hashes, words
 from .components import components
 
@@ -261,6 +261,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     Two rows link when 100 * intersection >= percent * union of their sets;
     component_id is the smallest key reachable by links, the row's own included.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = kept(signatures(source, width))
     classes = signed.where("n > 0 and key is not null").groupBy("one", "two", "n").agg(F.min("key").alias("first"), F.count("*").alias("copies"))

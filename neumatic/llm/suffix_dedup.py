@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import kept
+from ._shared import kept, small_batches
 from ._text import Prefix, buffer_of, mix, slices, spark_long
 
 _POSITION = np.uint64((1 << 28) - 1)
@@ -175,6 +175,7 @@ def repeats(docs: DataFrame, *, length: int = 200, gram: int = 100, group_rows:
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 100, group_rows: int = 20_000) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     found = repeats(source, length=length, gram=gram, group_rows=group_rows)
     spans = found.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))

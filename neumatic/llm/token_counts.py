@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._text import slices
+from ._shared import small_batches
+from ._text import distinct, slices
 from .unigram import DEFAULT_MODEL, MARK, Vocabulary, pretokens
 
 
@@ -91,6 +92,7 @@ class Trie:
 def count_tokens(docs: DataFrame, *, text: str = "text", model: str = DEFAULT_MODEL, max_nodes: int = 1_000_000, max_depth: int = 64) -> DataFrame:
     """docs without its text, with n_pretokens and n_tokens added."""
     rest = [f for f in docs.schema.fields if f.name not in (text, "n_pretokens", "n_tokens")]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     names = [f.name for f in rest]
 
@@ -100,7 +102,8 @@ def count_tokens(docs: DataFrame, *, text: str = "text", model: str = DEFAULT_MO
             total, pre = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for first, end, data, offsets in slices(batch.column(len(names))):
                 s, e, row, marked, h = pretokens(data, offsets)
-                unique, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
+                lead, inverse = distinct(h)
+                unique = h[lead]
                 known, raw = trie.terminal, memoryview(data)
                 counts = np.empty(len(unique), np.int64)
                 for i, (key, at) in enumerate(zip(unique.tolist(), lead.tolist())):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import shared_path
+from ._shared import shared_path, small_batches
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -88,6 +88,7 @@ def _segments(key: object, mark: str, url: str | None, payload: memoryview, refe
 
 def write_archive(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html", revisit_from: int = 0, chunk_bytes: int = 1 << 16, records_per_file: int = 2048, date: str = "2000-01-01T00:00:00Z") -> None:
     """Write `pages` as WARC files below `path`; payloads under `revisit_from` bytes are never revisits."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1(F.encode("payload", "utf-8")))
     ids = rows.where(F.col("key").isNotNull() & (F.octet_length("payload") >= revisit_from)).select("key", "sha")
