@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Prefix, Table, mix, slices
+from ._shared import small_batches
+from ._text import Prefix, Table, distinct, mix, slices
 from .unigram import DEFAULT_MODEL, MARK, Vocabulary, pretokens
 
 
@@ -178,6 +179,9 @@ class Lattices:
         self.below = mass[1:] - np.repeat(mass[new], fan)
         if len(new):
             self.below[new + fan - 1] = 1.0
+        with np.errstate(divide="ignore"):
+            self.rest = np.log1p(-np.minimum(1.0, np.exp(self.logq)))  # log mass of the other edges of the node
+        self.rest[np.repeat(fan, fan) == 1] = -np.inf
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -261,9 +265,7 @@ def sample_slice(lat: Lattices, start_node: np.ndarray, row: np.ndarray, seeds:
         total = np.r_[0.0, np.cumsum(logq)]
         before = total[:-1] - total[at[:-1]][slot_of] + so_far[slot_of]
         log_p = total[at[1:]] - total[at[:-1]] + so_far
-        with np.errstate(divide="ignore"):
-            others = before + np.log1p(-np.minimum(1.0, np.exp(logq)))
-        others[lat.fan[lat.source[edge]] == 1] = -np.inf
+        others = before + lat.rest[edge]
         position = (np.arange(len(edge)) - at[:-1][slot_of] + keep[slot_of]).astype(np.uint64)
         noise = mix(own ^ np.uint64(0x3C6EF372FE94F82B))[slot_of] + position * np.uint64(0xEB44ACCAB455D165)
         bounds = _cut_gumbel(others, np.array([t[2] for t in todo])[slot_of], noise)
@@ -321,6 +323,7 @@ def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int =
     (of the piece ids as little-endian 32-bit integers), decoded (whether the
     ids decode to the text), and with `with_ids` the ids themselves.
     """
+    small_batches(docs.sparkSession)
     vocabulary = Vocabulary.load(model)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias("seed"), F.col(text).alias("text"))
@@ -333,7 +336,7 @@ def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int =
         for batch in batches:
             for first, end, data, offsets in slices(batch.column("text"), 1 << 19):
                 s, e, row, marked, h = pretokens(data, offsets)
-                _, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
+                lead, inverse = distinct(h)
                 lat = Lattices(pieces, data, s[lead], e[lead], marked[lead])
                 nodes = lat.begin[inverse] + 1
                 raw = memoryview(data)
