@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney character model.
 
 Counts of character n-grams in trusted text (labelled good and not toxic) are
-gathered per language from every trusted row, folded per task before the
+gathered per language from every trusted row that is not held out, folded per task before the
 shuffle. Continuation counts, count-of-count discounts, context totals and the
 interpolation with lower orders are joins and aggregations sharded by n-gram
 hash. The finished table (log-probability of each seen n-gram, back-off weight
@@ -10,11 +10,12 @@ at most `shard_rows` rows each; per shard one pass adds a partial
 log-probability to each document, and partial sums give its perplexity. All
 n-grams and contexts that a position needs are in one shard.
 
-A document passes if its perplexity is at most the `quantile` of the trusted
-documents of its language, widened by `slack` for short texts by
+Every fifth trusted document (by hash of its key) is kept out of the counts,
+because a model finds its own training text too easy. A document passes if its
+perplexity is at most the `quantile` of those held-out ones of its language, widened by `slack` for short texts by
 1 + slack / sqrt(symbols).
 
-The alphabet is the 253 commonest code points of the trusted text; others are
+The alphabet is the 253 commonest code points of the documents; others are
 one unknown symbol, so a symbol is a byte and the table is bounded by 256**n
 per language (in practice some 10**5 rows).
 
@@ -27,6 +28,7 @@ rows count repeatedly.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import kept
+from ._shared import kept, small_batches
 from ._text import Table, slices, spark_long
 
 ORDER = 5
@@ -194,17 +196,37 @@ def _partial(docs: DataFrame, shared, alphabet, number: dict, order: int, shard:
     return found if n_shards > 1 else found.drop("row")
 
 
+def _trusted_texts(source: DataFrame, trusted: DataFrame) -> DataFrame:
+    """lang and text of the trusted rows; texts are compressed one by one for the shuffle. A merge join at every size: the keys grow with the data."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([zlib.compress(memoryview(x.as_buffer()), 1) for x in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), packed], ["key", "lang", "packed"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([zlib.decompress(x.as_buffer()) for x in batch.column("packed")], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), texts], ["lang", "text"])
+
+    kind = source.schema["key"].dataType.simpleString()
+    packed = source.where("text is not null and lang is not null").mapInArrow(pack, f"key {kind}, lang string, packed binary")
+    return packed.join(trusted.hint("merge"), "key", "left_semi").select("lang", "packed").mapInArrow(unpack, "lang string, text string")
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, quantile: float = 0.999, slack: float = 3.0, shard_rows: int = 4_000_000) -> DataFrame:
     """key, lang, n_symbols, perplexity, limit and passed of every row of docs."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(key).alias("key")).distinct()
-    training = source.where("text is not null and lang is not null").join(trusted, "key", "left_semi").select("lang", "text")
-    alphabet = docs.sparkSession.sparkContext.broadcast(alphabet_of(training))
+    held_out = F.pmod(F.xxhash64("key"), F.lit(5)) == 0
+    training = _trusted_texts(source.select("key", "lang", "text"), trusted.where(~held_out))
+    alphabet = docs.sparkSession.sparkContext.broadcast(alphabet_of(source.where("text is not null")))
     model = kneser_ney(kept(gram_counts(training, alphabet, order)), order)
     scored = kept(score(source, kept(model), alphabet, order=order, shard_rows=shard_rows))
     scored = scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))))
     widened = F.col("perplexity") / (1 + slack / F.sqrt(F.col("n").cast("double")))
-    limits = scored.join(trusted, "key", "left_semi").where("perplexity is not null").groupBy("lang").agg(F.percentile_approx(widened, quantile, 10_000).alias("limit"))
+    limits = scored.join(trusted.where(held_out), "key", "left_semi").where("perplexity is not null").groupBy("lang").agg(F.percentile_approx(widened, quantile, 10_000).alias("limit"))
     judged = scored.join(F.broadcast(limits), "lang", "left")  # a row per language
     limit = F.col("limit") * (1 + slack / F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double")))
     passed = (F.col("n") > 0) & F.coalesce(F.col("perplexity") <= limit, F.lit(True))
