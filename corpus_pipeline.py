@@ -12,7 +12,7 @@ return the columns of documents.
 * decontamination: drops documents that hold a benchmark item.
 * secrets: replaces each secret in the text by a mark and sets n_chars anew;
   no document is dropped.
-* segmentation: three sampled segmentations of each document.
+* segmentation: three sampled segmentations of each document, with their piece ids.
 
 Nulls, empty texts, repeated rows and empty tables are treated as the five
 operators' modules say; an empty table passes through every stage.
@@ -52,7 +52,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Three distinct segmentations of each document, sampled by document."""
-    return sampling.sample(docs, with_ids=False)
+    return sampling.sample(docs)
 
 
 STAGES = [

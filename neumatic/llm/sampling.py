@@ -342,7 +342,7 @@ def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int =
                 raw = memoryview(data)
                 seeds = batch.column("seed").slice(first, end - first).to_numpy().view(np.uint64).copy()
                 found, kappa = sample_slice(lat, nodes, row, mix(seeds), k)
-                picked, rows = [], {f.name: [] for f in out.fields[1:]}
+                picked, rows = [], {f.name: [] for f in out.fields[1:] if f.name != "ids"}
                 paths = [(i, rank, *path) for i, own in enumerate(found) for rank, path in enumerate(own, 1)]
                 edges = np.concatenate([p[2] for p in paths]) if paths else np.empty(0, np.int64)
                 ids, count = pieces.spell_out(lat.piece[edges])
@@ -355,15 +355,18 @@ def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int =
                     limit = kappa[i] if kappa[i] is not None and np.isfinite(kappa[i]) else None
                     decoded = spelt[b + 1 : b2] == raw[offsets[i] : offsets[i + 1]]
                     picked.append(first + i)
-                    for name, value in (("rank", rank), ("n_pieces", a2 - a), ("log_prob", log_p), ("perturbed", g), ("inclusion", 1.0 if limit is None else float(-np.expm1(-np.exp(min(700.0, log_p - limit))))), ("ids_sha256", hashlib.sha256(ids[a:a2].tobytes()).hexdigest()), ("decoded", decoded), *([("ids", ids[a:a2])] if with_ids else [])):
+                    for name, value in (("rank", rank), ("n_pieces", a2 - a), ("log_prob", log_p), ("perturbed", g), ("inclusion", 1.0 if limit is None else float(-np.expm1(-np.exp(min(700.0, log_p - limit))))), ("ids_sha256", hashlib.sha256(ids[a:a2].tobytes()).hexdigest()), ("decoded", decoded)):
                         rows[name].append(value)
                     a, b = a2, b2
                 keys = batch.column("key").take(pa.array(picked, pa.int64()))
-                kinds = {"rank": pa.int32(), "n_pieces": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string()}
-                yield pa.RecordBatch.from_arrays([keys, *(pa.array(rows[f.name], kinds.get(f.name)) for f in out.fields[1:])], [f.name for f in out.fields])
+                kinds = {"rank": pa.int32(), "n_pieces": pa.int64(), "ids_sha256": pa.string()}
+                columns = [keys, *(pa.array(rows[f.name], kinds.get(f.name)) for f in out.fields[1:] if f.name != "ids")]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array([0, *id_end], pa.int32()), pa.array(ids)))
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in out.fields])
 
     return source.mapInArrow(run, out)
 
 
 def op10_sentencepiece_sampling(spark, sf_dir: str) -> DataFrame:
-    return sample(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), with_ids=False)
+    return sample(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -213,6 +213,21 @@ def test_sampled_segmentations(docs, texts):
     assert {(r["doc_id"], r["rank"], r["ids_sha256"]) for r in again} == {(r["doc_id"], r["rank"], r["ids_sha256"]) for r in rows}
 
 
+def test_sampling_callers_return_the_segmentations(spark):
+    from corpus_pipeline import segment
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts, v = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, Vocabulary.load()
+    for found in (sampling.op10_sentencepiece_sampling(spark, sf), segment(spark, docs, sf)):
+        rows = found.collect()
+        assert {r["doc_id"] for r in rows} == set(texts)
+        assert len({(r["doc_id"], *r["ids"]) for r in rows}) == len(rows)
+        for r in rows:
+            assert len(r["ids"]) == r["n_pieces"] and v.decode(r["ids"]).decode() == texts[r["doc_id"]]
+            assert hashlib.sha256(np.array(r["ids"], "<i4").tobytes()).hexdigest() == r["ids_sha256"]
+
+
 def test_sampling_without_replacement_is_unbiased():
     v = Vocabulary.load()
     pieces = sampling.Pieces(v)
