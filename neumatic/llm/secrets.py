@@ -2,7 +2,7 @@
 
 Three base patterns (assignments, access keys, hex strings) give the sure
 spans. Beyond them, every run of 20 or more key-like characters outside the
-base spans is a candidate: its encoding is inferred from its characters (hex,
+base spans, or longer than the hex span it holds, is a candidate: its encoding is inferred from its characters (hex,
 base32, letters and digits, base64), and a battery measures how it differs
 from ordinary text of its length:
 
@@ -13,7 +13,11 @@ from ordinary text of its length:
   independent draws give.
 
 Both chi-squared and runs must speak against "ordinary text": the larger of
-their p-values counts. Benjamini-Hochberg at rate `fdr` then runs separately in each length
+their p-values counts. Hex has a null of its own, joined words and numbers of
+hex digits in any case: words of a to f repeat their few letters
+(`hex_collision`, where uniform hex has 1/16) and change to a number and back
+once in about six characters (`hex_change`, where uniform hex changes at 0.47). Neither test alone has power over 20 such characters, so their z-scores
+are added (Stouffer). Benjamini-Hochberg at rate `fdr` then runs separately in each length
 class. The p-values are rounded up to a fixed grid, so the ranks come from a
 histogram of bounded size (length classes x grid) and not from a global sort.
 
@@ -96,7 +100,7 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z < 4, near).otherwise(far)
 
 
-def battery(token: Column, *, text_collision: float = 0.06, text_change: float = 0.08, serial_z: float = 3.5) -> Column:
+def battery(token: Column, *, text_collision: float = 0.06, text_change: float = 0.08, hex_collision: float = 0.11, hex_change: float = 0.32, serial_z: float = 3.5) -> Column:
     """struct<encoding, score>: -log10 of the p-value under ordinary text; 0 if the serial correlation is off."""
     n = F.length(token).cast("double")
     chars = F.split(token, "")
@@ -104,22 +108,27 @@ def battery(token: Column, *, text_collision: float = 0.06, text_change: float =
     for enc, alphabet, pattern in reversed(ENCODINGS):
         size = F.when(token.rlike(pattern), F.lit(float(alphabet))).otherwise(size)
         name = F.when(token.rlike(pattern), F.lit(enc)).otherwise(name)
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
+    is_hex = token.rlike(ENCODINGS[0][2])
+    folded = F.when(is_hex, F.lower(token)).otherwise(token)
+    collision = F.when(is_hex, hex_collision).otherwise(text_collision)
+    change = F.when(is_hex, hex_change).otherwise(text_change)
+    squares = F.aggregate(F.array_distinct(F.split(folded, "")), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(folded, c, F.lit(""))), F.lit(2.0)))
     chi2 = size * squares / n - n
     # ordinary text: mean n(kc-1)+(k-1), spread of the pair count under collision probability c
-    mean = (n - 1) * (size * text_collision - 1) + (size - 1)
-    spread = size * F.sqrt(2 * (n - 1) / n * F.lit(text_collision * (1 - text_collision)))
+    mean = (n - 1) * (size * collision - 1) + (size - 1)
+    spread = size * F.sqrt(2 * (n - 1) / n * collision * (1 - collision))
     z_chi = (mean - chi2) / spread
-    classes = F.translate(token, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", "a" * 26 + "A" * 26 + "0" * 10 + "+" * 5)
+    classes = F.translate(folded, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", "a" * 26 + "A" * 26 + "0" * 10 + "+" * 5)
     changes = n - F.length(F.regexp_replace(classes, r"(.)(?=\1)", ""))
     changes = (n - 1) - changes
-    z_runs = (changes - (n - 1) * text_change) / F.sqrt((n - 1) * F.lit(text_change * (1 - text_change)))
+    z_runs = (changes - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
     code = F.transform(chars, lambda c: F.ascii(c).cast("double"))
     avg = F.aggregate(code, F.lit(0.0), lambda a, c: a + c) / n
     var = F.aggregate(code, F.lit(0.0), lambda a, c: a + (c - avg) * (c - avg))
     cov = F.aggregate(F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code) - 1), lambda a, b: (a - avg) * (b - avg)), F.lit(0.0), lambda a, x: a + x)
     z_serial = F.when(var > 0, cov / var * F.sqrt(n)).otherwise(F.sqrt(n))
-    score = F.when(F.abs(z_serial) <= serial_z, _upper_tail(F.least(z_chi, z_runs))).otherwise(0.0)
+    z = F.when(is_hex, (z_chi + z_runs) / math.sqrt(2)).otherwise(F.least(z_chi, z_runs))
+    score = F.when(F.abs(z_serial) <= serial_z, _upper_tail(z)).otherwise(0.0)
     return F.struct(name.alias("encoding"), F.least(F.greatest(score, F.lit(0.0)), F.lit(float(TOP))).alias("score"))
 
 
@@ -127,12 +136,18 @@ def _length_class(n: Column) -> Column:
     return F.least(F.floor(F.log2(n.cast("double")) * 2), F.lit(24)).cast("int")
 
 
+def _covers(span: Column, start: Column, end: Column) -> Column:
+    """Whether a base span settles the run from start to end; a hex span inside a longer run does not."""
+    touches = (span["start"] < end) & (span["end"] > start)
+    return touches & ((span["kind"] != 2) | ((span["start"] <= start) & (span["end"] >= end)))
+
+
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, kind, end, cls, bin>> of the key-like runs that overlap no base span."""
+    """array<struct<start, kind, end, cls, bin>> of the key-like runs that no base span settles."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int,cls:int,bin:int>>")
     # a run of one letter case without a digit is a word; it is no candidate
     mixed = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z].*[a-z].*[A-Z]"
-    free = F.filter(_at(text, CANDIDATE), lambda x: x["match"].rlike(mixed) & ~F.exists(base, lambda b: (b["start"] < x["start"] + F.length(x["match"])) & (b["end"] > x["start"])))
+    free = F.filter(_at(text, CANDIDATE), lambda x: x["match"].rlike(mixed) & ~F.exists(base, lambda b: _covers(b, x["start"], x["start"] + F.length(x["match"]))))
     made = F.transform(free, lambda x: F.struct(
         x["start"].alias("start"), F.lit(3).alias("kind"), (x["start"] + F.length(x["match"])).alias("end"),
         _length_class(F.length(x["match"])).alias("cls"), F.floor(battery(x["match"])["score"] * GRID).cast("int").alias("bin")))

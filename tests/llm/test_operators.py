@@ -128,6 +128,35 @@ def test_secret_spans(spark):
     assert clean[4] == "see [secret] there" and clean[5] == rows[5][1] and clean[6] is None and "hunter2" not in clean[0]
 
 
+def test_planted_hex_secrets_among_joined_words(spark):
+    rng = random.Random(8)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+
+    def joined(listed, n, form):
+        t = ""
+        while len(t) < n:
+            t += form(rng.choice(listed)) + draw("0123456789", rng.randint(1, 4))
+        return t[:n]
+
+    plain = "river house mountain street garden window paper silver letter morning summer winter".split()
+    digits = "dead beef cafe face bead fade deed feed added decade facade accede bee dad cab fab".split()
+    kinds = {
+        "upper": lambda n: draw("0123456789ABCDEF", n), "mixed": lambda n: draw("0123456789abcdefABCDEF", n), "base32": lambda n: draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", n),
+        "hex words": lambda n: joined(digits, n, rng.choice([str.upper, str.title])), "words": lambda n: joined(plain, n, str.lower),
+    }
+    rows = [(k, n, f"see {make(n)} there") for k, make in kinds.items() for n in (20, 32, 40, 64, 128, 256) for _ in range(40)]
+    rows.append(("upper", 0, "x 9233A8ECF7C5B09FE5949719B6B82BC439E9329B y"))
+    found = Counter()
+    for r in secrets.scan(spark.createDataFrame(rows, "kind string, n int, text string")).collect():
+        found[r["kind"], r["n"]] += any(s["kind"] == 3 for s in r["_spans"])
+    assert found["upper", 0] == 1
+    for kind in ("upper", "mixed"):
+        assert found[kind, 32] >= 30 and min(found[kind, n] for n in (40, 64, 128, 256)) >= 36, found
+    assert min(found["base32", n] for n in (64, 128, 256)) >= 36, found
+    for kind, most in (("hex words", 2), ("words", 6)):
+        assert sum(found[kind, n] for n in (20, 32, 40)) <= most, found
+
+
 def test_archive_round_trip(spark):
     rows = [(1, "u", "é\r\n\r\nWARC/1.1\r\n" * 90), (2, "u\n", None), (3, "v", ""), (None, None, "z" * 50), (5, "w", "z" * 50), (6, "w", "é\r\n\r\nWARC/1.1\r\n" * 90), (6, "w", "é\r\n\r\nWARC/1.1\r\n" * 90), (7, None, "only")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
