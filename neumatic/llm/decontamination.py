@@ -14,9 +14,9 @@ so looking up every block value within that distance finds all items within
 the radius. Those are verified by the exact weighted Jaccard similarity of
 their shingles.
 
-Items are broadcast in blocks of at most `block_items` (of bounded size by
-that parameter and `max_item_words`, beyond which an item is refused with an
-error); each block is one more pass over the documents.
+Items are broadcast in blocks of about `block_items` items and `block_words`
+words at most; an item of more words is a block of its own, of any length.
+Each block is one more pass over the documents.
 
 Defined results: null and empty texts hold no item; items without words match
 nothing; repeated items and rows each give their own result; all columns of
@@ -57,10 +57,25 @@ def simhash(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def window_prints(values: np.ndarray, begins: np.ndarray, m: int) -> np.ndarray:
+    """simhash of values[b : b + m] for each b; overlapping or long windows by differences of running sums."""
+    low, high = int(begins.min()), int(begins.max()) + m
+    if m <= 1 << 12 and len(begins) * m <= 4 * (high - low):
+        step = max(1, (1 << 20) // m)
+        return np.concatenate([simhash(values[begins[i : i + step, None] + np.arange(m)]) for i in range(0, len(begins), step)])
+    part, at = values[low:high], begins - low
+    two = np.stack([mix(part ^ np.uint64(0x6A09E667F3BCC909)), mix(part ^ np.uint64(0xBB67AE8584CAA73B))], axis=-1).view(np.uint8)
+    out, total = np.empty((len(begins), BLOCKS), np.uint8), np.zeros((len(part) + 1, 8), np.int32)
+    for b in range(BLOCKS):
+        np.cumsum(np.unpackbits(two[:, b : b + 1], axis=1).astype(np.int8) * 2 - 1, axis=0, dtype=np.int32, out=total[1:])
+        out[:, b] = np.packbits(total[at + m] - total[at] > 0, axis=1)[:, 0]
+    return out
+
+
 class ItemIndex:
     """Shingles, fingerprints and Hamming block lists of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str], width: int, radius: int, max_item_words: int):
+    def __init__(self, ids: list[int], texts: list[str], width: int, radius: int):
         self.width, self.radius = width, radius
         column = pa.array(texts, pa.string())
         self.ids, self.bags, self.size, prints = [], [], [], []
@@ -70,14 +85,12 @@ class ItemIndex:
             value, owner, _ = windows(h, row, width)
             count = np.bincount(row, minlength=end - first)
             for i in range(end - first):
-                if count[i] > max_item_words:
-                    raise ValueError(f"item {ids[first + i]} has {count[i]} words, over max_item_words={max_item_words}")
                 if count[i] and ids[first + i] is not None:
                     mine = value[owner == i]
                     self.ids.append(ids[first + i])
                     self.bags.append(Counter(mine.tolist()))
                     self.size.append(int(count[i]))
-                    prints.append(simhash(mine[None, :])[0])
+                    prints.append(window_prints(mine, np.zeros(1, np.int64), len(mine))[0])
         self.prints = np.array(prints, np.uint8).reshape(-1, BLOCKS)
         self.size = np.array(self.size, np.int64)
         pairs = [(s, i) for i, bag in enumerate(self.bags) for s in bag]
@@ -136,10 +149,9 @@ class ItemIndex:
                 begins, rows = todo[1:, todo[0] == size]
                 m = max(1, int(size) - width + 1)
                 index = np.searchsorted(first, begins)
-                bags = value[index[:, None] + np.arange(m)]
-                w, i, d = self.within(simhash(bags))
+                w, i, d = self.within(window_prints(value, index, m))
                 for a, b, c in zip(w.tolist(), i.tolist(), d.tolist()):
-                    mine, bag = Counter(bags[a].tolist()), self.bags[b]
+                    mine, bag = Counter(value[index[a] : index[a] + m].tolist()), self.bags[b]
                     both = sum((mine & bag).values())
                     score = both / (sum(mine.values()) + sum(bag.values()) - both)
                     key = (int(rows[a]), self.ids[b])
@@ -153,7 +165,7 @@ class ItemIndex:
         return windows(parts, rows, self.width)[0] if len(first) else np.empty(0, np.uint64)
 
 
-def mark(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.75, radius: int = 40, block_items: int = 20_000, max_item_words: int = 5000) -> DataFrame:
+def mark(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.75, radius: int = 40, block_items: int = 20_000, block_words: int = 2_000_000) -> DataFrame:
     """docs with `leaks` added: the items that a window of the text matches, best window each."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -162,12 +174,18 @@ def mark(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     names = [f.name for f in rest]
     rest = [*rest, T.StructField("_lower", T.StringType())]
     out = docs.select(*names, F.lower(text).alias("_lower"), F.array().cast(T.ArrayType(LEAK)).alias("leaks"))
-    n = items.count()
     listed = items.select(F.col(item_id).cast("long").alias("i"), F.lower(item_text).alias("t"))
-    passes = -(-n // block_items)
-    for k in range(passes):
-        part = listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).orderBy("i", "t").collect()
-        shared = spark.sparkContext.broadcast(ItemIndex([r["i"] for r in part], [r["t"] or "" for r in part], width, radius, max_item_words))
+    # a word takes two bytes with the space after it, so this is no less than the number of words
+    n_words = F.coalesce(F.floor((F.octet_length("t") + 1) / 2), F.lit(0))
+    sized = listed.select("*", n_words.alias("n"), F.xxhash64("i", "t").alias("h"))
+    short = sized.where(F.col("n") <= block_words)
+    n, total = short.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    passes = max(-(-n // block_items), -(-total // block_words))
+    blocks = [short.where(F.pmod("h", F.lit(passes)) == k) for k in range(passes)]
+    blocks += [sized.where((F.col("n") > block_words) & (F.col("h") == r["h"])) for r in sized.where(F.col("n") > block_words).select("h").distinct().collect()]
+    for block in blocks:
+        part = block.select("i", "t").orderBy("i", "t").collect()
+        shared = spark.sparkContext.broadcast(ItemIndex([r["i"] for r in part], [r["t"] or "" for r in part], width, radius))
         out = _pass(out, shared, threshold, rest)
     return out.drop("_lower")
 

@@ -187,6 +187,23 @@ def test_leaks(spark):
     assert decontamination.mark(docs, items.limit(0)).count() == len(rows)
 
 
+def test_very_long_items(spark):
+    long = [f"{w}{i}" for i, w in enumerate(words(7000, 31))]
+    short, other = words(30, 32), words(50, 33)
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    rows = [" ".join(other), " ".join([*other, *long, *other]), " ".join([*other, *short]), " ".join(long[:2000]), " ".join(long[:6500])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for options in ({}, {"block_words": 1000}):
+        got = {r["doc_id"]: [(x["item_id"], x["first_word"], round(x["similarity"], 4)) for x in r["leaks"]] for r in decontamination.mark(docs, items, **options).collect()}
+        assert got == {0: [], 1: [(1, 50, 1.0)], 2: [(2, 50, 1.0)], 3: [], 4: [(1, 0, round(6496 / 6996, 4))]}
+
+
+def test_window_prints_equal_simhash():
+    values = np.random.default_rng(4).integers(0, 1 << 63, 6000).astype(np.uint64)
+    for begins, m in ((np.arange(300), 50), (np.array([0, 3000]), 7), (np.array([5]), 5000)):
+        assert (decontamination.window_prints(values, begins, m) == decontamination.simhash(values[begins[:, None] + np.arange(m)])).all()
+
+
 def test_fingerprints(spark, docs, texts):
     got = {r["doc_id"]: r for r in fingerprints.fingerprint(docs, samples=256).collect()}
     assert len(got) == len(texts)
