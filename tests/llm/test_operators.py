@@ -305,26 +305,85 @@ def test_language_held_out_accuracy(spark):
     assert {(r["lang_pred"], r["score"], r["rejected"]) for r in language_id.predict(odd, model).collect()} == {("und", 0.0, True)}
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = [("en", " ".join(words(300, s))) for s in range(4)]
-    docs = spark.createDataFrame(texts, "lang string, text string")
-    alphabet = spark.sparkContext.broadcast(quality_lm.alphabet_of(docs))
-    model = quality_lm.kneser_ney(quality_lm.gram_counts(docs, alphabet, 3), 3).collect()
-    keys = np.array([r["o"] << 44 | r["kind"] << 43 | r["g"] for r in model], np.uint64)
-    table = quality_lm.Table(keys, np.array([r["value"] for r in model], np.float32))
-    for context in [r["g"] for r in model if r["o"] == 3 and r["kind"] == 1][:5] + [77 << 8 | 99]:
-        grams = np.uint64(context) << np.uint64(8) | np.arange(1, 256, dtype=np.uint64)
-        p = np.exp(quality_lm.log_probability(table, np.zeros(255, np.int64), grams, 3))
-        assert abs(p.sum() - 1) < 0.02, context
-
-
-def test_quality_shards_agree(spark):
-    docs = spark.createDataFrame([(i, " ".join(words(80, i)), "en") for i in range(20)] + [(90, None, "en"), (91, "", None), (92, "zzz qqq", "xx"), (93, "#$%&" * 30, "en")], "doc_id long, text string, lang string")
+def kneser_ney_by_hand(training, order):
+    """log-probability of a symbol after its context by interpolated modified Kneser-Ney, per language, from dictionaries."""
+    counts = {}
+    for lang, t in training:
+        s = "\0" * (order - 1) + t
+        for k in range(order - 1, len(s)):
+            own = counts.setdefault(lang, {o: Counter() for o in range(1, order + 1)})
+            own[order][s[k - order + 1 : k + 1]] += 1
+    for own in counts.values():
+        for o in range(order - 1, 0, -1):
+            own[o] = Counter(g[1:] for g in own[o + 1])
+
+    def discount(own, o, c):
+        n = [sum(1 for v in own[o].values() if v == i) for i in range(5)]
+        i = min(c, 3)
+        if not n[i] or not n[1]:
+            return i / 2
+        y = n[1] / (n[1] + 2 * n[2])
+        return max(0.05, min(i, i - (i + 1) * y * n[i + 1] / n[i]))
+
+    def p(lang, g):
+        own, o = counts[lang], len(g)
+        below = p(lang, g[1:]) if o > 1 else 1 / (len(own[1]) + 1)
+        after = [v for h, v in own[o].items() if h[:-1] == g[:-1]]
+        if not after:
+            return below
+        c, gamma = own[o][g], sum(discount(own, o, v) for v in after)
+        return ((max(0, c - discount(own, o, c)) if c else 0) + gamma * below) / sum(after)
+
+    return p, counts
+
+
+@pytest.mark.parametrize("order,head", [(5, 0), (5, 1 << 18), (3, 40), (1, 5)])
+def test_kneser_ney_equals_brute_force(spark, order, head):
+    training = [("en", " ".join(words(120, s))) for s in range(3)] * 2 + [("ja", "\u6f22\u5b57\u3068\u304b\u306a" * 3 + "\U0001f600"), ("de", "x")]
+    p, _ = kneser_ney_by_hand(training, order)
+    rows = [(1, "en", "some abc text"), (1, "en", "some abc text"), (1, "en", "other"), (1, "ja", "other"), (2, "ja", "\u5b57\u6f22\u3068!"), (3, "en", training[0][1]), (4, "xx", "abc"), (5, None, "abc"), (6, "en", None), (7, "en", ""), (None, "en", "aé"), (None, "en", "aé"), (8, "de", "xy" * 3)]
+    docs = spark.createDataFrame(rows, "key int, lang string, text string").repartition(3)
+    got = sorted(((r["key"], r["lang"], r["n"], r["log_p"]) for r in quality_lm.score(docs, spark.createDataFrame(training, "lang string, text string"), order=order, head=head).collect()), key=str)
+    expected = []
+    for key, lang, t in rows:
+        s = "\0" * (order - 1) + (t or "")
+        known = lang in ("en", "ja", "de") or not t
+        expected.append((key, lang, len(t or ""), sum(float(np.log(p(lang, s[k - order + 1 : k + 1]))) for k in range(order - 1, len(s))) if known else None))
+    expected.sort(key=str)
+    assert [x[:3] for x in got] == [x[:3] for x in expected]
+    for a, b in zip(got, expected):
+        assert (a[3] is None) == (b[3] is None) and (b[3] is None or abs(a[3] - b[3]) < 1e-6 * max(1, abs(b[3]))), (a, b)
+
+
+def test_kneser_ney_sums_to_one():
+    p, counts = kneser_ney_by_hand([("en", " ".join(words(300, s))) for s in range(2)], 3)
+    for context in [g[:2] for g in list(counts["en"][3])[:5]] + ["qz"]:
+        assert abs(sum(p("en", context + g) for g in [*counts["en"][1], "\x07"]) - 1) < 1e-9
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    column = pa.array(["short", "é漢\U0001f600a" * 40, None, "tail"])
+    whole = [[np.concatenate(x) for x in zip(*[(row + first, hi, lo) for first, _, row, hi, lo in quality_lm._pieces(column, 5)])]]
+    monkeypatch.setattr(quality_lm, "SLICE_BYTES", 37)
+    monkeypatch.setattr(quality_lm, "slices", lambda c: __import__("neumatic.llm._text", fromlist=["slices"]).slices(c, 37))
+    whole.append([np.concatenate(x) for x in zip(*[(row + first, hi, lo) for first, _, row, hi, lo in quality_lm._pieces(column, 5)])])
+    assert all((a == b).all() for a, b in zip(*whole))
+
+
+def test_quality_of_odd_rows(spark):
+    docs = spark.createDataFrame([(i, " ".join(words(80, i)), "en", "k") for i in range(20)] + [(5, " ".join(words(80, 5)), "en", "k")] * 2 + [(90, None, "en", "k"), (91, "", None, "k"), (92, "zzz qqq", "xx", "k"), (93, "#$%&" * 30, "en", "k"), (94, "漢字" * 50_000, "en", "k")], "doc_id long, text string, lang string, key string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(15)] + [(93, 0, 0)], "doc_id long, quality int, toxic int")
-    one = {r["doc_id"]: r for r in quality_lm.classify(docs, labels).collect()}
-    many = {r["doc_id"]: r for r in quality_lm.classify(docs, labels, shard_rows=300).collect()}
-    assert one.keys() == many.keys() and all(abs((one[k]["perplexity"] or 0) - (many[k]["perplexity"] or 0)) < 1e-3 for k in one)
-    assert not one[93]["passed"] and not one[90]["passed"] and one[92]["passed"] and all(one[i]["passed"] for i in range(15))
+    runs = [sorted(map(tuple, quality_lm.classify(docs, labels, head=head).collect()), key=str) for head in (50, 1 << 18)]
+    assert len(runs[0]) == docs.count() == len(runs[1])
+    for a, b in zip(*runs):
+        assert (a[0], a[1], a[2], a[5]) == (b[0], b[1], b[2], b[5]) and abs((a[3] or 0) - (b[3] or 0)) < 1e-6 * (a[3] or 1)
+    by = {r[0]: r for r in runs[0]}
+    assert not by[93][5] and not by[94][5] and not by[90][5] and by[92][5] and by[92][3] is None and all(by[i][5] for i in range(15))
+    none = quality_lm.classify(docs, labels.limit(0))
+    assert none.where("perplexity is null").count() == docs.count()
+    assert quality_lm.classify(docs.limit(0), labels).count() == 0
 
 
 def test_empty_tables(spark, empty):
