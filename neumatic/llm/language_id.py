@@ -13,7 +13,9 @@ table look-up per n-gram: no shuffle, no state beyond a fixed table of
 
 Defined results: null text, or text without a letter, is `und` with score 0
 and is rejected. Columns that the caller's table has besides the named ones
-pass through. An empty table gives an empty result. With no labelled row
+pass through; columns called lang_pred, score or rejected give way to the
+results. Repeated rows each get their own result; a long text is read piece by
+piece, whole. An empty table gives an empty result. With no labelled row
 there is no language to learn: all rows are `und`.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import small_batches
+from ._shared import small_batches, unused
 from ._text import LOWER, SLICE_BYTES, slices
 
 NGRAMS = (2, 3, 4)
@@ -154,7 +156,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text",
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     small_batches(docs.sparkSession)
-    source = docs.select(*keep, F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    taken = [*docs.columns, "lang_pred", "score", "rejected"]
+    body, lettered = unused(taken, "body"), unused(taken, "lettered")
+    source = docs.select(*keep, F.col(text).alias(body), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(lettered))
     out = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -163,7 +167,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text",
         k, buckets = len(m.langs), len(m.table)
         for batch in batches:
             sums, counts = np.zeros((batch.num_rows, k)), np.zeros(batch.num_rows)
-            for first, end, data, offsets in slices(batch.column("_text")):
+            for first, end, data, offsets in slices(batch.column(body)):
                 row_of = np.repeat(np.arange(end - first, dtype=np.int32), np.diff(offsets))
                 for piece in range(0, max(1, len(data)), SLICE_BYTES):  # a very long text goes piece by piece
                     part = data[piece : piece + SLICE_BYTES + max(NGRAMS) - 1]
@@ -180,11 +184,10 @@ def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text",
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
+            letters = batch.column(lettered).to_numpy(zero_copy_only=False)
             value = np.where(letters, p[np.arange(len(best)), best], 0.0)
             named = np.where(letters, np.array(m.langs, dtype=object)[best], "und")
-            arrays = [batch.column(i) for i, name in enumerate(batch.schema.names) if name not in ("_text", "_letters")]
-            names = [x for x in batch.schema.names if x not in ("_text", "_letters")]
+            arrays, names = batch.columns[: len(keep)], batch.schema.names[: len(keep)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(named, pa.string()), pa.array(value), pa.array(~letters | (value < m.reject_below))], [*names, "lang_pred", "score", "rejected"])
 
     return source.mapInArrow(score, out)

@@ -1,45 +1,51 @@
-"""Removal of repeated byte strings: doubling ranks of thinned suffix positions.
+"""Removal of repeated byte strings: ranks of thinned suffix positions.
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere
 else. Plain prefix doubling would sort a row per byte again and again, so the
 positions are thinned first without loss: each window of `length` bytes is
 represented by its anchor, the position of its smallest `gram`-byte hash.
-Equal windows have equal anchors at equal offsets. Ranks then grow as in
-prefix doubling:
+Equal windows have equal anchors at equal offsets. The anchors are then ranked
+as in prefix doubling, by growing lengths, and leave as soon as they are unique:
 
-1. rank at `gram` bytes: Spark sorts anchors by gram; a unique gram is done;
-2. the rank pair (gram, span), where the span reaches from the first to the
+1. rank at `gram` bytes: anchors are counted by gram; those of a gram that is
+   there once are done;
+2. rank of the pair (gram, span), where the span reaches from the first to the
    last byte of all windows of an anchor (at least `length` bytes): equal pairs
    are past the threshold, so all their windows repeat;
 3. anchors whose gram repeats but whose span differs (the edges of repeated
-   strings) are reranked at `length` bytes, window by window, among the
-   distinct contexts of their gram. Grams with more than `group_rows` distinct
-   contexts are reranked by a Spark aggregation of window hashes instead.
-
-Copies inside one slice of a partition are folded before the shuffle, so that
-periodic texts and hot passages send a row per slice, not per occurrence.
-
-Strings never cross rows. Defined results: null and empty texts have 0 bytes;
-texts shorter than `length` keep all; equal rows are occurrences of each
-other; rows without a key are kept whole and match nothing; rows that repeat a
-key are numbered apart by their order in the result of the scan and must have
-equal text (else their repeats add up).
+   strings) are ranked at `length` bytes, window by window, among the distinct
+   contexts of their gram: in one group for up to `group_rows` contexts, else
+   by a Spark aggregation of window hashes, which spreads a hot gram.
+
+All counts are combined before the shuffle, and copies inside one slice of a
+partition are folded, so a hot passage sends a row per slice and count, and
+joins on it can be split.
+
+Strings never cross rows. A row is known by a 64-bit hash of its key and text,
+so keys of any type do, may repeat and may be null, with equal or different
+texts. Hash equality (two independent 64-bit hashes combined) counts as
+equality. Defined results: null and empty texts have 0 bytes; texts shorter
+than `length` keep all; equal rows are occurrences of each other, whatever
+their keys; an empty table gives an empty result; columns other than key and
+text are not read. A long text is searched a megabyte at a time; its bytes are
+held whole where it is cut.
 """
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import kept, small_batches
-from ._text import Prefix, buffer_of, mix, slices, spark_long
+from ._text import SLICE_BYTES, Prefix, buffer_of, mix, slices, spark_long
 
-_POSITION = np.uint64((1 << 28) - 1)
+_BITS = 22  # of a position in a piece
+_POSITION = np.uint64((1 << _BITS) - 1)
 
 
 def _wide(one: Prefix, two: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -47,8 +53,19 @@ def _wide(one: Prefix, two: Prefix, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix(one.span(start, end) ^ (two.span(start, end) * np.uint64(0x9E3779B97F4A7C15)))
 
 
+def _pieces(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, place of the first byte in it, bytes, offsets): row ranges of about a megabyte, or parts of one longer text that overlap by length - 1 bytes."""
+    for first, end, data, offsets in slices(column):
+        if len(data) <= 2 * SLICE_BYTES:
+            yield first, 0, data, offsets
+            continue
+        for place in range(0, len(data) - length + 1, SLICE_BYTES):
+            part = data[place : place + SLICE_BYTES + length - 1]
+            yield first, place, part, np.array([0, len(part)])
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """row, anchor, first and last window start, gram hash and span hash of every anchor in a slice."""
+    """row, first and last window start, gram hash and span hash of every anchor in a piece."""
     grams = length - gram + 1
     one, two = Prefix(data), Prefix(data, second=True)
     at = np.arange(len(data) - gram + 1)
@@ -67,44 +84,59 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     last = np.r_[new[1:], len(start)] - 1
     low, high, anchor, row = start[new], start[last], anchor[new], row[new]
     span = _wide(one, two, low, high + length) + mix(((anchor - low) << 20 | (high - anchor + (1 << 19))).astype(np.uint64))
-    return row, anchor, low, high, _wide(one, two, anchor, anchor + gram), span
+    return row, low, high, _wide(one, two, anchor, anchor + gram), span
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows of distinct (gram, span) per slice with their count; further copies in the slice come as resolved rows (gram null)."""
+def _anchor_rows(docs: DataFrame, length: int, gram: int, copies: bool) -> DataFrame:
+    """(rid, low, high, g, span, n): the first anchor of each distinct span of a piece with the number of its copies there; or these further copies, without n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            for first, end, data, offsets in slices(batch.column("text")):
+            rid = batch.column("rid").to_numpy()
+            for first, place, data, offsets in _pieces(batch.column("text"), length):
                 if not (np.diff(offsets) >= length).any():
                     continue
-                row, anchor, low, high, g, span = anchors(data, offsets, length, gram)
+                row, low, high, g, span = anchors(data, offsets, length, gram)
                 _, lead, inverse, count = np.unique(span, return_index=True, return_inverse=True, return_counts=True)
-                is_lead = np.zeros(len(span), bool)
-                is_lead[lead] = True
-                n = count[inverse]
-                take = is_lead | (n > 1)
-                base = offsets[row]
-                cols = [pa.array(keys[first:end][row[take]]), pa.array((anchor - base)[take].astype(np.int32)), pa.array((low - base)[take].astype(np.int32)), pa.array((high - base)[take].astype(np.int32)), pa.array(spark_long(g[take]), mask=~is_lead[take]), pa.array(spark_long(span[take])), pa.array(n[take].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "a", "low", "high", "g", "span", "n"])
+                take = np.zeros(len(span), bool)
+                take[lead] = True
+                if copies:
+                    take = count[inverse] > 1
+                base = offsets[row] - place
+                columns = [rid[first + row[take]], (low - base)[take].astype(np.int32), (high - base)[take].astype(np.int32)]
+                if not copies:
+                    columns += [spark_long(g[take]), spark_long(span[take]), count[inverse][take].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rid", "low", "high", "g", "span", "n"][: len(columns)])
+
+    long_enough = docs.where(F.octet_length("text") >= length).select("rid", "text")
+    return long_enough.mapInArrow(run, "rid long, low int, high int" if copies else "rid long, low int, high int, g long, span long, n int")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs with each text compressed, for a shuffle by rid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([zlib.compress(memoryview(x.as_buffer()), 1) if x.is_valid else None for x in batch.column("text")], pa.binary())
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", packed)
 
-    return docs.where(F.col("key").isNotNull() & (F.octet_length("text") >= length)).mapInArrow(run, "key long, a int, low int, high int, g long, span long, n int")
+    fields = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, fields)
 
 
 def _contexts(joined: DataFrame, length: int) -> DataFrame:
     """The bytes from the first to past the last window of each listed anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("g", pa.int64()), ("low", pa.int32()), ("done", pa.bool_()), ("context", pa.binary())])
+        schema = pa.schema([("rid", pa.int64()), ("g", pa.int64()), ("low", pa.int32()), ("done", pa.bool_()), ("large", pa.bool_()), ("context", pa.binary())])
         for batch in batches:
-            data, offsets = buffer_of(batch.column("text"))
-            raw = memoryview(data)
             out, size = [], 0
-            for i, (key, marks) in enumerate(zip(batch.column("key").to_pylist(), batch.column("marks").to_pylist())):
+            for rid, packed, marks in zip(batch.column("rid").to_pylist(), batch.column("text"), batch.column("marks").to_pylist()):
+                raw = zlib.decompress(packed.as_buffer())
                 for m in marks:
-                    part = bytes(raw[offsets[i] + m["low"] : offsets[i] + m["high"] + length])
-                    out.append({"key": key, "g": m["g"], "low": m["low"], "done": m["done"], "context": part})
+                    part = raw[m["low"] : m["high"] + length]
+                    out.append({"rid": rid, "g": m["g"], "low": m["low"], "done": m["done"], "large": m["large"], "context": part})
                     size += len(part)
                 if size > 1 << 21:
                     yield pa.RecordBatch.from_pylist(out, schema)
@@ -112,7 +144,7 @@ def _contexts(joined: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    return joined.select("key", "text", "marks").mapInArrow(run, "key long, g long, low int, done boolean, context binary")
+    return joined.select("rid", "text", "marks").mapInArrow(run, "rid long, g long, low int, done boolean, large boolean, context binary")
 
 
 def _window_hashes(contexts: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,30 +166,31 @@ def _runs(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key[new], start[new], start[last]
 
 
-def repeats(docs: DataFrame, *, length: int = 200, gram: int = 100, group_rows: int = 20_000) -> DataFrame:
-    """(key, low, high): runs of window starts whose `length` bytes also start elsewhere; docs has key and text."""
-    rows = _anchor_rows(docs, length, gram)
-    by_gram, by_span = Window.partitionBy("g"), Window.partitionBy("g", "span")
-    ranked = rows.where("g is not null").withColumn("all", F.sum("n").over(by_gram)).withColumn("same", F.sum("n").over(by_span)).withColumn("nth", F.row_number().over(by_span.orderBy("key", "low")))
-    ranked = ranked.where("all > 1 and same >= 1").withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(by_gram))
-    marked = kept(ranked.select("key", "low", "high", "g", "kinds", (F.col("same") > 1).alias("done"), F.col("nth").alias("nth")))
-    past = marked.where("done").select("key", "low", "high").unionAll(rows.where("g is null").select("key", "low", "high"))
-    # every distinct context of a gram that has several takes part in the reranking
-    open_ = marked.where("kinds > 1 and nth = 1").select("key", F.struct("g", "low", "high", "done", (F.col("kinds") > group_rows).alias("large")).alias("m"))
-    wanted = open_.groupBy("key").agg(F.collect_list("m").alias("marks"))
-    joined = docs.join(wanted, "key")
-    small = _contexts(joined.withColumn("marks", F.filter("marks", lambda m: ~m["large"])), length)
-    large = _contexts(joined.withColumn("marks", F.filter("marks", lambda m: m["large"])), length)
+def repeats(docs: DataFrame, *, length: int = 200, gram: int = 100, group_rows: int = 1_000) -> DataFrame:
+    """(rid, low, high): runs of window starts whose `length` bytes also start elsewhere; docs has rid and text."""
+    rows = _anchor_rows(docs, length, gram, False)
+    # ranks at gram bytes: those that are there once need no further rank
+    often = rows.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
+    left = kept(rows.join(often.hint("merge"), "g", "left_semi"))
+    # ranks of the pair of gram and span
+    spans = kept(left.groupBy("g", "span").agg(F.sum("n").alias("same"), F.min(F.struct("rid", "low", "high")).alias("first")))
+    past = left.join(spans.where("same > 1").select("g", "span").hint("merge"), ["g", "span"], "left_semi").select("rid", "low", "high")
+    past = past.unionAll(_anchor_rows(docs, length, gram, True))
+    # edges: every distinct context of a gram that has several takes part in the ranking of windows
+    kinds = spans.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mark = F.struct("g", "first.low", "first.high", (F.col("same") > 1).alias("done"), (F.col("kinds") > group_rows).alias("large"))
+    wanted = spans.join(kinds.hint("merge"), "g").groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(mark).alias("marks"))
+    contexts = kept(_contexts(_packed(docs.select("rid", "text")).join(wanted.hint("merge"), "rid"), length))
 
     def rerank(table: pa.Table) -> pa.Table:
         value, row, start = _window_hashes(table, length)
         done = table.column("done").to_numpy(zero_copy_only=False)
         _, inverse, count = np.unique(value, return_inverse=True, return_counts=True)
         hit = (count[inverse] > 1) & ~done[row]
-        key, low, high = _runs(row[hit], start[hit])
-        return pa.table({"key": table.column("key").to_numpy()[key], "low": low.astype(np.int32), "high": high.astype(np.int32)}, schema=pa.schema([("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]))
+        context, low, high = _runs(row[hit], start[hit])
+        return pa.table({"rid": table.column("rid").to_numpy()[context], "low": low.astype(np.int32), "high": high.astype(np.int32)}, schema=pa.schema([("rid", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]))
 
-    edges = small.groupBy("g").applyInArrow(rerank, "key long, low int, high int")
+    edges = contexts.where("not large").groupBy("g").applyInArrow(rerank, "rid long, low int, high int")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,48 +198,52 @@ def repeats(docs: DataFrame, *, length: int = 200, gram: int = 100, group_rows:
             for i in range(0, len(table), 2048):
                 part = table.slice(i, 2048)
                 value, row, start = _window_hashes(part, length)
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("key").to_numpy()[row]), pa.array(start.astype(np.int32)), pa.array(part.column("done").to_numpy(zero_copy_only=False)[row]), pa.array(spark_long(value))], ["key", "low", "done", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.column("rid").to_numpy()[row]), pa.array(start.astype(np.int32)), pa.array(part.column("done").to_numpy(zero_copy_only=False)[row]), pa.array(spark_long(value))], ["rid", "low", "done", "h"])
 
-    hashed = large.mapInArrow(spread, "key long, low int, done boolean, h long")
-    often = hashed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    rest = hashed.where("not done").join(often, "h").select("key", "low", F.col("low").alias("high"))
+    hashed = contexts.where("large").mapInArrow(spread, "rid long, low int, done boolean, h long")
+    again = hashed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    rest = hashed.where("not done").join(again.hint("merge"), "h", "left_semi").select("rid", "low", F.col("low").alias("high"))
     return past.unionAll(edges).unionAll(rest)
 
 
-def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 100, group_rows: int = 20_000) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row."""
+def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 100, group_rows: int = 1_000) -> DataFrame:
+    """key, n_bytes, removed (array of start, end) and kept (the remaining bytes, concatenated) of every row."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    if not 0 < gram <= length < SLICE_BYTES:
+        raise ValueError("gram must be at most length, and length less than a megabyte")
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("rid"), F.col(text).alias("text"))
     found = repeats(source, length=length, gram=gram, group_rows=group_rows)
-    spans = found.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = found.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(key, pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
         for batch in batches:
-            data, offsets = buffer_of(batch.column("text"))
-            raw, out = memoryview(data), []
             lists = batch.column("spans")
             fields = lists.flatten()
             low, high = (fields.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()], np.int64)
-            at = np.r_[0, np.cumsum(sizes)]
-            for i, k in enumerate(batch.column("key").to_pylist()):
-                body = raw[offsets[i] : offsets[i + 1]]
-                sha, removed, n, position = hashlib.sha256(), 0, 0, 0
-                if sizes[i]:
+            at = np.r_[0, np.cumsum([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()])]
+            size, removed, remains = [], [], []
+            for i, packed in enumerate(batch.column("text")):
+                body = zlib.decompress(packed.as_buffer()) if packed.is_valid else b""
+                cuts = []
+                if at[i + 1] > at[i]:
                     lo, hi = low[at[i] : at[i + 1]], high[at[i] : at[i + 1]] + length
                     order = np.argsort(lo, kind="stable")
                     lo, hi = lo[order], np.maximum.accumulate(hi[order])
                     new = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
-                    for a, b in zip(lo[new].tolist(), hi[np.r_[new[1:], len(lo)] - 1].tolist()):
-                        sha.update(body[position:a])
-                        position, removed, n = b, removed + b - a, n + 1
-                sha.update(body[position:])
-                out.append({key: k, "n_bytes": len(body), "n_removed": removed, "n_spans": n, "kept_sha256": sha.hexdigest()})
-            yield pa.RecordBatch.from_pylist(out, schema)
+                    cuts = list(zip(lo[new].tolist(), hi[np.r_[new[1:], len(lo)] - 1].tolist()))
+                ends = [0, *(b for _, b in cuts)]
+                remains.append(b"".join(body[a:b] for a, b in zip(ends, [*(a for a, _ in cuts), len(body)])))
+                removed.append([{"start": a, "end": b} for a, b in cuts])
+                size.append(len(body))
+            spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(size, pa.int64()), pa.array(removed, spans_type), pa.array(remains, pa.binary())], [key, "n_bytes", "removed", "kept"])
 
-    return source.join(spans, "key", "left").mapInArrow(run, f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = _packed(source).join(spans.hint("merge"), "rid", "left").select("key", "text", "spans")
+    return joined.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, removed array<struct<start:int,end:int>>, kept binary")
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -92,19 +92,54 @@ def test_join_finds_links_of_random_near_copies(spark):
     assert got == dict(enumerate(label))
 
 
-@pytest.mark.parametrize("group_rows", [20_000, 1])
-def test_repeated_bytes(docs, texts, group_rows):
-    data = {i: (t or "").encode() for i, t in texts}
-    count = Counter(d[p : p + 200] for d in data.values() for p in range(len(d) - 199))
-    expected = set()
-    for i, d in data.items():
+def removed_by_hand(rows):
+    """(key, bytes, removed, spans, digest of the rest) of each (key, text)."""
+    data = [(t or "").encode() for _, t in rows]
+    count = Counter(d[p : p + 200] for d in data for p in range(len(d) - 199))
+    out = []
+    for (k, _), d in zip(rows, data):
         mark = bytearray(len(d))
         for p in range(len(d) - 199):
             if count[d[p : p + 200]] > 1:
                 mark[p : p + 200] = b"\1" * 200
         runs = sum(1 for k in range(len(mark)) if mark[k] and (k == 0 or not mark[k - 1]))
-        expected.add((i, len(d), sum(mark), runs, hashlib.sha256(bytes(x for x, m in zip(d, mark) if not m)).hexdigest()))
-    assert {tuple(r) for r in suffix_dedup.dedup(docs, group_rows=group_rows).collect()} == expected
+        out.append((k, len(d), sum(mark), runs, hashlib.sha256(bytes(x for x, m in zip(d, mark) if not m)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def removed_by_spark(docs, **options):
+    rows = suffix_dedup.dedup(docs, **options).collect()
+    return sorted(((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"]), len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("group_rows", [1_000, 1])
+def test_repeated_bytes(docs, texts, group_rows):
+    assert removed_by_spark(docs, group_rows=group_rows) == removed_by_hand(texts)
+
+
+def test_repeated_bytes_of_repeated_and_null_keys(spark):
+    passage = " ".join(words(60, 40))
+    rows = [("a", "x" * 500), ("a", "y" * 100), ("a", passage + " one"), ("b", "two " + passage), (None, "three " + passage), (None, None), (None, ""), ("c", "only once " + " ".join(words(90, 41))), ("c", "only once " + " ".join(words(90, 41)))]
+    assert removed_by_spark(spark.createDataFrame(rows, "doc_id string, text string")) == removed_by_hand(rows)
+
+
+def test_a_passage_in_very_many_rows(spark):
+    passage = " ".join(words(70, 50))
+    rows = [(i, f"{i} head {i * 7} " + passage + f" tail {i * 13}") for i in range(10_000)]
+    got = removed_by_spark(spark.createDataFrame(rows, "doc_id int, text string").repartition(4))
+    assert len(got) == 10_000 and min(r[2] for r in got) >= len(passage.encode()) and max(r[3] for r in got) == 1
+
+
+def test_long_texts_are_searched_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    body = np.random.default_rng(3).integers(97, 123, 3 << 20).astype(np.uint8).tobytes().decode()
+    parts = [(place, data, offsets) for _, place, data, offsets in suffix_dedup._pieces(pa.array([body, "short"]), 200)]
+    starts = sorted(place + p for place, data, offsets in parts[:-1] for p in range(0, len(data) - 199, 1000))
+    assert all(len(data) <= (1 << 20) + 199 for _, data, _ in parts) and len(set(starts)) >= len(body) // 1000 - 5
+    rows = [(1, body + body[1_000_000:1_000_300]), (2, "z" * 10 + body[2_097_000:2_097_400])]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["removed"]] for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: [(1_000_000, 1_000_300), (2_097_000, 2_097_400), (len(body), len(body) + 300)], 2: [(10, 410)]}
 
 
 def test_secret_spans(spark):
@@ -115,7 +150,7 @@ def test_secret_spans(spark):
     assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     kinds = (("assign", assign, 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for r in secrets.scan(frame).select("doc_id", secrets.span_list(F.col("_base")).alias("b"), secrets.span_list(F.col("_spans")).alias("s")).collect():
+    for r in secrets.scan(frame).select("doc_id", secrets.span_list(F.col("base_spans")).alias("b"), secrets.span_list(F.col("spans")).alias("s")).collect():
         t = rows[r["doc_id"]][1] or ""
         found = sorted((m.start(), k, name, m.end()) for k, (name, rx, g, n) in enumerate(kinds) for m in rx.finditer(t) if len(m[g]) >= n)
         assert r["b"] == ",".join(f"{name}:{a}:{b}" for a, _, name, b in found)
@@ -148,7 +183,7 @@ def test_planted_hex_secrets_among_joined_words(spark):
     rows.append(("upper", 0, "x 9233A8ECF7C5B09FE5949719B6B82BC439E9329B y"))
     found = Counter()
     for r in secrets.scan(spark.createDataFrame(rows, "kind string, n int, text string")).collect():
-        found[r["kind"], r["n"]] += any(s["kind"] == 3 for s in r["_spans"])
+        found[r["kind"], r["n"]] += any(s["kind"] == 3 for s in r["spans"])
     assert found["upper", 0] == 1
     for kind in ("upper", "mixed"):
         assert found[kind, 32] >= 30 and min(found[kind, n] for n in (40, 64, 128, 256)) >= 36, found
@@ -157,6 +192,71 @@ def test_planted_hex_secrets_among_joined_words(spark):
         assert sum(found[kind, n] for n in (20, 32, 40)) <= most, found
 
 
+def battery_by_hand(token):
+    """-log10 of the p-value as the battery of secret scans defines it."""
+    from math import erfc, log, log10, pi, sqrt
+
+    for size, pattern in ((16, "[0-9a-fA-F]+"), (32, "[A-Z2-7]+=*"), (62, "[A-Za-z0-9]+"), (64, ".+")):
+        if re.fullmatch(pattern, token):
+            break
+    n, is_hex = len(token), size == 16
+    collision, change = (0.11, 0.32) if is_hex else (0.06, 0.08)
+    folded = token.lower() if is_hex else token
+    chi2 = size * sum(c * c for c in Counter(folded).values()) / n - n
+    z_chi = ((n - 1) * (size * collision - 1) + size - 1 - chi2) / (size * sqrt(2 * (n - 1) / n * collision * (1 - collision)))
+    kind = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "+" for c in folded]
+    changes = sum(a != b for a, b in zip(kind, kind[1:]))
+    z_runs = (changes - (n - 1) * change) / sqrt((n - 1) * change * (1 - change))
+    code = [ord(c) for c in token]
+    mean = sum(code) / n
+    var = sum((c - mean) ** 2 for c in code)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(code, code[1:])) / var * sqrt(n) if var else sqrt(n)
+    z = (z_chi + z_runs) / sqrt(2) if is_hex else min(z_chi, z_runs)
+    if abs(serial) > 3.5:
+        return 0.0
+    p = -log10(0.5 * erfc(z / sqrt(2))) if z < 4 else (z * z / 2 + log(z * sqrt(2 * pi))) / log(10)
+    return min(40.0, max(0.0, p))
+
+
+def test_battery_and_false_discovery_control(spark):
+    rng = random.Random(12)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    kinds = ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "aaabbbccdeE1", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcAB01", "aA1")
+    rows = [(i, "k " + draw(kinds[i % 6], rng.choice((20, 24, 40, 41, 64, 100)))) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string").withColumn("candidates", F.lit("clash")).withColumn("base_spans", F.lit(0)).withColumn("value", F.lit("v"))
+    tokens = spark.createDataFrame([(i, t[2:]) for i, t in rows], "i int, t string").select("i", secrets.battery(F.col("t"))["score"].alias("s"))
+    for i, s in tokens.collect():
+        assert abs(s - battery_by_hand(rows[i][1][2:])) < 0.02 + 0.04 * s, (rows[i], s)
+    cells = {i: (int(secrets.math.floor(secrets.math.log2(len(rows[i][1]) - 2) * 2)), s) for i, s in tokens.collect()}
+    got = {r["doc_id"] for r in secrets.scan(frame).collect() if any(x["kind"] == 3 for x in r["spans"])}
+    listed = {i for i, (_, t) in enumerate(rows) if re.search(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z].*[a-z].*[A-Z]", t[2:]) and not re.search("[0-9a-f]{%d}" % (len(t) - 2), t)}
+    expected = set()
+    for cls in {c for c, _ in cells.values()}:
+        mine = {i: secrets.math.floor(s * 64) / 64 for i, (c, s) in cells.items() if c == cls and i in listed}
+        ok = [v for v in mine.values() if 10**-v * len(mine) <= 0.01 * sum(w >= v for w in mine.values())]
+        expected |= {i for i, v in mine.items() if ok and v >= min(ok)}
+    assert got == expected and got
+    kept = secrets.redact(frame)
+    assert kept.columns == frame.columns and {r["candidates"] for r in kept.collect()} == {"clash"} and {r["base_spans"] for r in kept.collect()} == {0}
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    rng = random.Random(2)
+    one = "".join("key%d " % i + "".join(rng.choice("0123456789abcdefghijKLMNOP") for _ in range(21)) + " password=abcdefghijkl%d\n" % i + "é" * 3 for i in range(16_000))
+    frame = spark.createDataFrame([(1, one), (2, one[:5000])], "doc_id int, text string")
+    began = time.time()
+    found = {r["doc_id"]: r for r in secrets.scan(frame).collect()}
+    assert time.time() - began < 30
+    assert sum(s["kind"] == 0 for s in found[1]["base_spans"]) == 16_000 and found[1]["base_spans"][-1]["end"] <= len(one)
+    marks = lambda t, spans: "[secret]".join(t[a:b] for a, b in zip([0, *[s["end"] for s in spans]], [*[s["start"] for s in spans], len(t)]))
+    began = time.time()
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    assert time.time() - began < 30
+    assert clean[1] == marks(one, found[1]["spans"]) and clean[2] == marks(one[:5000], found[2]["spans"])
+
+
 def test_archive_round_trip(spark):
     rows = [(1, "u", "é\r\n\r\nWARC/1.1\r\n" * 90), (2, "u\n", None), (3, "v", ""), (None, None, "z" * 50), (5, "w", "z" * 50), (6, "w", "é\r\n\r\nWARC/1.1\r\n" * 90), (6, "w", "é\r\n\r\nWARC/1.1\r\n" * 90), (7, None, "only")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -198,6 +298,53 @@ def test_very_long_items(spark):
         assert got == {0: [], 1: [(1, 50, 1.0)], 2: [(2, 50, 1.0)], 3: [], 4: [(1, 0, round(6496 / 6996, 4))]}
 
 
+def test_index_finds_all_within_the_radius_and_selects():
+    rng = np.random.default_rng(6)
+    index = decontamination.ItemIndex(list(range(400)), [" ".join(words(40, 1000 + i)) for i in range(400)], 5, 62)
+    close = index.prints.copy()
+    for row in close:
+        for bit in rng.choice(256, 62, replace=False):
+            row[bit // 8] ^= 1 << (bit % 8)
+    found = set(zip(*(x.tolist() for x in index.candidates(close))))
+    assert all((i, i) in found for i in range(400))
+    window, item = index.candidates(index.prints)
+    assert len(window) - 400 < 0.01 * 400 * 399
+    near = {(a, b) for a in range(400) for b in range(400) if decontamination._BITS[close[a] ^ index.prints[b]].sum() <= 62}
+    assert near == {(a, b) for a, b, _ in zip(*(x.tolist() for x in index.within(close)))}
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(17)
+    items = [(i, " ".join(words(rng.choice((12, 30, 30, 60)), 500 + i))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        w = words(rng.randint(0, 60), 900 + i)
+        for _ in range(rng.randint(0, 2)):
+            own = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = "edit"
+            w[rng.randrange(len(w) + 1) : 0] = own
+        rows.append((i, " ".join(w), "x", i))
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    expected = {}
+    for d, t, _, _ in rows:
+        w = t.split()
+        for i, other in items:
+            want, m = bag(other.split()), len(other.split())
+            for k in range(max(1, len(w) - m + 1)):
+                have = bag(w[k : k + m])
+                score = sum((have & want).values()) / max(1, sum((have | want).values()))
+                if score >= 0.75:
+                    expected[d, i] = max(score, expected.get((d, i), 0))
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _lower string, lowered int")
+    marked = decontamination.mark(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert marked.columns == [*docs.columns, "leaks"] and {r["_lower"] for r in marked.collect()} == {"x"}
+    got = {(r["doc_id"], x["item_id"]): x["similarity"] for r in marked.collect() for x in r["leaks"]}
+    assert len(expected) > 30 and got.keys() <= expected.keys() and len(got) >= 0.98 * len(expected)
+    assert all(abs(v - expected[k]) < 1e-9 for k, v in got.items())
+    assert decontamination.clean(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
 def test_window_prints_equal_simhash():
     values = np.random.default_rng(4).integers(0, 1 << 63, 6000).astype(np.uint64)
     for begins, m in ((np.arange(300), 50), (np.array([0, 3000]), 7), (np.array([5]), 5000)):
@@ -386,6 +533,14 @@ def test_quality_of_odd_rows(spark):
     assert quality_lm.classify(docs.limit(0), labels).count() == 0
 
 
+def test_language_columns_with_clashing_names(spark):
+    model = language_id.train(["der die das und"] * 5 + ["the of and to"] * 5, ["de"] * 5 + ["en"] * 5)
+    docs = spark.createDataFrame([(1, "the of and " * 400_000, "a", "b", "c"), (1, "the of and", "a", "b", "c")], "doc_id long, text string, _text string, _letters string, body string")
+    got = language_id.predict(docs, model)
+    assert got.columns == [*docs.columns, "lang_pred", "score", "rejected"]
+    assert {tuple(r)[2:6] for r in got.collect()} == {("a", "b", "c", "en")}
+
+
 def test_empty_tables(spark, empty):
     assert ngram_join.join(empty).count() == 0
     assert suffix_dedup.dedup(empty).count() == 0
