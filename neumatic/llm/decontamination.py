@@ -1,26 +1,31 @@
 """Benchmark decontamination: SimHash windows, multi-index Hamming blocks, exact check.
 
 Every benchmark item is a weighted set of word shingles (five words,
-lower-cased; a shorter item is one shingle of all its words) with a 128-bit
+lower-cased; a shorter item is one shingle of all its words) with a 256-bit
 SimHash. A document's windows are as long as an item, in words. A window that
 shares no shingle with an item has similarity 0 to it, and the best window for
 an item can be shifted until it begins with one of the item's shingles, so
 only windows that begin with a shingle of an item of their length are
 fingerprinted; none that could reach the threshold is left out by that.
 
-The fingerprints of the items are indexed by 16 blocks of 8 bits. Two
-fingerprints within `radius` bits agree up to radius // 16 bits in some block,
-so looking up every block value within that distance finds all items within
-the radius. Those are verified by the exact weighted Jaccard similarity of
-their shingles.
+The fingerprints of the items are indexed by 32 blocks of 8 bits: for each
+block and value the items within 2 bits. Two fingerprints within `radius` bits
+have at most radius // 3 blocks that differ by 3 bits or more, so an item
+within the radius is in the lists of at least 32 - radius // 3 blocks; only
+such items are candidates. Unrelated items are in 4.6 lists on average, so
+with the radius of 62 (12 lists) about 1 in 600 of them is a candidate. At
+similarity 0.75 the expected distance is 44 bits with a deviation of 6.
+Candidates within the radius are verified by the exact weighted Jaccard
+similarity of their shingles.
 
 Items are broadcast in blocks of about `block_items` items and `block_words`
 words at most; an item of more words is a block of its own, of any length.
 Each block is one more pass over the documents.
 
 Defined results: null and empty texts hold no item; items without words match
-nothing; repeated items and rows each give their own result; all columns of
-the documents are kept, with `leaks` added (or replaced).
+nothing, items without an id are left out; repeated items and rows each give
+their own result; all columns of the documents are kept whatever their names,
+with `leaks` added (or replaced); empty tables give empty results or no leaks.
 """
 
 from __future__ import annotations
@@ -34,24 +39,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import small_batches
+from ._shared import small_batches, unused
 from ._text import mix, slices, windows, word_hashes, words
 
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("distance", T.IntegerType())])
-BLOCKS = 16
+BLOCKS = 32
+NEAR = 2
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+_SEEDS = (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1)
+
+
+def _spread(shingles: np.ndarray) -> np.ndarray:
+    """Shingle hashes as 32 bytes each, along a new last axis."""
+    return np.stack([mix(shingles ^ np.uint64(x)) for x in _SEEDS], axis=-1).view(np.uint8)
+
+
 def _bits(shingles: np.ndarray) -> np.ndarray:
-    """[n, 128] signs (+1, -1) of 64-bit shingle hashes."""
-    two = np.stack([mix(shingles ^ np.uint64(0x6A09E667F3BCC909)), mix(shingles ^ np.uint64(0xBB67AE8584CAA73B))], axis=-1)
-    return np.unpackbits(two.view(np.uint8), axis=-1).astype(np.int8) * 2 - 1
+    """[n, 256] signs (+1, -1) of 64-bit shingle hashes."""
+    return np.unpackbits(_spread(shingles), axis=-1).astype(np.int8) * 2 - 1
 
 
 def simhash(shingles: np.ndarray) -> np.ndarray:
-    """[n, 16] bytes of the SimHash of each row of [n, m] shingles; repeated ones count again."""
+    """[n, 32] bytes of the SimHash of each row of [n, m] shingles; repeated ones count again."""
     out = np.empty((len(shingles), BLOCKS), np.uint8)
-    step = max(1, (1 << 22) // max(1, shingles.shape[1] * 128))
+    step = max(1, (1 << 22) // max(1, shingles.shape[1] * 256))
     for i in range(0, len(shingles), step):
         out[i : i + step] = np.packbits(_bits(shingles[i : i + step]).sum(axis=1, dtype=np.int32) > 0, axis=-1)
     return out
@@ -64,10 +77,10 @@ def window_prints(values: np.ndarray, begins: np.ndarray, m: int) -> np.ndarray:
         step = max(1, (1 << 20) // m)
         return np.concatenate([simhash(values[begins[i : i + step, None] + np.arange(m)]) for i in range(0, len(begins), step)])
     part, at = values[low:high], begins - low
-    two = np.stack([mix(part ^ np.uint64(0x6A09E667F3BCC909)), mix(part ^ np.uint64(0xBB67AE8584CAA73B))], axis=-1).view(np.uint8)
+    spread = _spread(part)
     out, total = np.empty((len(begins), BLOCKS), np.uint8), np.zeros((len(part) + 1, 8), np.int32)
     for b in range(BLOCKS):
-        np.cumsum(np.unpackbits(two[:, b : b + 1], axis=1).astype(np.int8) * 2 - 1, axis=0, dtype=np.int32, out=total[1:])
+        np.cumsum(np.unpackbits(spread[:, b : b + 1], axis=1).astype(np.int8) * 2 - 1, axis=0, dtype=np.int32, out=total[1:])
         out[:, b] = np.packbits(total[at + m] - total[at] > 0, axis=1)[:, 0]
     return out
 
@@ -99,18 +112,25 @@ class ItemIndex:
         self.shingle, self.owner = hashes[order], np.array([i for _, i in pairs], np.int64)[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.shingle >> np.uint64(44)).astype(np.int64)] = True
-        near = _BITS[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= radius // BLOCKS
+        near = _BITS[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= NEAR
         self.lists = [[np.flatnonzero(near[v, self.prints[:, b]]) for v in range(256)] for b in range(BLOCKS)] if len(self.ids) else []
 
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all pairs that are near in as many blocks as any pair within the radius is."""
+        n, window, item = len(self.ids), [], []
+        step = max(1, (1 << 22) // max(1, n))
+        for first in range(0, len(prints), step):
+            part = prints[first : first + step]
+            places = [w * n + x for b in range(BLOCKS) for w, v in enumerate(part[:, b].tolist()) if len(x := self.lists[b][v])]
+            votes = np.bincount(np.concatenate(places), minlength=len(part) * n) if places else np.zeros(len(part) * n, np.int64)
+            w, i = np.divmod(np.flatnonzero(votes >= max(0, BLOCKS - self.radius // (NEAR + 1))), n)
+            window.append(w + first)
+            item.append(i)
+        return np.concatenate(window), np.concatenate(item)
+
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, distance) of all pairs within the radius."""
-        window, item = [], []
-        for b in range(BLOCKS):
-            found = [self.lists[b][v] for v in prints[:, b]]
-            window.append(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            item.append(np.concatenate(found) if found else np.empty(0, np.int64))
-        pair = np.unique(np.concatenate(window) * max(1, len(self.ids)) + np.concatenate(item))
-        window, item = np.divmod(pair, max(1, len(self.ids)))
+        window, item = self.candidates(prints)
         distance = _BITS[prints[window] ^ self.prints[item]].sum(axis=1)
         keep = distance <= self.radius
         return window[keep], item[keep], distance[keep]
@@ -165,15 +185,14 @@ class ItemIndex:
         return windows(parts, rows, self.width)[0] if len(first) else np.empty(0, np.uint64)
 
 
-def mark(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.75, radius: int = 40, block_items: int = 20_000, block_words: int = 2_000_000) -> DataFrame:
+def mark(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.75, radius: int = 62, block_items: int = 5_000, block_words: int = 2_000_000) -> DataFrame:
     """docs with `leaks` added: the items that a window of the text matches, best window each."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rest = [f for f in docs.schema.fields if f.name != "leaks"]
-    rest = [f for f in rest if f.name != "_lower"]
-    names = [f.name for f in rest]
-    rest = [*rest, T.StructField("_lower", T.StringType())]
-    out = docs.select(*names, F.lower(text).alias("_lower"), F.array().cast(T.ArrayType(LEAK)).alias("leaks"))
+    names, lowered = [f.name for f in rest], unused([*docs.columns, "leaks"], "lowered")
+    rest = [*rest, T.StructField(lowered, T.StringType())]
+    out = docs.select(*names, F.lower(text).alias(lowered), F.array().cast(T.ArrayType(LEAK)).alias("leaks"))
     listed = items.select(F.col(item_id).cast("long").alias("i"), F.lower(item_text).alias("t"))
     # a word takes two bytes with the space after it, so this is no less than the number of words
     n_words = F.coalesce(F.floor((F.octet_length("t") + 1) / 2), F.lit(0))
@@ -187,7 +206,7 @@ def mark(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
         part = block.select("i", "t").orderBy("i", "t").collect()
         shared = spark.sparkContext.broadcast(ItemIndex([r["i"] for r in part], [r["t"] or "" for r in part], width, radius))
         out = _pass(out, shared, threshold, rest)
-    return out.drop("_lower")
+    return out.drop(lowered)
 
 
 def _pass(docs: DataFrame, shared, threshold: float, rest: list) -> DataFrame:

@@ -17,6 +17,9 @@ already known to be in one component skip each other, and the overlaps of a
 set are derived from those of a highly similar set by adding and subtracting
 the lists of the few differing n-grams. A group emits the links that span its
 components. Groups over `group_rows` sets are split into pairs of blocks.
+Hashes are counted first: lists of more than `heavy_rows` members (a shingle in
+every document) are not brought into one task; their members look up the first
+of their size block in a table that is aggregated before the shuffle.
 
 Words are runs of non-white-space bytes with A-Z lower-cased. Defined results:
 fewer than `width` words make one n-gram of the whole sequence; null, empty or
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import kept, small_batches
+from ._shared import beside, kept, small_batches
 from ._text import mix, slices, spark_long, windows, word_hashes, words
 from .components import components
 
@@ -86,6 +89,12 @@ def postings(docs: DataFrame, width: int, percent: int, extra: int) -> DataFrame
             keys = batch.column("key")
             for first, end, value, offsets in sets_of(batch.column("text"), width):
                 n = np.diff(offsets)
+                # of equal sets that lie together only the one of the smallest key is sent: the smallest of all always is
+                total = np.r_[np.uint64(0), np.cumsum(value, dtype=np.uint64)]
+                by = np.lexsort((keys.slice(first, end - first).to_numpy(), n, total[offsets[1:]] - total[offsets[:-1]]))
+                same = (np.diff(n[by]) == 0) & (np.diff((total[offsets[1:]] - total[offsets[:-1]])[by]) == 0)
+                n = n.copy()
+                n[by[1:][same]] = 0
                 take = np.where(n > 0, np.minimum(n, n - least_overlap(n, percent) + prefix_share(n, extra)), 0)
                 at = np.repeat(offsets[:-1] - np.r_[0, np.cumsum(take)[:-1]], take) + np.arange(take.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32)), pa.array(spark_long(value[at])))
@@ -142,7 +151,35 @@ def assignments(lists: DataFrame, percent: int) -> DataFrame:
             counted = (done | lead)[-count:]
 
     spread = lists.repartition("h").sortWithinPartitions("h", "n", "key")
-    found = spread.mapInArrow(run, "key long, group long, shared long, hits long")
+    return spread.mapInArrow(run, "key long, group long, shared long, hits long")
+
+
+def heavy_assignments(lists: DataFrame, often: DataFrame, percent: int) -> DataFrame:
+    """The same rows as assignments() for the hashes of `often`, whose lists are too long for one task.
+
+    The first member of each size block comes from an aggregation that is
+    combined before the shuffle; the members only look it up.
+    """
+    block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent + 1e-9)))
+    mine = beside(lists, often.select("h"), "h").withColumn("block", block)
+    w = Window.partitionBy("h").orderBy("block")
+    heads = mine.groupBy("h", "block").agg(F.min(F.struct("n", "key")).alias("first"), F.count("*").alias("size"))
+    near = lambda c, step: F.col("block") + step == c
+    heads = heads.select("h", "block", F.col("first.key").alias("head"), "size", F.when(near(F.lag("block").over(w), -1), F.lag("first.key").over(w)).alias("before"), F.coalesce(near(F.lead("block").over(w), 1), F.lit(False)).alias("after"))
+    placed = beside(mine, heads, ["h", "block"])
+    shared = (F.col("size") > 1) | F.col("before").isNotNull() | F.col("after")
+    groups = F.array_distinct(F.array_compact(F.array(F.when(shared, F.col("head")), F.col("before"))))
+    # the head of the block before is in the group that it names
+    out = placed.where(shared).select("key", F.posexplode(groups).alias("at", "group")).select("key", "group", (F.col("at") == 0).cast("long").alias("shared"), F.lit(1).cast("long").alias("hits"))
+    return out
+
+
+def all_assignments(lists: DataFrame, percent: int, heavy_rows: int) -> DataFrame:
+    """assignments() of the short lists and heavy_assignments() of the others, added up per key and group."""
+    often = lists.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > heavy_rows)
+    often = kept(often.select("h"))
+    short = assignments(beside(lists, often, "h", "left_anti"), percent)
+    found = short.unionAll(heavy_assignments(lists, often, percent))
     return found.groupBy("key", "group").agg(F.sum("shared").alias("shared"), F.sum("hits").alias("hits"))
 
 
@@ -214,10 +251,10 @@ def match(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     return links
 
 
-def similar_links(docs: DataFrame, signed: DataFrame, *, width: int, percent: int, extra: int, group_rows: int) -> DataFrame:
+def similar_links(docs: DataFrame, signed: DataFrame, *, width: int, percent: int, extra: int, group_rows: int, heavy_rows: int) -> DataFrame:
     """(a, b): links between different sets that span the components of the whole join."""
     lone = signed.where("n > 0 and key is not null").groupBy("one", "two", "n").agg(F.min("key").alias("key")).select("key", "n")
-    members = kept(assignments(postings(docs, width, percent, extra), percent))
+    members = kept(all_assignments(postings(docs, width, percent, extra), percent, heavy_rows))
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * extra / 100)
     able = members.groupBy("key").agg(F.sum("shared").alias("shared")).join(lone, "key").where(F.col("shared") >= least).select("key", least.alias("least"))
     # two similar sets have `least` hashes in common; each may leave its thinnest groups as long as these hold less than half of them
@@ -255,7 +292,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, *, width: int, percent: in
     return shipped.groupBy("g").applyInArrow(pair, "a long, b long")
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, extra: int = 15, group_rows: int = 4096) -> DataFrame:
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, extra: int = 15, group_rows: int = 4096, heavy_rows: int = 10_000) -> DataFrame:
     """key, n_shingles and component_id of every row.
 
     Two rows link when 100 * intersection >= percent * union of their sets;
@@ -266,7 +303,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     signed = kept(signatures(source, width))
     classes = signed.where("n > 0 and key is not null").groupBy("one", "two", "n").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
     copies = signed.where("n > 0 and key is not null").join(classes.where("copies > 1"), ["one", "two", "n"]).where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
-    links = similar_links(source, signed, width=width, percent=percent, extra=extra, group_rows=group_rows).unionAll(copies)
+    links = similar_links(source, signed, width=width, percent=percent, extra=extra, group_rows=group_rows, heavy_rows=heavy_rows).unionAll(copies)
     found = components(links)
     return signed.join(found, signed["key"] == found["id"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 

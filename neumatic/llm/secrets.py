@@ -23,7 +23,9 @@ histogram of bounded size (length classes x grid) and not from a global sort.
 
 Positions are code points, end exclusive. Defined results: null and empty
 texts have no spans and zero counts; long texts are scanned whole; repeated
-rows give repeated results; extra columns pass through.
+rows give repeated results; extra columns pass through, whatever their names;
+an empty table gives an empty result. A text of n matches costs n * sqrt(n)
+array copies at most, and runs are compared with base spans by binary search.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import kept
+from ._shared import kept, unused
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -47,6 +49,43 @@ GRID = 64  # steps of -log10(p) per unit
 TOP = 40  # largest -log10(p)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it, also inside further lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, combine) -> Column:
+    """For each element of an int array, `combine` (sum or greatest) of 0 and all elements before it.
+
+    In blocks of about the square root of the size, as an array that grows by
+    one is copied at each step; n elements cost n * sqrt(n) copies, not n * n.
+    """
+
+    def scanned(array: Column, value) -> Column:
+        zero = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(array, zero, lambda acc, x: F.struct(combine(acc["total"], value(x)).alias("total"), F.concat(acc["starts"], F.array(acc["total"])).alias("starts")))
+
+    def blocked(v: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+
+        def with_size(k: Column) -> Column:
+            count = F.ceil(F.size(v) / k).cast("int")
+            inner = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: scanned(F.slice(v, b * k + 1, k), lambda x: x))
+            return _let(inner, lambda blocks: F.flatten(F.zip_with(blocks, scanned(blocks, lambda b: b["total"])["starts"], lambda b, o: F.transform(b["starts"], lambda s: combine(s, o)))))
+
+        return _let(size, with_size)
+
+    return _let(values, blocked)
+
+
+def _sum_before(values: Column) -> Column:
+    return _before(values, lambda a, b: a + b)
+
+
+def _max_before(values: Column) -> Column:
+    return _before(values, lambda a, b: F.greatest(a, b))
+
+
 def _at(text: Column, pattern: str) -> Column:
     """array<struct<match, start>>: the leftmost non-overlapping matches with code-point starts.
 
@@ -55,14 +94,14 @@ def _at(text: Column, pattern: str) -> Column:
     """
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<match:string,start:int>>").alias("out"))
-    joined = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["next"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["match"])).alias("next"), F.concat(acc["out"], F.array(F.struct(x["match"].alias("match"), start.alias("start")))).alias("out"))
+    def placed(x: Column) -> Column:
+        steps = F.zip_with(x["gaps"], x["found"], lambda gap, m: F.coalesce(F.length(gap), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
+        # the sum before a match and its own gap; there is one gap more than there are matches
+        starts = F.zip_with(_sum_before(steps), x["gaps"], lambda s, gap: s + F.length(gap))
+        return F.zip_with(x["found"], F.slice(starts, 1, F.size(x["found"])), lambda m, s: F.struct(m.alias("match"), s.alias("start")))
 
-    return F.aggregate(joined, zero, step)["out"]
+    return _let(F.struct(gaps.alias("gaps"), found.alias("found")), placed)
 
 
 def _spans(text: Column, pattern: str, kind: int, least: int, tail: bool = False) -> Column:
@@ -136,10 +175,22 @@ def _length_class(n: Column) -> Column:
     return F.least(F.floor(F.log2(n.cast("double")) * 2), F.lit(24)).cast("int")
 
 
-def _covers(span: Column, start: Column, end: Column) -> Column:
+def _first_ending_after(spans: Column, at: Column) -> Column:
+    """The first of sorted, disjoint spans whose end is beyond `at`, by binary search; null if there is none."""
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        beyond, open_ = F.get(spans, middle)["end"] > at, acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & ~beyond, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & beyond, middle).otherwise(acc["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int"))
+    place = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halve)["low"]
+    return F.get(spans, place)
+
+
+def _settled(base: Column, start: Column, end: Column) -> Column:
     """Whether a base span settles the run from start to end; a hex span inside a longer run does not."""
-    touches = (span["start"] < end) & (span["end"] > start)
-    return touches & ((span["kind"] != 2) | ((span["start"] <= start) & (span["end"] >= end)))
+    touched = [F.coalesce(_first_ending_after(base[k], start)["start"] < end, F.lit(False)) for k in ("assign", "access")]
+    return touched[0] | touched[1] | F.coalesce(_first_ending_after(base["hex"], end - 1)["start"] <= start, F.lit(False))
 
 
 def candidates(text: Column, base: Column) -> Column:
@@ -147,20 +198,22 @@ def candidates(text: Column, base: Column) -> Column:
     none = F.array().cast("array<struct<start:int,kind:int,end:int,cls:int,bin:int>>")
     # a run of one letter case without a digit is a word; it is no candidate
     mixed = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z].*[a-z].*[A-Z]"
-    free = F.filter(_at(text, CANDIDATE), lambda x: x["match"].rlike(mixed) & ~F.exists(base, lambda b: _covers(b, x["start"], x["start"] + F.length(x["match"]))))
+    by_kind = F.struct(*[F.filter(base, lambda b, k=k: b["kind"] == k).alias(name) for k, name in enumerate(KINDS[:3])])
+    found = F.filter(_at(text, CANDIDATE), lambda x: x["match"].rlike(mixed))
+    free = _let(by_kind, lambda b: F.filter(found, lambda x: ~_settled(b, x["start"], x["start"] + F.length(x["match"]))))
     made = F.transform(free, lambda x: F.struct(
         x["start"].alias("start"), F.lit(3).alias("kind"), (x["start"] + F.length(x["match"])).alias("end"),
         _length_class(F.length(x["match"])).alias("cls"), F.floor(battery(x["match"])["score"] * GRID).cast("int").alias("bin")))
     return F.when(text.rlike(CANDIDATE), made).otherwise(none)
 
 
-def thresholds(found: DataFrame, fdr: float) -> dict[int, int]:
+def thresholds(found: DataFrame, column: str, fdr: float) -> dict[int, int]:
     """Smallest accepted grid step per length class (Benjamini-Hochberg).
 
     At most 25 x (TOP * GRID + 1) histogram rows exist whatever the input, and
     at most 25 thresholds reach the driver.
     """
-    hist = found.select(F.explode("_cand").alias("c")).groupBy(F.col("c.cls").alias("cls"), F.col("c.bin").alias("bin")).agg(F.count("*").alias("n"))
+    hist = found.select(F.explode(column).alias("c")).groupBy(F.col("c.cls").alias("cls"), F.col("c.bin").alias("bin")).agg(F.count("*").alias("n"))
     down = Window.partitionBy("cls").orderBy(F.desc("bin"))
     ranked = hist.select("cls", "bin", F.sum("n").over(down).alias("rank"), F.sum("n").over(Window.partitionBy("cls")).alias("m"))
     p = F.pow(F.lit(10.0), -F.col("bin") / GRID)
@@ -168,53 +221,69 @@ def thresholds(found: DataFrame, fdr: float) -> dict[int, int]:
     return {r["cls"]: r["bin"] for r in ok.groupBy("cls").agg(F.min("bin").alias("bin")).collect()}
 
 
+def _all_spans(base: Column, found: Column, cut: dict[int, int]) -> Column:
+    """The base spans and the candidates that reach the threshold of their class, sorted."""
+    least = F.create_map(*[F.lit(x) for kv in sorted(cut.items()) for x in kv]) if cut else F.create_map(F.lit(-1), F.lit(0))
+    random = F.filter(found, lambda c: c["bin"] >= F.coalesce(least[c["cls"]], F.lit(1 << 30)))
+    return F.array_sort(F.concat(base, F.transform(random, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))))
+
+
 def scan(docs: DataFrame, *, text: str = "text", fdr: float = 0.01) -> DataFrame:
-    """docs without its text, with _base and _spans added (arrays of start, kind, end).
+    """docs without its text, with base_spans and spans (arrays of start, kind, end) added; columns of docs with these names give way to them.
 
     The per-row spans are small; checkpoint() keeps them, so that the texts are
     scanned once.
     """
-    rest = [c for c in docs.columns if c not in (text, "_base", "_cand", "_spans")]
-    value = F.coalesce(F.col(text), F.lit(""))
-    based = docs.select(*rest, value.alias("_value"), base_spans(value).alias("_base"))
-    found = based.select(*rest, "_base", candidates(F.col("_value"), F.col("_base")).alias("_cand"))
-    found = kept(found)
-    cut = thresholds(found, fdr)
-    least = F.create_map(*[F.lit(x) for kv in sorted(cut.items()) for x in kv]) if cut else F.create_map(F.lit(-1), F.lit(0))
-    random = F.transform(F.filter("_cand", lambda c: c["bin"] >= F.coalesce(least[c["cls"]], F.lit(1 << 30))), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return found.select(*rest, "_base", F.array_sort(F.concat("_base", random)).alias("_spans"))
+    rest = [c for c in docs.columns if c not in (text, "base_spans", "spans")]
+    value, cand = unused(rest, "value"), unused(rest, "candidates")
+    based = docs.select(*rest, F.coalesce(F.col(text), F.lit("")).alias(value)).withColumn("base_spans", base_spans(F.col(value)))
+    found = kept(based.select(*rest, "base_spans", candidates(F.col(value), F.col("base_spans")).alias(cand)))
+    return found.select(*rest, "base_spans", _all_spans(F.col("base_spans"), F.col(cand), thresholds(found, cand, fdr)).alias("spans"))
+
 
+BLOCK = 1 << 10
 
-def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mark: str = "[secret]", fdr: float = 0.01) -> DataFrame:
-    """docs with every span of its text replaced by `mark`; overlapping spans become one mark.
+
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with each run of overlapping spans replaced by `mark`.
+
+    Pieces are cut from blocks of BLOCK characters: to cut far into a string,
+    Spark must walk it from its begin.
+    """
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        part = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+        return F.substring(part, a - first * BLOCK + 1, F.greatest(b - a, F.lit(0)))
+
+    def cut(x: Column) -> Column:
+        bounds = F.zip_with(x["spans"], _max_before(F.transform(x["spans"], lambda s: s["end"])), lambda s, before: F.struct(before.alias("a"), s["start"].alias("b")))
+        fresh = F.filter(bounds, lambda r: r["b"] >= r["a"])
+        end = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
+        last = F.array(F.struct(end.alias("a"), F.length(text).alias("b")))
+        return F.array_join(F.transform(F.concat(fresh, last), lambda r: piece(x["blocks"], r["a"], r["b"])), mark)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(F.struct(spans.alias("spans"), blocks.alias("blocks")), cut)).otherwise(text)
+
+
+def redact(docs: DataFrame, *, text: str = "text", mark: str = "[secret]", fdr: float = 0.01) -> DataFrame:
+    """docs with every span of its text replaced by `mark`; overlapping spans become one mark. All other columns stay.
 
     The thresholds come from a first scan; the second scan replaces in place,
     so no text is shuffled. Rows without spans stay as they are.
     """
+    base, cand = unused(docs.columns, "base_spans"), unused(docs.columns, "candidates")
     value = F.coalesce(F.col(text), F.lit(""))
-    with_base = docs.withColumn("_base", base_spans(value))
-    with_cand = with_base.withColumn("_cand", candidates(value, F.col("_base")))
-    cut = thresholds(with_cand.select("_cand"), fdr)
-    least = F.create_map(*[F.lit(x) for kv in sorted(cut.items()) for x in kv]) if cut else F.create_map(F.lit(-1), F.lit(0))
-    random = F.transform(F.filter("_cand", lambda c: c["bin"] >= F.coalesce(least[c["cls"]], F.lit(1 << 30))), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    spans = F.array_sort(F.concat("_base", random))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
-
-    done = F.aggregate("_spans", zero, step)
-    new = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.length(F.col(text))))
-    out = with_cand.withColumn("_spans", spans).withColumn(text, F.when(F.size("_spans") > 0, new).otherwise(F.col(text)))
-    return out.select(*docs.columns)
+    found = docs.withColumn(base, base_spans(value)).withColumn(cand, candidates(value, F.col(base)))
+    spans = unused(docs.columns, "spans")
+    found = found.withColumn(spans, _all_spans(F.col(base), F.col(cand), thresholds(found, cand, fdr)))
+    return found.withColumn(text, _without(F.col(text), F.col(spans), mark)).select(*docs.columns)
 
 
 def op2_secret_scans(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan(docs)
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(span_list(F.col("_base")), 256).alias("base_sha256"), span_list(F.col("_spans")).alias("spans"))
+        F.sha2(span_list(F.col("base_spans")), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))

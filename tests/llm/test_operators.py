@@ -66,7 +66,7 @@ def test_join_matches_brute_force(spark, docs, texts):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     expected = {(i, len(s), find(i)) for i, s in sets.items()}
-    for options in ({}, {"group_rows": 2}, {"extra": 0}):
+    for options in ({}, {"group_rows": 2}, {"extra": 0}, {"heavy_rows": 1}):
         assert {tuple(r) for r in ngram_join.join(docs, **options).collect()} == expected
     kept = {r["doc_id"] for r in ngram_join.one_per_group(docs).collect()}
     assert kept == {i for i in sets if find(i) == i}
@@ -112,6 +112,31 @@ def removed_by_spark(docs, **options):
     return sorted(((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"]), len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in rows), key=str)
 
 
+def test_join_with_one_shingle_in_every_row(spark):
+    rng = random.Random(15)
+    common, rows = words(5, 60), []
+    for i in range(400):
+        if i % 4 and rows:
+            w = rng.choice(rows)[1].split()
+            w[rng.randrange(5, len(w))] = f"e{i}"
+        else:
+            w = [*common, *words(rng.randint(2, 30), 3000 + i)]
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    label = list(range(400))
+    links = [(a, b) for a in range(400) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in range(400):
+        before = list(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for heavy_rows in (3, 100):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs, heavy_rows=heavy_rows).collect()}
+        assert got == dict(enumerate(label))
+
+
 @pytest.mark.parametrize("group_rows", [1_000, 1])
 def test_repeated_bytes(docs, texts, group_rows):
     assert removed_by_spark(docs, group_rows=group_rows) == removed_by_hand(texts)
