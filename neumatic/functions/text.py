@@ -69,3 +69,22 @@ def natural_key(name: Column) -> Column:
     """Sort key by which page-2 comes before page-10: digit runs padded to 12."""
     runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d+$"), F.lpad(r, 12, "0")).otherwise(r)), "")
+
+
+# Fixed patterns: verse numbers (2. or Lời 3:) and section markers with the section they begin.
+VERSE = r"(?i)^(?:(?:lời|lòi|verse|phiên khúc|câu)\s*)?(\d{1,2})\s*[.:)]$"
+SECTIONS = {"chorus": r"(?iu)^(?:đk\d*|điệp\s*khúc|chorus|refrain)\s*[.:)]*$", "coda": r"(?iu)^(?:coda|kết|fine|d\.?\s*[cs]\.?)\s*[.:)]*$", "intro": r"(?iu)^(?:intro|dạo(?:\s*đầu)?)\s*[.:)]*$"}
+
+
+def verse_number(text: Column) -> Column:
+    """Number of a verse marker, 1 to 99; null for other text."""
+    found = F.regexp_extract(F.trim(text), VERSE, 1)
+    return F.when(found != "", F.nullif(found.cast("int"), F.lit(0)))
+
+
+def section_marker(text: Column) -> Column:
+    """Section that a marker begins; null for other text."""
+    out = F
+    for name, pattern in SECTIONS.items():
+        out = out.when(F.trim(text).rlike(pattern), name)
+    return out

@@ -1,134 +1,262 @@
-"""Sequence operators: small ordered kernels that Spark runs once per group.
+"""Sequence operators: alignment, rows, section paths, greedy matches.
 
-The groups are a staff row, a page or one score, so a kernel sees tens of
-rows; Spark shuffles and distributes the groups.
+Groups are a staff line, a page or one score. Spark shuffles rows by the whole
+group key and sorts them; a task then reads its groups batch by batch and
+solves all groups of one shape (so many rows on either side) at once in numpy,
+so that neither a Spark call nor a Python loop is spent per group.
 """
 
 from __future__ import annotations
 
-import math
-from difflib import SequenceMatcher
-from statistics import median
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Labels of sections, and costs of the lyric alignment.
 STATES = ("verse", "chorus", "coda", "intro")
+SKIP_NOTE, SKIP_WORD, DECAY = 0.34, 1.15, 2.4
+PIXEL_NOTE, PIXEL_SLUR, PIXEL_WORD, PIXEL_OTHER, PIXEL_CONTINUED, PIXEL_GATE, PIXEL_DECAY = 0.6, 0.15, 3.0, 1.2, 0.5, 2.5, 0.8
+DOUBT, ACCEPT = 0.35, 0.55
 
+_CELLS = 1 << 21  # cells of one numpy step
 
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two strings by longest matching blocks (2 * matches / total length)."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def _align(words: list[tuple[float, float]], notes: list[tuple[float, bool]], *, pixel: bool, skip_note: float, skip_word: float, gate: float) -> list[tuple[int, int, float]]:
-    """Cheapest monotonic matching of words (x, confidence) to notes (x, slurred); ties prefer match, then skipping the note."""
-    n, m = len(words), len(notes)
-    inf = float("inf")
-    gap = [(0.15 if s else 0.6) if pixel else skip_note for _, s in notes]
-    lose = 3.0 if pixel else skip_word
-    cost = [[inf] * (m + 1) for _ in range(n + 1)]
-    came = [[0] * (m + 1) for _ in range(n + 1)]
-    cost[0][0] = 0.0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if not i and not j:
-                continue
-            options = []
-            if i and j:
-                off = abs(words[i - 1][0] - notes[j - 1][0])
-                spatial = inf if pixel and off > gate else off
-                options.append((cost[i - 1][j - 1] + spatial + (1 - min(1.0, max(0.0, words[i - 1][1]))) * 0.35, 0))
-            if j:
-                options.append((cost[i][j - 1] + gap[j - 1], 1))
-            if i:
-                options.append((cost[i - 1][j] + lose, 2))
-            cost[i][j], came[i][j] = min(options)
-    found, i, j = [], n, m
-    while i or j:
-        step = came[i][j]
-        if step == 0:
-            i, j = i - 1, j - 1
-            found.append((i, j, abs(words[i][0] - notes[j][0])))
-        elif step == 1:
-            j -= 1
-        else:
-            i -= 1
-    return found[::-1]
 
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups (rows come sorted by key) with the first row of each group and the end."""
+    rest: pa.Table | None = None
 
-def _inner(frame: pd.DataFrame, keys: list[str], columns: list[str]) -> dict[tuple, list[tuple]]:
-    """Rows of a group (the first key) by the remaining keys; Spark groups by the first key only, which keeps groups worth their overhead."""
-    out: dict[tuple, list[tuple]] = {}
-    k = len(keys)
-    for row in frame[[*keys, *columns]].itertuples(index=False, name=None):
-        out.setdefault(row[1:k], []).append(row[k:])
-    return out
+    def starts(table: pa.Table) -> np.ndarray:
+        change = np.zeros(max(0, len(table) - 1), bool)
+        for i in range(n_keys):
+            k = table.column(i).to_numpy()
+            change |= k[1:] != k[:-1]
+        return np.r_[0, np.flatnonzero(change) + 1]
 
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        first = starts(table) if len(table) else np.zeros(1, np.int64)
+        if first[-1]:
+            yield table.slice(0, first[-1]), first
+        rest = table.slice(first[-1])
+    if rest is not None and len(rest):
+        yield rest, np.r_[0, len(rest)]
 
-def _spread(x: list[float]) -> list[float]:
-    low, high = min(x), max(x)
-    return [0.5 if high == low else (v - low) / (high - low) for v in x]
 
+def _fields(frame: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {frame.schema[k].dataType.simpleString()}" for k in keys)
 
-def align_lyrics(words: DataFrame, notes: DataFrame, keys: list[str], *, pixel: bool = False, skip_note: float = 0.34, skip_word: float = 1.15, gate: float = 2.5, decay: float = 2.4, threshold: float = 0.55) -> DataFrame:
-    """Each word with its note, spatial error, confidence and status, per group of `keys`.
 
-    words: keys, word_id, x, confidence; notes: keys, note_id, x, slurred (x in
-    staff spaces when `pixel`). Words without a note are `no_note_candidate`.
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], solve: Callable, values: list[tuple[str, str]]) -> DataFrame:
+    """Rows (keys, left id, right id or null, values) for each left row, by `solve` on all groups of one shape.
+
+    Both sides have keys, id and numbers a, b, c, d. solve takes dictionaries
+    of [groups, rows] arrays and returns the right place of each left row (-1
+    for none) and arrays of the values.
     """
-    schema = ", ".join([*(f"{k} {words.schema[k].dataType.simpleString()}" for k in keys), "word_id long, note_id long, error double, confidence double, status string"])
-
-    def kernel(key: tuple, w: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        rows, notes_of = [], _inner(n, keys, ["x", "note_id", "slurred"])
-        for sub, own in _inner(w, keys, ["x", "word_id", "confidence"]).items():
-            own, spots, got = sorted(own), sorted(notes_of.get(sub, [])), {}
-            if spots:
-                wx, nx = [float(v[0]) for v in own], [float(v[0]) for v in spots]
-                if not pixel:
-                    if len(wx) == 1 and len(nx) > 1:
-                        low, span = min(nx), max(nx) - min(nx)
-                        wx = [min(1.0, max(0.0, (wx[0] - low) / span))] if span else [0.5]
+    numbers = ["a", "b", "c", "d"]
+    both = left.select(*keys, F.lit(0).alias("side"), "id", *numbers).unionAll(right.select(*keys, F.lit(1).alias("side"), "id", *numbers))
+    both = both.repartition(*keys).sortWithinPartitions(*keys, "side", *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _groups(batches, len(keys)):
+            side, ident = table.column("side").to_numpy(), table.column("id").to_numpy()
+            number = {c: table.column(c).to_numpy() for c in numbers}
+            m = np.add.reduceat(side, first[:-1])
+            n = np.diff(first) - m
+            shape = n * (int(m.max()) + 1) + m
+            for s in np.unique(shape):
+                these = np.flatnonzero(shape == s)
+                rows, cols = int(n[these[0]]), int(m[these[0]])
+                if not rows:
+                    continue
+                step = max(1, _CELLS // ((rows + 1) * (cols + 1)))
+                for i in range(0, len(these), step):
+                    at = first[these[i : i + step]]
+                    lefts, rights = at[:, None] + np.arange(rows), at[:, None] + rows + np.arange(cols)
+                    if cols:
+                        place, found = solve({c: v[lefts] for c, v in number.items()}, {c: v[rights] for c, v in number.items()}, ident[rights])
+                        other = np.where(place >= 0, ident[rights[np.arange(len(at))[:, None], np.maximum(place, 0)]], 0).ravel()
                     else:
-                        wx = _spread(wx)
-                    nx = _spread(nx)
-                pairs = _align(list(zip(wx, (float(v[2]) for v in own))), list(zip(nx, (bool(v[2]) for v in spots))), pixel=pixel, skip_note=skip_note, skip_word=skip_word, gate=gate)
-                got = {i: (int(spots[j][1]), error) for i, j, error in pairs}
-            for i, (_, word, conf) in enumerate(own):
-                note, error = got.get(i, (None, None))
-                value = None if note is None else float(conf) * math.exp(-decay * error)
-                rows.append((*key, *sub, int(word), note, error, value, "no_note_candidate" if note is None else "accepted" if value >= threshold else "needs_review"))
-        out = pd.DataFrame(rows, columns=[*keys, "word_id", "note_id", "error", "confidence", "status"])
-        return out.astype({"note_id": "Int64", "error": "float64", "confidence": "float64"})
+                        place, found, other = np.full(lefts.shape, -1), [np.zeros(lefts.shape)] * len(values), np.zeros(lefts.size, np.int64)
+                    none = (place < 0).ravel()
+                    flat = pa.array(lefts.ravel())
+                    columns = [table.column(k).take(flat).combine_chunks() for k in keys] + [pa.array(ident[lefts.ravel()]), pa.array(other, pa.int64(), mask=none)]
+                    columns += [pa.array(np.asarray(v, float).ravel(), mask=none) for v in found]
+                    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+                    yield pa.RecordBatch.from_arrays(columns, [*keys, "id", "other", *[name for name, _ in values]])
 
-    return words.groupBy(keys[0]).cogroup(notes.groupBy(keys[0])).applyInPandas(kernel, schema)
+    schema = f"{_fields(left, keys)}, id long, other long" + "".join(f", {name} {kind}" for name, kind in values)
+    return both.mapInArrow(run, schema)
 
 
-def rows_of(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Text rows by vertical place: a box joins the row whose median centre is nearest, within 0.6 median heights.
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Positions of each group from 0 to 1; 0.5 where they are all one."""
+    low, span = x.min(axis=1, keepdims=True), np.ptp(x, axis=1)[:, None]
+    return np.where(span > 0, (x - low) / np.where(span > 0, span, 1), 0.5)
+
+
+def monotonic_match(pair: np.ndarray, skip_left: np.ndarray, skip_right: np.ndarray) -> np.ndarray:
+    """Cheapest monotonic matching of each group: the right place of each left row, or -1.
+
+    pair [groups, n, m] are costs of matches, skip_left [groups, n] and
+    skip_right [groups, m] of leaving a row out. Cells of one anti-diagonal are
+    computed together; of equal costs a match comes first, then leaving out the
+    right row.
+    """
+    g, n, m = pair.shape
+    cost = np.full((g, n + 1, m + 1), np.inf)
+    cost[:, 0, :] = np.cumsum(np.concatenate([np.zeros((g, 1)), skip_right], axis=1), axis=1)
+    cost[:, :, 0] = np.cumsum(np.concatenate([np.zeros((g, 1)), skip_left], axis=1), axis=1)
+    came = np.full((g, (n + 1) * (m + 1)), 2, np.int8)
+    came[:, 1 : m + 1] = 1
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        options = np.stack([cost[:, i - 1, j - 1] + pair[:, i - 1, j - 1], cost[:, i, j - 1] + skip_right[:, j - 1], cost[:, i - 1, j] + skip_left[:, i - 1]])
+        best = options.argmin(axis=0)
+        came[:, i * (m + 1) + j] = best
+        cost[:, i, j] = np.take_along_axis(options, best[None], axis=0)[0]
+    place, all_ = np.full((g, n), -1), np.arange(g)
+    at = np.full(g, n * (m + 1) + m)
+    while (live := at > 0).any():
+        step = came[all_, at]
+        i, j = np.divmod(at, m + 1)
+        hit = live & (step == 0)
+        place[all_[hit], i[hit] - 1] = j[hit] - 1
+        at = np.where(live, at - np.choose(step, [m + 2, 1, m + 1]), 0)
+    return place
+
+
+def align_lyrics(words: DataFrame, notes: DataFrame, keys: list[str], *, pixel: bool = False, threshold: float = ACCEPT) -> DataFrame:
+    """Each word with its note, spatial error, confidence, status and reason, per group of `keys`.
+
+    words: keys, word_id, x, confidence, and for `pixel` known (a syllable of
+    the lexicon; leaving it out costs more) and geometry_review (never accepted
+    by itself); notes: keys, note_id, x, slurred, and continued (inside a slur
+    that began before). With `pixel`, x is in staff spaces and matches further
+    than the gate are impossible; else positions are spread over the line.
+    Words without a note are `no_note_candidate`.
+    """
+    number = lambda f, c, other: F.col(c).cast("double") if c in f.columns else F.lit(float(other))
+    w = words.select(*keys, F.col("word_id").cast("long").alias("id"), F.col("x").cast("double").alias("a"), F.col("confidence").cast("double").alias("b"), number(words, "known", 1).alias("c"), F.lit(0.0).alias("d"))
+    n = notes.select(*keys, F.col("note_id").cast("long").alias("id"), F.col("x").cast("double").alias("a"), number(notes, "slurred", 0).alias("b"), number(notes, "continued", 0).alias("c"), F.lit(0.0).alias("d"))
+
+    def solve(left: dict, right: dict, _: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        x, y = left["a"], right["a"]
+        if not pixel:
+            low, span = y.min(axis=1, keepdims=True), np.ptp(y, axis=1)[:, None]
+            if x.shape[1] == 1 and y.shape[1] > 1:
+                x = np.where(span > 0, np.clip((x - low) / np.where(span > 0, span, 1), 0, 1), 0.5)
+            else:
+                x = _spread(x)
+            y = _spread(y)
+        off = np.abs(x[:, :, None] - y[:, None, :])
+        pair = off + ((1 - np.clip(left["b"], 0, 1)) * DOUBT)[:, :, None]
+        if pixel:
+            pair = np.where(off > PIXEL_GATE, np.inf, pair) + PIXEL_CONTINUED * (right["c"] > 0)[:, None, :]
+            place = monotonic_match(pair, np.where(left["c"] > 0, PIXEL_WORD, PIXEL_OTHER), np.where(right["b"] > 0, PIXEL_SLUR, PIXEL_NOTE))
+        else:
+            place = monotonic_match(pair, np.full(x.shape, SKIP_WORD), np.full(y.shape, SKIP_NOTE))
+        return place, [np.take_along_axis(off, np.maximum(place, 0)[:, :, None], axis=2)[:, :, 0], left["b"]]
+
+    found = _matched(w, n, keys, ["a", "id"], solve, [("error", "double"), ("ocr", "double")])
+    confidence = F.round(F.least(F.greatest("ocr", F.lit(0.0)), F.lit(1.0)) * F.exp(F.lit(-(PIXEL_DECAY if pixel else DECAY)) * F.col("error")), 6)
+    out = found.select(*keys, F.col("id").alias("word_id"), F.col("other").alias("note_id"), F.round("error", 6).alias("error"), confidence.alias("confidence"))
+    flagged = F.lit(False)
+    if "geometry_review" in words.columns:
+        out = out.join(words.select(*keys, F.col("word_id").cast("long").alias("word_id"), "geometry_review"), [*keys, "word_id"])
+        flagged = F.coalesce("geometry_review", F.lit(False))
+    status = F.when(F.col("note_id").isNull(), "no_note_candidate").when((F.col("confidence") >= threshold) & ~flagged, "accepted").otherwise("needs_review")
+    return out.select(*keys, "word_id", "note_id", "error", "confidence", status.alias("status"))
+
+
+def greedy_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """Each truth box in order takes the unused predicted box of the best overlap (the first on ties), if it is at least `least`.
 
-    boxes: keys, box_id, cx, cy, h. Adds row (from 0, in order of appearance) and place in it.
+    Both: keys, box_id, x1, y1, x2, y2.
     """
-    schema = ", ".join([*(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in keys), "box_id long, text_row long, place long"])
+    side = lambda f: f.select(*keys, F.col("box_id").cast("long").alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), "abcd")])
+
+    def solve(t: dict, p: dict, _: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        wide = lambda low, high: np.maximum(0, np.minimum(t[high][:, :, None], p[high][:, None, :]) - np.maximum(t[low][:, :, None], p[low][:, None, :]))
+        area = lambda s: (s["c"] - s["a"]) * (s["d"] - s["b"])
+        both = wide("a", "c") * wide("b", "d")
+        share = both / np.maximum(area(t)[:, :, None] + area(p)[:, None, :] - both, 1)
+        place, best = np.full(t["a"].shape, -1), np.zeros(t["a"].shape)
+        free, all_ = np.ones((len(share), share.shape[2]), bool), np.arange(len(share))
+        for i in range(share.shape[1]):
+            now = np.where(free, share[:, i], -1)
+            j = now.argmax(axis=1)
+            took = now[all_, j] >= least
+            place[took, i], best[took, i] = j[took], now[all_, j][took]
+            free[all_[took], j[took]] = False
+        return place, [best]
+
+    found = _matched(side(truth), side(predicted), keys, ["id"], solve, [("overlap", "double")])
+    return found.where("other is not null").select(*keys, F.col("id").alias("truth_id"), F.col("other").alias("predicted_id"), "overlap")
+
+
+def match_unused(words: DataFrame, notes: DataFrame, keys: list[str], within: float = 2.5) -> DataFrame:
+    """Words in order of place take the nearest note within reach, an unused one first (then the smallest id)."""
+    side = lambda f, i: f.select(*keys, F.col(i).cast("long").alias("id"), F.col("x").cast("double").alias("a"), *[F.lit(0.0).alias(c) for c in "bcd"])
 
-    def kernel(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for sub, own in _inner(b, keys, ["cy", "cx", "box_id", "h"]).items():
-            limit = 0.6 * median(max(float(v[3]), 1.0) for v in own)
-            rows: list[list[tuple[float, float, int]]] = []
-            for cy, cx, box, _ in sorted(own):
-                best = min(range(len(rows)), key=lambda r: abs(cy - median(v[0] for v in rows[r])), default=None)
-                if best is not None and abs(cy - median(v[0] for v in rows[best])) <= limit:
-                    rows[best].append((cy, cx, box))
-                else:
-                    rows.append([(cy, cx, box)])
-            out += [(*key, *sub, int(box), r, p) for r, row in enumerate(rows) for p, (_, _, box) in enumerate(sorted(row, key=lambda v: (v[1], v[2])))]
-        return pd.DataFrame(out, columns=[*keys, "box_id", "text_row", "place"])
+    def solve(w: dict, n: dict, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        off = np.abs(w["a"][:, :, None] - n["a"][:, None, :])
+        place, used, all_ = np.full(w["a"].shape, -1), np.zeros(ids.shape, bool), np.arange(len(ids))
+        for i in range(off.shape[1]):
+            order = np.lexsort((ids, off[:, i], used, off[:, i] > within))
+            j = order[:, 0]
+            took = off[all_, i, j] <= within
+            place[took, i] = j[took]
+            used[all_[took], j[took]] = True
+        return place, []
 
-    return boxes.groupBy(keys[0]).applyInPandas(kernel, schema)
+    found = _matched(side(words, "word_id"), side(notes, "note_id"), keys, ["a", "id"], solve, [])
+    return found.where("other is not null").select(*keys, F.col("id").alias("word_id"), F.col("other").alias("note_id"))
+
+
+def rows_of(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Text rows by vertical place: a box joins the row whose median centre is nearest, within 0.6 median heights.
+
+    boxes: keys, box_id, cx, cy, h. Adds row (from 0, in order of appearance)
+    and place in it. Boxes come from top to bottom, so the nearest row is
+    always the last one begun, and its median is a look-up in its sorted
+    centres: one pass, whatever the number of rows.
+    """
+    source = boxes.select(*keys, F.col("box_id").cast("long").alias("box_id"), *[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "h")])
+    source = source.repartition(*keys).sortWithinPartitions(*keys, "cy", "cx", "box_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _groups(batches, len(keys)):
+            cy, group = table.column("cy").to_numpy(), np.repeat(np.arange(len(first) - 1), np.diff(first))
+            height = np.maximum(table.column("h").to_numpy(), 1.0)
+            by = np.lexsort((height, group))
+            middle = first[:-1] + np.diff(first) // 2
+            limit = 0.3 * (height[by][middle] + height[by][np.maximum(first[:-1], middle - 1 + np.diff(first) % 2)])
+            row, centres = np.zeros(len(cy), np.int64), cy.tolist()
+            for a, b, most in zip(first[:-1].tolist(), first[1:].tolist(), limit.tolist()):
+                begun, n = a, 0
+                for i in range(a + 1, b):
+                    half = begun + i - 1
+                    if centres[i] - (centres[half // 2] + centres[(half + 1) // 2]) / 2 > most:
+                        begun, n = i, n + 1
+                    row[i] = n
+            place = np.empty(len(cy), np.int64)
+            by = np.lexsort((table.column("box_id").to_numpy(), table.column("cx").to_numpy(), row, group))
+            new = np.r_[True, (np.diff(row[by]) != 0) | (np.diff(group[by]) != 0)]
+            place[by] = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+            columns = [table.column(c).combine_chunks() for c in (*keys, "box_id")]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(row), pa.array(place)], [*keys, "box_id", "text_row", "place"])
+
+    return source.mapInArrow(run, f"{_fields(boxes, keys)}, box_id long, text_row long, place long")
 
 
 def emissions(count: Column, verse_count: Column, explicit: Column, last: Column, marker: Column, repeated: Column) -> Column:
@@ -143,23 +271,56 @@ def emissions(count: Column, verse_count: Column, explicit: Column, last: Column
     return F.array(own("verse"), own("chorus") + F.when(repeated & (count == 1), 1).otherwise(0), own("coda"), own("intro"))
 
 
-def section_path(frames: DataFrame, keys: list[str], order: str, scores: str = "scores") -> DataFrame:
-    """Best label of each frame along its group: Viterbi with +1 for staying and -1 for changing."""
-    schema = ", ".join([*(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys), f"{order} long, label string"])
+def repeated_phrases(frames: DataFrame, keys: list[str], order: str, phrase: str, single: Column, least: float = 0.85) -> DataFrame:
+    """keys and order of the single-row frames whose phrase is like that of an earlier frame of their group.
+
+    Only pairs whose lengths allow the ratio are compared.
+    """
+    low = F.lower(phrase)
+    mine = frames.where(single).select(*keys, order, low.alias("a"))
+    earlier = frames.select(*keys, F.col(order).alias("earlier"), low.alias("b"))
+    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    pairs = mine.join(earlier, keys).where((F.col("earlier") < F.col(order)) & (2 * short > least * (short + long)))
+    return pairs.where(ratio("a", "b") > least).select(*keys, order).distinct()
+
 
-    def kernel(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
-        paths: dict[str, tuple[float, list[str]]] = {}
-        for values in f[scores]:
-            following = {}
-            for state, value in zip(STATES, values):
-                best = max(((s + (1 if before == state else -1), path) for before, (s, path) in paths.items()), default=(0, []))
-                following[state] = (best[0] + value, [*best[1], state])
-            paths = following
-        labels = max(paths.values(), key=lambda x: x[0])[1]
-        return pd.DataFrame([(*key, int(o), label) for o, label in zip(f[order], labels)], columns=[*keys, order, "label"])
+def section_path(frames: DataFrame, keys: list[str], order: str, scores: str = "scores") -> DataFrame:
+    """Best label of each frame along its group, with +1 for staying and -1 for changing.
 
-    return frames.groupBy(*keys).applyInPandas(kernel, schema)
+    All groups of a batch advance together. Of equally good paths the one whose
+    labels are later in the alphabet is kept; its rank among the four paths is
+    carried along, so no path is ever written out before the end.
+    """
+    source = frames.select(*keys, F.col(order).cast("long").alias(order), *[F.get(scores, F.lit(i)).cast("long").alias(f"score_{s}") for i, s in enumerate(STATES)])
+    source = source.repartition(*keys).sortWithinPartitions(*keys, order)
+    alphabetic = np.array([sorted(STATES).index(s) for s in STATES])
+    stay = np.where(np.eye(4, dtype=bool), 1, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _groups(batches, len(keys)):
+            value = np.stack([table.column(f"score_{s}").to_numpy() for s in STATES], axis=1)
+            size = np.diff(first)
+            by = np.argsort(-size, kind="stable")
+            at, size = first[:-1][by], size[by]
+            total, rank = value[at], np.tile(alphabetic, (len(at), 1))
+            came = np.zeros((len(value), 4), np.int8)
+            for t in range(1, int(size[0])):
+                live = int(np.searchsorted(-size, -t))  # groups that have more than t frames
+                before = ((total[:live, :, None] + stay) * 4 + rank[:live, :, None]).argmax(axis=1)
+                came[at[:live] + t] = before
+                rows = np.arange(live)[:, None]
+                total[:live] = total[rows, before] + np.where(before == np.arange(4), 1, -1) + value[at[:live] + t]
+                rank[:live] = (rank[rows, before] * 4 + alphabetic).argsort(axis=1).argsort(axis=1)
+            label = np.zeros(len(value), np.int64)
+            label[at + size - 1] = total.argmax(axis=1)
+            for t in range(int(size[0]) - 1, 0, -1):
+                live = int(np.searchsorted(-size, -t))
+                label[at[:live] + t - 1] = came[at[:live] + t, label[at[:live] + t]]
+            columns = [table.column(c).combine_chunks() for c in (*keys, order)]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(STATES)[label].tolist(), pa.string())], [*keys, order, "label"])
+
+    return source.mapInArrow(run, f"{_fields(frames, keys)}, {order} long, label string")
 
 
 def verse_count(frames: DataFrame, keys: list[str], order: str, count: str) -> DataFrame:
@@ -169,46 +330,47 @@ def verse_count(frames: DataFrame, keys: list[str], order: str, count: str) -> D
     return frames.select(*keys).distinct().join(best, keys, "left").withColumn("verse_count", F.coalesce("verse_count", F.lit(1)))
 
 
-def greedy_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
-    """Each truth box in order takes the unused predicted box of the best overlap, if it is at least `least`.
+def block_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """2 * matched characters / all characters of each pair, by the longest common block and then the same left and right of it.
 
-    Both: keys, box_id, x1, y1, x2, y2.
+    All open stretches of one shape (of whatever pair) are searched in one
+    table of common suffix lengths; of equally long blocks the first is taken.
     """
-    schema = ", ".join([*(f"{k} {truth.schema[k].dataType.simpleString()}" for k in keys), "truth_id long, predicted_id long, overlap double"])
-
-    def overlap(a: tuple, b: tuple) -> float:
-        both = max(0.0, min(a[3], b[3]) - max(a[1], b[1])) * max(0.0, min(a[4], b[4]) - max(a[2], b[2]))
-        return both / max((a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - both, 1.0)
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    codes = [np.frombuffer("".join(side).encode("utf-32-le"), np.uint32) for side in (a, b)]
+    start = [np.r_[0, np.cumsum(size[:, k])[:-1]].astype(np.int64) for k in (0, 1)]
+    matched = np.zeros(len(size), np.int64)
+    # pair, begin and length in either string
+    todo = np.stack([np.arange(len(size)), np.zeros(len(size), np.int64), size[:, 0], np.zeros(len(size), np.int64), size[:, 1]], axis=1)
+    while len(todo := todo[(todo[:, 2] > 0) & (todo[:, 4] > 0)]):
+        following = []
+        for n, m in np.unique(todo[:, [2, 4]], axis=0):
+            same = todo[(todo[:, 2] == n) & (todo[:, 4] == m)]
+            for part in np.array_split(same, max(1, len(same) * int(n) * int(m) // _CELLS)):
+                x = codes[0][(start[0][part[:, 0]] + part[:, 1])[:, None] + np.arange(n)]
+                y = codes[1][(start[1][part[:, 0]] + part[:, 3])[:, None] + np.arange(m)]
+                run, best = np.zeros((len(part), m + 1), np.int32), np.zeros((3, len(part)), np.int64)
+                for i in range(n):
+                    run[:, 1:] = np.where(x[:, i : i + 1] == y, run[:, :-1] + 1, 0)
+                    j = run.argmax(axis=1)
+                    longest = run[np.arange(len(part)), j]
+                    better = longest > best[0]
+                    best[:, better] = np.stack([longest, np.full(len(part), i + 1), j])[:, better]
+                k, end_x, end_y = best
+                hit = k > 0
+                pair, x0, n0, y0, m0 = part[hit].T
+                k, end_x, end_y = k[hit], end_x[hit], end_y[hit]
+                np.add.at(matched, pair, k)
+                following.append(np.stack([pair, x0, end_x - k, y0, end_y - k], axis=1))
+                following.append(np.stack([pair, x0 + end_x, n0 - end_x, y0 + end_y, m0 - end_y], axis=1))
+        todo = np.concatenate(following) if following else todo[:0]
+    return np.where(size.sum(axis=1) > 0, 2.0 * matched / np.maximum(size.sum(axis=1), 1), 1.0)
 
-    def kernel(key: tuple, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        columns, rows = ["box_id", "x1", "y1", "x2", "y2"], []
-        others = _inner(p, keys, columns)
-        for sub, own in _inner(t, keys, columns).items():
-            free = sorted(others.get(sub, []))
-            for a in sorted(own):
-                best = max(free, key=lambda b: overlap(a, b), default=None)
-                if best is not None and overlap(a, best) >= least:
-                    rows.append((*key, *sub, int(a[0]), int(best[0]), overlap(a, best)))
-                    free.remove(best)
-        return pd.DataFrame(rows, columns=[*keys, "truth_id", "predicted_id", "overlap"])
 
-    return truth.groupBy(keys[0]).cogroup(predicted.groupBy(keys[0])).applyInPandas(kernel, schema)
-
-
-def match_unused(words: DataFrame, notes: DataFrame, keys: list[str], within: float = 2.5) -> DataFrame:
-    """Words in order of place take the nearest note within reach, an unused one first."""
-    schema = ", ".join([*(f"{k} {words.schema[k].dataType.simpleString()}" for k in keys), "word_id long, note_id long"])
-
-    def kernel(key: tuple, w: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        rows, notes_of = [], _inner(n, keys, ["x", "note_id"])
-        for sub, own in _inner(w, keys, ["x", "word_id"]).items():
-            spots, used = sorted(notes_of.get(sub, [])), set()
-            for x, word in sorted(own):
-                near = [(note in used, abs(nx - x), note) for nx, note in spots if abs(nx - x) <= within]
-                if near:
-                    note = min(near)[2]
-                    used.add(note)
-                    rows.append((*key, *sub, int(word), int(note)))
-        return pd.DataFrame(rows, columns=[*keys, "word_id", "note_id"])
-
-    return words.groupBy(keys[0]).cogroup(notes.groupBy(keys[0])).applyInPandas(kernel, schema)
+@F.pandas_udf(T.DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """block_ratios() of two string columns, once per distinct pair of a batch; null if either is null."""
+    pairs = pd.DataFrame({"a": a, "b": b})
+    known = pairs.dropna().drop_duplicates()
+    known["r"] = block_ratios(known["a"].tolist(), known["b"].tolist())
+    return pairs.merge(known, on=["a", "b"], how="left")["r"]

@@ -1,6 +1,8 @@
 """Column functions and operators on small hand-made cases."""
 
+import math
 import random
+import statistics
 from difflib import SequenceMatcher
 
 import pytest
@@ -72,13 +74,102 @@ def test_undo_clears_a_score(spark):
     assert [tuple(r)[:3] for r in review.folded(log).collect()] == [(1, 6, "open")]
 
 
-def test_alignment(spark):
-    words = spark.createDataFrame([(1, 10, 0.0, 0.9), (1, 11, 2.0, 0.9)], "s long, word_id long, x double, confidence double")
-    notes = spark.createDataFrame([(1, 1, 0.0, False), (1, 2, 1.0, False), (1, 3, 2.0, False)], "s long, note_id long, x double, slurred boolean")
-    got = {r["word_id"]: (r["note_id"], r["status"]) for r in sequences.align_lyrics(words, notes, ["s"]).collect()}
-    assert got == {10: (1, "accepted"), 11: (3, "accepted")}
-    none = sequences.align_lyrics(words, notes.limit(0), ["s"]).collect()
-    assert {r["status"] for r in none} == {"no_note_candidate"}
+def cheapest(pair, left, right):
+    """Matches of the cheapest monotonic alignment by recursion; a match, then leaving out the right row, wins ties."""
+    known = {(0, 0): (0.0, {})}
+    for i in range(len(left) + 1):
+        for j in range(len(right) + 1):
+            options = []
+            if i and j:
+                c, p = known[i - 1, j - 1]
+                options.append((c + pair(i - 1, j - 1), p | {i - 1: j - 1}))
+            if j:
+                options.append((known[i, j - 1][0] + right[j - 1], known[i, j - 1][1]))
+            if i:
+                options.append((known[i - 1, j][0] + left[i - 1], known[i - 1, j][1]))
+            if options:
+                known[i, j] = min(options, key=lambda o: o[0])
+    return known[len(left), len(right)][1]
+
+
+@pytest.mark.parametrize("pixel", [False, True])
+def test_alignment_equals_recursion(spark, pixel):
+    rng = random.Random(4)
+    words, notes, expected = [], [], set()
+    for s in range(60):
+        w = sorted((rng.randrange(80) / 4, i, rng.random(), rng.random() < 0.5, rng.random() < 0.2) for i in range(rng.randint(1, 6)))
+        n = sorted((rng.randrange(80) / 4, i, rng.random() < 0.4, rng.random() < 0.3) for i in range(rng.randint(0, 6)))
+        words += [(s, i, x, c, k, g) for x, i, c, k, g in w]
+        notes += [(s, i, x, a, b) for x, i, a, b in n]
+        spread = lambda v: [0.5 if max(v) == min(v) else (x - min(v)) / (max(v) - min(v)) for x in v]
+        x, y = [v[0] for v in w], [v[0] for v in n]
+        if not pixel and n:
+            x = spread(x) if len(x) > 1 or len(y) == 1 else [0.5 if max(y) == min(y) else min(1, max(0, (x[0] - min(y)) / (max(y) - min(y))))]
+            y = spread(y)
+        cost = lambda i, j: (math.inf if pixel and abs(x[i] - y[j]) > 2.5 else abs(x[i] - y[j])) + (1 - w[i][2]) * 0.35 + (0.5 if pixel and n[j][3] else 0)  # noqa: E731, B023
+        place = cheapest(cost, [(3.0 if v[3] else 1.2) if pixel else 1.15 for v in w], [(0.15 if v[2] else 0.6) if pixel else 0.34 for v in n]) if n else {}
+        for i, (_, word, conf, _, geometry) in enumerate(w):
+            j = place.get(i)
+            value = None if j is None else round(conf * math.exp(-(0.8 if pixel else 2.4) * abs(x[i] - y[j])), 6)
+            expected.add((s, word, None if j is None else n[j][1], None if value is None else round(value, 4), "no_note_candidate" if j is None else "accepted" if value >= 0.55 and not geometry else "needs_review"))
+    w = spark.createDataFrame(words, "s long, word_id long, x double, confidence double, known boolean, geometry_review boolean").repartition(3)
+    n = spark.createDataFrame(notes, "s long, note_id long, x double, slurred boolean, continued boolean")
+    got = {(r["s"], r["word_id"], r["note_id"], None if r["confidence"] is None else round(r["confidence"], 4), r["status"]) for r in sequences.align_lyrics(w, n, ["s"], pixel=pixel).collect()}
+    assert got == expected
+    none = sequences.align_lyrics(w, n.limit(0), ["s"], pixel=pixel).collect()
+    assert {r["status"] for r in none} == {"no_note_candidate"} and len(none) == len(words)
+
+
+def test_rows_equal_nearest_median(spark):
+    rng = random.Random(9)
+    rows, expected = [], set()
+    for s in range(40):
+        own = [(rng.randrange(60) * 1.0, rng.randrange(100) * 1.0, i, rng.choice((4.0, 10.0, 12.0))) for i in range(rng.randint(1, 30))]
+        rows += [(s, i, cx, cy, h) for cy, cx, i, h in own]
+        limit, found = 0.6 * statistics.median(max(v[3], 1) for v in own), []
+        for cy, cx, i, _ in sorted(own):
+            near = min(found, key=lambda r: abs(cy - statistics.median(v[0] for v in r)), default=None)  # noqa: B023
+            if near is not None and abs(cy - statistics.median(v[0] for v in near)) <= limit:
+                near.append((cy, cx, i))
+            else:
+                found.append([(cy, cx, i)])
+        expected |= {(s, i, r, p) for r, row in enumerate(found) for p, (_, _, i) in enumerate(sorted(row, key=lambda v: (v[1], v[2])))}
+    frame = spark.createDataFrame(rows, "s long, box_id long, cx double, cy double, h double").repartition(3)
+    assert {tuple(r) for r in sequences.rows_of(frame, ["s"]).collect()} == expected
+
+
+def test_greedy_matches_equal_plain_loops(spark):
+    rng = random.Random(6)
+    truth, other, words, notes, pairs, taken = [], [], [], [], set(), set()
+    for s in range(50):
+        box = lambda: (a := rng.randrange(20), b := rng.randrange(20), a + rng.randint(1, 9), b + rng.randint(1, 9))
+        t, p = [(i, *map(float, box())) for i in range(rng.randint(0, 5))], [(i, *map(float, box())) for i in range(rng.randint(0, 5))]
+        truth += [(s, *v) for v in t]
+        other += [(s, *v) for v in p]
+
+        def share(a, b):
+            both = max(0, min(a[3], b[3]) - max(a[1], b[1])) * max(0, min(a[4], b[4]) - max(a[2], b[2]))
+            return both / max((a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - both, 1)
+
+        free = list(p)
+        for a in t:
+            best = max(free, key=lambda b: share(a, b), default=None)  # noqa: B023
+            if best and share(a, best) >= 0.2:
+                pairs.add((s, a[0], best[0], round(share(a, best), 6)))
+                free.remove(best)
+        w, n = [(rng.randrange(40) / 2, i) for i in range(rng.randint(0, 5))], [(rng.randrange(40) / 2, i) for i in range(rng.randint(0, 5))]
+        words += [(s, i, x) for x, i in w]
+        notes += [(s, i, x) for x, i in n]
+        used = set()
+        for x, i in sorted(w):
+            near = [(j in used, abs(y - x), j) for y, j in n if abs(y - x) <= 2.5]
+            if near:
+                used.add(min(near)[2])
+                taken.add((s, i, min(near)[2]))
+    boxes_of = lambda rows: spark.createDataFrame(rows, "s long, box_id long, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    assert {(r[0], r[1], r[2], round(r[3], 6)) for r in sequences.greedy_pairs(boxes_of(truth), boxes_of(other), ["s"], 0.2).collect()} == pairs
+    got = sequences.match_unused(spark.createDataFrame(words, "s long, word_id long, x double"), spark.createDataFrame(notes, "s long, note_id long, x double"), ["s"])
+    assert {tuple(r) for r in got.collect()} == taken
 
 
 def test_row_order_does_not_matter(spark):
@@ -91,12 +182,37 @@ def test_row_order_does_not_matter(spark):
 
 
 def test_section_path(spark):
-    frames = spark.createDataFrame([(1, 0, [5, 0, 0, -3]), (1, 1, [0, 1, 0, -3]), (1, 2, [5, 0, 0, -3]), (1, 3, [-100, -100, 10, -100])], "s long, page long, scores array<int>")
-    got = [r["label"] for r in sequences.section_path(frames, ["s"], "page").orderBy("page").collect()]
-    assert got == ["verse", "verse", "verse", "coda"]
+    rng = random.Random(3)
+    names = ("verse", "chorus", "coda", "intro")
+    rows, expected = [], {}
+    for s in range(40):
+        frames = [[rng.randint(-1, 2) for _ in names] for _ in range(rng.randint(1, 6))]
+        rows += [(s, i, f) for i, f in enumerate(frames)]
+        # all paths up to each label; of equal scores the later path in the alphabet is kept, at the end the first label
+        best = {n: (v, [n]) for n, v in zip(names, frames[0])}
+        for f in frames[1:]:
+            best = {n: (lambda b: (b[0] + v, [*b[1], n]))(max((c + (1 if p[-1] == n else -1), p) for c, p in best.values())) for n, v in zip(names, f)}
+        expected[s] = max(best.values(), key=lambda x: x[0])[1]
+    got = {}
+    for r in sequences.section_path(spark.createDataFrame(rows, "s long, page long, scores array<int>").repartition(3), ["s"], "page").orderBy("s", "page").collect():
+        got.setdefault(r["s"], []).append(r["label"])
+    assert got == expected
+
+
+def test_repeated_phrases(spark):
+    frames = spark.createDataFrame([(1, 0, "ca lên đi", 2), (1, 1, "Ca lên đi!", 1), (1, 2, "khác hẳn", 1), (2, 0, "ca lên đi", 1)], "s long, page long, phrase string, rows int")
+    assert [tuple(r) for r in sequences.repeated_phrases(frames, ["s"], "page", "phrase", F.col("rows") == 1).collect()] == [(1, 1)]
+
+
+def test_markers(spark):
+    for t, n in (("2.", 2), ("Lời 3:", None), ("12)", 12), ("0.", None), ("x2.", None)):
+        assert one(spark, text.verse_number(F.lit(t))) == (3 if t == "Lời 3:" else n)
+    for t, n in (("ĐK:", "chorus"), ("Điệp khúc", "chorus"), ("Coda", "coda"), ("D.C.", "coda"), ("Kết", "coda"), ("Fine", "coda"), ("codabc", None)):
+        assert one(spark, text.section_marker(F.lit(t))) == n
 
 
 def test_ratio(spark):
-    pairs = [("abcd", "bcde"), ("", ""), ("thuong", "thượng")]
+    rng = random.Random(1)
+    pairs = [("abcd", "bcde"), ("", ""), ("thuong", "thượng")] + [tuple("".join(rng.choice("abé") for _ in range(rng.randint(0, 9))) for _ in "ab") for _ in range(300)]
     got = spark.createDataFrame(pairs, "a string, b string").select(sequences.ratio("a", "b").alias("r")).collect()
     assert [r["r"] for r in got] == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
