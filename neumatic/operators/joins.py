@@ -20,14 +20,25 @@ def positional(left: DataFrame, right: DataFrame, keys: list[str], left_order: l
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], left_x: str, right_x: str, value: list[str], tie: str, within: float | None = None) -> DataFrame:
-    """For each left row the right row of its group with the least |left_x - right_x|; ties go to the smallest `tie`."""
-    off = F.abs(F.col(left_x) - F.col(right_x))
-    j = left.join(right, keys)
+    """For each left row the right row of its group with the least |left_x - right_x|; ties go to the smallest `tie`.
+
+    The nearest row is the last at or before the place or the first after it,
+    so both sides are sorted together once per group and no pairs are made.
+    """
+    ids = [c for c in left_id if c not in keys]
+    at = F.struct(F.col(right_x).cast("double").alias("x"), F.col(tie).alias("tie"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(value)])
+    marks = right.where(F.col(right_x).isNotNull()).groupBy(*keys, F.col(right_x).cast("double").alias("x")).agg(F.min_by(at, F.col(tie)).alias("mark"))
+    kind = marks.schema["mark"].dataType
+    points = left.where(F.col(left_x).isNotNull()).select(*keys, F.col(left_x).cast("double").alias("x"), F.lit(None).cast(kind).alias("mark"), F.struct(*ids, F.lit(True).alias("is_point")).alias("point"))
+    both = points.unionAll(marks.select(*keys, "x", "mark", F.lit(None).cast(points.schema["point"].dataType).alias("point")))
+    order = lambda *by: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    is_point = F.col("point").isNotNull()
+    both = both.withColumns({"before": F.last("mark", True).over(order(F.col("x"), is_point)), "after": F.last("mark", True).over(order(F.desc("x"), is_point))})
+    pick = lambda m: F.when(F.col(m).isNotNull(), F.struct(F.abs(F.col(f"{m}.x") - F.col("x")).alias("distance"), F.col(f"{m}.tie").alias("tie"), F.col(m).alias("mark")))
+    found = both.where(is_point).select(*keys, "point", F.least(pick("before"), pick("after")).alias("best")).where("best is not null")
     if within is not None:
-        j = j.where(off <= within)
-    best = F.min(F.struct(off.alias("distance"), F.col(tie).alias("_tie"), *[F.col(v) for v in value])).alias("best")
-    found = j.groupBy(*left_id).agg(best)
-    return found.select(*left_id, F.col("best.distance").alias("distance"), *[F.col(f"best.{v}").alias(v) for v in value])
+        found = found.where(F.col("best.distance") <= within)
+    return found.select(*[c for c in left_id if c in keys], *[F.col(f"point.{c}").alias(c) for c in ids], F.col("best.distance").alias("distance"), *[F.col(f"best.mark.v{i}").alias(v) for i, v in enumerate(value)])
 
 
 def interpolated(points: DataFrame, anchors: DataFrame, keys: list[str], x: str, value: str, ident: str) -> DataFrame:
@@ -43,9 +54,22 @@ def interpolated(points: DataFrame, anchors: DataFrame, keys: list[str], x: str,
     return u.select(*keys, F.col("id").alias(ident), out.alias("value"))
 
 
-def contained(inner: DataFrame, outer: DataFrame, keys: list[str], x: str, low: str, high: str) -> DataFrame:
-    """Rows of `inner` with the rows of `outer` of their group whose [low, high) holds x."""
-    return inner.join(outer, keys).where((F.col(x) >= F.col(low)) & (F.col(x) < F.col(high)))
+def contained(inner: DataFrame, outer: DataFrame, keys: list[str], x: str, low: str, high: str, width: float | None = None, how: str = "inner") -> DataFrame:
+    """Rows of `inner` with the rows of `outer` of their group whose [low, high) holds x.
+
+    With `width` (about the length of the spans) both sides are also keyed by
+    cell of that width, a span in each cell that it meets, so that a row meets
+    the spans of its own cell and not all of its group.
+    """
+    holds = (F.col(x) >= F.col(low)) & (F.col(x) < F.col(high))
+    if width is None:
+        return inner.join(outer, keys, how).where(holds) if how == "inner" else inner.join(outer, [*[inner[k] == outer[k] for k in keys], holds], how)
+    cell = lambda c: F.floor(c / F.lit(float(width)))
+    spans = outer.where(F.col(high) > F.col(low)).withColumn("span_cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
+    rows = inner.withColumn("row_cell", cell(F.col(x)))
+    same = [rows[k] == spans[k] for k in keys]
+    met = rows.join(spans, [*same, F.col("row_cell") == F.col("span_cell"), holds], how)
+    return met.select(*[rows[c] for c in inner.columns], *([spans[c] for c in outer.columns if c not in keys] if how == "inner" else []))
 
 
 def filled(base: DataFrame, proposals: DataFrame, keys: list[str]) -> DataFrame:

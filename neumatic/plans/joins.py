@@ -40,11 +40,11 @@ def j6(spark, sf_dir):
     return ops.interpolated(chords, anchors, ["measure_key"], "x", "onset", "seq")
 
 
-@query("j2_words_in_measure", """, spans AS (SELECT measure_key, score_id, measure_idx, 20.0 * measure_idx AS x1, 20.0 * measure_idx + 20 AS x2 FROM measures WHERE measure_idx <= 10)
+@query("j2_words_in_measure", """, spans AS (SELECT measure_key, score_id, measure_idx, 20.0 * measure_idx AS x1, 20.0 * measure_idx + 20 AS x2 FROM measures)
 SELECT t.score_id, t.pos, s.measure_key FROM tokens t JOIN spans s ON t.score_id = s.score_id AND t.x >= s.x1 AND t.x < s.x2""")
 def j2(spark, sf_dir):
-    spans = core.measures(spark, sf_dir).where("measure_idx <= 10").select("score_id", "measure_key", (20.0 * F.col("measure_idx")).alias("x1"), (20.0 * F.col("measure_idx") + 20).alias("x2"))
-    return ops.contained(core.tokens(spark, sf_dir), spans, ["score_id"], "x", "x1", "x2").select("score_id", "pos", "measure_key")
+    spans = core.measures(spark, sf_dir).select("score_id", "measure_key", (20.0 * F.col("measure_idx")).alias("x1"), (20.0 * F.col("measure_idx") + 20).alias("x2"))
+    return ops.contained(core.tokens(spark, sf_dir), spans, ["score_id"], "x", "x1", "x2", 20.0).select("score_id", "pos", "measure_key")
 
 
 @query("j18_upsert_edits", """, base AS (SELECT measure_key, note_index, step, octave FROM notes WHERE NOT is_rest), edits AS (SELECT DISTINCT measure_key, note_index + note_index % 2 AS note_index, 'C' AS step, 4 AS octave FROM notes WHERE duration = 4)
@@ -109,12 +109,11 @@ def j32(spark, sf_dir):
     return ops.contained(core.notes(spark, sf_dir), bars, ["measure_key"], "x", "x1", "x2").select("measure_key", "note_index", "bar")
 
 
-@query("j13_protected_bands", """, boxes AS (SELECT score_id, pos, line, x, confidence FROM tokens), bands AS (SELECT score_id, measure_idx AS band, measure_idx * 12 AS y1, measure_idx * 12 + 6 AS y2 FROM measures WHERE measure_idx <= 6)
+@query("j13_protected_bands", """, boxes AS (SELECT score_id, pos, line, x, confidence FROM tokens), bands AS (SELECT score_id, measure_idx AS band, measure_idx * 12 AS y1, measure_idx * 12 + 6 AS y2 FROM measures)
 SELECT score_id, pos FROM boxes b WHERE EXISTS (SELECT 1 FROM bands k WHERE k.score_id = b.score_id AND b.x >= k.y1 - 2 AND b.x < k.y2 + 2)""")
 def j13(spark, sf_dir):
-    bands = core.measures(spark, sf_dir).where("measure_idx <= 6").select("score_id", (F.col("measure_idx") * 12 - 2).alias("y1"), (F.col("measure_idx") * 12 + 8).alias("y2"))
-    t = core.tokens(spark, sf_dir)
-    return t.join(bands, (t["score_id"] == bands["score_id"]) & (t["x"] >= bands["y1"]) & (t["x"] < bands["y2"]), "left_semi").select("score_id", "pos")
+    bands = core.measures(spark, sf_dir).select("score_id", (F.col("measure_idx") * 12 - 2).alias("y1"), (F.col("measure_idx") * 12 + 8).alias("y2"))
+    return ops.contained(core.tokens(spark, sf_dir), bands, ["score_id"], "x", "y1", "y2", 10.0, "left_semi").select("score_id", "pos")
 
 
 @query("u1_chord_f1", """, a AS (SELECT score_id, step, alter_by, duration, count(*) AS n FROM score_events WHERE kind = 'harmony' GROUP BY ALL),
@@ -137,9 +136,9 @@ def u3(spark, sf_dir):
     return j.agg(F.count_if(F.col("a").isNull()).alias("only_labels"), F.count_if(F.col("b").isNull()).alias("only_scores"), (F.count_if(F.col("a").isNull() | F.col("b").isNull()) == 0).alias("complete"))
 
 
-@query("u4_missing_verses", " SELECT score_id, array_to_string(list_filter(range(1, max(verse) + 1), lambda v: NOT list_contains(list_distinct(list(verse)), v)), ',') AS missing FROM tokens WHERE pos % 8 < 2 GROUP BY score_id")
+@query("u4_missing_verses", " SELECT score_id, array_to_string(list_filter(range(1, max(verse) + 1), lambda v: NOT list_contains(list_distinct(list(verse)), v)), ',') AS missing FROM tokens GROUP BY score_id")
 def u4(spark, sf_dir):
-    t = core.tokens(spark, sf_dir).where("pos % 8 < 2").groupBy("score_id").agg(F.collect_set("verse").alias("have"), F.max("verse").alias("top"))
+    t = core.tokens(spark, sf_dir).groupBy("score_id").agg(F.collect_set("verse").alias("have"), F.max("verse").alias("top"))
     return t.select("score_id", F.array_join(F.array_except(F.sequence(F.lit(1).cast("long"), "top"), "have"), ",").alias("missing"))
 
 
@@ -169,9 +168,9 @@ def j19(spark, sf_dir):
     return suggestions(spark, sf_dir).join(have, "measure_key", "left_anti").select("measure_key")
 
 
-@query("t7_nearest_reference", """, r AS (SELECT score_id, measure_idx, width FROM measures WHERE width IS NOT NULL AND measure_idx <= 4), o AS (SELECT t.score_id, t.pos, r.measure_idx, row_number() OVER (PARTITION BY t.score_id, t.pos ORDER BY abs(t.x - r.width), r.measure_idx) AS k, abs(t.x - r.width) AS distance FROM tokens t JOIN r USING (score_id))
+@query("t7_nearest_reference", """, r AS (SELECT score_id, measure_idx, width FROM measures WHERE width IS NOT NULL), o AS (SELECT t.score_id, t.pos, r.measure_idx, row_number() OVER (PARTITION BY t.score_id, t.pos ORDER BY abs(t.x - r.width), r.measure_idx) AS k, abs(t.x - r.width) AS distance FROM tokens t JOIN r USING (score_id))
 SELECT score_id, pos, CAST(distance AS DOUBLE) AS distance, measure_idx FROM o WHERE k = 1 AND distance <= 60""")
 def t7(spark, sf_dir):
-    r = core.measures(spark, sf_dir).where("width is not null and measure_idx <= 4").select("score_id", "measure_idx", F.col("width").cast("double").alias("rx"))
+    r = core.measures(spark, sf_dir).where("width is not null").select("score_id", "measure_idx", F.col("width").cast("double").alias("rx"))
     t = core.tokens(spark, sf_dir).select("score_id", "pos", F.col("x").cast("double").alias("tx"))
     return ops.nearest(t, r, ["score_id"], ["score_id", "pos"], "tx", "rx", ["measure_idx"], "measure_idx", within=60.0)

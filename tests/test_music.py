@@ -62,11 +62,32 @@ def test_interpolation(spark):
 def test_profile_needs_confirmations(spark):
     rows = [("b", "tho", "the", "_ end", e) for e in ("1:a", "1:b", "1:b")]
     corrections = spark.createDataFrame(rows, "book string, before string, after string, context string, event string")
-    texts = spark.createDataFrame([("b", "at tho end"), ("c", "tho end")], "book string, text string")
-    fixed = lambda c: {r["book"]: r["fixed"] for r in review.corrected(texts, review.confirmations(c)).collect()}
-    assert fixed(corrections)["b"] == "at tho end"
-    more = corrections.unionAll(spark.createDataFrame([("b", "tho", "the", "_ end", "2:c")], corrections.schema))
-    assert fixed(more) == {"b": "at the end", "c": "tho end"}
+    words = [(s, b, i, w) for s, b, t in ((1, "b", "at tho end"), (2, "c", "tho end"), (3, "b", "tho tho endless")) for i, w in enumerate(t.split())]
+    frame = spark.createDataFrame(words, "score_id long, book string, pos long, text string")
+    fixed = lambda c: {(r["score_id"], r["pos"]): r["after"] for r in review.corrected(frame, review.confirmations(c)).collect() if r["after"]}
+    assert fixed(corrections) == {}
+    more = corrections.unionAll(spark.createDataFrame([("b", "tho", "the", "_ end", "2:c"), *[("b", "tho", "thou", "at _ end", f"{i}:x") for i in range(3)], *[("b", "tho", "no", "_ _", f"{i}:x") for i in range(9)]], corrections.schema))
+    assert fixed(more) == {(1, 1): "thou"}
+
+
+def test_nearest_equals_all_pairs(spark):
+    rng = random.Random(2)
+    a = [(rng.randrange(4), i, rng.randrange(30) * 1.0) for i in range(80)]
+    b = [(rng.randrange(5), i, rng.randrange(30) * 1.0) for i in range(40)]
+    left, right = spark.createDataFrame(a, "g int, i int, x double"), spark.createDataFrame(b, "g int, j int, y double")
+    for within in (None, 2.0):
+        got = {tuple(r) for r in joins.nearest(left, right, ["g"], ["g", "i"], "x", "y", ["j"], "j", within).collect()}
+        expected = set()
+        for g, i, x in a:
+            best = min(((abs(x - y), j) for h, j, y in b if h == g), default=None)
+            if best and (within is None or best[0] <= within):
+                expected.add((g, i, *best))
+        assert got == expected
+    spans = spark.createDataFrame([(g, j, y, y + j % 5) for g, j, y in b], "g int, j int, low double, high double")
+    expected = {(i, j) for g, i, x in a for h, j, y in b if g == h and y <= x < y + j % 5}
+    for width in (None, 2.0, 7.0):
+        assert {(r["i"], r["j"]) for r in joins.contained(left, spans, ["g"], "x", "low", "high", width).collect()} == expected
+        assert {r["i"] for r in joins.contained(left, spans, ["g"], "x", "low", "high", width, "left_semi").collect()} == {i for i, _ in expected}
 
 
 def test_undo_clears_a_score(spark):
