@@ -143,10 +143,10 @@ def gram_counts(docs: DataFrame, order: int, known=None) -> DataFrame:
                     c = np.zeros(len(lead), np.int64)
                 parts.append((lang[lead], hi[lead], lo[lead], c))
                 size += len(lead)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     folded = _folded(parts)
                     parts, size = [tuple(folded)], len(folded[0])
-                    if size > 1 << 20:
+                    if size > 1 << 19:
                         yield flush(parts)
                         parts, size = [], 0
         if size:
@@ -213,8 +213,8 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
 
 
 def _head(counts: DataFrame, head: int) -> int:
-    """The smallest count of which all n-grams together are at most `head`, from a histogram of at most 512 steps."""
-    step = F.floor(F.log2("c") * 8)
+    """The smallest count of which all n-grams together are at most `head`, from a histogram of at most 600 steps."""
+    step = F.when(F.col("c") < 64, F.col("c")).otherwise(F.floor(F.log2("c") * 8) + 16)
     rows = counts.where("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect()
     least, total = 1 << 62, 0
     for r in rows:
@@ -225,7 +225,7 @@ def _head(counts: DataFrame, head: int) -> int:
     return least
 
 
-def score(docs: DataFrame, training: DataFrame, *, order: int = ORDER, head: int = 1 << 18) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, *, order: int = ORDER, head: int = 1 << 19) -> DataFrame:
     """(key, lang, n, log_p) of every row; docs has key, lang and text, training has lang and text. log_p is null for languages without training text."""
     if not 1 <= order <= 6:
         raise ValueError("order must be 1 to 6")
@@ -243,7 +243,7 @@ def score(docs: DataFrame, training: DataFrame, *, order: int = ORDER, head: int
     asked = gram_counts(docs.where("text is not null and lang is not null"), order, spark.sparkContext.broadcast(common(counts)[0]))
     model = kneser_ney(counts.unionAll(asked), order)
     keys, rows = common(model, "p")
-    shared = spark.sparkContext.broadcast((keys, np.log(rows.column("p").to_numpy())))
+    shared = spark.sparkContext.broadcast((keys, np.log(rows.column("p").to_numpy()).astype(np.float32)))
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,14 +266,14 @@ def score(docs: DataFrame, training: DataFrame, *, order: int = ORDER, head: int
             row, hi, lo, times = (np.concatenate(x) for x in zip((np.arange(many), np.full(many, -1), ident, np.zeros(many, np.int64)), *rest))
             own = np.arange(len(row)) < many
             yield pa.RecordBatch.from_arrays([
-                batch.column("key").take(pa.array(row)), pa.array(ident[row]), batch.column("lang").take(pa.array(row)), pa.array(hi), pa.array(lo), pa.array(times.astype(np.int32)),
+                batch.column("key").take(pa.array(row, mask=~own)), pa.array(ident[row]), batch.column("lang").take(pa.array(row)), pa.array(hi), pa.array(lo), pa.array(times.astype(np.int32)),
                 pa.array(np.where(own, n[row], 0)), pa.array(np.where(own, sure[row], 0.0)), pa.array(own.astype(np.int32))], ["key", "ident", *GRAM, "times", "n", "sure", "copies"])
 
-    source = docs.select("key", F.xxhash64("text", "lang").alias("ident"), "lang", "text")
+    source = docs.select("key", F.xxhash64("key", "text", "lang").alias("ident"), "lang", "text")
     parts = source.mapInArrow(run, f"key {kind}, ident long, lang string, hi long, lo long, times int, n long, sure double, copies int")
     valued = parts.join(model.select(*GRAM, F.log("p").alias("log_p")).hint("merge"), GRAM, "left")
-    summed = valued.groupBy("key", "ident", "lang").agg(
-        F.sum("n").alias("n"), F.sum("sure").alias("sure"), F.sum(F.col("times") * F.col("log_p")).alias("looked_up"),
+    summed = valued.groupBy("ident", "lang").agg(
+        F.max("key").alias("key"), F.sum("n").alias("n"), F.sum("sure").alias("sure"), F.sum(F.col("times") * F.col("log_p")).alias("looked_up"),
         F.sum((F.col("times") > 0).cast("long")).alias("asked"), F.count("log_p").alias("answered"), F.sum("copies").alias("copies"))
     # copies of a row have one ident: their sums are shared out again
     log_p = F.when((F.col("asked") == F.col("answered")) & (F.col("lang").isNotNull() | (F.col("n") == 0)), (F.col("sure") + F.coalesce("looked_up", F.lit(0.0))) / F.col("copies"))
@@ -299,7 +299,7 @@ def _trusted_texts(source: DataFrame, trusted: DataFrame) -> DataFrame:
     return packed.join(trusted.hint("merge"), "key", "left_semi").select("lang", "packed").mapInArrow(unpack, "lang string, text string")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, quantile: float = 0.999, slack: float = 3.0, head: int = 1 << 18) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, quantile: float = 0.999, slack: float = 3.0, head: int = 1 << 19) -> DataFrame:
     """key, lang, n_symbols, perplexity, limit and passed of every row of docs."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
