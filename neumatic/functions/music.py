@@ -80,6 +80,25 @@ def chord_parts(text: Column) -> Column:
     return F.when(s.rlike(pattern), F.struct(part(1).alias("step"), alter(part(2)).alias("alter"), lookup(KINDS, part(3)).alias("kind"), F.nullif(part(4), F.lit("")).alias("bass_step"), alter(part(5)).alias("bass_alter")))
 
 
+def chord_text(chord: Column) -> Column:
+    """A chord struct of chord_parts() as text: root, sign, the first quality of its kind, bass."""
+    sign = lambda a: F.when(a == 1, "♯").when(a == -1, "♭").otherwise("")
+    shown: dict[str, str] = {}
+    for quality, kind in KINDS.items():
+        shown.setdefault(kind, quality)
+    bass = F.when(chord["bass_step"].isNotNull(), F.concat(F.lit("/"), chord["bass_step"], sign(chord["bass_alter"]))).otherwise("")
+    return F.concat(chord["step"], sign(chord["alter"]), lookup(shown | {"suspended-fourth": "sus4"}, chord["kind"], F.lit("")), bass)
+
+
+# Major keys from seven flats to seven sharps.
+KEYS = ["Cb", "Gb", "Db", "Ab", "Eb", "Bb", "F", "C", "G", "D", "A", "E", "B", "F#", "C#"]
+
+
+def key_name(fifths: Column, mode: str = "major") -> Column:
+    """Name of a key signature, null beyond seven signs."""
+    return F.concat(F.get(F.array(*[F.lit(k) for k in KEYS]), (fifths + (7 if mode == "major" else 10)).cast("int")), F.lit(f" {mode}"))
+
+
 def transposed_symbol(text: Column, by: int) -> Column:
     """A chord symbol moved by semitones, bass included; other text stays."""
     pattern = r"^([A-G])([#b]?)([^/]*)(?:/([A-G])([#b]?))?$"

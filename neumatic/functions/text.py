@@ -88,3 +88,28 @@ def section_marker(text: Column) -> Column:
     for name, pattern in SECTIONS.items():
         out = out.when(F.trim(text).rlike(pattern), name)
     return out
+
+
+# Fixed patterns: marks that are no lyrics. Shares of chords and of known words that decide a line.
+MARKS = {"tempo": r"(?i)(?:andante|allegro|moderato|largo|lento|tempo|♩\s*=\s*\d+)", "key_info": r"(?i)(?:capo|tone|key)\s*:?\s*\w+", "direction": r"(?i)^(?:d\.?\s*[cs]\.?|fine|coda)\s*[.:)]*$", "footer": r"^\s*\d{1,4}\s*$"}
+CHORD_LINE, WORD_LINE = 0.7, 0.3
+
+
+def line_role(body: Column, chord_ratio: Column, word_ratio: Column, band: Column) -> Column:
+    """Role of a text line from its band, its shares of chords and known words, and marks; unknown where nothing speaks."""
+    marks = F
+    for name, pattern in MARKS.items():
+        marks = marks.when(body.rlike(pattern), name)
+    out = marks.when((chord_ratio >= CHORD_LINE) & (word_ratio < WORD_LINE), "chord").when(word_ratio >= WORD_LINE, "lyric")
+    return out.when(band == "header", "header").otherwise("unknown")
+
+
+def role_sql(body: str) -> str:
+    """line_role() of a line below a staff as a CASE of SQL."""
+    marks = " ".join(f"WHEN regexp_matches({body}, '{p}') THEN '{name}'" for name, p in MARKS.items())
+    return f"CASE {marks} WHEN chord_ratio >= {CHORD_LINE} AND word_ratio < {WORD_LINE} THEN 'chord' WHEN word_ratio >= {WORD_LINE} THEN 'lyric' ELSE 'unknown' END"
+
+
+def status(raw: Column) -> Column:
+    """READY, NEEDS_REVIEW or FAILED; everything else is PROCESSING."""
+    return F.when(F.upper(raw).isin("READY", "NEEDS_REVIEW", "FAILED"), F.upper(raw)).otherwise("PROCESSING")

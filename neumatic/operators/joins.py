@@ -104,3 +104,10 @@ def multiset_overlap(a: DataFrame, b: DataFrame, group: list[str], items: list[s
 def f1(common: Column, expected: Column, actual: Column) -> Column:
     """Null when both are empty."""
     return F.when(expected + actual > 0, 2 * common / (expected + actual))
+
+
+def agreement(mine: DataFrame, theirs: DataFrame, run: str, system: str) -> DataFrame:
+    """Whether both engines have the same number of measures in every system of a run, in order."""
+    counts = lambda f, name: f.groupBy(run, system).agg(F.count("*").alias("n")).groupBy(run).agg(F.transform(F.array_sort(F.collect_list(F.struct(system, "n"))), lambda x: x["n"]).alias(name))
+    j = counts(mine, "mine").join(counts(theirs, "theirs"), run, "left")
+    return j.select(run, F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False)).alias("agree"))

@@ -374,3 +374,32 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     known = pairs.dropna().drop_duplicates()
     known["r"] = block_ratios(known["a"].tolist(), known["b"].tolist())
     return pairs.merge(known, on=["a", "b"], how="left")["r"]
+
+
+def edit_distances(a: list[list], b: list[list]) -> np.ndarray:
+    """Least insertions, deletions and replacements that turn each sequence of `a` into that of `b`; pairs of one shape together, a row of the table at a time."""
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    codes, _ = pd.factorize(np.array([t for s in (*a, *b) for t in s], dtype=object), use_na_sentinel=False)
+    ends = np.cumsum(np.r_[size[:, 0], size[:, 1]])
+    start = (np.r_[0, ends[:-1]] if len(ends) else ends).reshape(2, -1)
+    out = np.zeros(len(size), np.int64)
+    for n, m in np.unique(size, axis=0):
+        these = np.flatnonzero((size == (n, m)).all(axis=1))
+        for part in np.array_split(these, max(1, len(these) * (int(m) + 1) // _CELLS)):
+            x, y = (codes[start[k, part][:, None] + np.arange(w)] for k, w in ((0, n), (1, m)))
+            place = np.arange(m + 1)
+            row = np.tile(place, (len(part), 1))
+            for i in range(n):
+                best = np.minimum(row[:, :-1] + (x[:, i : i + 1] != y), row[:, 1:] + 1)
+                row = np.minimum.accumulate(np.concatenate([np.full((len(part), 1), i + 1), best], axis=1) - place, axis=1) + place
+            out[part] = row[:, -1]
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """edit_distances() of two array columns; null if either is null."""
+    known = a.notna() & b.notna()
+    out = pd.Series(np.full(len(a), None, dtype=object))
+    out[known.to_numpy()] = edit_distances([list(x) for x in a[known]], [list(y) for y in b[known]])
+    return out.astype("Int64")

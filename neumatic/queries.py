@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import joins, ledger, measures, more, review, sequences, texts  # noqa: F401
+from .plans import accuracy, joins, ledger, measures, more, review, sequences, syllables, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 
