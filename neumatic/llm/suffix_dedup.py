@@ -42,15 +42,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import kept, small_batches
-from ._text import SLICE_BYTES, Prefix, buffer_of, mix, slices, spark_long
+from ._text import SLICE_BYTES, Prefix, buffer_of, mix, powers, slices, spark_long
 
 _BITS = 22  # of a position in a piece
 _POSITION = np.uint64((1 << _BITS) - 1)
 
 
-def _wide(one: Prefix, two: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """One 64-bit value from two independent hashes of each span."""
-    return mix(one.span(start, end) ^ (two.span(start, end) * np.uint64(0x9E3779B97F4A7C15)))
+def _every(prefix: Prefix, size: int) -> np.ndarray:
+    """prefix.span() of each run of `size` bytes; by slices, which is much cheaper than by places."""
+    n = len(prefix.total) - size
+    raw = prefix.total[size:] - prefix.total[:n]
+    raw *= powers(prefix.inv, len(prefix.total))[:n]
+    raw += np.uint64(size) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(raw)
+
+
+def _both(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """One 64-bit value from two independent hashes."""
+    return mix(one ^ (two * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _pieces(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -64,27 +73,46 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarra
             yield first, place, part, np.array([0, len(part)])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """row, first and last window start, gram hash and span hash of every anchor in a piece."""
-    grams = length - gram + 1
-    one, two = Prefix(data), Prefix(data, second=True)
-    at = np.arange(len(data) - gram + 1)
-    best = (one.span(at, at + gram) & ~_POSITION) | at.astype(np.uint64)
-    width = 1
-    while width * 2 <= grams:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, spans: bool = True):
+    """row, first and last window start, gram hash and (with `spans`) span hash of every anchor in a piece."""
+    one = Prefix(data)
+    grams = _every(one, gram)
+    best = grams & ~_POSITION
+    best |= np.arange(len(best), dtype=np.uint64)
+    width, reach = 1, length - gram + 1
+    while width * 2 <= reach:
         best = np.minimum(best[:-width], best[width:])
         width *= 2
-    if width < grams:
-        best = np.minimum(best[: len(best) - (grams - width)], best[grams - width :])
-    count = np.maximum(np.diff(offsets) - length + 1, 0)
-    row = np.repeat(np.arange(len(count)), count)
-    start = np.repeat(offsets[:-1] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    anchor = (best[start] & _POSITION).astype(np.int64)
-    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
-    last = np.r_[new[1:], len(start)] - 1
-    low, high, anchor, row = start[new], start[last], anchor[new], row[new]
-    span = _wide(one, two, low, high + length) + mix(((anchor - low) << 20 | (high - anchor + (1 << 19))).astype(np.uint64))
-    return row, low, high, _wide(one, two, anchor, anchor + gram), span
+    if width < reach:
+        best = np.minimum(best[: len(best) - (reach - width)], best[reach - width :])
+    new = np.ones(len(best), bool)
+    np.not_equal(best[1:], best[:-1], out=new[1:])
+    new[offsets[:-1][offsets[:-1] < len(best)]] = True
+    low = np.flatnonzero(new)
+    high = np.r_[low[1:], len(best)] - 1
+    # runs begin anew with each row, so only their ends can lie where no window of the row begins
+    row = np.searchsorted(offsets, low, "right") - 1
+    last = offsets[row + 1] - length
+    keep = low <= last
+    low, high, row = low[keep], np.minimum(high, last)[keep], row[keep]
+    anchor = (best[low] & _POSITION).astype(np.int64)
+    if not spans:
+        return row, low, high, grams[anchor], None
+    span = _both(one.span(low, high + length), Prefix(data, second=True).span(low, high + length))
+    return row, low, high, grams[anchor], span + mix(((anchor - low) << 20 | (high - anchor + (1 << 19))).astype(np.uint64))
+
+
+def _gram_counts(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(g, n): grams of anchors with their number per piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in _pieces(batch.column("text"), length):
+                if (np.diff(offsets) >= length).any():
+                    g, n = np.unique(anchors(data, offsets, length, gram, spans=False)[3], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(spark_long(g)), pa.array(n.astype(np.int32))], ["g", "n"])
+
+    return docs.where(F.octet_length("text") >= length).select("text").mapInArrow(run, "g long, n int")
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int, copies: bool) -> DataFrame:
@@ -150,11 +178,11 @@ def _contexts(joined: DataFrame, length: int) -> DataFrame:
 def _window_hashes(contexts: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """hash, context index and window start of every window of the contexts."""
     data, offsets = buffer_of(contexts.column("context").cast(pa.large_binary()))
+    every = _both(_every(Prefix(data), length), _every(Prefix(data, second=True), length))
     count = np.diff(offsets) - length + 1
     row = np.repeat(np.arange(len(count)), count)
-    start = np.repeat(offsets[:-1] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    value = _wide(Prefix(data), Prefix(data, second=True), start, start + length)
-    return value, row, start - offsets[row] + contexts.column("low").to_numpy()[row]
+    place = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
+    return every[offsets[row] + place], row, place + contexts.column("low").to_numpy()[row]
 
 
 def _runs(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,10 +196,9 @@ def _runs(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def repeats(docs: DataFrame, *, length: int = 200, gram: int = 100, group_rows: int = 1_000) -> DataFrame:
     """(rid, low, high): runs of window starts whose `length` bytes also start elsewhere; docs has rid and text."""
-    rows = _anchor_rows(docs, length, gram, False)
     # ranks at gram bytes: those that are there once need no further rank
-    often = rows.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
-    left = kept(rows.join(often.hint("merge"), "g", "left_semi"))
+    often = _gram_counts(docs, length, gram).groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
+    left = kept(_anchor_rows(docs, length, gram, False).join(often.hint("merge"), "g", "left_semi"))
     # ranks of the pair of gram and span
     spans = kept(left.groupBy("g", "span").agg(F.sum("n").alias("same"), F.min(F.struct("rid", "low", "high")).alias("first")))
     past = left.join(spans.where("same > 1").select("g", "span").hint("merge"), ["g", "span"], "left_semi").select("rid", "low", "high")
