@@ -121,3 +121,26 @@ def quantised(length: Column) -> Column:
 def staff_position(y: Column, top: Column, interline: Column) -> Column:
     """Nearest line or space (0 is the top line, counted downwards in half spaces), up to eight ledger steps."""
     return F.array_min(F.transform(F.sequence(F.lit(-8), F.lit(16)), lambda k: F.struct(F.abs(top + k * interline / 2 - y).alias("off"), k.alias("k"))))["k"]
+
+
+# Quarters of each note type, alteration of each accidental.
+TYPES = {"whole": 4.0, "half": 2.0, "quarter": 1.0, "eighth": 0.5, "16th": 0.25}
+ACCIDENTALS = {"sharp": 1, "flat": -1, "natural": 0}
+
+
+def edited_duration(kind: Column, dotted: Column, divisions: Column) -> Column:
+    """Duration in divisions of a note type, at least 1."""
+    return F.greatest(F.lit(1), F.round(divisions * lookup(TYPES, kind, F.lit(1.0)) * F.when(dotted, 1.5).otherwise(1.0))).cast("long")
+
+
+def edited_alteration(accidental: Column, alter: Column) -> Column:
+    return F.when(accidental.isNull(), alter).otherwise(lookup(ACCIDENTALS, accidental, alter))
+
+
+def diatonic(bottom: Column, y: Column, interline: Column) -> Column:
+    """Diatonic number of a head from its place (30 is E4, on the bottom line)."""
+    return 30 + F.round((bottom - y) / (interline / 2)).cast("long")
+
+
+def diatonic_name(number: Column) -> Column:
+    return F.concat(F.substring(F.lit("CDEFGAB"), (number % 7).cast("int") + 1, F.lit(1)), F.floor(number / 7))

@@ -29,9 +29,9 @@ def bands(staves: DataFrame, keys: list[str], height: Column) -> DataFrame:
     down = F.when(F.col("next_top").isNull(), height).otherwise(middle(F.col("bottom"), F.col("next_top")))
     low, high = F.floor(F.col("top") - half), F.floor(F.col("bottom") + half)
     kinds = F.array(
-        F.when("first", F.struct(F.lit("above").alias("kind"), up.cast("double").alias("y1"), F.greatest(up.cast("double"), low.cast("double")).alias("y2"))),
+        F.when(F.col("first"), F.struct(F.lit("above").alias("kind"), up.cast("double").alias("y1"), F.greatest(up.cast("double"), low.cast("double")).alias("y2"))),
         F.when(~F.col("last"), F.struct(F.lit("between").alias("kind"), high.cast("double").alias("y1"), F.floor(F.col("next_top") - half).cast("double").alias("y2"))),
-        F.when("last", F.struct(F.lit("below").alias("kind"), high.cast("double").alias("y1"), down.cast("double").alias("y2"))))
+        F.when(F.col("last"), F.struct(F.lit("below").alias("kind"), high.cast("double").alias("y1"), down.cast("double").alias("y2"))))
     return s.select(*keys, "system", "measure_key", F.explode(F.array_compact(kinds)).alias("b")).select(*keys, "system", "measure_key", "b.*")
 
 
@@ -71,7 +71,8 @@ def staff_confidence(lines: Column, ink: Column) -> Column:
 def head_confidence(y: Column, top: Column, bottom: Column, width: Column, interline: Column) -> Column:
     """From how near the width is to 0.85 of a space and whether the head lies in its staff."""
     size = 1 - 2 * F.abs(width / interline - 0.85)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (size + F.when(y.between(top, bottom), 0.9).otherwise(0.6)) / 2)), 2)
+    # nine places first: halves then round up whatever their last bit is
+    return F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (size + F.when(y.between(top, bottom), 0.9).otherwise(0.6)) / 2)), 9), 2)
 
 
 def row_offset(y: Column, last_line: Column, interline: Column) -> Column:

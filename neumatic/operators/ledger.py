@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,10 +28,15 @@ _RULES: dict[str, Rule] = {}
 
 
 def register_rule(name: str, *, when: Column, severity: Column, message: Column) -> None:
-    """Add or replace a rule; rules are evaluated in order of registration."""
+    """Add or replace a rule; rules are evaluated in order of registration, after the standard ones."""
     _RULES[name] = Rule(name, when, severity, message)
 
 
+def unregister_rule(name: str) -> None:
+    """Take a rule out again; one that is not there is ignored."""
+    _RULES.pop(name, None)
+
+
 def standard_rules() -> list[Rule]:
     """The rules over evidence(): ten on notes, image, lyrics and chords, and the evidence and OCR checks."""
     c, values = F.col, F.map_values("lyrics")
@@ -52,32 +58,79 @@ def standard_rules() -> list[Rule]:
         Rule("C10", c("out_of_key") > 0, warning, text("chords outside the key")),
         Rule("EVIDENCE", ~c("image_available") | ~c("sources_agree"), warning, text("too few sources agree")),
         Rule("OCR", c("ocr_review") > 0, warning, text("words to check")),
+        Rule("XML_CHANGED", c("xml_changed"), warning, text("the score differs from what was recognised")),
+        Rule("METADATA", c("metadata_open"), warning, text("title, key or meter to check")),
     ]
 
 
-def evidence(measures: DataFrame, events: DataFrame, notes: DataFrame, tokens: DataFrame, image: DataFrame) -> DataFrame:
+def staff_rows(events: DataFrame) -> DataFrame:
+    """One row per measure and staff from one pass over the events, which carry their measure's columns.
+
+    events: those of plans.core.score_events with divisions, beats, beat_type
+    and fifths (see carried()); a measure without events comes as a row
+    without kind. All windows and groups lie within a measure, so events that
+    are partitioned by measure_key are not moved again; only the finished rows
+    are, once, to look at first and last measures of a part.
+    """
+    c, measure = F.col, Window.partitionBy("measure_key")
+    staff = Window.partitionBy("measure_key", "staff").orderBy("seq")
+    whole = staff.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_note = F.coalesce(c("kind") == "note", F.lit(False))
+    pitched = is_note & ~c("is_rest") & ~c("is_grace")
+    e = events.withColumns({"step_by": m.step_of(), "is_note": is_note, "pitched": F.coalesce(pitched, F.lit(False))})
+    e = e.withColumn("cursor", F.sum("step_by").over(measure.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumns({
+        "length": F.greatest(F.max(F.when(c("kind") != "backup", c("cursor"))).over(measure), F.lit(0)),
+        "outside": F.sum(F.when((c("kind") == "harmony") & ~music.in_key(c("step"), c("alter_by"), c("fifths")), 1).otherwise(0)).over(measure),
+        "primary": F.first(F.when(c("pitched"), c("voice")), True).over(whole)})
+    e = e.withColumn("sung", F.coalesce(c("pitched") & (c("voice") == c("primary")) & ~c("is_chord") & ~c("tie_stop"), F.lit(False)))
+    # slurs and leaps look at the sung notes alone
+    line = Window.partitionBy("measure_key", "staff", "sung").orderBy("seq")
+    sign = F.when(c("slur_start"), 1).when(c("slur_stop"), 0)
+    e = e.withColumn("midi", F.when(c("sung"), music.midi_pitch(c("step"), c("octave"), c("alter_by"))))
+    e = e.withColumns({"slurred": F.coalesce(F.last(sign, True).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "next1": F.lead("midi", 1).over(line), "next2": F.lead("midi", 2).over(line)})
+    leap = c("sung") & F.coalesce((F.abs(c("next1") - c("midi")) > 12) & (F.abs(c("next2") - c("midi")) <= 2), F.lit(False))
+    attributes = ["score_id", "part_id", "measure_key", "measure_idx", "divisions", "beats", "beat_type", "fifths", "length", "outside"]
+    rows = e.groupBy(*attributes, "staff").agg(
+        F.count_if("is_note").alias("all_notes"), F.count_if("pitched").alias("notes"), F.count_if(c("is_note") & c("is_tuplet")).alias("tuplets"), F.count_if("sung").alias("sung_notes"),
+        F.sum(F.when(c("sung"), c("slurred")).otherwise(0)).alias("melisma"), F.array_sort(F.collect_list(F.when(c("sung"), F.struct("seq", "midi")))).alias("line"), F.bool_or(leap).alias("leap"))
+    part = Window.partitionBy("score_id", "part_id").orderBy("measure_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"actual": c("length") / c("divisions"), "expected": music.expected_beats(c("beats"), c("beat_type"))})
+    first, last, want = F.first("actual").over(part), F.last("actual").over(part), F.first("expected").over(part)
+    pair = F.coalesce((first < want) & (F.abs(first + last - want) < 0.001), F.lit(False))
+    at_end = (c("measure_idx") == F.min("measure_idx").over(part)) | (c("measure_idx") == F.max("measure_idx").over(part))
+    return rows.withColumn("pickup", pair & at_end).where("all_notes > 0")
+
+
+FLAGS = ("slurs_known", "continuity_conflict", "clef_conflict", "key_conflict", "xml_changed", "metadata_open")
+
+
+def evidence(events: DataFrame, tokens: DataFrame, image: Callable[[DataFrame], DataFrame], flags: dict[str, Column] | None = None) -> DataFrame:
     """One row per measure and staff with everything the rules look at.
 
-    tokens: measure_key, staff, verse, has_letter, needs_review, section_type.
-    image: measure_key, staff, heads, available, reliable, tuplet_marks, ink.
+    events: see staff_rows(). tokens: score_id, measure_idx, staff, verse,
+    has_letter, needs_review, section_type. image adds heads, available,
+    reliable, tuplet_marks and ink to the rows (by a join, or as columns).
+    flags: columns over these rows for slurs_known (true by default),
+    continuity_conflict, clef_conflict, key_conflict, xml_changed and
+    metadata_open (false by default).
     """
-    key = ["measure_key", "staff"]
-    r = m.rhythm(measures, events).select("measure_key", F.col("actual").alias("beats"), "expected", "pickup", "fifths")
-    leap = m.leaps(notes).groupBy(*key).agg(F.bool_or("leap").alias("leap"))
-    chords = events.where("kind = 'harmony'").join(r.select("measure_key", "fifths"), "measure_key")
-    chords = chords.groupBy("measure_key").agg(F.count_if(~music.in_key(F.col("step"), F.col("alter_by"), F.col("fifths"))).alias("out_of_key"))
-    verses = tokens.where("has_letter").groupBy(*key, "verse").agg(F.count("*").cast("int").alias("n")).groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("verse").cast("string"), "n")))).alias("lyrics"))
-    words = tokens.groupBy(*key).agg(F.count_if("needs_review").alias("ocr_review"), F.when(F.min("section_type") == F.max("section_type"), F.min("section_type")).otherwise("mixed").alias("section_type"))
-    e = m.note_counts(notes).join(r, "measure_key").join(leap, key, "left").join(chords, "measure_key", "left").join(verses, key, "left").join(words, key, "left").join(image, key, "left")
+    key = ["score_id", "measure_idx", "staff"]
+    verses = tokens.groupBy(*key, "verse").agg(F.count_if("has_letter").cast("int").alias("n"), F.count_if("needs_review").alias("review"), F.min("section_type").alias("s1"), F.max("section_type").alias("s2"))
+    words = verses.groupBy(*key).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct(F.col("verse").cast("string"), "n"))))).alias("lyrics"), F.sum("review").alias("ocr_review"),
+        F.when(F.min("s1") == F.max("s2"), F.min("s1")).otherwise("mixed").alias("section_type"))
+    e = image(staff_rows(events)).join(words, key, "left")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     zero = lambda c: F.coalesce(c, F.lit(0))
+    given = flags or {}
     return e.select(
-        "score_id", "measure_key", "measure_idx", "staff", "notes", "tuplets", "sung_notes", "melisma", "beats", "expected", "pickup", "fifths",
-        F.transform(F.coalesce("line", F.array().cast("array<struct<seq:bigint,midi:bigint>>")), lambda x: x["midi"]).alias("midi"), F.coalesce("leap", F.lit(False)).alias("leap"), zero("out_of_key").alias("out_of_key"),
+        "score_id", "measure_key", "measure_idx", "staff", "notes", "tuplets", "sung_notes", "melisma", F.col("actual").alias("beats"), "expected", "pickup", "fifths",
+        F.transform("line", lambda x: x["midi"]).alias("midi"), "leap", F.col("outside").alias("out_of_key"),
         F.coalesce("lyrics", none).alias("lyrics"), F.col("ocr_review").isNotNull().alias("lyrics_complete"), zero("ocr_review").alias("ocr_review"), F.coalesce("section_type", F.lit("mixed")).alias("section_type"),
         "heads", F.coalesce("available", F.lit(False)).alias("image_available"), F.coalesce("reliable", F.lit(False)).alias("image_reliable"), zero("tuplet_marks").alias("tuplet_marks"), zero("ink").alias("unexplained_ink"),
         F.coalesce((F.col("heads") == F.col("notes")) & F.col("available"), F.lit(False)).alias("sources_agree"),
-        F.lit(True).alias("slurs_known"), F.lit(False).alias("continuity_conflict"), F.lit(False).alias("clef_conflict"), F.lit(False).alias("key_conflict"))
+        *[given.get(f, F.lit(f == "slurs_known")).alias(f) for f in FLAGS])
 
 
 def decided(evidence: DataFrame) -> DataFrame:
@@ -93,10 +146,11 @@ def severity_rank(severity: Column) -> Column:
 
 
 def queue(ledger: DataFrame) -> DataFrame:
-    """Measures to review of each score in order: worst severity, first violated rule, measure number."""
+    """Measures to review of each score in order: metadata cards, then worst severity, first violated rule, measure number."""
     worst = F.array_min(F.transform("violations", lambda v: severity_rank(v["severity"])))
     q = ledger.where("decision = 'review'").withColumns({"worst": worst, "first_rule": F.col("violations")[0]["rule"]})
-    order = Window.partitionBy("score_id").orderBy("worst", "first_rule", "measure_idx", "staff", "measure_key")
+    card = F.when(F.exists("violations", lambda v: v["rule"] == "METADATA"), 0).otherwise(1)
+    order = Window.partitionBy("score_id").orderBy(card, "worst", "first_rule", "measure_idx", "staff", "measure_key")
     return q.withColumn("place", F.row_number().over(order).cast("long"))
 
 

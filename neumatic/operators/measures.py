@@ -117,9 +117,12 @@ def onsets(measures: DataFrame, events: DataFrame) -> DataFrame:
     lead = F.when((F.col("kind") == "note") & ~F.col("is_chord") & ~F.col("is_grace"), F.col("before"))
     on = F.when((F.col("kind") == "note") & F.col("is_chord"), F.coalesce(F.last(lead, ignorenulls=True).over(w), F.lit(0))).otherwise(F.col("before"))
     moved = moved.withColumn("ticks", on).where("kind in ('note', 'harmony')")
-    # divisions are at most 2 here; the greatest common divisor of the general case comes by Euclid over a bounded sequence
-    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.abs("ticks").cast("long").alias("a"), F.col("divisions").cast("long").alias("b")), lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(F.pmod(s["a"], F.greatest(s["b"], F.lit(1).cast("long")))).alias("b")))["a"]
-    return moved.withColumn("g", gcd).select("measure_key", "seq", "kind", (F.col("ticks") / F.col("g")).cast("long").alias("num"), (F.col("divisions") / F.col("g")).cast("long").alias("den"))
+    # the divisors of a part's divisions are few: the greatest that also divides the ticks, once per distinct pair
+    pairs = moved.select("ticks", "divisions").distinct()
+    small = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt("divisions"))), lambda d: F.col("divisions") % d == 0)
+    divisors = F.array_union(small, F.transform(small, lambda d: (F.col("divisions") / d).cast("long")))
+    pairs = pairs.withColumn("g", F.array_max(F.filter(divisors, lambda d: F.col("ticks") % d == 0)))
+    return moved.join(pairs, ["ticks", "divisions"]).select("measure_key", "seq", "kind", (F.col("ticks") / F.col("g")).cast("long").alias("num"), (F.col("divisions") / F.col("g")).cast("long").alias("den"))
 
 
 def repaired(measures: DataFrame, events: DataFrame) -> DataFrame:

@@ -72,14 +72,18 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_of(spark, sf_dir, measures(spark, sf_dir).select("score_id", "part_id", "measure_key", "measure_idx"))
+
+
+def events_of(spark: SparkSession, sf_dir: str, m: DataFrame, how: str = "inner") -> DataFrame:
+    """Events with the columns of their measure in `m`; with how = "left" a measure without events gives one row without kind."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_discount")
-    m = measures(spark, sf_dir).select("score_id", "part_id", "measure_key", "measure_idx")
     order = Window.partitionBy("measure_key").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    e = li.join(m, li["l_orderkey"] == m["measure_key"]).withColumn("seq", F.row_number().over(order).cast("long"))
+    e = m.join(li, m["measure_key"] == li["l_orderkey"], how).withColumn("seq", F.row_number().over(order).cast("long"))
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     return e.select(
-        "score_id", "part_id", "measure_key", "measure_idx", "seq",
-        F.when(s % 10 == 0, "backup").when(s % 10 == 1, "forward").when(s % 10 == 2, "harmony").otherwise("note").alias("kind"),
+        *m.columns, "seq",
+        F.when(s.isNull(), None).when(s % 10 == 0, "backup").when(s % 10 == 1, "forward").when(s % 10 == 2, "harmony").otherwise("note").alias("kind"),
         (1 + F.col("l_quantity").cast("long") % 4).alias("duration"), F.substring(F.lit(STEPS), (p % 7).cast("int") + 1, F.lit(1)).alias("step"),
         F.when(p % 11 == 0, 1).when(p % 13 == 0, -1).otherwise(0).alias("alter_by"),
         (3 + s % 3).alias("octave"), (1 + p % 2).alias("voice"), (1 + s % 2).alias("staff"),

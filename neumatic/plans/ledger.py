@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ledger as ops
+from ..operators import measures as m
 from ..registry import query
 from . import core
 from .measures import RHYTHM, SUNG
@@ -17,7 +18,7 @@ placed AS (
   FROM tokens t JOIN n_measures k USING (score_id) JOIN measures m ON m.score_id = t.score_id AND m.measure_idx = 1 + t.pos % k.n),
 image AS (
   SELECT measure_key, staff, count(*) FILTER (NOT is_rest AND NOT is_grace) + CASE WHEN measure_key % 8 = 0 THEN 1 ELSE 0 END AS heads, measure_key % 10 <> 0 AS available, measure_key % 3 <> 0 AS reliable,
-    count(*) FILTER (is_tuplet) AS tuplet_marks, CASE WHEN measure_key % 12 = 0 THEN 1 ELSE 0 END AS ink FROM notes GROUP BY measure_key, staff),
+    CASE WHEN measure_key % 14 = 0 THEN 0 ELSE count(*) FILTER (is_tuplet) END AS tuplet_marks, CASE WHEN measure_key % 12 = 0 THEN 1 ELSE 0 END AS ink FROM notes GROUP BY measure_key, staff),
 slurred AS (SELECT *, coalesce(last_value(CASE WHEN slur_start THEN 1 WHEN slur_stop THEN 0 END IGNORE NULLS) OVER (PARTITION BY measure_key, staff ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM sung),
 s AS (SELECT measure_key, staff, count(*) AS sung_notes, sum(open) AS melisma, bool_or(midi < 57 OR midi > 81) AS out_of_range FROM slurred GROUP BY ALL),
 led AS (SELECT *, lead(midi, 1) OVER w AS n1, lead(midi, 2) OVER w AS n2 FROM sung WINDOW w AS (PARTITION BY measure_key, staff ORDER BY seq)),
@@ -34,33 +35,37 @@ ev AS (
   FROM a JOIN rhythm USING (measure_key) LEFT JOIN s USING (measure_key, staff) LEFT JOIN leap USING (measure_key, staff) LEFT JOIN h USING (measure_key) LEFT JOIN vv USING (measure_key, staff) LEFT JOIN w USING (measure_key, staff) LEFT JOIN image USING (measure_key, staff)),
 fired AS (
   SELECT *, list_filter([
-    CASE WHEN complete AND most IS NOT NULL AND (most > sung OR (section <> 'mixed' AND sung - least > mel)) THEN 'C1:error' END,
+    CASE WHEN complete AND most IS NOT NULL AND (most > sung OR (section <> 'mixed' AND sung - least > mel)) THEN 'C1:' || CASE WHEN measure_key % 6 <> 0 THEN 'error' ELSE 'warning' END END,
     CASE WHEN available AND heads <> notes THEN 'C2:' || CASE WHEN reliable THEN 'error' ELSE 'warning' END END,
     CASE WHEN expected <> 0 AND abs(actual - expected) > 0.001 AND NOT pickup THEN 'C3:error' END,
     CASE WHEN tuplet_marks > 0 AND tuplets = 0 THEN 'C4:error' WHEN tuplets > 0 AND tuplet_marks = 0 AND available THEN 'C4:warning' END,
     CASE WHEN complete AND section <> 'mixed' AND most - least > mel THEN 'C5:warning' END,
     CASE WHEN ink > 0 THEN 'C6:warning' END,
+    CASE WHEN measure_key % 45 = 7 THEN 'C7:warning' END, CASE WHEN measure_key % 40 = 3 OR measure_key % 35 = 1 THEN 'C8:error' END,
     CASE WHEN most IS NOT NULL AND (out_of_range OR leap) THEN 'C9:info' END,
     CASE WHEN out_of_key > 0 THEN 'C10:warning' END,
     CASE WHEN NOT available OR heads <> notes THEN 'EVIDENCE:warning' END,
-    CASE WHEN ocr > 0 THEN 'OCR:warning' END], lambda x: x IS NOT NULL) AS violations FROM ev),
+    CASE WHEN ocr > 0 THEN 'OCR:warning' END, CASE WHEN measure_key % 50 = 5 THEN 'XML_CHANGED:warning' END, CASE WHEN measure_idx = 1 AND score_id % 9 = 0 THEN 'METADATA:warning' END], lambda x: x IS NOT NULL) AS violations FROM ev),
 ledger AS (SELECT *, CASE WHEN len(list_filter(violations, lambda x: NOT x LIKE '%:info')) > 0 THEN 'review' ELSE 'accept' END AS decision FROM fired)"""
 
 
-def inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    meas, events, notes = core.measures(spark, sf_dir), core.score_events(spark, sf_dir), core.notes(spark, sf_dir)
-    t = core.tokens(spark, sf_dir)
-    counts = meas.groupBy("score_id").agg(F.count("*").alias("n"))
-    t = t.join(counts, "score_id").withColumn("measure_idx", 1 + F.col("pos") % F.col("n")).join(meas.select("score_id", "measure_idx", "measure_key"), ["score_id", "measure_idx"])
-    words = t.select("measure_key", (1 + F.col("pos") % 2).alias("staff"), "verse", F.col("text").rlike("[a-zA-Z]").alias("has_letter"), (F.col("confidence") < 0.62).alias("needs_review"), F.when(F.col("line") % 5 == 4, "chorus").otherwise("verse").alias("section_type"))
+def placed_words(spark, sf_dir) -> DataFrame:
+    counts = core.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("score_id")).agg(F.count("*").alias("n"))
+    p = F.col("pos")
+    t = core.tokens(spark, sf_dir).join(counts, "score_id")
+    return t.select("score_id", (1 + p % F.col("n")).alias("measure_idx"), (1 + p % 2).alias("staff"), "verse", F.col("text").rlike("[a-zA-Z]").alias("has_letter"), (F.col("confidence") < 0.62).alias("needs_review"), F.when(F.col("line") % 5 == 4, "chorus").otherwise("verse").alias("section_type"))
+
+
+def with_image(rows: DataFrame) -> DataFrame:
     k = F.col("measure_key")
-    image = notes.groupBy("measure_key", "staff").agg(F.count_if(~F.col("is_rest") & ~F.col("is_grace")).alias("h"), F.count_if("is_tuplet").alias("tuplet_marks"))
-    image = image.select("measure_key", "staff", (F.col("h") + F.when(k % 8 == 0, 1).otherwise(0)).alias("heads"), (k % 10 != 0).alias("available"), (k % 3 != 0).alias("reliable"), "tuplet_marks", F.when(k % 12 == 0, 1).otherwise(0).alias("ink"))
-    return meas, events, notes, words, image
+    return rows.withColumns({"heads": F.col("notes") + F.when(k % 8 == 0, 1).otherwise(0), "available": k % 10 != 0, "reliable": k % 3 != 0, "tuplet_marks": F.when(k % 14 == 0, 0).otherwise(F.col("tuplets")), "ink": F.when(k % 12 == 0, 1).otherwise(0)})
 
 
 def ledger(spark, sf_dir) -> DataFrame:
-    return ops.decided(ops.evidence(*inputs(spark, sf_dir)))
+    k = F.col("measure_key")
+    flags = {"slurs_known": k % 6 != 0, "continuity_conflict": k % 45 == 7, "clef_conflict": k % 40 == 3, "key_conflict": k % 35 == 1, "xml_changed": k % 50 == 5, "metadata_open": (F.col("measure_idx") == 1) & (F.col("score_id") % 9 == 0)}
+    carried = m.carried(core.measures(spark, sf_dir)).select("score_id", "part_id", "measure_key", "measure_idx", "divisions", "beats", "beat_type", "fifths")
+    return ops.decided(ops.evidence(core.events_of(spark, sf_dir, carried, "left"), placed_words(spark, sf_dir), with_image, flags))
 
 
 def flat(violations):
@@ -77,8 +82,8 @@ def rule_totals(spark, sf_dir):
     return ops.rule_totals(ledger(spark, sf_dir))
 
 
-@query("t1_review_queue", INPUTS + """, q AS (SELECT score_id, measure_key, measure_idx, staff, list_min(list_transform(violations, lambda x: CASE split_part(x, ':', 2) WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END)) AS worst, split_part(violations[1], ':', 1) AS first_rule FROM ledger WHERE decision = 'review')
-SELECT score_id, measure_key, staff, worst, first_rule, row_number() OVER (PARTITION BY score_id ORDER BY worst, first_rule, measure_idx, staff, measure_key) AS place FROM q""")
+@query("t1_review_queue", INPUTS + """, q AS (SELECT score_id, measure_key, measure_idx, staff, list_min(list_transform(violations, lambda x: CASE split_part(x, ':', 2) WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END)) AS worst, split_part(violations[1], ':', 1) AS first_rule, CASE WHEN list_contains(violations, 'METADATA:warning') THEN 0 ELSE 1 END AS card FROM ledger WHERE decision = 'review')
+SELECT score_id, measure_key, staff, worst, first_rule, row_number() OVER (PARTITION BY score_id ORDER BY card, worst, first_rule, measure_idx, staff, measure_key) AS place FROM q""")
 def t1(spark, sf_dir):
     return ops.queue(ledger(spark, sf_dir)).select("score_id", "measure_key", "staff", "worst", "first_rule", "place")
 
@@ -100,7 +105,7 @@ def q17(spark, sf_dir):
     return j.agg(share(F.col("correct"), accept).alias("accept_precision"), share(~accept, ~F.col("correct")).alias("error_coverage"), share(~accept, F.lit(True)).alias("review_load"))
 
 
-@query("a3_syllables_per_verse", INPUTS + " SELECT measure_key, staff, verse, n FROM v")
+@query("a3_syllables_per_verse", INPUTS + " SELECT score_id, measure_idx, staff, verse, n FROM v JOIN measures USING (measure_key)")
 def a3(spark, sf_dir):
-    words = inputs(spark, sf_dir)[3]
-    return words.where("has_letter").groupBy("measure_key", "staff", "verse").agg(F.count("*").alias("n"))
+    words = placed_words(spark, sf_dir)
+    return words.where("has_letter").groupBy("score_id", "measure_idx", "staff", "verse").agg(F.count("*").alias("n"))

@@ -23,7 +23,7 @@ parts AS (SELECT ord, onset, rhyme AS rest FROM onsets, rhymes UNION ALL SELECT
 syllable AS (SELECT onset || rest AS word, rest, onset, regexp_matches(rest, '{ops.STOPPED}') AS stopped FROM parts QUALIFY row_number() OVER (PARTITION BY onset || rest ORDER BY ord, onset, rest) = 1),
 valid_syllable AS (SELECT * FROM syllable WHERE NOT (onset IN ('k', 'gh', 'ngh') AND left(rest, 1) NOT IN ('i', 'e', 'ê', 'y')) AND NOT (onset IN ('c', 'g', 'ng') AND left(rest, 1) IN ('e', 'ê', 'i'))),
 types AS (SELECT text, count(*) AS n FROM tokens GROUP BY text),
-checked AS (SELECT text, n, coalesce(NOT stopped OR regexp_matches(lower(text), '[{"".join(r[2] + r[5] for r in tx.TONES)}]'), false) AS valid FROM types CROSS JOIN m LEFT JOIN valid_syllable ON translate(lower(text), toneless_from, toneless) = word)""".replace("toneless_from", "marked")
+checked AS (SELECT text, n, coalesce(word IS NOT NULL AND (NOT stopped OR regexp_matches(lower(text), '[{"".join(r[2] + r[5] for r in tx.TONES)}]')), false) AS valid FROM types CROSS JOIN m LEFT JOIN valid_syllable ON translate(lower(text), toneless_from, toneless) = word)""".replace("toneless_from", "marked")
 
 
 def types(spark, sf_dir):
