@@ -403,3 +403,52 @@ def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     out = pd.Series(np.full(len(a), None, dtype=object))
     out[known.to_numpy()] = edit_distances([list(x) for x in a[known]], [list(y) for y in b[known]])
     return out.astype("Int64")
+
+
+# How far below its staff a row may lie (staff heights), and how close to the row above it (row heights).
+FAR, GAP_UP, GAP_DOWN = 2.0, 0.3, 1.6
+
+
+def assign_rows(rows: DataFrame, staves: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, row_id, staff_id, verse and ambiguous: the staff below which each text row lies, in order from top to bottom.
+
+    rows: keys, row_id, x1, y1, x2, y2, sung (a lyric row); staves: keys,
+    staff_id, x1, y1, x2, y2. A staff can take a row that overlaps it sideways,
+    lies below it and above the next staff, and is near: within twice its height
+    or close under the sung row that it took last. The nearest staff wins; sung
+    rows count its verses. Rows of a page are few and depend on those before.
+    """
+    box = ["x1", "y1", "x2", "y2"]
+    r = rows.select(*keys, F.lit(1).alias("side"), F.col("row_id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in box], F.col("sung").cast("boolean").alias("sung"))
+    s = staves.select(*keys, F.lit(0).alias("side"), F.col("staff_id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in box], F.lit(False).alias("sung"))
+    both = s.unionAll(r).repartition(*keys).sortWithinPartitions(*keys, "side", "y1", "x1", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _groups(batches, len(keys)):
+            side, ident, sung = (table.column(c).to_numpy() for c in ("side", "id", "sung"))
+            place = np.stack([table.column(c).to_numpy() for c in box], axis=1)
+            took = []
+            for a, b in zip(first[:-1], first[1:]):
+                middle = a + int((side[a:b] == 0).sum())
+                staff, high = place[a:middle], place[a:middle, 3] - place[a:middle, 1]
+                prior, verses = np.full((middle - a, 2), np.nan), np.zeros(middle - a, np.int64)
+                for i in range(middle, b):
+                    x1, y1, x2, y2 = place[i]
+                    under = y1 - staff[:, 3]
+                    gap, tall = y1 - prior[:, 1], prior[:, 1] - prior[:, 0]
+                    close = (gap >= -GAP_UP * np.minimum(tall, y2 - y1)) & (gap <= GAP_DOWN * np.maximum(np.maximum(tall, y2 - y1), 1))
+                    # the next staff begins below this one and above the end of the row
+                    blocked = ((staff[None, :, 1] > staff[:, None, 3]) & (staff[None, :, 1] < y2)).any(axis=1)
+                    off = (y1 + y2) / 2 - staff[:, 3]
+                    able = (np.minimum(x2, staff[:, 2]) > np.maximum(x1, staff[:, 0])) & (under >= 0) & ~blocked & ((off <= FAR * np.maximum(high, 1)) | close)
+                    best = int(np.where(able, off, np.inf).argmin()) if able.any() else -1
+                    if best >= 0 and sung[i]:
+                        verses[best] += 1
+                        prior[best] = y1, y2
+                    took.append((i, ident[a + best] if best >= 0 else None, int(verses[best]) if best >= 0 and sung[i] else None, bool(able.sum() > 1)))
+            at = pa.array([t[0] for t in took], pa.int64())
+            columns = [table.column(c).take(at).combine_chunks() for c in (*keys, "id")]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([t[1] for t in took], pa.int64()), pa.array([t[2] for t in took], pa.int64()), pa.array([t[3] for t in took], pa.bool_())], [*keys, "row_id", "staff_id", "verse", "ambiguous"])
+
+    return both.mapInArrow(run, f"{_fields(rows, keys)}, row_id long, staff_id long, verse long, ambiguous boolean")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, music
 from ..operators import geometry as ops
-from ..operators import joins
+from ..operators import joins, sequences
 from ..registry import query
 from . import core
 from .more import STAVES, staves
@@ -239,3 +239,14 @@ def j16(spark, sf_dir):
     notes = r.select("run_id", "page", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 40).cast("int"))).alias("k"))
     inside = latest.join(notes, ["run_id", "page"]).where((F.col("k") * 40 % 200).between(20, 160))
     return inside.groupBy("run_id", "hash").agg(F.countDistinct(F.floor(F.col("k") / 3)).alias("sources"), F.min(F.floor(F.col("k") / 3)).alias("source")).where("sources = 1").drop("sources")
+
+
+@query("j9_rows_to_staves")
+def j9(spark, sf_dir):
+    """Text rows of a score (a line each, the staff of measure k at 90 k) to the staff that they lie under."""
+    size, line = F.max(F.length("text")), F.col("line")
+    r = core.tokens(spark, sf_dir).groupBy("score_id", "line").agg(size.alias("h"), (F.max(F.length("text")) % 4 != 0).alias("sung"))
+    y = 115.0 + 22 * line
+    rows = r.select("score_id", line.alias("row_id"), F.lit(0.0).alias("x1"), y.alias("y1"), F.lit(100.0).alias("x2"), (y + F.col("h")).alias("y2"), "sung")
+    s = staves(spark, sf_dir).select("score_id", F.col("measure_idx").alias("staff_id"), F.lit(0.0).alias("x1"), F.col("top").alias("y1"), F.lit(120.0).alias("x2"), F.col("bottom").alias("y2"))
+    return sequences.assign_rows(rows, s, ["score_id"])

@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 
 
 def write_artifact(rows: DataFrame, path: str) -> str:
-    """Rows as JSON lines below `path`; returns the version folder.
+    """Rows as JSON lines in a new folder below `path`; returns the folder.
 
-    Each write goes to a folder of its own; its committer's _SUCCESS file comes
-    last, so a reader never sees half a write, and the one before stays until then.
+    The folder is listed under versions/ only after it is complete, so a reader
+    never sees half a write, and the version before stays until then.
     """
-    version = f"{path.rstrip('/')}/version={uuid.uuid4().hex}"
-    rows.withColumn("written_at", F.current_timestamp()).write.json(version)
-    return version
+    base = path.rstrip("/")
+    folder = f"{base}/data/{uuid.uuid4().hex}"
+    rows.write.json(folder)
+    listed = rows.sparkSession.range(1).select(F.lit(folder).alias("folder"), F.current_timestamp().alias("at"))
+    listed.write.mode("append").json(f"{base}/versions")
+    return folder
 
 
 def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of the version that was completed last; columns of `schema` that a version does not have are null."""
-    done = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_SUCCESS").load(path).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "modificationTime")
-    last = done.agg(F.max_by("folder", F.struct("modificationTime", "folder"))).first()[0]
-    if last is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(last)
+    """Rows of the version listed last; columns of `schema` that it does not have are null."""
+    versions = spark.read.schema("folder string, at timestamp").json(f"{path.rstrip('/')}/versions")
+    last = versions.agg(F.max_by("folder", F.struct("at", "folder"))).first()[0]
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).json(last)

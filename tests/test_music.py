@@ -237,3 +237,47 @@ def test_ratio(spark):
     pairs = [("abcd", "bcde"), ("", ""), ("thuong", "thượng")] + [tuple("".join(rng.choice("abé") for _ in range(rng.randint(0, 9))) for _ in "ab") for _ in range(300)]
     got = spark.createDataFrame(pairs, "a string, b string").select(sequences.ratio("a", "b").alias("r")).collect()
     assert [r["r"] for r in got] == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
+def test_rows_to_staves(spark):
+    staves = spark.createDataFrame([(1, 0, 0.0, 0.0, 100.0, 40.0), (1, 1, 0.0, 200.0, 100.0, 240.0), (1, 2, 200.0, 0.0, 300.0, 40.0)], "s int, staff_id int, x1 double, y1 double, x2 double, y2 double")
+    rows = [(1, 0, 10.0, 50.0, 60.0, 60.0, True), (1, 1, 10.0, 62.0, 60.0, 72.0, True), (1, 2, 10.0, 150.0, 60.0, 160.0, True), (1, 3, 10.0, 300.0, 60.0, 310.0, True), (1, 4, 10.0, 312.0, 60.0, 322.0, True), (1, 5, 10.0, 332.0, 60.0, 342.0, True), (1, 6, 400.0, 50.0, 500.0, 60.0, True), (1, 7, 90.0, 45.0, 220.0, 55.0, False)]
+    got = {r["row_id"]: (r["staff_id"], r["verse"], r["ambiguous"]) for r in sequences.assign_rows(spark.createDataFrame(rows, "s int, row_id int, x1 double, y1 double, x2 double, y2 double, sung boolean"), staves, ["s"]).collect()}
+    assert got[0] == (0, 1, False) and got[1] == (0, 2, False) and got[2] == (None, None, False)
+    assert got[3] == (1, 1, False) and got[4] == (1, 2, False) and got[5] == (1, 3, False)  # the last only because it is close to the row before
+    assert got[6] == (None, None, False) and got[7] == (0, None, True)
+
+
+def test_own_rule(spark):
+    from neumatic.operators import ledger
+
+    columns = "lyrics map<string,int>, lyrics_complete boolean, sung_notes int, melisma int, section_type string, slurs_known boolean, image_available boolean, image_reliable boolean, heads int, notes int, beats double, expected double, pickup boolean, tuplet_marks int, tuplets int, unexplained_ink int, continuity_conflict boolean, clef_conflict boolean, key_conflict boolean, midi array<int>, leap boolean, out_of_key int, sources_agree boolean, ocr_review int, xml_changed boolean, metadata_open boolean"
+    clean = ({"1": 4}, True, 4, 0, "verse", True, True, True, 4, 4, 4.0, 4.0, False, 0, 0, 0, False, False, False, [60, 62], False, 0, True, 0, False, False)
+    names = [c.split()[0] for c in columns.replace("map<string,int>", "m").split(", ")]
+    changed = lambda **k: tuple(k.get(n, v) for n, v in zip(names, clean))
+    cases = [(changed(), []), (changed(notes=3, sung_notes=3, sources_agree=False), ["C1", "C2", "EVIDENCE"]), (changed(lyrics={"1": 4, "2": 3}, melisma=0, sung_notes=4), ["C1", "C5"]), (changed(beats=3.0), ["C3"]), (changed(tuplet_marks=1), ["C4"]), (changed(unexplained_ink=1), ["C6"]),
+             (changed(continuity_conflict=True), ["C7"]), (changed(clef_conflict=True), ["C8"]), (changed(key_conflict=True), ["C8"]), (changed(midi=[40]), ["C9"]), (changed(out_of_key=1), ["C10"]), (changed(ocr_review=2), ["OCR"]), (changed(xml_changed=True), ["XML_CHANGED"]), (changed(metadata_open=True), ["METADATA"]), (changed(image_available=False), ["EVIDENCE"])]
+    frame = spark.createDataFrame([c for c, _ in cases], columns)
+    found = ledger.decided(frame).collect()
+    assert [[v["rule"] for v in r["violations"]] for r in found] == [e for _, e in cases]
+    assert [r["decision"] for r in found] == ["accept" if e in ([], ["C9"]) else "review" for _, e in cases]
+    warned = ledger.decided(spark.createDataFrame([changed(notes=3, sung_notes=3, slurs_known=False)], columns)).first()
+    assert warned["violations"][0]["severity"] == "warning"
+    ledger.register_rule("LOW", when=F.array_min("midi") < 61, severity=F.lit("info"), message=F.lit("low"))
+    try:
+        assert [v["rule"] for v in ledger.decided(frame).first()["violations"]] == ["LOW"]
+    finally:
+        ledger.unregister_rule("LOW")
+    assert not ledger.decided(frame).first()["violations"]
+
+
+def test_artifacts_are_whole(spark, tmp_path):
+    from neumatic.sources import artifacts
+
+    path = f"file://{tmp_path}/ledger"
+    artifacts.write_artifact(spark.range(3), path)
+    artifacts.write_artifact(spark.range(5), path)
+    (tmp_path / "ledger" / "data" / "broken").mkdir()
+    (tmp_path / "ledger" / "data" / "broken" / "part.json").write_text('{"id": 99}')
+    got = artifacts.read_artifact(spark, path, "id long, later string").collect()
+    assert sorted(r["id"] for r in got) == list(range(5)) and {r["later"] for r in got} == {None}
