@@ -116,10 +116,15 @@ def evidence(events: DataFrame, tokens: DataFrame, image: Callable[[DataFrame],
     metadata_open (false by default).
     """
     key = ["score_id", "measure_idx", "staff"]
-    verses = tokens.groupBy(*key, "verse").agg(F.count_if("has_letter").cast("int").alias("n"), F.count_if("needs_review").alias("review"), F.min("section_type").alias("s1"), F.max("section_type").alias("s2"))
+    # counted by section first: whole numbers and keys only, so that the many words are hashed and not sorted
+    verses = tokens.groupBy(*key, "verse", "section_type").agg(F.count_if("has_letter").cast("int").alias("n"), F.count_if("needs_review").alias("review"))
+    parts = F.filter(F.col("parts"), lambda p: p["n"] > 0)
+    total = lambda v: F.aggregate(parts, F.lit(0), lambda a, p: a + F.when(p["verse"] == v, p["n"]).otherwise(0))
+    lyrics = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform(parts, lambda p: p["verse"]))), lambda v: F.struct(v, total(v))))
     words = verses.groupBy(*key).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct(F.col("verse").cast("string"), "n"))))).alias("lyrics"), F.sum("review").alias("ocr_review"),
-        F.when(F.min("s1") == F.max("s2"), F.min("s1")).otherwise("mixed").alias("section_type"))
+        F.collect_list(F.struct(F.col("verse").cast("string").alias("verse"), "n")).alias("parts"), F.sum("review").alias("ocr_review"),
+        F.when(F.min("section_type") == F.max("section_type"), F.min("section_type")).otherwise("mixed").alias("section_type"))
+    words = words.select(*key, lyrics.alias("lyrics"), "ocr_review", "section_type")
     e = image(staff_rows(events)).join(words, key, "left")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     zero = lambda c: F.coalesce(c, F.lit(0))
