@@ -106,27 +106,41 @@ def _edited(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndar
 
 
 def _in_order(docs: DataFrame, ranges: int) -> DataFrame:
-    """Rows (key, text, tail) partitioned by key range and sorted; each range ends with the first row of the next as tail."""
-    cuts = docs.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else None
-    cuts = sorted(set(cuts or []))
-
-    def place(keys: pa.Array) -> pa.Array:
-        found = np.searchsorted(np.array(cuts, np.int64), keys.fill_null(0).to_numpy(zero_copy_only=False), "right")
-        return pa.array(np.where(keys.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, found).astype(np.int32))
-
-    bucket = F.arrow_udf(place, "int")(F.col("key"))
-    placed = docs.select("key", "text", bucket.alias("bucket"))
-    heads = placed.groupBy("bucket").agg(F.min("key").alias("key")).orderBy("bucket").collect()  # one row per range
-    target = {heads[i]["key"]: heads[i - 1]["bucket"] for i in range(len(heads))}
-    keyed = {k: b for k, b in target.items() if k is not None}
-    rows = placed.withColumn("tail", F.lit(False))
-    if keyed:
-        to = F.create_map(*[F.lit(x) for kv in keyed.items() for x in kv])
-        rows = rows.unionAll(docs.where(F.col("key").isin(list(keyed))).select("key", "text", to[F.col("key")].alias("bucket"), F.lit(True)))
-    if None in target:
-        unkeyed = docs.where("key is null").agg(F.min("text").alias("text"))
-        rows = rows.unionAll(unkeyed.select(F.lit(None).cast("long"), "text", F.lit(target[None]), F.lit(True)))
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "tail", F.col("key").asc_nulls_last(), "text").select("key", "text", "tail")
+    """Rows (key, text, tail) partitioned by range and sorted; each range ends with the first row of the next as tail.
+
+    The order is by key (none last), then a hash of the text. Keys that fill
+    several of the wanted ranges, and rows without a key, are cut by that hash.
+    """
+    hashed = docs.select("key", F.xxhash64("text").alias("h"), "text")
+    found = docs.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000) if ranges > 1 else F.lit(None), F.count("*"), F.count("key")).first()
+    cuts, times = np.unique(np.array(found[0] or [], np.int64), return_counts=True)
+    # one range before each cut, for a key met twice or more as many of its own, and those without a key
+    own = np.where(times > 1, times, 0)
+    opens = np.r_[0, np.cumsum(1 + own)]
+    last, unkeyed = int(opens[-1]) + 1, max(1, round(ranges * (found[1] - found[2]) / max(1, found[1])))
+
+    def place(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        none = keys.is_null().to_numpy(zero_copy_only=False)
+        key, high = keys.fill_null(0).to_numpy(zero_copy_only=False), (hashes.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        i = np.searchsorted(cuts, key)
+        same = i < len(cuts)
+        same[same] = cuts[i[same]] == key[same]
+        part = lambda n: ((high * n.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        at = opens[i].copy()
+        at[same] += 1 + part(np.r_[own, 0][i])[same]
+        return pa.array(np.where(none, last + part(np.full(len(key), unkeyed)), at).astype(np.int32))
+
+    bucket = F.arrow_udf(place, "int")(F.col("key"), F.col("h"))
+    placed = hashed.withColumn("bucket", bucket)
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h"))
+    heads = placed.groupBy("bucket").agg(first.alias("f")).orderBy("bucket").collect()  # one small row per range
+    if not heads:
+        return docs.select("key", "text", F.lit(False).alias("tail"))
+    following = docs.sparkSession.createDataFrame([(r["bucket"], r["f"]["key"], r["f"]["h"], heads[i - 1]["bucket"]) for i, r in enumerate(heads)], "b int, k long, f long, target int")
+    is_head = (F.col("bucket") == F.col("b")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("h") == F.col("f"))
+    tails = placed.join(F.broadcast(following), is_head).groupBy("target", "key", "h").agg(F.min("text").alias("text"))  # as many rows as ranges
+    rows = placed.withColumn("tail", F.lit(False)).unionAll(tails.select("key", "h", "text", F.col("target").alias("bucket"), F.lit(True)))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "tail", F.col("key").asc_nulls_last(), "h", "text").select("key", "text", "tail")
 
 
 def fingerprint(docs: DataFrame, *, key: str = "doc_id", text: str = "text", samples: int = 64, width: int = 2) -> DataFrame:

@@ -399,6 +399,29 @@ def test_fingerprints(spark, docs, texts):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("ranges", [1, 4, 16])
+def test_order_with_a_hot_key(spark, ranges):
+    rows = [(7 if i % 3 == 0 else None if i % 5 == 0 else i, f"text {i}") for i in range(300)] + [(7, "text 3")] * 2
+    docs = spark.createDataFrame(rows, "key long, text string").repartition(5)
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    expected = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))
+    parts = [p for p in fingerprints._in_order(docs, ranges).rdd.glom().collect() if p]
+    got = {}
+    for part in parts:
+        # a partition may hold several ranges, each closed by its tail
+        start = 0
+        for k, r in enumerate(part):
+            if r["tail"]:
+                got[part[start]["key"], part[start]["text"]] = [(x["key"], x["text"]) for x in part[start : k + 1]]
+                start = k + 1
+        assert start == len(part)
+    chain, at = [], expected[0]
+    while len(chain) < len(expected):
+        run = got[at]
+        chain, at = chain + run[:-1], run[-1]
+    assert chain == expected and at == expected[0]
+
+
 def test_token_counts_equal_another_implementation(docs, texts):
     from tokenizers import Tokenizer, models
 
