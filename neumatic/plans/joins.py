@@ -142,6 +142,16 @@ def u4(spark, sf_dir):
     return t.select("score_id", F.array_join(F.array_except(F.sequence(F.lit(1).cast("long"), "top"), "have"), ",").alias("missing"))
 
 
+@query("u4_missing_elements", """, have AS (SELECT s.score_id, list_filter(['part-list', 'part', 'attributes'], lambda e: NOT list_contains([CASE WHEN m.n > 0 THEN 'part' END, CASE WHEN m.timed > 0 THEN 'attributes' END, CASE WHEN s.score_id % 7 <> 0 THEN 'part-list' END], e)) AS missing FROM scores s LEFT JOIN (SELECT score_id, count(*) AS n, count(beats) AS timed FROM measures GROUP BY ALL) m USING (score_id))
+SELECT score_id, array_to_string(missing, ',') AS missing FROM have WHERE len(missing) > 0""")
+def u4_elements(spark, sf_dir):
+    """Required elements that a score lacks."""
+    m = core.measures(spark, sf_dir).groupBy("score_id").agg(F.count("*").alias("n"), F.count("beats").alias("timed"))
+    have = F.array_compact(F.array(F.when(F.col("n") > 0, "part"), F.when(F.col("timed") > 0, "attributes"), F.when(F.col("score_id") % 7 != 0, "part-list")))
+    missing = F.array_except(F.array(*[F.lit(x) for x in ("part-list", "part", "attributes")]), have)
+    return core.scores(spark, sf_dir).join(m, "score_id", "left").select("score_id", missing.alias("m")).where(F.size("m") > 0).select("score_id", F.array_join("m", ",").alias("missing"))
+
+
 @query("a9_chord_suggestion", SUNG + """, w AS (SELECT measure_key, step, sum(CASE WHEN note_index = 1 THEN 3.0 ELSE 1.5 END * CASE WHEN duration >= 3 THEN 2 WHEN duration = 2 THEN 1 ELSE 0.5 END) AS weight FROM notes WHERE NOT is_rest GROUP BY ALL),
 chords(ord, chord, steps) AS (VALUES (1,'C','CEG'),(2,'Dm','DFA'),(3,'Em','EGB'),(4,'F','FAC'),(5,'G','GBD'),(6,'G7','GBDF'),(7,'Am','ACE'),(8,'Bdim','BDF'),(9,'D','DFA'),(10,'D7','DFAC'),(11,'Bm','BDF'),(12,'B7','BDFA'),(13,'G/B','BGD'),(14,'D/F#','FDA')),
 t AS (SELECT measure_key, ord, chord, sum(CASE WHEN contains(steps, step) THEN weight ELSE 0 END) AS score FROM w, chords GROUP BY ALL)

@@ -174,3 +174,26 @@ def p4(spark, sf_dir):
 
     n = core.notes(spark, sf_dir).where("not is_chord").withColumn("ordinal", F.row_number().over(Window.partitionBy("measure_key", "staff", "voice").orderBy("seq")))
     return n.select(F.concat("part_id", F.lit(":M"), "measure_idx", F.lit(":S"), "staff", F.lit(":V"), "voice", F.lit(":N"), "ordinal").alias("locator"), "measure_key", "seq")
+
+
+@query("p7_expected_beats", """, t AS (SELECT measure_key, CASE measure_key % 4 WHEN 0 THEN '3+2' WHEN 1 THEN '2+2+3' WHEN 2 THEN '4' ELSE '6' END AS beats, CASE WHEN measure_key % 2 = 0 THEN 4 ELSE 8 END AS beat_type FROM measures)
+SELECT measure_key, list_sum(list_transform(string_split(beats, '+'), lambda x: CAST(x AS DOUBLE))) * 4 / beat_type AS expected FROM t""")
+def p7(spark, sf_dir):
+    """Additive meters add up."""
+    k = F.col("measure_key")
+    beats = F.when(k % 4 == 0, "3+2").when(k % 4 == 1, "2+2+3").when(k % 4 == 2, "4").otherwise("6")
+    return core.measures(spark, sf_dir).select("measure_key", music.expected_beats(beats, F.when(k % 2 == 0, 4).otherwise(8)).alias("expected"))
+
+
+@query("w4_slur_state", """, s AS (SELECT measure_key, seq, coalesce(last_value(CASE WHEN slur_start THEN 1 WHEN slur_stop THEN 0 END IGNORE NULLS) OVER (PARTITION BY measure_key, staff ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(slur_start::INT) OVER (PARTITION BY measure_key, staff ORDER BY seq ROWS UNBOUNDED PRECEDING) - coalesce(sum(slur_stop::INT) OVER (PARTITION BY measure_key, staff ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open, slur_start FROM notes)
+SELECT measure_key, seq, before = 1 AS melisma, open > 0 AS inside, open > 0 AND NOT slur_start AS continued FROM s""")
+def w4(spark, sf_dir):
+    """Both readings: the ledger's (one state, before this note's signs) and the aligner's (starts count at once, stops after the note)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("measure_key", "staff").orderBy("seq")
+    n = ops.in_slur(core.notes(spark, sf_dir))
+    stopped = F.coalesce(F.sum(F.col("slur_stop").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(F.col("slur_start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) > stopped
+    return n.select("measure_key", "seq", (F.col("slurred") == 1).alias("melisma"), inside.alias("inside"), (inside & ~F.col("slur_start")).alias("continued"))

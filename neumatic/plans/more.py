@@ -14,15 +14,6 @@ from .measures import CARRIED
 from .texts import SYMBOL, symbols
 
 
-@query("a13_measure_lists", """, c AS (SELECT measure_key, string_agg(step, ' ' ORDER BY seq) AS chords FROM score_events WHERE kind = 'harmony' GROUP BY ALL), n AS (SELECT measure_key, string_agg(step || octave, ' ' ORDER BY seq) AS pitches FROM notes WHERE NOT is_rest GROUP BY ALL)
-SELECT coalesce(c.measure_key, n.measure_key) AS measure_key, chords, pitches FROM c FULL JOIN n ON c.measure_key = n.measure_key""")
-def a13(spark, sf_dir):
-    listed = lambda v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", v.alias("v")))), lambda x: x["v"]), " ")
-    c = core.score_events(spark, sf_dir).where("kind = 'harmony'").groupBy("measure_key").agg(listed(F.col("step")).alias("chords"))
-    n = core.notes(spark, sf_dir).where("not is_rest").groupBy("measure_key").agg(listed(F.concat("step", "octave")).alias("pitches"))
-    return c.join(n, "measure_key", "full")
-
-
 #: Chords and words of each measure; words go to the measures of their score in turn.
 SHEET = """, per AS (SELECT score_id, count(*) AS n FROM measures GROUP BY ALL),
 mw AS (SELECT t.score_id, 1 + pos % n AS measure_idx, string_agg(text, ' ' ORDER BY pos) AS words FROM tokens t JOIN per USING (score_id) GROUP BY ALL),
@@ -53,6 +44,11 @@ def printed(lines, *pieces):
     return each.groupBy("score_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "v"))), lambda x: x["v"]), "\n").alias("sheet"))
 
 
+@query("a13_measure_lists", SHEET + " SELECT score_id, measure_idx, chords, words FROM sheet")
+def a13(spark, sf_dir):
+    return sheet_lines(spark, sf_dir).select("score_id", "measure_idx", "chords", "words")
+
+
 @query("w11_line_breaks", SHEET + " SELECT score_id, CAST(line AS BIGINT) AS line, min(measure_idx) AS first_measure, count(*) AS measures FROM numbered GROUP BY ALL")
 def w11(spark, sf_dir):
     return sheet_lines(spark, sf_dir).groupBy("score_id", "line").agg(F.min("measure_idx").alias("first_measure"), F.count("*").alias("measures"))
