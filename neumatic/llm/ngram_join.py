@@ -81,29 +81,65 @@ def prefix_share(n: np.ndarray, extra: int):
     return 1 + n * extra // 100
 
 
+def _prefixes(batch: pa.RecordBatch, width: int, percent: int, extra: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, set sizes, prefix lengths, prefix hashes) of row ranges; equal sets that lie together come once."""
+    keys = batch.column("key").to_numpy()
+    for first, end, value, offsets in sets_of(batch.column("text"), width):
+        n = np.diff(offsets)
+        # of equal sets only the one of the smallest key is sent: the smallest of all always is
+        total = np.r_[np.uint64(0), np.cumsum(value, dtype=np.uint64)]
+        sums = total[offsets[1:]] - total[offsets[:-1]]
+        by = np.lexsort((keys[first:end], n, sums))
+        n[by[1:][(np.diff(n[by]) == 0) & (sums[by][1:] == sums[by][:-1])]] = 0
+        take = np.where(n > 0, np.minimum(n, n - least_overlap(n, percent) + prefix_share(n, extra)), 0)
+        at = np.repeat(offsets[:-1] - np.r_[0, np.cumsum(take)[:-1]], take) + np.arange(take.sum())
+        yield first, end, n, take, value[at]
+
+
 def postings(docs: DataFrame, width: int, percent: int, extra: int) -> DataFrame:
     """(hash, size, key) of every prefix n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key")
-            for first, end, value, offsets in sets_of(batch.column("text"), width):
-                n = np.diff(offsets)
-                # of equal sets that lie together only the one of the smallest key is sent: the smallest of all always is
-                total = np.r_[np.uint64(0), np.cumsum(value, dtype=np.uint64)]
-                by = np.lexsort((keys.slice(first, end - first).to_numpy(), n, total[offsets[1:]] - total[offsets[:-1]]))
-                same = (np.diff(n[by]) == 0) & (np.diff((total[offsets[1:]] - total[offsets[:-1]])[by]) == 0)
-                n = n.copy()
-                n[by[1:][same]] = 0
-                take = np.where(n > 0, np.minimum(n, n - least_overlap(n, percent) + prefix_share(n, extra)), 0)
-                at = np.repeat(offsets[:-1] - np.r_[0, np.cumsum(take)[:-1]], take) + np.arange(take.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32)), pa.array(spark_long(value[at])))
-                yield pa.RecordBatch.from_arrays([keys.slice(first, end - first), pa.array(n.astype(np.int32)), lists], ["key", "n", "h"])
+            for first, end, n, take, hashes in _prefixes(batch, width, percent, extra):
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32)), pa.array(spark_long(hashes)))
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, end - first), pa.array(n.astype(np.int32)), lists], ["key", "n", "h"])
 
     found = docs.where("key is not null").mapInArrow(run, "key long, n int, h array<long>")
     return found.select(F.explode("h").alias("h"), "n", "key")
 
 
+def frequent(docs: DataFrame, width: int, percent: int, extra: int, rows: int, fold: int = 1 << 20) -> DataFrame:
+    """h: prefix hashes of more than `rows` sets.
+
+    A task counts `fold` hashes at a time (some thousand sets) and sends those
+    that it met twice or more, so that the many rare ones are never moved. What
+    is missed lies in less than one set of each fold, and its list is short for
+    the number of sets; either way of listing gives the same result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            often = c > 1
+            return pa.RecordBatch.from_arrays([pa.array(spark_long(h[often])), pa.array(c[often])], ["h", "c"])
+
+        for batch in batches:
+            for *_, hashes in _prefixes(batch, width, percent, extra):
+                held.append(hashes)
+                size += len(hashes)
+                if size >= fold:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
+
+    met = docs.where("key is not null").select("key", "text").mapInArrow(run, "h long, c long")
+    return met.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > rows).select("h")
+
+
 def assignments(lists: DataFrame, percent: int) -> DataFrame:
     """(key, group, shared, hits): list members assigned to the first of their size block and of the block before.
 
@@ -174,10 +210,10 @@ def heavy_assignments(lists: DataFrame, often: DataFrame, percent: int) -> DataF
     return out
 
 
-def all_assignments(lists: DataFrame, percent: int, heavy_rows: int) -> DataFrame:
+def all_assignments(docs: DataFrame, *, width: int, percent: int, extra: int, heavy_rows: int) -> DataFrame:
     """assignments() of the short lists and heavy_assignments() of the others, added up per key and group."""
-    often = lists.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > heavy_rows)
-    often = kept(often.select("h"))
+    lists = postings(docs, width, percent, extra)
+    often = kept(frequent(docs, width, percent, extra, heavy_rows))
     short = assignments(beside(lists, often, "h", "left_anti"), percent)
     found = short.unionAll(heavy_assignments(lists, often, percent))
     return found.groupBy("key", "group").agg(F.sum("shared").alias("shared"), F.sum("hits").alias("hits"))
@@ -254,7 +290,7 @@ def match(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
 def similar_links(docs: DataFrame, signed: DataFrame, *, width: int, percent: int, extra: int, group_rows: int, heavy_rows: int) -> DataFrame:
     """(a, b): links between different sets that span the components of the whole join."""
     lone = signed.where("n > 0 and key is not null").groupBy("one", "two", "n").agg(F.min("key").alias("key")).select("key", "n")
-    members = kept(all_assignments(postings(docs, width, percent, extra), percent, heavy_rows))
+    members = kept(all_assignments(docs, width=width, percent=percent, extra=extra, heavy_rows=heavy_rows))
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * extra / 100)
     able = members.groupBy("key").agg(F.sum("shared").alias("shared")).join(lone, "key").where(F.col("shared") >= least).select("key", least.alias("least"))
     # two similar sets have `least` hashes in common; each may leave its thinnest groups as long as these hold less than half of them
