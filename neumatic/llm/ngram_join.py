@@ -16,7 +16,8 @@ lists ordered by size (runs of too small sets are skipped by position), sets
 already known to be in one component skip each other, and the overlaps of a
 set are derived from those of a highly similar set by adding and subtracting
 the lists of the few differing n-grams. A group emits the links that span its
-components. Groups over `group_rows` sets are split into pairs of blocks.
+components. In groups over `group_rows` sets those like the first set are linked
+to it beforehand, and only the others are compared in pairs of blocks.
 Hashes are counted first: lists of more than `heavy_rows` members (a shingle in
 every document) are not brought into one task; their members look up the first
 of their size block in a table that is aggregated before the shuffle.
@@ -24,8 +25,9 @@ of their size block in a table that is aggregated before the shuffle.
 Words are runs of non-white-space bytes with A-Z lower-cased. Defined results:
 fewer than `width` words make one n-gram of the whole sequence; null, empty or
 blank texts have empty sets and link with nothing; equal sets are one class;
-rows without a key keep a null component; rows that repeat a key are one node;
-columns other than key and text are not read.
+keys are whole numbers; rows without a key keep a null component; rows that
+repeat a key are one node; columns other than key and text are not read; an
+empty table gives an empty result. A long text is held whole in one task.
 """
 
 from __future__ import annotations
@@ -197,7 +199,7 @@ def heavy_assignments(lists: DataFrame, often: DataFrame, percent: int) -> DataF
     combined before the shuffle; the members only look it up.
     """
     block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent + 1e-9)))
-    mine = beside(lists, often.select("h"), "h").withColumn("block", block)
+    mine = kept(beside(lists, often.select("h"), "h").withColumn("block", block))
     w = Window.partitionBy("h").orderBy("block")
     heads = mine.groupBy("h", "block").agg(F.min(F.struct("n", "key")).alias("first"), F.count("*").alias("size"))
     near = lambda c, step: F.col("block") + step == c
@@ -287,6 +289,56 @@ def match(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     return links
 
 
+def _shipped(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(key, g, items): the sorted n-gram set of each wanted (key, g); every text is moved once, and its set made where it arrives."""
+    listed = wanted.groupBy("key").agg(F.collect_list("g").alias("gs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, value, offsets in sets_of(batch.column("text"), width):
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(spark_long(value)))
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, end - first), batch.column("gs").slice(first, end - first), lists], ["key", "gs", "items"])
+
+    kind = listed.schema["gs"].dataType.simpleString()
+    found = docs.where("key is not null").join(listed, "key").mapInArrow(run, f"key long, gs {kind}, items array<long>")
+    return found.select("key", F.explode("gs").alias("g"), "items")
+
+
+def head_links(docs: DataFrame, members: DataFrame, *, width: int, percent: int) -> DataFrame:
+    """(key, group) of the members (key, group) that are similar to the first set of their group."""
+    wanted = members.select("key", F.col("group").alias("g")).unionAll(members.select(F.col("group").alias("key"), F.col("group").alias("g"))).distinct()
+    sets = kept(_shipped(docs, wanted, width).dropDuplicates(["key", "g"]))
+    heads = sets.where("key = g").select("g", F.col("items").alias("head"))
+    both = F.size(F.array_intersect("items", "head"))
+    near = 100 * both >= percent * (F.size("items") + F.size("head") - both)
+    return sets.where("key <> g").join(heads, "g").where(near).select("key", F.col("g").alias("group"))
+
+
+def placed_members(docs: DataFrame, members: DataFrame, *, width: int, percent: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(key, g) of the comparisons that remain, and links found on the way.
+
+    A group of at most `group_rows` sets is one comparison. In a larger one the
+    sets are compared with its first set beforehand: those that are linked to
+    it need no comparison among themselves, so only blocks of the others are
+    paired, with each other and with blocks of the linked. A hot group of near
+    copies, most of them like the first, is copied once or twice, whatever its size.
+    """
+    sizes = kept(members.groupBy("group").agg(F.count("*").alias("m")).where("m > 1"))
+    small = members.join(sizes.where(F.col("m") <= group_rows), "group")
+    large = members.join(sizes.where(F.col("m") > group_rows).select("group"), "group")
+    linked = kept(head_links(docs, large.select("key", "group"), width=width, percent=percent))
+    rest = large.select("key", "group").join(linked.withColumn("linked", F.lit(True)), ["key", "group"], "left").withColumn("linked", F.coalesce("linked", F.col("key") == F.col("group")))
+    blocks = lambda of: F.ceil(F.count_if(of) / group_rows).cast("int")
+    parts = rest.groupBy("group").agg(blocks(~F.col("linked")).alias("free"), blocks(F.col("linked")).alias("bound")).where("free > 0")
+    mine = lambda n: F.pmod(F.xxhash64("key"), F.greatest(n, F.lit(1))).cast("int")
+    own = F.when(F.col("linked"), F.col("free") + mine(F.col("bound"))).otherwise(mine(F.col("free")))
+    last = F.when(F.col("linked"), F.col("free")).otherwise(F.col("free") + F.col("bound")) - 1
+    rest = rest.join(parts, "group").select("key", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    pairs = rest.select("key", F.struct("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("g"))
+    whole = small.select("key", F.struct("group", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("g"))
+    return whole.unionAll(pairs), linked.select(F.col("key").alias("a"), F.col("group").alias("b"))
+
+
 def similar_links(docs: DataFrame, signed: DataFrame, *, width: int, percent: int, extra: int, group_rows: int, heavy_rows: int) -> DataFrame:
     """(a, b): links between different sets that span the components of the whole join."""
     lone = signed.where("n > 0 and key is not null").groupBy("one", "two", "n").agg(F.min("key").alias("key")).select("key", "n")
@@ -296,24 +348,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, *, width: int, percent: in
     # two similar sets have `least` hashes in common; each may leave its thinnest groups as long as these hold less than half of them
     thinnest = Window.partitionBy("key").orderBy("hits", "group")
     members = members.join(able, "key").withColumn("so_far", F.sum("hits").over(thinnest)).where(2 * F.col("so_far") >= F.col("least")).select("key", "group")
-    members = kept(members)
-    sizes = members.groupBy("group").agg(F.count("*").alias("m")).where("m > 1")
-    placed = members.join(sizes, "group").withColumn("parts", F.ceil(F.col("m") / group_rows).cast("int"))
-    mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    placed = placed.select("key", "group", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    placed = placed.select("key", F.struct("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("g"))
-    wanted = placed.groupBy("key").agg(F.collect_list("g").alias("gs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, value, offsets in sets_of(batch.column("text"), width):
-                raw = spark_long(value)
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(raw))
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, end - first), batch.column("gs").slice(first, end - first), lists], ["key", "gs", "items"])
-
-    kind = wanted.schema["gs"].dataType.simpleString()
-    shipped = docs.where("key is not null").join(wanted, "key").mapInArrow(run, f"key long, gs {kind}, items array<long>")
-    shipped = shipped.select("key", F.explode("gs").alias("g"), "items")
+    wanted, links = placed_members(docs, kept(members), width=width, percent=percent, group_rows=group_rows)
 
     def pair(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_numpy()
@@ -322,10 +357,10 @@ def similar_links(docs: DataFrame, signed: DataFrame, *, width: int, percent: in
         flat, at = items.flatten().to_numpy(zero_copy_only=False), items.offsets.to_numpy()
         at = at - at[0]
         keys, first = np.unique(keys, return_index=True)
-        links = match(keys, [flat[at[i] : at[i + 1]] for i in first], percent) if len(keys) > 1 else []
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        found = match(keys, [flat[at[i] : at[i + 1]] for i in first], percent) if len(keys) > 1 else []
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return shipped.groupBy("g").applyInArrow(pair, "a long, b long")
+    return _shipped(docs, wanted, width).groupBy("g").applyInArrow(pair, "a long, b long").unionAll(links)
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, extra: int = 15, group_rows: int = 4096, heavy_rows: int = 10_000) -> DataFrame:

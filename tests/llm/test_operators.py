@@ -88,8 +88,9 @@ def test_join_finds_links_of_random_near_copies(spark):
             for j in range(60):
                 if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                     label[i] = label[j] = min(label[i], label[j])
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == dict(enumerate(label))
+    for options in ({}, {"group_rows": 7}, {"group_rows": 3, "heavy_rows": 5}):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
+        assert got == dict(enumerate(label))
 
 
 def removed_by_hand(rows):
