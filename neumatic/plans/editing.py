@@ -40,10 +40,10 @@ SELECT measure_key, seq, upper(left(main, 1)) AS step, alter_by, CASE """ + " ".
 def p12(spark, sf_dir):
     """Never fails: an unknown quality is major, one of m and 7 a minor seventh."""
     main, bass = F.split_part(F.trim("t"), F.lit("/"), F.lit(1)), F.split_part(F.trim("t"), F.lit("/"), F.lit(2))
-    sign = F.substring(main, 2, 1)
-    quality = F.substring(main, F.when(sign.isin("#", "b"), 3).otherwise(2), F.lit(100))
-    kind = music.lookup(LENIENT, quality, F.when(quality.startswith("m") & quality.contains("7"), "minor-seventh").otherwise("major"))
-    return typed(spark, sf_dir).select("measure_key", "seq", F.upper(F.left(main, F.lit(1))).alias("step"), F.when(sign == "#", 1).when(sign == "b", -1).alias("alter_by"), kind.alias("kind"), F.nullif(F.upper(F.left(bass, F.lit(1))), F.lit("")).alias("bass_step"))
+    t = typed(spark, sf_dir).select("measure_key", "seq", main.alias("main"), bass.alias("bass")).withColumn("sign", F.substring("main", 2, 1))
+    t = t.withColumn("quality", F.substring(F.col("main"), F.when(F.col("sign").isin("#", "b"), 3).otherwise(2), F.lit(100)))
+    other = F.when(F.col("quality").startswith("m") & F.col("quality").contains("7"), "minor-seventh").otherwise("major")
+    return t.select("measure_key", "seq", F.upper(F.left("main", F.lit(1))).alias("step"), F.when(F.col("sign") == "#", 1).when(F.col("sign") == "b", -1).alias("alter_by"), music.lookup(LENIENT, F.col("quality"), other).alias("kind"), F.nullif(F.upper(F.left("bass", F.lit(1))), F.lit("")).alias("bass_step"))
 
 
 EDITOR = r"^([A-Ga-g])([#♯b♭]?)(.*?)(?:/([A-Ga-g])([#♯b♭]?))?$"

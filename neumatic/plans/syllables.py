@@ -191,9 +191,10 @@ def d8(spark, sf_dir):
     """Each word of the corpus from its letters and two readings: as it is, and without its last letter."""
     words = core.tokens(spark, sf_dir).select("text").distinct()
     tokens = words.select("text", tx.strip_tone(F.col("text")).alias("token"))
-    readings = words.select("text", F.explode(F.array(F.struct(F.lit(0).alias("nth"), F.col("text").alias("read"), F.lit(1.0).alias("weight")), F.struct(F.lit(1), F.expr("left(text, length(text) - 1)"), F.lit(0.5)))).alias("r")).select(F.col("text").alias("word"), "r.*")
-    out = ops.fused(tokens.withColumnRenamed("text", "word"), readings.select("word", "nth", F.col("read").alias("text"), "weight"), lexicon(spark, sf_dir), ["word"])
-    return out
+    reading = lambda nth, read, weight: F.struct(F.lit(nth).alias("nth"), read.alias("read"), F.lit(weight).alias("weight"))
+    both = F.array(reading(0, F.col("text"), 1.0), reading(1, F.expr("left(text, length(text) - 1)"), 0.5))
+    readings = words.select(F.col("text").alias("word"), F.explode(both).alias("r")).select("word", "r.*")
+    return ops.fused(tokens.withColumnRenamed("text", "word"), readings.select("word", "nth", F.col("read").alias("text"), "weight"), lexicon(spark, sf_dir), ["word"])
 
 
 HEADS = """, heads AS (SELECT score_id, line, CASE line % 6 WHEN 0 THEN (1 + score_id % 900) || ' ' || upper(body) WHEN 1 THEN 'Nhạc: ' || body WHEN 2 THEN 'Lời: ' || body WHEN 3 THEN 'Dịch: ' || body WHEN 4 THEN 'Ghi chú: ' || body ELSE body || ' — ' || left(body, 10) || ' ' || (1 + line % 150) || ':' || (1 + score_id % 30) END AS t
