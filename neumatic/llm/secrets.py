@@ -151,7 +151,8 @@ def battery(token: Column, *, text_collision: float = 0.06, text_change: float =
     folded = F.when(is_hex, F.lower(token)).otherwise(token)
     collision = F.when(is_hex, hex_collision).otherwise(text_collision)
     change = F.when(is_hex, hex_change).otherwise(text_change)
-    squares = F.aggregate(F.array_distinct(F.split(folded, "")), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(folded, c, F.lit(""))), F.lit(2.0)))
+    # bound once: what a lambda uses would else be computed again for each element
+    squares = _let(folded, lambda f: F.aggregate(F.array_distinct(F.split(f, "")), F.lit(0.0), lambda a, c: a + F.pow((F.length(f) - F.length(F.replace(f, c, F.lit("")))).cast("double"), F.lit(2.0))))
     chi2 = size * squares / n - n
     # ordinary text: mean n(kc-1)+(k-1), spread of the pair count under collision probability c
     mean = (n - 1) * (size * collision - 1) + (size - 1)
@@ -161,11 +162,16 @@ def battery(token: Column, *, text_collision: float = 0.06, text_change: float =
     changes = n - F.length(F.regexp_replace(classes, r"(.)(?=\1)", ""))
     changes = (n - 1) - changes
     z_runs = (changes - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    def serial(code: Column) -> Column:
+        """Lag-1 correlation in deviations of what independent draws give."""
+        products = F.struct(total(F.transform(code, lambda v: v * v)).alias("var"), total(F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code) - 1), lambda a, b: a * b)).alias("cov"))
+        return _let(products, lambda p: F.when(p["var"] > 0, p["cov"] / p["var"] * F.sqrt(n)).otherwise(F.sqrt(n)))
+
     code = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    avg = F.aggregate(code, F.lit(0.0), lambda a, c: a + c) / n
-    var = F.aggregate(code, F.lit(0.0), lambda a, c: a + (c - avg) * (c - avg))
-    cov = F.aggregate(F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code) - 1), lambda a, b: (a - avg) * (b - avg)), F.lit(0.0), lambda a, x: a + x)
-    z_serial = F.when(var > 0, cov / var * F.sqrt(n)).otherwise(F.sqrt(n))
+    centred = _let(code, lambda v: _let(total(v) / n, lambda avg: F.transform(v, lambda c: c - avg)))
+    z_serial = _let(centred, serial)
     z = F.when(is_hex, (z_chi + z_runs) / math.sqrt(2)).otherwise(F.least(z_chi, z_runs))
     score = F.when(F.abs(z_serial) <= serial_z, _upper_tail(z)).otherwise(0.0)
     return F.struct(name.alias("encoding"), F.least(F.greatest(score, F.lit(0.0)), F.lit(float(TOP))).alias("score"))
