@@ -46,6 +46,7 @@ def p12(spark, sf_dir):
     return t.select("measure_key", "seq", F.upper(F.left("main", F.lit(1))).alias("step"), F.when(F.col("sign") == "#", 1).when(F.col("sign") == "b", -1).alias("alter_by"), music.lookup(LENIENT, F.col("quality"), other).alias("kind"), F.nullif(F.upper(F.left("bass", F.lit(1))), F.lit("")).alias("bass_step"))
 
 
+# Fixed pattern: chords as the editor takes them.
 EDITOR = r"^([A-Ga-g])([#♯b♭]?)(.*?)(?:/([A-Ga-g])([#♯b♭]?))?$"
 
 
