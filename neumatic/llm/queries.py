@@ -8,6 +8,7 @@ from .fingerprints import op3_document_fingerprints
 from .language_id import op8_language_id
 from .ngram_join import op6_ngram_jaccard_join
 from .negatives import OP13_SQL, op13_hard_negatives
+from .pii import op12_pii
 from .quality_lm import op7_quality_classifier
 from .sampling import op10_sentencepiece_sampling
 from .secrets import op2_secret_scans
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_sentencepiece_sampling": op10_sentencepiece_sampling,
         "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_pii": op12_pii,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
