@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import small_batches, unused
+from ._shared import kept, small_batches, unused
 from ._text import mix, slices, windows, word_hashes, words
 
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("distance", T.IntegerType())])
@@ -185,14 +185,19 @@ class ItemIndex:
         return windows(parts, rows, self.width)[0] if len(first) else np.empty(0, np.uint64)
 
 
-def mark(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.75, radius: int = 62, block_items: int = 5_000, block_words: int = 2_000_000) -> DataFrame:
-    """docs with `leaks` added: the items that a window of the text matches, best window each."""
+def mark(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.75, radius: int = 62, block_items: int = 5_000, block_words: int = 2_000_000, into: str = "leaks") -> DataFrame:
+    """docs with the column `into` added (one of that name gives way): the items that a window of the text matches, best window each.
+
+    Items are taken in blocks of at most `block_items` items and `block_words`
+    words (a longer item alone). With more than one block, the result of each
+    is checkpointed before the next is read, so one block is held at a time.
+    """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    rest = [f for f in docs.schema.fields if f.name != "leaks"]
-    names, lowered = [f.name for f in rest], unused([*docs.columns, "leaks"], "lowered")
+    rest = [f for f in docs.schema.fields if f.name != into]
+    names, lowered = [f.name for f in rest], unused([*docs.columns, into], "lowered")
     rest = [*rest, T.StructField(lowered, T.StringType())]
-    out = docs.select(*names, F.lower(text).alias(lowered), F.array().cast(T.ArrayType(LEAK)).alias("leaks"))
+    out = docs.select(*names, F.lower(text).alias(lowered), F.array().cast(T.ArrayType(LEAK)).alias(into))
     listed = items.select(F.col(item_id).cast("long").alias("i"), F.lower(item_text).alias("t"))
     # a word takes two bytes with the space after it, so this is no less than the number of words
     n_words = F.coalesce(F.floor((F.octet_length("t") + 1) / 2), F.lit(0))
@@ -202,14 +207,17 @@ def mark(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     passes = max(-(-n // block_items), -(-total // block_words))
     blocks = [short.where(F.pmod("h", F.lit(passes)) == k) for k in range(passes)]
     blocks += [sized.where((F.col("n") > block_words) & (F.col("h") == r["h"])) for r in sized.where(F.col("n") > block_words).select("h").distinct().collect()]
-    for block in blocks:
+    for b, block in enumerate(blocks):
         part = block.select("i", "t").orderBy("i", "t").collect()
         shared = spark.sparkContext.broadcast(ItemIndex([r["i"] for r in part], [r["t"] or "" for r in part], width, radius))
-        out = _pass(out, shared, threshold, rest)
+        out = _pass(out, shared, threshold, rest, into)
+        if b < len(blocks) - 1:
+            out = kept(out)
+            shared.destroy()
     return out.drop(lowered)
 
 
-def _pass(docs: DataFrame, shared, threshold: float, rest: list) -> DataFrame:
+def _pass(docs: DataFrame, shared, threshold: float, rest: list, into: str) -> DataFrame:
     at = len(rest) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +234,13 @@ def _pass(docs: DataFrame, shared, threshold: float, rest: list) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), leaks], schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("leaks", T.ArrayType(LEAK))]))
+    return docs.mapInArrow(run, T.StructType([*rest, T.StructField(into, T.ArrayType(LEAK))]))
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no item, with their columns."""
-    return mark(docs, items, **options).where(F.size("leaks") == 0).select(*docs.columns)
+    into = unused(docs.columns, "leaks")
+    return mark(docs, items, into=into, **options).where(F.size(into) == 0).select(*docs.columns)
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -148,18 +148,18 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with lang_pred, score and rejected added."""
+def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", keep: list[str] | None = None, into: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs (or its columns `keep`) with the language, its score and whether it is rejected added as `into`."""
     keep = docs.columns if keep is None else keep
-    clash = {"lang_pred", "score", "rejected"} & set(keep)
+    clash = set(into) & set(keep)
     keep = [c for c in keep if c not in clash]
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return docs.select(*keep, F.lit("und").alias(into[0]), F.lit(0.0).alias(into[1]), F.lit(True).alias(into[2]))
     small_batches(docs.sparkSession)
-    taken = [*docs.columns, "lang_pred", "score", "rejected"]
+    taken = [*docs.columns, *into]
     body, lettered = unused(taken, "body"), unused(taken, "lettered")
     source = docs.select(*keep, F.col(text).alias(body), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(lettered))
-    out = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    out = T.StructType([*docs.select(*keep).schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType()), T.StructField(into[2], T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,11 +188,17 @@ def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text",
             value = np.where(letters, p[np.arange(len(best)), best], 0.0)
             named = np.where(letters, np.array(m.langs, dtype=object)[best], "und")
             arrays, names = batch.columns[: len(keep)], batch.schema.names[: len(keep)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(named, pa.string()), pa.array(value), pa.array(~letters | (value < m.reject_below))], [*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(named, pa.string()), pa.array(value), pa.array(~letters | (value < m.reject_below))], [*names, *into])
 
     return source.mapInArrow(score, out)
 
 
+def recognised(docs: DataFrame, model: LanguageModel | None, *, text: str = "text") -> DataFrame:
+    """The rows of docs whose language is not rejected, with their columns."""
+    into = tuple(unused(docs.columns, name) for name in ("lang_pred", "score", "rejected"))
+    return predict(docs, model, text=text, into=into).where(~F.col(into[2])).select(*docs.columns)
+
+
 def held_out(key: str = "doc_id"):
     """The rows that training must not see: crc32 of the key as text, modulo 5, is 0."""
     return F.crc32(F.col(key).cast("string")) % 5 == 0

@@ -25,6 +25,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -60,8 +61,17 @@ def _cuts(payload: memoryview, chunk: int) -> Iterator[memoryview]:
         at = end
 
 
+def _named(key: object) -> str:
+    """A key within a record's URN: percent-encoded, also the marks of a URN's parts; null is empty, the empty string a lone %."""
+    return "" if key is None else quote(str(key), safe="").replace(".", "%2E") or "%"
+
+
+def _key(name: str) -> str | None:
+    return None if name == "" else "" if name == "%" else unquote(name)
+
+
 def _segments(key: object, mark: str, url: str | None, payload: memoryview, refers: object, chunk: int, date: str) -> Iterator[bytes]:
-    name = "" if key is None else key
+    name = _named(key)
     uri = None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     sha1 = hashlib.sha1()
     pieces = list(_cuts(payload, chunk)) or [payload]
@@ -70,7 +80,7 @@ def _segments(key: object, mark: str, url: str | None, payload: memoryview, refe
     common = [("WARC-Date", date), ("WARC-Target-URI", uri)]
     whole = [("WARC-Payload-Digest", f"sha1:{_digest(sha1)}"), ("X-Payload-Length", len(payload))]
     if refers is not None:
-        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:x-page:{name}>"), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:x-page:{refers}>"), *whole], b"")
+        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:x-page:{name}>"), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:x-page:{_named(refers)}>"), *whole], b"")
         return
     if len(pieces) > 1:  # equal keys may occur; the place of writing tells their segments apart
         name = f"{name}:{mark}"
@@ -203,7 +213,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
                     name = _ID.fullmatch(h.get("warc-segment-origin-id", h["warc-record-id"]))
                     back = h.get("warc-refers-to")
                     revisit = h["warc-type"] == "revisit"
-                    rows.append({"key": name[1], "record": name[0], "chunk": int(h.get("warc-segment-number", 0)), "record_type": h["warc-type"], "refers_to": back and _ID.fullmatch(back)[1], "payload_bytes": int(h["x-payload-length"]) if revisit else r["size"], "payload_digest": h["warc-payload-digest"].removeprefix("sha1:") if revisit else r["digest"], "data": r["data"]})
+                    rows.append({"key": _key(name[1]), "record": name[0], "chunk": int(h.get("warc-segment-number", 0)), "record_type": h["warc-type"], "refers_to": back and _key(_ID.fullmatch(back)[1]), "payload_bytes": int(h["x-payload-length"]) if revisit else r["size"], "payload_digest": h["warc-payload-digest"].removeprefix("sha1:") if revisit else r["digest"], "data": r["data"]})
                     size += len(r["data"] or b"")
                     if len(rows) >= 4096 or size > 1 << 22:
                         yield pa.RecordBatch.from_pylist(rows, schema)
@@ -240,8 +250,7 @@ def read_archive(spark: SparkSession, path: str, key_type: str = "long") -> Data
             yield done()
 
     joined = parts.mapInArrow(digest, plain.schema)
-    typed = lambda c: F.when(F.col(c) != "", F.col(c)).cast(key_type)
-    return plain.unionByName(joined).select(typed("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", typed("refers_to").alias("refers_to"))
+    return plain.unionByName(joined).select(F.col("key").cast(key_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(key_type).alias("refers_to"))
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from neumatic.llm import centroids, negatives, pii
+from neumatic.llm import centroids, decontamination, negatives, pii, warc
+from neumatic.llm._shared import shared_path
 
 VECTORS = "vec_id long, embedding array<float>, label int, cluster string, distance string, rid int, score int"
 
@@ -234,3 +235,28 @@ def test_training_is_repeatable_and_needs_spans(spark, people):
     docs = spark.createDataFrame([(1, "call 555 1234567 or (212) 555-0000"), (2, None)], "doc_id long, text string")
     assert [r["spans"] for r in pii.scan(docs).orderBy("doc_id").collect()] == [[], []]
     assert not pii.scan(docs.where("false")).count()
+
+
+def test_archive_keys_of_any_form(spark):
+    keys = ["a:b", "a>b", "", "a.2", "%", "%00", "é 1\n", "x-y_z~", None, "a:b:3-4", "<urn:x-page:q>"]
+    rows = [(k, f"http://x/{i}", f"page {i} " * (3000 if i % 2 else 1)) for i, k in enumerate(keys)] + [("rev>isit", "u", "page 0 ")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    path = shared_path(spark, "keys")
+    warc.write_archive(pages, path, chunk_bytes=1000)
+    got = {r["page_id"]: r for r in warc.read_archive(spark, path, "string").collect()}
+    assert set(got) == {k for k, _, _ in rows}
+    assert all(got[k]["payload_bytes"] == len(h) for k, _, h in rows)
+    assert got["a:b"]["refers_to"] == "rev>isit" and got["rev>isit"]["record_type"] == "response"
+
+
+def test_many_blocks_of_items_give_what_one_gives(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(6, 30)))) for i in range(30)]
+    rows = [(i, " ".join([*(word() for _ in range(20)), items[i % 30][1], *(word() for _ in range(9))]) if i % 2 else " ".join(word() for _ in range(50)), f"mine{i}") for i in range(40)]
+    docs, its = spark.createDataFrame(rows, "doc_id long, text string, leaks string"), spark.createDataFrame([*items, items[4], (77, None), (78, "")], "item_id long, text string")
+    whole = {r["doc_id"]: sorted(map(tuple, r["found"])) for r in decontamination.mark(docs, its, into="found").collect()}
+    parts = {r["doc_id"]: sorted(map(tuple, r["found"])) for r in decontamination.mark(docs, its, into="found", block_items=4, block_words=90).collect()}
+    assert whole == parts and all(bool(whole[i]) == bool(i % 2) for i in whole)
+    clean = decontamination.clean(docs, its, block_items=7)
+    assert sorted(map(tuple, clean.collect())) == [r for r in rows if not r[0] % 2] and clean.columns == docs.columns
