@@ -10,12 +10,14 @@ return the columns of documents.
 * near_duplicates: keeps the smallest doc_id of each group of documents linked
   by 0.75 Jaccard similarity of five-word shingles.
 * decontamination: drops documents that hold a benchmark item.
-* secrets: replaces each secret in the text by a mark and sets n_chars anew;
-  no document is dropped.
+* secrets: replaces each secret in the text by a mark and sets n_chars anew
+  (a null text stays null, with the n_chars it had); no document is dropped.
 * segmentation: three sampled segmentations of each document, with their piece ids.
 
 Nulls, empty texts, repeated rows and empty tables are treated as the five
-operators' modules say; an empty table passes through every stage.
+operators' modules say; an empty table passes through every stage. Columns
+that a caller's table has besides those of documents stay as they are up to
+the last stage, also when a result of an operator has the same name.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The documents whose language is recognised."""
     known = docs.where(~F.coalesce(language_id.held_out(), F.lit(True)))
     model = language_id.fit(known)
-    return language_id.predict(docs, model).where("not rejected").select(*docs.columns)
+    return language_id.recognised(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their secrets replaced."""
     redacted = secrets.redact(docs)
-    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return redacted.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
