@@ -235,7 +235,7 @@ def read_archive(spark: SparkSession, path: str, key_type: str = "long") -> Data
         now, own, sha1, size = None, None, None, 0
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"key": [own], "record_type": ["response"], "refers_to": pa.array([None], pa.string()), "payload_bytes": pa.array([size], pa.int64()), "payload_digest": [_digest(sha1)]})
+            return pa.RecordBatch.from_pydict({"key": pa.array([own], pa.string()), "record_type": ["response"], "refers_to": pa.array([None], pa.string()), "payload_bytes": pa.array([size], pa.int64()), "payload_digest": [_digest(sha1)]})
 
         for batch in batches:
             for record, data, key in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
