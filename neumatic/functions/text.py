@@ -51,7 +51,7 @@ def match_case(text: Column, like: Column) -> Column:
     letters = F.regexp_replace(like, r"[^\p{L}]", "")
     all_caps = (F.length(letters) > 1) & (letters == F.upper(letters))
     first = F.substring(letters, 1, 1)
-    return F.when(all_caps, F.upper(text)).when((first != "") & (first == F.upper(first)), F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 20))).otherwise(text)
+    return F.when(all_caps, F.upper(text)).when((first != "") & (first == F.upper(first)), F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))).otherwise(text)
 
 
 def uppercase_ratio(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import accuracy, sequences
+from ..operators import accuracy, phrases, sequences
 from ..operators import syllables as ops
 from ..registry import query
 from . import core
@@ -111,7 +111,7 @@ def ops_cleaned(words, fixes):
     j = c.join(by("whole"), F.trim("t") == F.col("wrong_whole"), "left").join(by("clean"), F.col("c") == F.col("wrong_clean"), "left").join(by("low"), F.lower("c") == F.col("wrong_low"), "left")
     first = F.left("c", F.lit(1))
     capital = (first == F.upper(first)) & (first != F.lower(first))
-    restored = F.when(capital, F.concat(F.upper(F.left("low", F.lit(1))), F.substring("low", 2, 1 << 20))).otherwise(F.col("low"))
+    restored = F.when(capital, F.concat(F.upper(F.left("low", F.lit(1))), F.substr(F.col("low"), F.lit(2)))).otherwise(F.col("low"))
     return j.select("score_id", "pos", F.coalesce("whole", "clean", restored, "c").alias("fixed"))
 
 
@@ -141,26 +141,38 @@ def x11(spark, sf_dir):
     return core.tokens(spark, sf_dir).select("score_id", "pos", ungarbled(garbled).alias("clean"))
 
 
-#: Phrases of three and of two words that several scores have with marks; the longest that fits is restored.
-PHRASES = VN + """, f AS (SELECT score_id, pos, text, regexp_replace(translate(lower(text), marked, folded), '[^\\p{L}\\p{N}]', '', 'g') AS k FROM tokens, m),
-g AS (SELECT *, lead(k) OVER w AS k2, lead(k, 2) OVER w AS k3, lower(text) AS t1, lower(lead(text) OVER w) AS t2, lower(lead(text, 2) OVER w) AS t3 FROM f WINDOW w AS (PARTITION BY score_id ORDER BY pos)),
-p3 AS (SELECT k || ' ' || k2 || ' ' || k3 AS phrase, arg_max(t1, {'n': n, 't': t1 || ' ' || t2 || ' ' || t3}) AS t1 FROM (SELECT k, k2, k3, t1, t2, t3, count(DISTINCT score_id) AS n FROM g WHERE k3 IS NOT NULL GROUP BY ALL HAVING count(DISTINCT score_id) >= 3) GROUP BY ALL),
-p2 AS (SELECT k || ' ' || k2 AS phrase, arg_max(t1, {'n': n, 't': t1 || ' ' || t2}) AS t1 FROM (SELECT k, k2, t1, t2, count(DISTINCT score_id) AS n FROM g WHERE k2 IS NOT NULL GROUP BY ALL HAVING count(DISTINCT score_id) >= 3) GROUP BY ALL)"""
+UPPER_MARKED, UPPER_FOLDED = tx.MARKED + tx.MARKED.upper(), tx.FOLDED + tx.FOLDED.upper()
+OUTER_SQL = "[^\\p{L}\\p{N}_]"
+#: Phrases of 2 to 6 words that three scores have with marks, and the words of the corpus without theirs.
+PHRASES = f""", x AS (SELECT score_id, pos, text, regexp_replace(text, '^{OUTER_SQL}+|{OUTER_SQL}+$', '', 'g') AS core, translate(text, '{UPPER_MARKED}', '{UPPER_FOLDED}') AS plain FROM tokens),
+f AS (SELECT *, lower(core) AS t, regexp_replace(translate(lower(text), '{tx.MARKED}', '{tx.FOLDED}'), '[^\\p{{L}}]', '', 'g') AS k FROM x),
+g AS (SELECT *, list(k) OVER w AS ks, list(t) OVER w AS ts, list(pos) OVER w AS ats FROM f WINDOW w AS (PARTITION BY score_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+r AS (SELECT score_id, pos, n, ks[1:n] AS ks, ts[1:n] AS ts, ats[1:n] AS ats FROM g, (SELECT unnest(range(2, 7)) AS n) WHERE len(ks) >= n AND NOT list_contains(ks[1:n], '')),
+s AS (SELECT n, array_to_string(ks, ' ') AS key, array_to_string(ts, ' ') AS forms, count(DISTINCT score_id) AS texts FROM r WHERE ks <> ts GROUP BY ALL HAVING count(DISTINCT score_id) >= 3),
+phrases AS (SELECT n, key, string_split(arg_max(forms, {{'n': texts, 'f': forms}}), ' ') AS forms FROM s GROUP BY ALL),
+hits AS (SELECT score_id, pos AS start, n, key, unnest(ats) AS pos, unnest(forms) AS form FROM r JOIN phrases USING (n) WHERE array_to_string(ks, ' ') = key),
+best AS (SELECT score_id, pos, arg_max(form, {{'n': -n, 'k': key, 's': start}}) AS form FROM hits GROUP BY ALL),
+c AS (SELECT f.*, form, regexp_replace(plain, '^{OUTER_SQL}+|{OUTER_SQL}+$', '', 'g') AS core2, regexp_replace(regexp_replace(plain, '^{OUTER_SQL}+|{OUTER_SQL}+$', '', 'g'), '[^\\p{{L}}]', '', 'g') AS l FROM f LEFT JOIN best USING (score_id, pos)),
+d AS (SELECT score_id, pos, plain, coalesce(regexp_extract(plain, '^{OUTER_SQL}*') || CASE WHEN length(l) > 1 AND l = upper(l) THEN upper(form) WHEN l <> '' AND left(l, 1) = upper(left(l, 1)) THEN upper(left(form, 1)) || substr(form, 2) ELSE form END || regexp_extract(plain, '{OUTER_SQL}*$'), plain) AS restored FROM c)"""
 
 
-@query("x12_phrase_restoration", PHRASES + " SELECT score_id, pos, coalesce(p3.t1, p2.t1, k) AS restored FROM g LEFT JOIN p3 ON k || ' ' || k2 || ' ' || k3 = p3.phrase LEFT JOIN p2 ON k || ' ' || k2 = p2.phrase")
+@query("x12_phrase_restoration", PHRASES + " SELECT score_id, count(*) FILTER (restored <> plain) AS words, md5(string_agg(restored, ' ' ORDER BY pos)) AS restored_md5 FROM d GROUP BY score_id")
 def x12(spark, sf_dir):
-    """First words of known phrases with their marks, from letters alone; longer phrases come first."""
-    w = Window.partitionBy("score_id").orderBy("pos")
-    f = core.tokens(spark, sf_dir).select("score_id", "pos", F.lower("text").alias("t1"), tx.fold(F.col("text")).alias("k"))
-    g = f.withColumns({f"{c}{i + 1}": F.lead(c if c == "k" else "t1", i).over(w) for c in ("k", "t") for i in (1, 2)}).withColumn("k1", F.col("k"))
-    out = g
-    for n in (3, 2):
-        keys, texts = [f"k{i}" for i in range(1, n + 1)], [f"t{i}" for i in range(1, n + 1)]
-        seen = g.where(F.col(keys[-1]).isNotNull()).groupBy(*keys, *texts).agg(F.countDistinct("score_id").alias("n")).where("n >= 3")
-        best = seen.groupBy(*keys).agg(F.max_by("t1", F.struct("n", F.concat_ws(" ", *texts))).alias(f"of{n}"))
-        out = out.join(best, keys, "left")
-    return out.select("score_id", "pos", F.coalesce("of3", "of2", "k").alias("restored"))
+    """Texts without marks, with those of the known phrases put back; longest phrases first."""
+    t = core.tokens(spark, sf_dir).select("score_id", "pos", "text")
+    known = phrases.learnt(t, keys=["score_id"], order="pos")
+    plain = t.withColumn("text", F.translate("text", UPPER_MARKED, UPPER_FOLDED))
+    out, _ = phrases.restored(plain, known, keys=["score_id"], order="pos")
+    return out.groupBy("score_id").agg(F.count_if(F.col("restored") != F.col("text")).alias("words"), F.md5(F.array_join(accuracy.ordered("pos", F.col("restored")), " ")).alias("restored_md5"))
+
+
+@query("x12_phrase_changes")
+def x12_changes(spark, sf_dir):
+    """What each phrase changed, in order."""
+    t = core.tokens(spark, sf_dir).select("score_id", "pos", "text")
+    known = phrases.learnt(t, keys=["score_id"], order="pos")
+    _, changes = phrases.restored(t.withColumn("text", F.translate("text", UPPER_MARKED, UPPER_FOLDED)), known, keys=["score_id"], order="pos")
+    return changes.groupBy("n", "before", "after").agg(F.count("*").alias("times"))
 
 
 @query("x16_consensus", VN + """, c AS (SELECT score_id, pos, confidence AS c1, regexp_replace(translate(lower(text), marked, folded), '[^\\p{L}\\p{N}]', '', 'g') AS t1, lower(text) AS t2, 0.5 + (pos % 40) / 100.0 AS c2, length(regexp_replace(lower(text), '[^éèêóíáàùñçđ]', '', 'g')) AS marks2 FROM tokens, m WHERE text <> ''),
