@@ -66,9 +66,9 @@ def comparison_tokens(text: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key by which page-2 comes before page-10: digit runs padded to 12."""
+    """Sort key by which page-2 comes before page-10: digit runs without leading zeros, after the number of their digits."""
     runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d+$"), F.lpad(r, 12, "0")).otherwise(r)), "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d+$"), F.concat(F.lpad(F.length(F.ltrim(r, F.lit("0"))).cast("string"), 6, "0"), F.ltrim(r, F.lit("0")))).otherwise(r)), "")
 
 
 # Fixed patterns: verse numbers (2. or Lời 3:) and section markers with the section they begin.

@@ -432,13 +432,16 @@ def assign_rows(rows: DataFrame, staves: DataFrame, keys: list[str]) -> DataFram
                 middle = a + int((side[a:b] == 0).sum())
                 staff, high = place[a:middle], place[a:middle, 3] - place[a:middle, 1]
                 prior, verses = np.full((middle - a, 2), np.nan), np.zeros(middle - a, np.int64)
+                # where the next staff below each staff begins
+                tops = np.r_[np.sort(staff[:, 1]), np.inf]
+                next_top = tops[np.searchsorted(tops[:-1], staff[:, 3], "right")]
                 for i in range(middle, b):
                     x1, y1, x2, y2 = place[i]
                     under = y1 - staff[:, 3]
                     gap, tall = y1 - prior[:, 1], prior[:, 1] - prior[:, 0]
                     close = (gap >= -GAP_UP * np.minimum(tall, y2 - y1)) & (gap <= GAP_DOWN * np.maximum(np.maximum(tall, y2 - y1), 1))
                     # the next staff begins below this one and above the end of the row
-                    blocked = ((staff[None, :, 1] > staff[:, None, 3]) & (staff[None, :, 1] < y2)).any(axis=1)
+                    blocked = next_top < y2
                     off = (y1 + y2) / 2 - staff[:, 3]
                     able = (np.minimum(x2, staff[:, 2]) > np.maximum(x1, staff[:, 0])) & (under >= 0) & ~blocked & ((off <= FAR * np.maximum(high, 1)) | close)
                     best = int(np.where(able, off, np.inf).argmin()) if able.any() else -1

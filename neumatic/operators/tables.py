@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import computed
 
-def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+
+def numbered(rows: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
     """rows with `place`, their number within the group, without bringing a group into one task.
 
-    The leading letters of the first order column cut a group into ranges;
-    rows are numbered in their range, and ranges start where the one before
-    ends.
+    Rows are sorted into ranges of (group, order) whose bounds are quantiles, so
+    a group of any size, or with any common beginning of its names, fills as
+    many tasks as it needs. Each range counts its rows, and a group's rows in a
+    range are numbered from where its ranges before end. The sorted rows are
+    checkpointed, as numbering reads them twice.
     """
-    cut = F.coalesce(F.substring(F.col(order[0]).cast("string"), 1, 16), F.lit(""))
-    r = rows.withColumn("cut", cut)
-    sizes = r.groupBy(*group, "cut").agg(F.count("*").alias("size"))
-    before = Window.partitionBy(*group).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*group, "cut", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy(*group, "cut").orderBy(*order)
-    return r.withColumn("place", F.row_number().over(within)).join(starts, [*group, "cut"]).withColumn("place", F.col("place") + F.col("start")).drop("cut", "start")
+    by = [*(F.col(g) for g in group), *order]
+    r = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    r = computed(r).withColumn("_range", F.shiftright("_id", 33))
+    sizes = r.groupBy(*group, "_range").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*group, "_range", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("_shift"))
+    same = F.col("r._range") == F.col("s._range")
+    for g in group:
+        same &= F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}"))
+    joined = r.alias("r").join(starts.alias("s"), same)
+    return joined.select(*(F.col(f"r.{c}") for c in rows.columns), (F.col("r._id") + F.col("s._shift")).alias("place"))
+
+
+def padded(text: Column, width: int, fill: str, left: bool) -> Column:
+    """The text filled up to `width`; a longer one stays whole."""
+    room = F.greatest(F.lit(width), F.length(text))
+    return (F.lpad if left else F.rpad)(text, room, F.lit(fill))
 
 
 def contents(scores: DataFrame) -> DataFrame:
     """book, place and line of a table of contents: number, title and page in columns, then the total."""
     n = numbered(scores, ["book"], ["title", "score_id"])
-    line = F.concat(F.lpad(F.col("place").cast("string"), 4, " "), F.lit("  "), F.rpad("title", 30, "."), F.lpad(F.col("score_id").cast("string"), 8, " "))
+    line = F.concat(padded(F.col("place").cast("string"), 4, " ", True), F.lit("  "), padded(F.col("title"), 30, ".", False), padded(F.col("score_id").cast("string"), 8, " ", True))
     total = scores.groupBy("book").agg(F.count("*").alias("n"))
-    last = total.select("book", (F.col("n") + 1).alias("place"), F.concat(F.lit("TOTAL "), F.lpad(F.col("n").cast("string"), 8, " ")).alias("line"))
+    last = total.select("book", (F.col("n") + 1).alias("place"), F.concat(F.lit("TOTAL "), padded(F.col("n").cast("string"), 8, " ", True)).alias("line"))
     return n.select("book", "place", line.alias("line")).unionAll(last)

@@ -31,7 +31,7 @@ TYPED = SYMBOL + """, typed AS (SELECT measure_key, seq, CASE seq % 5 WHEN 0 THE
 
 def typed(spark, sf_dir):
     k, s = F.col("seq") % 5, F.col("symbol")
-    t = F.when(k == 0, F.concat(F.lower(F.left(s, F.lit(1))), F.substring(s, 2, 100))).when(k == 1, F.concat(F.lit(" "), s)).when(k == 2, F.replace(s, F.lit("x"), F.lit("m7sus"))).when(k == 3, F.replace(s, F.lit("maj7"), F.lit("Δ"))).otherwise(s)
+    t = F.when(k == 0, F.concat(F.lower(F.left(s, F.lit(1))), F.substr(s, F.lit(2)))).when(k == 1, F.concat(F.lit(" "), s)).when(k == 2, F.replace(s, F.lit("x"), F.lit("m7sus"))).when(k == 3, F.replace(s, F.lit("maj7"), F.lit("Δ"))).otherwise(s)
     return symbols(spark, sf_dir).select("measure_key", "seq", t.alias("t"))
 
 
@@ -41,7 +41,7 @@ def p12(spark, sf_dir):
     """Never fails: an unknown quality is major, one of m and 7 a minor seventh."""
     main, bass = F.split_part(F.trim("t"), F.lit("/"), F.lit(1)), F.split_part(F.trim("t"), F.lit("/"), F.lit(2))
     t = typed(spark, sf_dir).select("measure_key", "seq", main.alias("main"), bass.alias("bass")).withColumn("sign", F.substring("main", 2, 1))
-    t = t.withColumn("quality", F.substring(F.col("main"), F.when(F.col("sign").isin("#", "b"), 3).otherwise(2), F.lit(100)))
+    t = t.withColumn("quality", F.substr(F.col("main"), F.when(F.col("sign").isin("#", "b"), 3).otherwise(2)))
     other = F.when(F.col("quality").startswith("m") & F.col("quality").contains("7"), "minor-seventh").otherwise("major")
     return t.select("measure_key", "seq", F.upper(F.left("main", F.lit(1))).alias("step"), F.when(F.col("sign") == "#", 1).when(F.col("sign") == "b", -1).alias("alter_by"), music.lookup(LENIENT, F.col("quality"), other).alias("kind"), F.nullif(F.upper(F.left("bass", F.lit(1))), F.lit("")).alias("bass_step"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import music, text
-from ..operators import geometry, joins
+from ..operators import geometry, joins, tables
 from ..operators import measures as m
 from ..registry import query
 from . import core
@@ -338,7 +338,7 @@ def p26(spark, sf_dir):
 def t2(spark, sf_dir):
     """Newest first; balance stands for the time of creation."""
     s = library(spark, sf_dir).withColumn("age", -F.col("balance"))
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("book").orderBy("age", "score_id")).cast("long")).select("score_id", "place")
+    return tables.numbered(s.select("book", "age", "score_id"), ["book"], ["age", "score_id"]).select("score_id", "place")
 
 
 @query("p18_quantise", " SELECT measure_key, seq, (SELECT v FROM (VALUES (0.25), (0.5), (0.75), (1.0), (1.5), (2.0), (3.0), (4.0), (6.0), (8.0)) t(v) ORDER BY abs(duration * 0.7 - v), v LIMIT 1)::DOUBLE AS length FROM notes")

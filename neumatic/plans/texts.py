@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import music, text
 from ..operators import tables
 from ..registry import query
+from ..sources import files
 from . import core
 
 VN = ", m AS (SELECT '" + text.MARKED + "' AS marked, '" + text.FOLDED + "' AS folded, '" + text.TONELESS + "' AS toneless)"
@@ -95,7 +96,7 @@ def a12(spark, sf_dir):
 
 
 @query("k5_songbook_contents", """, p AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY title, score_id) AS place FROM scores)
-SELECT book, place, lpad(CAST(place AS VARCHAR), 4, ' ') || '  ' || rpad(title, 30, '.') || lpad(CAST(score_id AS VARCHAR), 8, ' ') AS line FROM p
+SELECT book, place, lpad(place::VARCHAR, greatest(4, length(place::VARCHAR))::INT, ' ') || '  ' || rpad(title, greatest(30, length(title))::INT, '.') || lpad(score_id::VARCHAR, greatest(8, length(score_id::VARCHAR))::INT, ' ') AS line FROM p
 UNION ALL SELECT book, count(*) + 1, 'TOTAL ' || lpad(CAST(count(*) AS VARCHAR), 8, ' ') FROM p GROUP BY book""")
 def k5(spark, sf_dir):
     """Numbered lines of each book and its total; a book is numbered in ranges of titles, each from where the one before ends."""
@@ -145,10 +146,10 @@ SELECT run_id, page, levenshtein(read, truth) AS edits, 1 - levenshtein(read, tr
 def d1(spark, sf_dir):
     """Every turn against an item, items dealt by place so that each is reached."""
     items = core.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
-    places = items.select("item_id").groupBy().agg(F.array_sort(F.collect_list("item_id")).alias("ids"))  # benchmark ids: hundreds of longs
-    b = places.select(F.posexplode("ids").alias("place", "item_id"), F.size("ids").alias("many")).join(items, "item_id")
-    c = core.runs(spark, sf_dir).select("run_id", "page", F.col("text").alias("read"))
-    j = c.join(b, F.expr("place = run_id % many"))
+    many = items.agg(F.count("*")).scalar()
+    dealt = tables.numbered(items, [], ["item_id"]).select((F.col("place") - 1).alias("place"), "truth")
+    c = core.runs(spark, sf_dir).select("run_id", "page", F.col("text").alias("read"), F.pmod("run_id", many).alias("place"))
+    j = c.join(dealt, "place")
     edits = F.levenshtein("read", "truth")
     return j.select("run_id", "page", edits.cast("long").alias("edits"), (1 - edits / F.greatest(F.length("read"), F.length("truth"), F.lit(1))).alias("accuracy"))
 
@@ -169,6 +170,16 @@ def t3(spark, sf_dir):
 
 
 @query("s4_natural_order", """, u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS name FROM pages)
-SELECT page_id, list_aggregate(list_transform(regexp_extract_all(name, '(\\d+|\\D+)', 1), lambda r: CASE WHEN regexp_full_match(r, '\\d+') THEN lpad(r, 12, '0') ELSE r END), 'string_agg', '') AS sort_key FROM u""")
+SELECT page_id, list_aggregate(list_transform(regexp_extract_all(name, '(\\d+|\\D+)', 1), lambda r: CASE WHEN regexp_full_match(r, '\\d+') THEN lpad(length(ltrim(r, '0'))::VARCHAR, 6, '0') || ltrim(r, '0') ELSE r END), 'string_agg', '') AS sort_key FROM u""")
 def s4(spark, sf_dir):
     return core.table(spark, sf_dir, "pages").select("page_id", text.natural_key(F.regexp_replace("url", "^[a-z]+://", "")).alias("sort_key"))
+
+
+@query("s4_complete_pages", """, h AS (SELECT regexp_extract(url, '//([^/]+)/', 1) AS source, page_id FROM pages),
+n AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY page_id) + CASE WHEN page_id % 50 = 7 THEN 1 ELSE 0 END AS number FROM h)
+SELECT source, count(*) AS pages, min(number) = 1 AND max(number) = count(*) AND count(DISTINCT number) = count(*) AS complete FROM n GROUP BY source""")
+def s4_complete(spark, sf_dir):
+    """Whether the pages of a host are numbered from 1 to their count; one in fifty has the number after its own."""
+    h = core.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "//([^/]+)/", 1).alias("source"), "page_id")
+    n = tables.numbered(h, ["source"], ["page_id"])
+    return files.complete_pages(n.select("source", (F.col("place") + F.when(F.col("page_id") % 50 == 7, 1).otherwise(0)).alias("number")))
