@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import music
+from ..functions import music, rational
 
 PART = ["score_id", "part_id"]
 
@@ -74,6 +74,53 @@ def renumbered(measures: DataFrame) -> DataFrame:
     return paged.withColumn("number", F.row_number().over(w).cast("long")).withColumn("local_number", F.row_number().over(Window.partitionBy(*PART, "page").orderBy("measure_idx")).cast("long"))
 
 
+def merged(entries: DataFrame, *, keys: list[str] = ("score_id",)) -> DataFrame:
+    """entries with `number` and `expected`: one numbering of a part through all pages.
+
+    entries: keys, part_id, page, nth (order within the page), local_number,
+    own_number, expected_given. On page 1 a part keeps its own numbers (a pickup
+    stays 0); on later pages each local number that is new goes on from the
+    last number the part has had, from 1 for a part that joins late. An entry
+    without expected beats has those of the part's entry before it, also from
+    the page before.
+    """
+    part = [*keys, "part_id"]
+    order = Window.partitionBy(*part).orderBy("page", "nth")
+    fresh = F.row_number().over(Window.partitionBy(*part, "page", "local_number").orderBy("nth")) == 1
+    e = entries.withColumn("_fresh", fresh)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = F.coalesce(F.last(F.when((F.col("page") == 1) & F.col("_fresh"), F.col("own_number")), ignorenulls=True).over(every), F.lit(0))
+    later = F.sum(((F.col("page") > 1) & F.col("_fresh")).cast("long")).over(upto)
+    e = e.withColumns({"_number": F.when(F.col("page") == 1, F.col("own_number")).otherwise(base + later), "expected": F.last("expected_given", ignorenulls=True).over(upto)})
+    same = Window.partitionBy(*part, "page", "local_number").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return e.withColumn("number", F.first("_number").over(same)).drop("_fresh", "_number")
+
+
+def staff_rows(notes: DataFrame, measures: DataFrame, *, keys: list[str] = ("score_id",), default_width: float = 100.0) -> DataFrame:
+    """notes with page, system, row and x on their page: the staff rows that text is matched with.
+
+    notes: keys, part_id, part_idx, measure_idx, staff, local_x; measures: keys,
+    part_id, measure_idx, new_page, new_system, width. Systems of a page count
+    from 0; a row is the system times all staves of the score, and the staves
+    of the parts before, and the staff. Measures before stand to the left in
+    their system, with `default_width` where no width is given.
+    """
+    part = [*keys, "part_id"]
+    order = Window.partitionBy(*part).orderBy("measure_idx")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    m = measures.withColumn("page", 1 + F.sum(F.col("new_page").cast("long")).over(upto))
+    page = Window.partitionBy(*part, "page").orderBy("measure_idx")
+    m = m.withColumn("system", F.sum((F.col("new_system") & ~F.col("new_page")).cast("long")).over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    system = Window.partitionBy(*part, "page", "system").orderBy("measure_idx").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("left", F.coalesce(F.sum(F.coalesce(F.col("width").cast("double"), F.lit(default_width))).over(system), F.lit(0.0)))
+    staves = notes.groupBy(*part, "part_idx").agg(F.max("staff").alias("staves"))
+    whole = Window.partitionBy(*keys)
+    staves = staves.select(*part, F.coalesce(F.sum("staves").over(whole.orderBy("part_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), F.sum("staves").over(whole).alias("all"))
+    n = notes.join(m.select(*part, "measure_idx", "page", "system", "left"), [*part, "measure_idx"]).join(staves, part)
+    return n.withColumns({"row": F.col("system") * F.col("all") + F.col("first") + F.col("staff") - 1, "x": F.col("left") + F.col("local_x")}).drop("left", "first", "all", "local_x")
+
+
 def sung(notes: DataFrame) -> DataFrame:
     """Notes of the primary voice that take lyrics: no rest, chord, grace or tie stop."""
     pitched = notes.where("not is_rest and not is_grace")
@@ -111,18 +158,15 @@ def leaps(notes: DataFrame) -> DataFrame:
 
 
 def onsets(measures: DataFrame, events: DataFrame) -> DataFrame:
-    """Onset of notes and harmonies as a reduced fraction of a beat; chord notes share the onset before them."""
+    """Onset of notes and harmonies as a reduced fraction of a beat; chord notes share the onset before them, a harmony adds its offset_ticks (if events have them)."""
     moved = with_cursor(events).join(carried(measures).select("measure_key", "divisions"), "measure_key")
     w = Window.partitionBy("measure_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     lead = F.when((F.col("kind") == "note") & ~F.col("is_chord") & ~F.col("is_grace"), F.col("before"))
     on = F.when((F.col("kind") == "note") & F.col("is_chord"), F.coalesce(F.last(lead, ignorenulls=True).over(w), F.lit(0))).otherwise(F.col("before"))
-    moved = moved.withColumn("ticks", on).where("kind in ('note', 'harmony')")
-    # the divisors of a part's divisions are few: the greatest that also divides the ticks, once per distinct pair
-    pairs = moved.select("ticks", "divisions").distinct()
-    small = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt("divisions"))), lambda d: F.col("divisions") % d == 0)
-    divisors = F.array_union(small, F.transform(small, lambda d: (F.col("divisions") / d).cast("long")))
-    pairs = pairs.withColumn("g", F.array_max(F.filter(divisors, lambda d: F.col("ticks") % d == 0)))
-    return moved.join(pairs, ["ticks", "divisions"]).select("measure_key", "seq", "kind", (F.col("ticks") / F.col("g")).cast("long").alias("num"), (F.col("divisions") / F.col("g")).cast("long").alias("den"))
+    offset = F.coalesce(F.when(F.col("kind") == "harmony", F.col("offset_ticks")), F.lit(0)) if "offset_ticks" in events.columns else F.lit(0)
+    moved = moved.withColumns({"ticks": on, "offset": offset})
+    placed = moved.where("kind in ('note', 'harmony')").withColumn("at", rational.fraction(F.col("ticks") + F.col("offset"), F.col("divisions")))
+    return placed.select("measure_key", "seq", "kind", "at.num", "at.den")
 
 
 def repaired(measures: DataFrame, events: DataFrame) -> DataFrame:

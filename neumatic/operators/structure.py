@@ -73,6 +73,47 @@ def continued(pages: DataFrame, keys: list[str]) -> DataFrame:
     return p.withColumn("chorus", F.col("able") & F.coalesce(F.bool_or("last_is_chorus").over(inside), F.lit(False))).drop("able", "chain")
 
 
+# How near a word lies to a chorus row, another to its column, and how far that one is off the row (heights of a word).
+SAME_ROW, SAME_COLUMN, OTHER_ROW = 0.6, 0.6, 0.7
+
+
+def connected(words: DataFrame, keys: list[str]) -> DataFrame:
+    """words with `section`, `reason` and `review`: choruses that go on over page breaks.
+
+    words: keys, page, seq, system, x, y, h, section_type, verse, explicit. A
+    page goes on with the chorus if the last word (the rightmost of the last
+    system) of the page just before is in it, and it has no marker of its own
+    and words of one verse only; then all of its words are chorus, and the first
+    is to be reviewed. On the page before, the row of the chorus is walked back
+    from its first word: words left of it on its height join the chorus, up to
+    the first that shares its column with a word of another row.
+    """
+    page = [*keys, "page"]
+    w = words.withColumn("_last_system", F.max("system").over(Window.partitionBy(*page)))
+    tail = F.col("system") == F.col("_last_system")
+    ends = w.groupBy(*page).agg(
+        F.max_by(F.when(tail, F.col("section_type") == "chorus"), F.when(tail, F.struct("x", -F.col("seq")))).alias("last_is_chorus"),
+        F.bool_or("explicit").alias("explicit"), F.countDistinct("verse").alias("verses"), F.min("seq").alias("_first"))
+    follows = F.coalesce(F.col("page") == F.lag("page").over(Window.partitionBy(*keys).orderBy("page")) + 1, F.lit(False))
+    pages = continued(ends.withColumn("explicit", F.col("explicit") | ~follows), keys)
+    goes_on = F.coalesce(F.lead("chorus").over(Window.partitionBy(*keys).orderBy("page")), F.lit(False))
+    pages = pages.withColumn("_goes_on", goes_on).select(*page, "chorus", "_goes_on", "_first")
+    w = w.join(pages, page)
+    chorus = F.when(F.col("_tail") & (F.col("section_type") == "chorus"), F.lit(True))
+    w = w.withColumn("_tail", tail & F.col("_goes_on") & ~F.col("chorus"))
+    row = w.where("_tail").groupBy(*page).agg(
+        F.median(F.when(chorus, F.col("y"))).alias("_y"), F.median(F.when(chorus, F.col("h"))).alias("_h"), F.min(F.when(chorus, F.col("x"))).alias("_x"),
+        F.collect_list(F.struct("x", "y")).alias("_others"))
+    near = w.where("_tail").join(row, page).where((F.abs(F.col("y") - F.col("_y")) < SAME_ROW * F.col("_h")) & (F.col("x") < F.col("_x")))
+    shared = F.exists("_others", lambda o: (F.abs(o["x"] - F.col("x")) < SAME_COLUMN * F.col("_h")) & (F.abs(o["y"] - F.col("_y")) > OTHER_ROW * F.col("_h")))
+    back = Window.partitionBy(*page).orderBy(F.desc("x"), "seq").rowsBetween(Window.unboundedPreceding, 0)
+    joined = near.withColumn("_met", F.sum(shared.cast("int")).over(back)).where("_met = 0").select(*page, "seq", F.lit(True).alias("_joined"))
+    w = w.join(joined, [*page, "seq"], "left")
+    reason = F.when(F.col("chorus"), "previous_page_chorus").when(F.col("_joined"), "single_row_tail_before_page_break")
+    review = F.when(F.col("chorus"), F.col("seq") == F.col("_first")).when(F.col("_joined"), True).otherwise(False)
+    return w.withColumns({"section": F.when(reason.isNotNull(), "chorus").otherwise(F.col("section_type")), "reason": reason, "review": review}).select(*words.columns, "section", "reason", "review")
+
+
 def title_score(height: Column, max_height: Column, text: Column, width: Column, centre: Column, page_width: Column) -> Column:
     """How much a header line looks like the title: height, capitals, width, centring."""
     return (HEIGHT * F.least(height / max_height, F.lit(1.0)) + UPPER * tx.uppercase_ratio(text) + WIDTH * F.least(width / F.greatest(page_width * TITLE_WIDTH, F.lit(1.0)), F.lit(1.0))

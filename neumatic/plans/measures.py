@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import music
@@ -112,11 +113,13 @@ def w6(spark, sf_dir):
 
 @query("w17_onsets", CARRIED + CURSOR + """, placed AS (
   SELECT m.measure_key, seq, kind, divisions, CASE WHEN kind = 'note' AND is_chord THEN coalesce(last_value(CASE WHEN kind = 'note' AND NOT is_chord AND NOT is_grace THEN cur - step_by END IGNORE NULLS)
-    OVER (PARTITION BY m.measure_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE cur - step_by END AS ticks
+    OVER (PARTITION BY m.measure_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE cur - step_by END + CASE WHEN kind = 'harmony' AND duration = 3 THEN seq ELSE 0 END AS ticks
   FROM moved m JOIN carried c ON m.measure_key = c.measure_key)
 SELECT measure_key, seq, kind, CAST(ticks / gcd(abs(CAST(ticks AS BIGINT)), divisions) AS BIGINT) AS num, CAST(divisions / gcd(abs(CAST(ticks AS BIGINT)), divisions) AS BIGINT) AS den FROM placed WHERE kind IN ('note', 'harmony')""")
 def w17(spark, sf_dir):
-    return ops.onsets(core.measures(spark, sf_dir), core.score_events(spark, sf_dir))
+    """Harmonies of three ticks have an offset, as many ticks as their place in the measure."""
+    e = core.score_events(spark, sf_dir)
+    return ops.onsets(core.measures(spark, sf_dir), e.withColumn("offset_ticks", F.when((F.col("kind") == "harmony") & (F.col("duration") == 3), F.col("seq"))))
 
 
 @query("w20_duration_repair", RHYTHM + """ SELECT measure_key, score_id, measure_idx, CASE WHEN expected > actual THEN 'pad' ELSE 'trim' END AS action,
@@ -197,3 +200,35 @@ def w4(spark, sf_dir):
     stopped = F.coalesce(F.sum(F.col("slur_stop").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.sum(F.col("slur_start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) > stopped
     return n.select("measure_key", "seq", (F.col("slurred") == 1).alias("melisma"), inside.alias("inside"), (inside & ~F.col("slur_start")).alias("continued"))
+
+
+#: A part for each staff; a part is on the pages where it has events. A first measure that is short is a pickup with the number 0.
+PART_PAGES = CARRIED + """, flags AS (SELECT *, row_number() OVER p = 1 AS is_first FROM measures WINDOW p AS (PARTITION BY score_id ORDER BY measure_idx)),
+pages AS (SELECT *, 1 + sum(CASE WHEN new_page AND NOT is_first THEN 1 ELSE 0 END) OVER (PARTITION BY score_id ORDER BY measure_idx ROWS UNBOUNDED PRECEDING) AS page FROM flags),
+starts AS (SELECT score_id, page, min(measure_idx) AS start FROM pages GROUP BY ALL),
+entries AS (SELECT DISTINCT p.score_id, 'P' || e.staff AS part_id, p.measure_key, p.measure_idx, page, p.measure_idx - start + 1 AS local_number, p.beats * 4.0 / p.beat_type AS expected_given, p.score_id % 2 AS pickup
+  FROM pages p JOIN starts USING (score_id, page) JOIN score_events e USING (measure_key))"""
+
+
+@query("w2_merged_numbers", PART_PAGES + """, f AS (SELECT *, count(*) FILTER (page > 1) OVER (PARTITION BY score_id, part_id ORDER BY measure_idx) AS later, max(CASE WHEN page = 1 THEN local_number - pickup END) OVER (PARTITION BY score_id, part_id) AS base FROM entries)
+SELECT measure_key, part_id, page, CASE WHEN page = 1 THEN local_number - pickup ELSE coalesce(base, 0) + later END AS number, last_value(expected_given IGNORE NULLS) OVER (PARTITION BY score_id, part_id ORDER BY measure_idx ROWS UNBOUNDED PRECEDING) AS expected FROM f""")
+def w2_merged(spark, sf_dir):
+    """Measures of each part numbered through its pages; scores of odd number begin with a pickup, 0."""
+    m = ops.layout(core.measures(spark, sf_dir)).withColumn("start", F.min("measure_idx").over(Window.partitionBy("score_id", "page")))
+    parts = core.score_events(spark, sf_dir).select("measure_key", F.concat(F.lit("P"), "staff").alias("part_id")).distinct()
+    local = F.col("measure_idx") - F.col("start") + 1
+    e = m.drop("part_id").join(parts, "measure_key").select("score_id", "part_id", "measure_key", "page", F.col("measure_idx").alias("nth"), local.alias("local_number"), (local - F.col("score_id") % 2).alias("own_number"), music.expected_beats(F.col("beats"), F.col("beat_type")).alias("expected_given"))
+    return ops.merged(e).select("measure_key", "part_id", "page", "number", "expected")
+
+
+@query("w3_staff_rows", """, flags AS (SELECT *, 1 + sum(CASE WHEN new_page THEN 1 ELSE 0 END) OVER (PARTITION BY score_id ORDER BY measure_idx ROWS UNBOUNDED PRECEDING) AS page FROM measures),
+systems AS (SELECT *, sum(CASE WHEN new_system AND NOT new_page THEN 1 ELSE 0 END) OVER (PARTITION BY score_id, page ORDER BY measure_idx ROWS UNBOUNDED PRECEDING) AS system FROM flags),
+lefts AS (SELECT *, coalesce(sum(coalesce(width, 100)) OVER (PARTITION BY score_id, page, system ORDER BY measure_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_ FROM systems),
+n AS (SELECT score_id, measure_key, seq, voice AS part_idx, staff, x FROM notes), staves AS (SELECT score_id, part_idx, max(staff) AS staves FROM n GROUP BY ALL),
+s AS (SELECT *, coalesce(sum(staves) OVER (PARTITION BY score_id ORDER BY part_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(staves) OVER (PARTITION BY score_id) AS all_ FROM staves)
+SELECT measure_key, seq, page, system, CAST(system * all_ + before + staff - 1 AS BIGINT) AS row, left_ + x AS x FROM n JOIN lefts USING (score_id, measure_key) JOIN s USING (score_id, part_idx)""")
+def w3_rows(spark, sf_dir):
+    """Staff rows of notes; each voice is a part with its own staves."""
+    n = core.notes(spark, sf_dir).select("score_id", F.concat(F.lit("P"), "voice").alias("part_id"), F.col("voice").alias("part_idx"), "measure_key", "measure_idx", "seq", "staff", F.col("x").alias("local_x"))
+    m = core.measures(spark, sf_dir).select("score_id", F.explode(F.array(F.lit("P1"), F.lit("P2"))).alias("part_id"), "measure_idx", "new_page", "new_system", "width")
+    return ops.staff_rows(n, m).select("measure_key", "seq", "page", "system", F.col("row").cast("long").alias("row"), "x")

@@ -100,6 +100,14 @@ def w14(spark, sf_dir):
     return ops.continued(pages, ["score_id"]).select("score_id", "page", "chorus")
 
 
+@query("w14_connected_sections")
+def w14_connected(spark, sf_dir):
+    """Words of a page (two systems of two lines) with the choruses that go on over page breaks, in counts by page and reason."""
+    p, line = F.col("pos") % 32, F.col("line")
+    t = core.tokens(spark, sf_dir).select("score_id", "page", F.col("pos").alias("seq"), F.floor(p / 16).alias("system"), F.col("x").cast("double").alias("x"), (20.0 * (line % 4)).alias("y"), F.lit(12.0).alias("h"), F.when((line % 5 == 4) | (F.length("text") % 3 == 0), "chorus").otherwise("verse").alias("section_type"), F.when(F.col("page") % 2 == 1, 1).otherwise(F.col("verse")).alias("verse"), (F.length("text") > 13).alias("explicit"))
+    return ops.connected(t, ["score_id"]).groupBy("score_id", "page", "section", "reason").agg(F.count("*").alias("words"), F.count_if("review").alias("to_review"))
+
+
 @query("w8_pickup_flag", CARRIED + ", d AS (SELECT e.measure_key, sum(duration) AS total FROM score_events e WHERE kind = 'note' GROUP BY ALL) SELECT c.measure_key, total > 0 AND total < coalesce(beats, 4) * 4 AS implicit FROM carried c JOIN d USING (measure_key) WHERE measure_idx = 1")
 def w8(spark, sf_dir):
     """First measures shorter than their meter at four divisions (the editor's fixed assumption)."""
