@@ -212,7 +212,7 @@ def d8(spark, sf_dir):
 HEADS = """, heads AS (SELECT score_id, line, CASE line % 6 WHEN 0 THEN (1 + score_id % 900) || ' ' || upper(body) WHEN 1 THEN 'Nhạc: ' || body WHEN 2 THEN 'Lời: ' || body WHEN 3 THEN 'Dịch: ' || body WHEN 4 THEN 'Ghi chú: ' || body ELSE body || ' — ' || left(body, 10) || ' ' || (1 + line % 150) || ':' || (1 + score_id % 30) END AS t
   FROM (SELECT score_id, line, string_agg(regexp_replace(text, '[^a-zA-Z]', '', 'g'), ' ' ORDER BY pos) AS body FROM tokens WHERE line < 60 GROUP BY ALL))""".replace(" WHERE line < 60", "")
 # Fixed patterns: creator prefixes with their roles, a scripture reference at the end, a leading number.
-PREFIXES = {"composer": r"^(?:Nhạc|Music|Composer)\s*:\s*", "translator": r"^(?:Dịch|Lời dịch|Lời Việt|LV|Phỏng dịch|PD|Translator)\s*:\s*", "lyricist": r"^(?:Lời|Lyrics|Lyricist)\s*:\s*", "note": r"^(?:Chú thích|Ghi chú|Note)\s*:\s*"}
+PREFIXES = {"composer": r"^(?:Nhạc|Music|Composer)\s*:\s*", "lyricist": r"^(?:Lời|Lyrics|Lyricist)\s*:\s*", "translator": r"^(?:Dịch|Lời dịch|Lời Việt|LV|Phỏng dịch|PD|Translator)\s*:\s*", "note": r"^(?:Chú thích|Ghi chú|Note)\s*:\s*"}
 SCRIPTURE = r"""((?:[1-3I]{1,3}\s+)?[^—–,:]{2,24}\s+\d{1,3}:\d{1,3})\s*[”"']?\s*$"""
 LEADING = r"^(#?\d{1,4}[A-Za-z]?)\s+(\S.*)$"
 
