@@ -80,6 +80,24 @@ def chord_parts(text: Column) -> Column:
     return F.when(s.rlike(pattern), F.struct(part(1).alias("step"), alter(part(2)).alias("alter"), lookup(KINDS, part(3)).alias("kind"), F.nullif(part(4), F.lit("")).alias("bass_step"), alter(part(5)).alias("bass_alter")))
 
 
+def chord_struct(text: Column) -> Column:
+    """chord_parts() with `degrees` (value, alter, type); null for a quality that leaves something unread.
+
+    A quality that is no known one is a known one with additions (add9) and
+    alterations (#5, b9) behind it.
+    """
+    pattern = r"^[A-G][#b]?([^/]*)(?:/[A-G][#b]?)?$"
+    quality = F.regexp_extract(F.translate(F.trim(text), "♯♭", "#b"), pattern, 1)
+    split = r"^(.*?)((?:(?:add|[#b])\d+)*)$"
+    whole = lookup(KINDS, quality)
+    kind = F.coalesce(whole, lookup(KINDS, F.regexp_extract(quality, split, 1)))
+    marks = F.regexp_extract_all(F.when(whole.isNull(), F.regexp_extract(quality, split, 2)).otherwise(""), F.lit(r"(?:add|[#b])\d+"), F.lit(0))
+    sign = lambda d: F.left(d, F.lit(1))
+    degree = lambda d: F.struct(F.regexp_extract(d, r"(\d+)$", 1).cast("int").alias("value"), F.when(sign(d) == "#", 1).when(sign(d) == "b", -1).otherwise(0).alias("alter"), F.when(sign(d) == "a", "add").otherwise("alter").alias("type"))
+    c = chord_parts(text)
+    return F.when(c.isNotNull() & kind.isNotNull(), F.struct(c["step"].alias("step"), c["alter"].alias("alter"), kind.alias("kind"), c["bass_step"].alias("bass_step"), c["bass_alter"].alias("bass_alter"), F.transform(marks, degree).alias("degrees")))
+
+
 def chord_text(chord: Column) -> Column:
     """A chord struct of chord_parts() as text: root, sign, the first quality of its kind, bass."""
     sign = lambda a: F.when(a == 1, "♯").when(a == -1, "♭").otherwise("")

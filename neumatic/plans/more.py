@@ -78,6 +78,90 @@ def k4(spark, sf_dir):
     return j.select("score_id", F.concat(line("title", F.col("title")), line("book", F.col("book")), line("time", meter), F.lit("\n"), "sheet").alias("song"))
 
 
+# The line under a heading; key names by fifths.
+RULE = "═" * 59
+MOVED_SQL = "['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][(instr('C.D.EF.G.A.B', left({0}, 1)) - 1 + CASE WHEN {0}[2:2] = '#' THEN 1 WHEN {0}[2:2] = 'b' THEN -1 ELSE 0 END + 2 + 12) % 12 + 1]"
+#: Chords (two semitones higher) and words of each measure, and the heading of each score.
+TEXTS = SYMBOL.replace("SELECT measure_key, seq,", "SELECT score_id, measure_idx, measure_key, seq,") + CARRIED + f""", per AS (SELECT score_id, count(*) AS n FROM measures GROUP BY ALL),
+mw AS (SELECT t.score_id, 1 + pos % n AS measure_idx, string_agg(trim(text), ' ' ORDER BY pos) AS words FROM tokens t JOIN per USING (score_id) WHERE trim(text) <> '' GROUP BY ALL),
+mc AS (SELECT score_id, measure_idx, string_agg('[' || {MOVED_SQL.format('symbol')} || regexp_extract(symbol, '^[A-G][#b]?([^/]*)', 1) || CASE WHEN contains(symbol, '/') THEN '/A' ELSE '' END || ']', ' ' ORDER BY seq) AS chords FROM sym GROUP BY ALL),
+cells AS (SELECT m.score_id, m.measure_idx, coalesce(chords, '') AS chords, coalesce(words, '') AS words FROM measures m LEFT JOIN mw USING (score_id, measure_idx) LEFT JOIN mc USING (score_id, measure_idx)),
+keys AS (SELECT score_id, ['Cb', 'Gb', 'Db', 'Ab', 'Eb', 'Bb', 'F', 'C', 'G', 'D', 'A', 'E', 'B', 'F#', 'C#'][fifths + 8] AS k, coalesce(beats, 4) || '/' || coalesce(beat_type, 4) AS meter FROM carried WHERE measure_idx = 1),
+heads AS (SELECT score_id, title, 'Composer ' || nation AS composer, {MOVED_SQL.format('k')} AS tone, meter FROM keys JOIN scores USING (score_id)),
+headings AS (SELECT *, '[' || upper(title) || ']' || chr(10) || 'Sáng tác: ' || composer || chr(10) || 'Tone: [' || tone || '] - Nhịp: ' || meter || chr(10) || '{RULE}' || chr(10) || chr(10) AS heading FROM heads),
+inline_ AS (SELECT score_id, line, trim(string_agg(concat_ws(' ', nullif(chords, ''), nullif(words, '')), ' ' ORDER BY measure_idx) FILTER (chords <> '' OR words <> '')) AS v FROM
+  (SELECT *, coalesce(sum(CASE WHEN measure_idx % 4 = 0 OR regexp_matches(words, '[.!]$') THEN 1 ELSE 0 END) OVER (PARTITION BY score_id ORDER BY measure_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM cells) GROUP BY ALL),
+body AS (SELECT score_id, string_agg(coalesce(v, ''), chr(10) ORDER BY line) AS v FROM inline_ GROUP BY ALL)"""
+
+
+def sheet_cells(spark, sf_dir, by=2):
+    """score_id, measure_idx, chords (moved by semitones, in brackets), words."""
+    t, ms = core.tokens(spark, sf_dir), core.measures(spark, sf_dir)
+    listed = lambda order, v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, v.alias("v")))), lambda x: x["v"]), " ")
+    n = ms.groupBy("score_id").agg(F.count("*").alias("n"))
+    words = t.where(F.trim("text") != "").join(n, "score_id").groupBy("score_id", (1 + F.col("pos") % F.col("n")).alias("measure_idx")).agg(listed("pos", F.trim("text")).alias("words"))
+    chord = F.concat(F.lit("["), music.transposed_symbol(F.col("symbol"), by), F.lit("]"))
+    chords = symbols(spark, sf_dir).groupBy("measure_key").agg(listed("seq", chord).alias("chords"))
+    return ms.select("score_id", "measure_idx", "measure_key").join(words, ["score_id", "measure_idx"], "left").join(chords, "measure_key", "left").na.fill("", ["words", "chords"]).drop("measure_key")
+
+
+def headings(spark, sf_dir, by=2):
+    """score_id, title, composer, tone, meter."""
+    c = m.carried(core.measures(spark, sf_dir)).where("measure_idx = 1")
+    tone = music.transposed_symbol(F.get(F.array(*map(F.lit, music.KEYS)), (F.col("fifths") + 7).cast("int")), by)
+    meter = F.concat(F.coalesce("beats", F.lit(4)), F.lit("/"), F.coalesce("beat_type", F.lit(4)))
+    return c.join(core.scores(spark, sf_dir), "score_id").select("score_id", "title", F.concat(F.lit("Composer "), "nation").alias("composer"), tone.alias("tone"), meter.alias("meter"))
+
+
+def heading():
+    return F.concat(F.lit("["), F.upper("title"), F.lit("]\nSáng tác: "), "composer", F.lit("\nTone: ["), "tone", F.lit("] - Nhịp: "), "meter", F.lit(f"\n{RULE}\n\n"))
+
+
+def joined_lines(order, value, sep):
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value.alias("v")))), lambda x: x["v"]), sep)
+
+
+def inline_body(cells):
+    """A line ends after every fourth measure, and after words that end in . or !; a line may be empty."""
+    ends = (F.col("measure_idx") % 4 == 0) | F.col("words").rlike("[.!]$")
+    before = Window.partitionBy("score_id").orderBy("measure_idx").rowsBetween(Window.unboundedPreceding, -1)
+    c = cells.withColumn("line", F.coalesce(F.sum(ends.cast("long")).over(before), F.lit(0)))
+    both = F.concat_ws(" ", F.nullif("chords", F.lit("")), F.nullif("words", F.lit("")))
+    lines = c.groupBy("score_id", "line").agg(F.trim(F.array_join(F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("measure_idx", F.nullif(both, F.lit("")).alias("v")))), lambda x: x["v"])), " ")).alias("v"))
+    return lines.groupBy("score_id").agg(joined_lines("line", F.col("v"), "\n").alias("body"))
+
+
+@query("k3_lead_sheet_text", TEXTS + " SELECT score_id, rtrim(heading || v, ' ' || chr(10)) AS sheet FROM headings JOIN body USING (score_id)")
+def k3_text(spark, sf_dir):
+    """Lead sheet two semitones higher, chords within the words."""
+    return inline_body(sheet_cells(spark, sf_dir)).join(headings(spark, sf_dir), "score_id").select("score_id", F.rtrim(F.concat(heading(), "body"), F.lit(" \n")).alias("sheet"))
+
+
+@query("k3_lead_sheet_text_above", TEXTS + """, filled AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(words, '[.!,]$') THEN 1 ELSE 0 END) OVER (PARTITION BY score_id ORDER BY measure_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM cells WHERE chords <> '' OR words <> ''),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY score_id, part ORDER BY measure_idx) - 1) // 4 AS four FROM filled),
+two AS (SELECT score_id, min(measure_idx) AS begin_, string_agg(CASE WHEN chords = '' THEN repeat(' ', greatest(4, length(words))) ELSE chords END, '  ' ORDER BY measure_idx) || chr(10) || string_agg(CASE WHEN words = '' THEN repeat(' ', greatest(4, length(chords))) ELSE words END, ' ' ORDER BY measure_idx) AS v FROM placed GROUP BY score_id, part, four),
+t AS (SELECT score_id, string_agg(v, chr(10) || chr(10) ORDER BY begin_) AS v FROM two GROUP BY score_id)
+SELECT score_id, rtrim(heading || coalesce(v, ''), ' ' || chr(10)) AS sheet FROM headings LEFT JOIN t USING (score_id)""")
+def k3_text_above(spark, sf_dir):
+    """Chords above the words: a line of each for four measures that have something, or up to words that end in . ! or ,"""
+    c = sheet_cells(spark, sf_dir).where("chords <> '' or words <> ''")
+    order = Window.partitionBy("score_id").orderBy("measure_idx")
+    c = c.withColumn("part", F.coalesce(F.sum(F.col("words").rlike("[.!,]$").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    c = c.withColumn("four", F.floor((F.row_number().over(Window.partitionBy("score_id", "part").orderBy("measure_idx")) - 1) / 4))
+    blank = lambda own, other: F.when(F.col(own) == "", F.repeat(F.lit(" "), F.greatest(F.lit(4), F.length(other)))).otherwise(F.col(own))
+    two = c.groupBy("score_id", "part", "four").agg(F.min("measure_idx").alias("at"), F.concat(joined_lines("measure_idx", blank("chords", "words"), "  "), F.lit("\n"), joined_lines("measure_idx", blank("words", "chords"), " ")).alias("v"))
+    body = two.groupBy("score_id").agg(joined_lines("at", F.col("v"), "\n\n").alias("body"))
+    return headings(spark, sf_dir).join(body, "score_id", "left").select("score_id", F.rtrim(F.concat(heading(), F.coalesce("body", F.lit(""))), F.lit(" \n")).alias("sheet"))
+
+
+@query("k4_chordpro_text", TEXTS + """ SELECT score_id, '{title: ' || title || '}' || chr(10) || '{composer: ' || composer || '}' || chr(10) || '{key: ' || tone || '}' || chr(10) || '{time: ' || meter || '}' || chr(10) || chr(10) || rtrim(heading || v, ' ' || chr(10)) AS song FROM headings JOIN body USING (score_id)""")
+def k4_text(spark, sf_dir):
+    """Directives, then the lead sheet."""
+    j = inline_body(sheet_cells(spark, sf_dir)).join(headings(spark, sf_dir), "score_id")
+    line = lambda name, c: F.concat(F.lit(f"{{{name}: "), c, F.lit("}\n"))
+    return j.select("score_id", F.concat(line("title", "title"), line("composer", "composer"), line("key", "tone"), line("time", "meter"), F.lit("\n"), F.rtrim(F.concat(heading(), "body"), F.lit(" \n"))).alias("song"))
+
+
 #: Variant of a score: which events it keeps.
 VARIANTS = {"full": "true", "notation": "kind <> 'lyric'", "strict_notation": "kind NOT IN ('lyric', 'harmony')", "lyrics_only": "kind = 'lyric'", "chords_only": "kind = 'harmony'"}
 EVENTS_AND_LYRICS = ", all_events AS (SELECT score_id, kind, measure_key AS place, seq AS n FROM score_events UNION ALL SELECT score_id, 'lyric', line, pos FROM tokens)"

@@ -67,6 +67,21 @@ def p11(spark, sf_dir):
     return symbols(spark, sf_dir).select("measure_key", "seq", music.chord_parts(F.col("symbol")).alias("c")).select("measure_key", "seq", "c.step", F.col("c.alter").alias("alter_by"), "c.kind", F.col("c.bass_step").alias("bass"))
 
 
+#: Symbols with additions and alterations behind their quality; every fourth has something that cannot be read.
+RICH = SYMBOL + """, rich AS (SELECT measure_key, seq, regexp_replace(symbol, '^([A-G][#b]?[^/]*)', '\\1' || ['', 'add9', 'b5#9', 'b9y'][1 + seq % 4]) AS symbol FROM sym),
+q AS (SELECT *, regexp_extract(symbol, '^[A-G][#b]?([^/]*)', 1) AS quality FROM rich), b AS (SELECT *, CASE WHEN seq % 4 = 0 THEN quality ELSE regexp_replace(quality, '(add9|b5#9|b9y)$', '') END AS base FROM q)"""
+
+
+@query("p11_chord_degrees", RICH + """ SELECT measure_key, seq, symbol, CASE WHEN seq % 4 < 3 THEN CASE base WHEN '' THEN 'major' WHEN 'm' THEN 'minor' WHEN '7' THEN 'dominant' WHEN 'maj7' THEN 'major-seventh' WHEN 'sus4' THEN 'suspended-fourth' END END AS kind,
+  CASE WHEN seq % 4 < 3 AND base IN ('', 'm', '7', 'maj7', 'sus4') THEN ['', '9:0:add', '5:-1:alter,9:1:alter', ''][1 + seq % 4] END AS degrees FROM b""")
+def p11_degrees(spark, sf_dir):
+    """Kind and degrees of symbols; neither for those that need review."""
+    more = F.element_at(F.array(*map(F.lit, ["", "add9", "b5#9", "b9y"])), (F.col("seq") % 4 + 1).cast("int"))
+    parts = lambda i: F.regexp_extract("symbol", r"^([A-G][#b]?[^/]*)(.*)$", i)
+    rich = symbols(spark, sf_dir).select("measure_key", "seq", F.concat(parts(1), more, parts(2)).alias("symbol")).withColumn("c", music.chord_struct(F.col("symbol")))
+    return rich.select("measure_key", "seq", "symbol", F.col("c.kind").alias("kind"), F.array_join(F.transform("c.degrees", lambda d: F.concat_ws(":", d["value"], d["alter"], d["type"])), ",").alias("degrees"))
+
+
 @query("p9_transpose_symbol", SYMBOL + """, p AS (SELECT *, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'] AS names, (instr('C.D.EF.G.A.B', left(symbol, 1)) - 1 + CASE regexp_extract(symbol, '^[A-G]([#b]?)', 1) WHEN '#' THEN 1 WHEN 'b' THEN -1 ELSE 0 END + 3 + 12) % 12 AS root FROM sym)
 SELECT measure_key, seq, names[root + 1] || regexp_extract(symbol, '^[A-G][#b]?([^/]*)', 1) || CASE WHEN contains(symbol, '/') THEN '/' || names[(7 + 3) % 12 + 1] ELSE '' END AS symbol FROM p""")
 def p9(spark, sf_dir):
