@@ -174,9 +174,13 @@ class Lattices:
         self.first = np.zeros(n + 1, np.int64)
         new = np.flatnonzero(np.r_[True, source[1:] != source[:-1]][: len(source)])
         self.first[self.source[new]] = new
-        mass = np.r_[0.0, np.cumsum(np.exp(self.logq))]
         fan = np.diff(np.r_[new, len(source)])
-        self.below = mass[1:] - np.repeat(mass[new], fan)
+        self.below = np.exp(self.logq)
+        more, nth = new[fan > 1], 1
+        while len(more):  # summed node by node, so that it does not depend on what else is in the slice
+            self.below[more + nth] += self.below[more + nth - 1]
+            nth += 1
+            more = more[self.fan[self.source[more]] > nth]
         if len(new):
             self.below[new + fan - 1] = 1.0
         with np.errstate(divide="ignore"):
@@ -184,13 +188,65 @@ class Lattices:
         self.rest[np.repeat(fan, fan) == 1] = -np.inf
 
 
+class Known:
+    """Lattices of the pre-tokens that a task has met, each built once; begun anew when there are more than `most` symbols.
+
+    The arrays are those of Lattices, with room at their end.
+    """
+
+    EDGES = {"source": np.int32, "target": np.int32, "piece": np.int32, "logq": np.float64, "below": np.float64, "rest": np.float64}
+    NODES = {"fan": np.int32, "first": np.int32}
+
+    def __init__(self, pieces: Pieces, most: int = 1 << 20):
+        self.pieces, self.most = pieces, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.starts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.n_edges, self.n_nodes = 0, 1
+        for name, kind in (self.EDGES | self.NODES).items():
+            setattr(self, name, np.zeros(1 << 10, kind))
+
+    def _append(self, names: dict, used: int, values: dict) -> None:
+        for name in names:
+            have, own = getattr(self, name), values[name]
+            if used + len(own) > len(have):
+                have = np.concatenate([have[:used], np.zeros(used + 2 * len(own), have.dtype)])
+                setattr(self, name, have)
+            have[used : used + len(own)] = own
+
+    def nodes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, marked: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The first node of each pre-token. Nodes given before hold until the next call."""
+        if self.n_nodes > self.most:
+            self._clear()
+        lead, inverse = distinct(h)
+        own = h[lead]
+        at = np.searchsorted(self.hashes, own)
+        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != own) if len(self.hashes) else np.arange(len(own))
+        if len(new):
+            fresh = lead[new]
+            lat = Lattices(self.pieces, data, start[fresh], end[fresh], marked[fresh])
+            up = self.n_nodes - 1
+            values = {"source": lat.source + up, "target": np.where(lat.target, lat.target + up, 0), "first": lat.first[1:] + self.n_edges, "fan": lat.fan[1:]}
+            self._append(self.EDGES, self.n_edges, values | {name: getattr(lat, name) for name in ("piece", "logq", "below", "rest")})
+            self._append(self.NODES, self.n_nodes, values)
+            begin = lat.begin + 1 + up
+            self.n_edges += len(lat.source)
+            self.n_nodes += len(lat.fan) - 1
+            order = np.argsort(own[new])
+            self.hashes, self.starts = np.insert(self.hashes, at[new][order], own[new][order]), np.insert(self.starts, at[new][order], begin[order])
+            at = np.searchsorted(self.hashes, own)
+        return self.starts[at][inverse]
+
+
 def _uniform(h: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1) from 64-bit hashes."""
     return ((mix(h) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def _walk(lat: Lattices, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draw a path from each node to its end: (walker, step, edge) in walking order per walker."""
+def _walk(lat: Lattices | Known, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Draw a path from each node to its end: (walker, edge) in walking order per walker."""
+    walkers = len(node)
     who, out, step = np.flatnonzero(node != 0), [], 0
     node = node[who]
     while len(who):
@@ -200,15 +256,19 @@ def _walk(lat: Lattices, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray
         while len(open_):
             edge[open_] += 1
             open_ = open_[(lat.below[edge[open_]] < u[open_]) & (edge[open_] < last[open_])]
-        out.append((who, np.full(len(who), step), edge))
+        out.append((who, edge))
         node = lat.target[edge]
         live = np.flatnonzero(node)
         who, node, step = who[live], node[live], step + 1
     if not out:
-        return (np.empty(0, np.int64),) * 3
-    who, steps, edge = (np.concatenate(x) for x in zip(*out))
-    order = np.argsort(who, kind="stable")
-    return who[order], steps[order], edge[order]
+        return (np.empty(0, np.int64),) * 2
+    steps = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
+    who, edge = (np.concatenate(x) for x in zip(*out))
+    count = np.bincount(who, minlength=walkers)
+    place = (np.cumsum(count) - count)[who] + steps
+    in_order = np.empty_like(edge)
+    in_order[place] = edge
+    return np.repeat(np.arange(walkers), count), in_order
 
 
 def _cut_gumbel(mass: np.ndarray, bound: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -230,7 +290,7 @@ class _Text:
         self.bounds, self.offset, self.taken = [], [], []
 
 
-def sample_slice(lat: Lattices, start_node: np.ndarray, row: np.ndarray, seeds: np.ndarray, k: int):
+def sample_slice(lat: Lattices | Known, start_node: np.ndarray, row: np.ndarray, seeds: np.ndarray, k: int):
     """For each row: list of (edges, log p, perturbed score), and the (k+1)-th score or None.
 
     start_node: of each pre-token in order; row: its row; seeds: per row.
@@ -258,7 +318,7 @@ def sample_slice(lat: Lattices, start_node: np.ndarray, row: np.ndarray, seeds:
         nodes = start_node[place]
         nodes[(np.cumsum(count) - count)[lead]] = rest_node[lead]
         in_row = (place - token_at[slots[owner]]).astype(np.uint64)
-        who, _, edge = _walk(lat, nodes, own[owner] + in_row * np.uint64(0xD1B54A32D192ED03))
+        who, edge = _walk(lat, nodes, own[owner] + in_row * np.uint64(0xD1B54A32D192ED03))
         slot_of, place, logq = owner[who], place[who], lat.logq[edge]
         at = np.searchsorted(slot_of, np.arange(len(todo) + 1))
         so_far, keep = np.array([t[6] for t in todo]), np.array([t[4] + (t[5] >= 0) for t in todo])
@@ -270,7 +330,7 @@ def sample_slice(lat: Lattices, start_node: np.ndarray, row: np.ndarray, seeds:
         noise = mix(own ^ np.uint64(0x3C6EF372FE94F82B))[slot_of] + position * np.uint64(0xEB44ACCAB455D165)
         bounds = _cut_gumbel(others, np.array([t[2] for t in todo])[slot_of], noise)
         choice = _uniform(mix(own + np.uint64(7)))
-        following = []
+        following, remaining = [], []
         ends = at.tolist()
         for slot, (i, _, g, path, branch, chosen, _) in enumerate(todo):
             t, a, b = texts[i], ends[slot], ends[slot + 1]
@@ -306,12 +366,14 @@ def sample_slice(lat: Lattices, start_node: np.ndarray, row: np.ndarray, seeds:
             new = free[min(int(np.searchsorted(np.cumsum(q), choice[slot] * q.sum())), len(free) - 1)]
             taken.add(new)
             left = [e for e in free if e != new]
+            t.bounds[s][j] = -np.inf
             if left:
-                mass_left = np.array([prefix + np.log(np.exp(lat.logq[left]).sum())])
-                t.bounds[s][j] = _cut_gumbel(mass_left, np.array([best]), mix(own[slot : slot + 1] + np.uint64(11)))[0]
-            else:
-                t.bounds[s][j] = -np.inf
+                remaining.append((t.bounds[s], j, prefix + float(np.log(np.exp(lat.logq[left]).sum())), best, slot))
             following.append((i, int(t.tokens[s][branch]) + 1, best, s, branch, new, prefix + float(lat.logq[new])))
+        if remaining:
+            cut = _cut_gumbel(np.array([r[2] for r in remaining]), np.array([r[3] for r in remaining]), mix(own[[r[4] for r in remaining]] + np.uint64(11)))
+            for (bounds, j, *_), g in zip(remaining, cut):
+                bounds[j] = g
         todo = following
     return result, kappa
 
@@ -333,12 +395,11 @@ def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
         pieces = Pieces(v)
+        lat = Known(pieces)
         for batch in batches:
             for first, end, data, offsets in slices(batch.column("text"), 1 << 19):
                 s, e, row, marked, h = pretokens(data, offsets)
-                lead, inverse = distinct(h)
-                lat = Lattices(pieces, data, s[lead], e[lead], marked[lead])
-                nodes = lat.begin[inverse] + 1
+                nodes = lat.nodes(data, s, e, marked, h)
                 raw = memoryview(data)
                 seeds = batch.column("seed").slice(first, end - first).to_numpy().view(np.uint64).copy()
                 found, kappa = sample_slice(lat, nodes, row, mix(seeds), k)

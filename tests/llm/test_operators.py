@@ -490,6 +490,54 @@ def test_sampling_without_replacement_is_unbiased():
         assert abs(first[path] / n - p) < 4 * (p * (1 - p) / n) ** 0.5 + 1e-3
 
 
+def segmentations(word, v):
+    """Every segmentation of a symbol string as (piece ids, log-probability); a symbol in no piece is spelt in bytes."""
+    if not word:
+        return [((), 0.0)]
+    heads = [(n, (v.pieces[word[:n]][0],), v.pieces[word[:n]][1]) for n in range(1, len(word) + 1) if word[:n] in v.pieces]
+    if word[0] not in v.pieces:
+        spelt = ("▁" if word[0] == "\uffff" else word[0]).encode()
+        heads.append((1, tuple(v.byte_ids[b] for b in spelt), len(spelt) * v.byte_score))
+    return [(ids + rest, score + more) for n, ids, score in heads for rest, more in segmentations(word[n:], v)]
+
+
+def test_sampling_scores_equal_enumeration(spark):
+    texts = ["the", "an ox", "ngày", "▁x 🙂", "", "a  b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    v = Vocabulary.load()
+    words = [["▁the"], ["▁an", "▁ox"], ["▁ngày"], ["▁\uffffx", "▁🙂"], [], ["▁a", "▁", "▁b"]]
+    for k in (3, 60):
+        rows = sampling.sample(docs, k=k).collect()
+        for i, parts in enumerate(words):
+            every = [((), 0.0)]
+            for w in parts:
+                every = [(a + ids, p + q) for a, p in every for ids, q in segmentations(w, v)]
+            total = np.logaddexp.reduce([p for _, p in every])
+            known = {ids: p - total for ids, p in every}
+            own = [r for r in rows if r["doc_id"] == i]
+            assert len(own) == min(k, len(known)) and len({tuple(r["ids"]) for r in own}) == len(own)
+            for r in own:
+                assert abs(known[tuple(r["ids"])] - r["log_prob"]) < 1e-6
+                assert (r["inclusion"] == 1.0) if len(known) <= k else (0 < r["inclusion"] <= 1)
+
+
+def test_sampling_known_lattices_begun_anew():
+    v = Vocabulary.load()
+    pieces = sampling.Pieces(v)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abngàệ▁") for _ in range(rng.randint(1, 9))) for _ in range(40)).encode() for _ in range(12)]
+    results = []
+    for most in (1, 300, 1 << 20):
+        known, out = sampling.Known(pieces, most), []
+        for i, t in enumerate(texts):
+            data = np.frombuffer(t, np.uint8)
+            s, e, row, m, h = sampling.pretokens(data, np.array([0, len(data)]))
+            found, kappa = sampling.sample_slice(known, known.nodes(data, s, e, m, h), row, sampling.mix(np.array([i], np.uint64)), 4)
+            out.append([(known.piece[p[0]].tolist(), p[1], p[2]) for p in found[0]] + kappa)
+        results.append(out)
+    assert results[0] == results[1] == results[2]
+
+
 def test_language_held_out_accuracy(spark):
     import pyarrow.parquet as pq
 
