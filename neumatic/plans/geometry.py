@@ -229,12 +229,12 @@ def p34(spark, sf_dir):
     return core.tokens(spark, sf_dir).groupBy("score_id").agg(F.count_if((F.trim("text") != "") & (100 * F.col("confidence") - 50 >= 20)).alias("usable"), F.count_if(F.col("confidence") < 0.65).alias("suspicious"))
 
 
-@query("j16_latest_run", """, r AS (SELECT run_id, page, engine, text, md5(left(text, 3)) AS hash, length(text) AS finished FROM runs), l AS (SELECT run_id, hash, arg_max(page, {'f': finished, 'p': page}) AS page FROM r WHERE engine <> 'system' GROUP BY ALL),
+@query("j16_latest_run", """, r AS (SELECT run_id, page, engine, text, md5(text) AS hash, length(text) AS finished FROM runs), l AS (SELECT run_id, hash, arg_max(page, {'f': finished, 'p': page}) AS page FROM r WHERE engine <> 'system' GROUP BY ALL),
 n AS (SELECT run_id, page, unnest(range(0, length(text) // 40 + 1)) AS k FROM r), s AS (SELECT l.run_id, l.hash, count(DISTINCT k // 3) AS sources, min(k // 3) AS source FROM l JOIN n USING (run_id, page) WHERE k * 40 % 200 BETWEEN 20 AND 160 GROUP BY ALL)
 SELECT run_id, hash, source FROM s WHERE sources = 1""")
 def j16(spark, sf_dir):
     """Latest run of the same page hash, and the one measure that its note positions inside the box come from."""
-    r = core.runs(spark, sf_dir).withColumns({"hash": F.md5(F.left("text", F.lit(3))), "finished": F.length("text")})
+    r = core.runs(spark, sf_dir).withColumns({"hash": F.md5("text"), "finished": F.length("text")})
     latest = r.where("engine <> 'system'").groupBy("run_id", "hash").agg(F.max_by("page", F.struct("finished", "page")).alias("page"))
     notes = r.select("run_id", "page", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 40).cast("int"))).alias("k"))
     inside = latest.join(notes, ["run_id", "page"]).where((F.col("k") * 40 % 200).between(20, 160))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import accuracy
 from ..operators import ledger as ops
 from ..operators import measures as m
 from ..registry import query
@@ -105,6 +106,24 @@ def q17(spark, sf_dir):
     return j.agg(share(F.col("correct"), accept).alias("accept_precision"), share(~accept, ~F.col("correct")).alias("error_coverage"), share(~accept, F.lit(True)).alias("review_load"))
 
 
+@query("q17_acceptance_gates", INPUTS + """, truth AS (SELECT doc_id AS score_id, quality = 1 AS correct FROM labels), lab AS (SELECT s.book, decision, correct FROM ledger l JOIN scores s USING (score_id) LEFT JOIN truth USING (score_id)),
+sec AS (SELECT book, round(sum(greatest(0, seconds)), 2) AS human_seconds FROM review_log JOIN scores USING (score_id) GROUP BY book), src AS (SELECT book, count(*) AS verified_sources FROM scores JOIN truth USING (score_id) GROUP BY book),
+g AS (SELECT book, count(*) AS total, count(correct) AS labelled, count(*) FILTER (correct AND decision = 'accept') / nullif(count(*) FILTER (correct IS NOT NULL AND decision = 'accept'), 0) AS accept_precision,
+  count(*) FILTER (NOT correct AND decision = 'review') / nullif(count(*) FILTER (NOT correct), 0) AS error_coverage, count(*) FILTER (decision = 'review') / count(*) AS review_load FROM lab GROUP BY book),
+t AS (SELECT *, labelled = total AS complete, coalesce(labelled = total AND accept_precision >= 0.99 AND error_coverage >= 0.95 AND review_load <= 0.20, false) AS targets_met FROM g LEFT JOIN sec USING (book) LEFT JOIN src USING (book))
+SELECT book, total, labelled, accept_precision, error_coverage, review_load, human_seconds, verified_sources, complete, targets_met, targets_met AND coalesce(verified_sources, 0) >= 20 AS auto_repair FROM t""")
+def q17_gates(spark, sf_dir):
+    """The benchmark of each book: shares, human seconds, verified sources and gates; labels are by score and hold for its measures."""
+    books = core.scores(spark, sf_dir).select("score_id", "book")
+    truth = core.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("score_id"), (F.col("quality") == 1).alias("correct"))
+    source = F.lit(None).cast("string").alias("source_sha256")
+    m = ledger(spark, sf_dir).select("score_id", "decision").join(books, "score_id").select("book", F.col("score_id").alias("id"), "decision", source)
+    labels = books.join(truth, "score_id").select("book", F.col("score_id").alias("id"), "correct", F.lit(True).alias("verified"), source)
+    seconds = core.review_log(spark, sf_dir).join(books, "score_id").groupBy("book").agg(F.round(F.sum(F.greatest(F.lit(0.0), "seconds")), 2).alias("human_seconds"))
+    sources = books.join(truth, "score_id").groupBy("book").agg(F.count("*").alias("verified_sources"))
+    return accuracy.gate(m, labels, seconds, sources, ["book"])
+
+
 @query("a3_syllables_per_verse", INPUTS + " SELECT score_id, measure_idx, staff, verse, n FROM v JOIN measures USING (measure_key)")
 def a3(spark, sf_dir):
     words = placed_words(spark, sf_dir)

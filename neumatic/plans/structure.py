@@ -75,14 +75,14 @@ def w13(spark, sf_dir):
     return ops.stanzas(stanza_rows(spark, sf_dir), ["score_id", "page"]).select("score_id", "page", "row", "stanza")
 
 
-@query("j24_stanza_projection", ROWS + """, w AS (SELECT t.score_id, t.page, CAST(s.stanza AS BIGINT) AS stanza, t.pos, row_number() OVER (PARTITION BY t.score_id, t.page, s.stanza ORDER BY t.pos) AS place FROM tokens t JOIN st s ON s.score_id = t.score_id AND s.page = t.page AND s.row = t.line % 4 WHERE s.stanza IS NOT NULL AND t.pos % 3 = 0),
-tpl AS (SELECT score_id, page, pos AS anchor, confidence >= 0.62 AS accepted, row_number() OVER (PARTITION BY score_id, page ORDER BY pos) AS place FROM tokens WHERE line % 4 = 0 AND pos % 3 = 0),
+@query("j24_stanza_projection", ROWS + """, w AS (SELECT t.score_id, t.page, CAST(s.stanza AS BIGINT) AS stanza, t.pos, row_number() OVER (PARTITION BY t.score_id, t.page, s.stanza ORDER BY t.pos) AS place FROM tokens t JOIN st s ON s.score_id = t.score_id AND s.page = t.page AND s.row = t.line % 4 WHERE s.stanza IS NOT NULL),
+tpl AS (SELECT score_id, page, pos AS anchor, confidence >= 0.62 AS accepted, row_number() OVER (PARTITION BY score_id, page ORDER BY pos) AS place FROM tokens WHERE line % 4 = 0),
 g AS (SELECT w.score_id, w.page, w.stanza, count(*) AS n FROM w GROUP BY ALL), h AS (SELECT score_id, page, count(*) AS n, bool_and(accepted) AS ok FROM tpl GROUP BY ALL), fit AS (SELECT g.score_id, g.page, g.stanza, coalesce(g.n = h.n AND ok, false) AS fits FROM g LEFT JOIN h USING (score_id, page))
 SELECT w.score_id, w.page, w.stanza, w.pos, CASE WHEN fits THEN anchor END AS anchor, CASE WHEN NOT fits THEN 'stanza_template_mismatch' END AS reason FROM w JOIN fit USING (score_id, page, stanza) LEFT JOIN tpl ON tpl.score_id = w.score_id AND tpl.page = w.page AND tpl.place = w.place""")
 def j24(spark, sf_dir):
     keys = ["score_id", "page"]
     s = ops.stanzas(stanza_rows(spark, sf_dir), keys).select(*keys, "line", "stanza").where("stanza is not null")
-    t = core.tokens(spark, sf_dir).where("pos % 3 = 0")
+    t = core.tokens(spark, sf_dir)
     nth = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy("pos"))
     words = t.join(s, [*keys, "line"]).select(*keys, "stanza", "pos").withColumn("place", nth(*keys, "stanza"))
     template = t.where("line % 4 = 0").select(*keys, F.col("pos").alias("anchor"), (F.col("confidence") >= 0.62).alias("accepted"), nth(*keys).alias("place"))
