@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import accuracy, editing, geometry, headers, joins, ledger, lyrics, measures, more, repair, review, scores, sequences, structure, syllables, texts  # noqa: F401
+from .plans import accuracy, editing, geometry, headers, joins, ledger, lyrics, measures, more, repair, review, roles, scores, sequences, structure, syllables, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 
