@@ -23,3 +23,18 @@ def test_corrections_of_a_text_are_not_moved(spark, tmp_path):
     out = corrections(spark, str(tmp_path))
     assert exchanges(out) == 0
     assert sorted(map(tuple, out.collect()), key=str) == sorted([("en", "b", "c", "a _", "1:1"), ("en", "c", "d", "b _", "1:1"), (None, "", "y", "x _", "5:0")], key=str)
+
+
+def test_small_files_share_a_task(tmp_path):
+    from neumatic.sources import archives
+
+    for i in range(300):
+        (tmp_path / f"{i}.musicxml").write_text('<score-partwise><part id="P1"><measure number="1"/></part></score-partwise>' if i != 7 else "<broken")
+    reader = archives.ScoreReader({"path": str(tmp_path)})
+    tasks = reader.partitions()
+    assert len(tasks) == 1
+    rows = [r for t in tasks for r in reader.read(t)]
+    at, why = archives.NAMES.index("path"), archives.NAMES.index("error")
+    assert len({r[at] for r in rows}) == 300 and [r[at].rsplit("/", 1)[1] for r in rows if r[why]] == ["7.musicxml"]
+    few = archives.ScoreReader({"path": str(tmp_path), "taskbytes": str(100 * (archives.OPENING + 100))}).partitions()
+    assert 2 < len(few) < 5 and sum(len(t.shares) for t in few) == 300
