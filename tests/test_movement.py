@@ -38,3 +38,31 @@ def test_small_files_share_a_task(tmp_path):
     assert len({r[at] for r in rows}) == 300 and [r[at].rsplit("/", 1)[1] for r in rows if r[why]] == ["7.musicxml"]
     few = archives.ScoreReader({"path": str(tmp_path), "taskbytes": str(100 * (archives.OPENING + 100))}).partitions()
     assert 2 < len(few) < 5 and sum(len(t.shares) for t in few) == 300
+
+
+def test_likeness_is_solved_over_many_batches(spark, monkeypatch):
+    import random
+
+    from neumatic.operators import sequences
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    words = [None, "", "a", "ab", "abc", "xabcx", "zzz"]
+    rows = [(i, rng.choice(words), rng.choice(words)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "i long, a string, b string").union(spark.range(3000, 3200).select("id", F.lit(None).cast("string"), F.lit(None).cast("string"))).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {r["i"]: r["r"] for r in frame.select("i", sequences.ratio("a", "b").alias("r")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plain = {(a, b): float(sequences.block_ratios([a], [b])[0]) for a in words for b in words if a is not None and b is not None}
+    assert len(got) == 3200 and all(got[i] == plain.get((a, b)) for i, a, b in rows) and got[3100] is None
+    import pandas as pd
+
+    calls = []
+    solve = sequences.block_ratios
+    monkeypatch.setattr(sequences, "block_ratios", lambda a, b: calls.append(len(a)) or solve(a, b))
+    parts = [(pd.Series(["a", "b", None]), pd.Series(["a", "c", "x"]))] * 50
+    out = pd.concat(sequences.ratio.func(iter(parts)))
+    assert calls == [2] and len(out) == 150 and out.iloc[:2].tolist() == [1.0, 0.0] and out.iloc[2] != out.iloc[2]
