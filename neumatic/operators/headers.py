@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import music
+from ..functions import text as tx
 from . import structure as st
 
 # Fixed patterns: lines that name their role, in the order in which roles are looked for; words of a collection's name; numbers; a reference at the end.
@@ -13,7 +14,7 @@ PREFIXED = {"composer": r"^(?:Nhạc|Music|Composer)\s*:\s*", "lyricist": r"^(?:
 MARKED = {"tempo": r"^(?:Allegro|Andante|Moderato|Adagio|Tempo|Chậm|Nhanh|Vừa phải)(?:[^\p{L}\p{N}_]|$)", "key_info": r"^(?:Giọng|Key)(?:[^\p{L}\p{N}_]|$)"}
 COLLECTION = r"tôn vinh|thánh ca|tuyển tập|hymnal|ca nguyện"
 NUMBER, LEADING = r"^#?\d{1,4}[A-Za-z]?$", r"^(#?\d{1,4}[A-Za-z]?)\s+(\S.*)$"
-SCRIPTURE = r"""((?:[1-3I]{1,3}\s+)?[^—–,:]{2,24}\s+\d{1,3}:\d{1,3})\s*[”"']?\s*$"""
+SCRIPTURE = tx.SCRIPTURE
 #: Share of the page's width from which the centre of a line without a prefix may be that of a composer.
 RIGHT = 0.62
 
@@ -62,13 +63,13 @@ def model(lines: DataFrame, keys: list[str], page_width: float) -> DataFrame:
         one("is_collection").alias("collection"), one("is_number").alias("number"), joined("is_title").alias("title"), joined("is_description").alias("described"),
         F.coalesce(bare["composer"], one("by_place")).alias("composer"), *[bare[r].alias(r) for r in PREFIXED if r != "composer"], *[one(f"is_{r}").alias(r) for r in MARKED])
     led = F.col("number").isNull() & F.col("title").rlike(LEADING)
-    reference = F.btrim(F.regexp_extract("described", SCRIPTURE, 1), F.lit(" —–"))
+    reference = F.btrim(tx.scripture(F.col("described")), F.lit(" —–"))
     rest = F.rtrim(F.regexp_replace("described", SCRIPTURE, ""))
     empty = lambda c: F.nullif(c, F.lit(""))
     return p.select(
         *keys, "collection", F.when(led, F.regexp_extract("title", LEADING, 1)).otherwise(F.col("number")).alias("hymn_number"),
         empty(F.when(led, F.regexp_extract("title", LEADING, 2)).otherwise(F.col("title"))).alias("title"),
-        empty(F.when(F.col("described").rlike(SCRIPTURE), F.regexp_replace(rest, "[ —–]+$", "")).otherwise(F.col("described"))).alias("description"),
+        empty(F.when(tx.has_scripture(F.col("described")), F.regexp_replace(rest, "[ —–]+$", "")).otherwise(F.col("described"))).alias("description"),
         empty(reference).alias("scripture_reference"), "composer", "lyricist", "translator", "tempo", "key_info", "note")
 
 

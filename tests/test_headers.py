@@ -1,7 +1,10 @@
 """Headers of pages as roles, on hand-made pages."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from neumatic.functions import text
 from neumatic.operators import headers
 
 ROLES = ["collection", "hymn_number", "title", "description", "scripture_reference", "composer", "lyricist", "translator", "tempo", "key_info", "note"]
@@ -38,3 +41,14 @@ def test_queries(spark):
     counts = r.agg(*[F.count(c).alias(c) for c in ROLES]).first().asDict()
     assert all(counts.values())
     assert 0 < queries()["q18_header_accuracy"](spark, sf).agg(F.avg("header_field_accuracy").alias("a")).first()["a"] < 1
+
+
+def test_references_are_looked_for_where_they_can_be(spark):
+    rng = random.Random(6)
+    parts = ["Gioan", "1 Cor", "III I", " ", "  ", "—", "–", ",", ":", "3:16", "12:3", "1234:5", "5:1234", "”", "'", "\n", "x" * 30, "a b", "é"]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) + rng.choice([" 3:16", " 3:16” ", "", " 7:2\n", ":4"]) for _ in range(4000)] + [None]
+    found, ended, n = F.regexp_extract("t", text.SCRIPTURE, 1), F.col("t").rlike(text.SCRIPTURE), 0
+    for r in spark.createDataFrame([(x,) for x in lines], "t string").select("t", found.alias("a"), F.coalesce(text.scripture(F.col("t")), F.lit("")).alias("b"), ended.alias("c"), text.has_scripture(F.col("t")).alias("d")).collect():
+        assert (r["a"] or "", r["c"]) == (r["b"], r["d"])
+        n += bool(r["b"])
+    assert n > 500
