@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import measures as m
 from ..operators import sequences as ops
+from ..operators.shared import computed
 from ..registry import query
 from . import core
 
@@ -91,7 +92,8 @@ def d5(spark, sf_dir):
     t = core.tokens(spark, sf_dir)
     phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
     frames = t.groupBy("score_id", "page").agg(F.countDistinct(F.when(F.length("text") > 6, F.col("verse"))).alias("rows"), F.bool_or(text.verse_number(F.col("text")).isNotNull()).alias("explicit"), F.max(text.section_marker(F.col("text"))).alias("marker"), phrase.alias("phrase"))
-    again = ops.repeated_phrases(frames, ["score_id"], "page", "phrase", F.col("rows") == 1).withColumn("again", F.lit(True))
+    # computed by itself: else the planner runs it a second time to filter the other side of the join
+    again = computed(ops.repeated_phrases(frames, ["score_id"], "page", "phrase", F.col("rows") == 1)).withColumn("again", F.lit(True))
     counts = ops.verse_count(frames, ["score_id"], "page", "rows")
     last = frames.groupBy("score_id").agg(F.max("page").alias("last"))
     f = frames.join(counts, "score_id").join(last, "score_id").join(again, ["score_id", "page"], "left")
