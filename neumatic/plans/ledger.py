@@ -52,9 +52,12 @@ ledger AS (SELECT *, CASE WHEN len(list_filter(violations, lambda x: NOT x LIKE
 
 def placed_words(spark, sf_dir) -> DataFrame:
     counts = core.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("score_id")).agg(F.count("*").alias("n"))
-    p = F.col("pos")
-    t = core.tokens(spark, sf_dir).join(counts, "score_id")
-    return t.select("score_id", (1 + p % F.col("n")).alias("measure_idx"), (1 + p % 2).alias("staff"), "verse", F.col("text").rlike("[a-zA-Z]").alias("has_letter"), (F.col("confidence") < 0.62).alias("needs_review"), F.when(F.col("line") % 5 == 4, "chorus").otherwise("verse").alias("section_type"))
+    # of the words only what the ledger asks is moved, and they are set apart where they are counted
+    letters = F.transform(F.split("text", " ", -1), lambda w: w.rlike("[a-zA-Z]")).alias("letters")
+    d = core.texts(spark, sf_dir, letters).withColumnRenamed("doc_id", "score_id").join(counts, "score_id")
+    t = d.select("score_id", "n", F.posexplode("letters").alias("pos", "has_letter")).withColumn("pos", F.col("pos").cast("long"))
+    p, line = F.col("pos"), F.floor(F.col("pos") / 8)
+    return t.select("score_id", (1 + p % F.col("n")).alias("measure_idx"), (1 + p % 2).alias("staff"), (1 + line % 3).alias("verse"), "has_letter", (core.confidence() < 0.62).alias("needs_review"), F.when(line % 5 == 4, "chorus").otherwise("verse").alias("section_type"))
 
 
 def with_image(rows: DataFrame) -> DataFrame:

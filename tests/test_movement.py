@@ -66,3 +66,23 @@ def test_likeness_is_solved_over_many_batches(spark, monkeypatch):
     parts = [(pd.Series(["a", "b", None]), pd.Series(["a", "c", "x"]))] * 50
     out = pd.concat(sequences.ratio.func(iter(parts)))
     assert calls == [2] and len(out) == 150 and out.iloc[:2].tolist() == [1.0, 0.0] and out.iloc[2] != out.iloc[2]
+
+
+def test_tasks_of_the_ledger_hold_as_much_whatever_the_tables_hold(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from neumatic.plans import core, ledger
+
+    sf = "/root/testdata/sf0.001"
+    whole = lambda f: f.select(F.count("*"), F.expr("bit_xor(xxhash64(*))")).first()
+    before = whole(ledger.ledger(spark, sf).drop("lyrics"))
+    words = core.tokens(spark, sf).count()
+    monkeypatch.setattr(core, "EVENTS_OF_TASK", 500)
+    monkeypatch.setattr(core, "TEXTS_OF_TASK", 25)
+    events, texts = -(-core.table(spark, sf, "lineitem").count() // 500), -(-core.table(spark, sf, "documents").count() // 25)
+    plan = ledger.ledger(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert f", {events}), REPARTITION_BY_NUM" in plan and f", {texts}), REPARTITION_BY_NUM" in plan
+    assert whole(ledger.ledger(spark, sf).drop("lyrics")) == before
+    together = core.tokens(spark, sf, together=True)
+    assert together.count() == words and whole(together) == whole(core.tokens(spark, sf))
+    assert exchanges(together.groupBy("score_id", "line").count()) == 1
