@@ -16,15 +16,15 @@ from .measures import CARRIED
 SECTIONED = ", sectioned AS (SELECT score_id, pos, text, page, line % 4 AS staff, verse, CASE WHEN line % 5 = 4 THEN 'chorus' ELSE 'verse' END AS section, CASE WHEN line % 5 = 4 THEN 1 ELSE 3 END AS verse_count FROM tokens)"
 
 
-def sectioned(spark, sf_dir):
+def sectioned(spark, sf_dir, together=False):
     chorus = F.col("line") % 5 == 4
-    return core.tokens(spark, sf_dir).select("score_id", "pos", "text", "page", (F.col("line") % 4).alias("staff"), "verse", "confidence", F.when(chorus, "chorus").otherwise("verse").alias("section"), F.when(chorus, 1).otherwise(3).alias("verse_count"))
+    return core.tokens(spark, sf_dir, together).select("score_id", "pos", "text", "page", (F.col("line") % 4).alias("staff"), "verse", "confidence", F.when(chorus, "chorus").otherwise("verse").alias("section"), F.when(chorus, 1).otherwise(3).alias("verse_count"))
 
 
 @query("a15_structure_tree", SECTIONED + """, l AS (SELECT score_id, section, verse_count, verse, page, staff, min(pos) AS first, string_agg(text, ' ' ORDER BY pos) AS t FROM sectioned GROUP BY ALL), v AS (SELECT score_id, section, verse_count, verse, string_agg(page || '/' || staff || ':' || t, '|' ORDER BY first) AS t FROM l GROUP BY ALL)
 SELECT score_id, section, array_to_string(list_filter(range(1, verse_count + 1), lambda k: NOT list_contains(list(verse), k)), ',') AS missing, md5(string_agg(verse || '=' || t, chr(10) ORDER BY verse)) AS tree_md5 FROM v GROUP BY score_id, section, verse_count""")
 def a15(spark, sf_dir):
-    t = ops.tree(sectioned(spark, sf_dir), ["score_id"])
+    t = ops.tree(sectioned(spark, sf_dir, True), ["score_id"])
     line = lambda l: F.concat(l["page"], F.lit("/"), l["staff"], F.lit(":"), F.array_join(l["syllables"], " "))
     shown = F.array_join(F.transform("verses", lambda v: F.concat(v["verse"], F.lit("="), F.array_join(F.transform(v["lines"], line), "|"))), "\n")
     return t.select("score_id", "section", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"), F.md5(shown).alias("tree_md5"))

@@ -86,3 +86,9 @@ def test_tasks_of_the_ledger_hold_as_much_whatever_the_tables_hold(spark, monkey
     together = core.tokens(spark, sf, together=True)
     assert together.count() == words and whole(together) == whole(core.tokens(spark, sf))
     assert exchanges(together.groupBy("score_id", "line").count()) == 1
+
+
+def test_structure_tree_moves_texts_once(spark):
+    from neumatic.queries import queries
+
+    assert exchanges(queries()["a15_structure_tree"](spark, "/root/testdata/sf0.001")) == 1
