@@ -92,3 +92,19 @@ def test_structure_tree_moves_texts_once(spark):
     from neumatic.queries import queries
 
     assert exchanges(queries()["a15_structure_tree"](spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_lyric_audit_moves_texts_once(spark):
+    from neumatic.operators import accuracy
+    from neumatic.queries import queries
+    from pyspark.sql import functions as F
+
+    assert exchanges(queries()["q19_lyric_audit"](spark, "/root/testdata/sf0.001")) == 1
+    rows = [(1, 0, "a"), (1, 1, "b"), (1, 2, None), (1, 1, "c"), (2, 1, "d"), (None, 0, ""), (3, 3, "x")]
+    f = spark.createDataFrame(rows, "k long, pos long, text string")
+    kept, read = F.col("pos") != 1, F.when(F.col("pos") == 3, "y").otherwise(F.col("text"))
+    both = accuracy.compared_within(f, ["k"], "pos", F.col("text"), kept, read)
+    apart = accuracy.compared(f, f.where(kept).withColumn("text", read), ["k"], "pos", "text")
+    assert sorted(map(str, both.where("k is not null").collect())) == sorted(map(str, apart.where("k is not null").collect()))
+    # as in SQL, rows without a key are one group
+    assert [tuple(r) for r in both.where("k is null").collect()] == [(None, [""], [""], 0)]
