@@ -108,3 +108,10 @@ def test_lyric_audit_moves_texts_once(spark):
     assert sorted(map(str, both.where("k is not null").collect())) == sorted(map(str, apart.where("k is not null").collect()))
     # as in SQL, rows without a key are one group
     assert [tuple(r) for r in both.where("k is null").collect()] == [(None, [""], [""], 0)]
+
+
+def test_only_samples_are_measured(spark):
+    from neumatic.queries import queries
+
+    plan = queries()["q18_corpus_benchmark"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") >= 5
