@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rational as q
 from ..operators import measures as ms
 from ..operators import repair as ops
+from ..operators.shared import computed
 from ..registry import query
 from . import core
 from .measures import CARRIED
@@ -53,8 +54,9 @@ def w20(spark, sf_dir):
 def w20_lengths(spark, sf_dir):
     """Lengths of measures after the proposals are carried out on request."""
     e, m = seen(spark, sf_dir)
-    e = e.where("kind in ('note', 'backup', 'forward')").select("measure_key", "seq", "kind", "is_chord", "is_rest", "length")
-    p = ops.proposals(e, m)
+    # computed by themselves: else their fractions are worked out anew for each use
+    e = computed(e.where("kind in ('note', 'backup', 'forward')").select("measure_key", "seq", "kind", "is_chord", "is_rest", "length"))
+    p = computed(ops.proposals(e, m))
     lead = F.array_min(F.collect_list(F.when(F.col("kind") == "note", F.col("seq"))))
     first = e.groupBy("measure_key").agg(lead.alias("lead"))
     done = ops.applied(e, p, opt_in=True).join(p.select("measure_key").distinct(), "measure_key", "left_semi").join(first, "measure_key")

@@ -115,3 +115,10 @@ def test_only_samples_are_measured(spark):
 
     plan = queries()["q18_corpus_benchmark"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftSemi") >= 5
+
+
+def test_proposals_are_worked_out_once(spark):
+    from neumatic.queries import queries
+
+    plan = queries()["w20_repaired_lengths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
