@@ -122,3 +122,10 @@ def test_proposals_are_worked_out_once(spark):
 
     plan = queries()["w20_repaired_lengths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def test_line_roles_move_texts_and_not_words(spark):
+    from neumatic.queries import queries
+
+    plan = queries()["x9_band_roles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(score_id" not in plan
