@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import music, text
-from ..operators import geometry, joins, tables
+from ..operators import geometry, joins, lexicon, tables
 from ..operators import measures as m
+from ..operators.shared import beside, tasks_for
 from ..registry import query
 from . import core
 from .measures import CARRIED
@@ -220,16 +221,26 @@ lr AS (SELECT score_id, line, string_agg(w, ' ' ORDER BY pos) AS body, count(*)
 
 
 def lines(spark, sf_dir):
-    """Whole lines with their share of chords and of words that three scores or more have."""
-    t = core.tokens(spark, sf_dir)
-    lexicon = t.groupBy("text").agg(F.countDistinct("score_id").alias("n")).where("n >= 3").select(F.col("text").alias("word"))
+    """Whole lines with their share of chords and of words that three scores or more have.
+
+    Words that fewer scores have are brought to their texts. Chords and marks
+    take the place of words, so for these it is looked up whether they are known.
+    """
+    marks = ["Andante", "♩=80", "Capo 2", "D.C.", "Fine", "12"]
+    word = F.col("word")
+    # a chord is the capital of a letter (up to three characters) and m
+    counted = lexicon.counted(core.texts(spark, sf_dir, F.col("text")), 3, word.isin(*marks) | (word.endswith("m") & (F.length(word) <= 4)))
+    signs = beside(counted.where("n >= 3").select("word"))
+    d = core.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    t = lexicon.with_rare(d, counted.where("n < 3"), tasks_for(d, core.TEXTS_OF_TASK)).withColumnRenamed("doc_id", "score_id").withColumn("line", F.floor(F.col("pos") / 8))
     line = F.col("line")
-    mark = F.get(F.array(*[F.lit(x) for x in ["Andante", "♩=80", "Capo 2", "D.C.", "Fine", "12"]]), (line % 6).cast("int"))
+    mark = F.get(F.array(*[F.lit(x) for x in marks]), (line % 6).cast("int"))
     chord = F.concat(F.upper(F.substring(F.translate("text", "éèêçóíñüöä", "eeecoinuoa"), 1, 1)), F.lit("m"))
-    w = F.when((line % 5 == 2) & (F.length("text") <= 4), chord).when((line % 11 == 3) & (F.col("pos") % 8 == 0), mark).otherwise(F.col("text"))
-    t = t.select("score_id", "line", "pos", w.alias("w")).join(lexicon, F.col("w") == F.col("word"), "left")
+    sign = F.when((line % 5 == 2) & (F.length("text") <= 4), chord).when((line % 11 == 3) & (F.col("pos") % 8 == 0), mark)
+    t = t.select("score_id", "line", "pos", F.coalesce(sign, F.col("text")).alias("w"), sign.alias("sign"), "rare").join(signs, F.col("sign") == word, "left")
+    known = F.when(F.col("sign").isNotNull(), word.isNotNull()).otherwise(~F.col("rare"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
-    return t.groupBy("score_id", "line").agg(body.alias("body"), (F.count_if(F.col("w").rlike(music.CHORD)) / F.count("*")).alias("chord_ratio"), (F.count("word") / F.count("*")).alias("word_ratio"))
+    return t.groupBy("score_id", "line").agg(body.alias("body"), (F.count_if(F.col("w").rlike(music.CHORD)) / F.count("*")).alias("chord_ratio"), (F.count_if(known) / F.count("*")).alias("word_ratio"))
 
 
 @query("x9_line_roles", LINES + f""" SELECT score_id, line, chord_ratio, word_ratio, {text.role_sql('body')} AS role FROM lr""")
