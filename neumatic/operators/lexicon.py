@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def _among(texts: pd.Series, words: pd.Series) -> pd.Series:
     out = []
     for text, known in zip(texts, words):
         known = set(known)
-        out.append([w in known for w in text.split(" ")])
+        out.append(np.fromiter((w in known for w in text.split(" ")), bool))
     return pd.Series(out, dtype=object)
 
 
