@@ -126,5 +126,7 @@ def j12(spark, sf_dir):
 
 @query("x17_similar_neighbours")
 def x17(spark, sf_dir):
-    t = core.tokens(spark, sf_dir).withColumn("next", F.lead("text").over(Window.partitionBy("score_id").orderBy("pos"))).where("next is not null")
-    return t.select("score_id", "pos", F.round(ops.ratio("text", "next"), 6).alias("ratio"))
+    """How like each word is to the one after it; texts are moved whole, so no word is sorted."""
+    t, _ = core.word_lists(spark, sf_dir)
+    t = ops.neighbour_ratios(t.select("score_id", "places", "words"), "words").select("score_id", "places", F.posexplode("ratios").alias("i", "ratio"))
+    return t.select("score_id", F.coalesce(F.get("places", F.col("i")), F.col("i").cast("long")).alias("pos"), F.round("ratio", 6).alias("ratio"))
