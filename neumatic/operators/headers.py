@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,8 +75,22 @@ def model(lines: DataFrame, keys: list[str], page_width: float) -> DataFrame:
         empty(reference).alias("scripture_reference"), "composer", "lyricist", "translator", "tempo", "key_info", "note")
 
 
+def _same(fields: list[str], truth: Callable[[str], Column], predicted: Callable[[str], Column]) -> Column:
+    same: Column = sum((F.when(F.coalesce(truth(f), F.lit("")) == F.coalesce(predicted(f), F.lit("")), 1.0).otherwise(0.0) for f in fields), F.lit(0.0))
+    return F.round(same / len(fields), 6).alias("header_field_accuracy")
+
+
 def field_accuracy(truth: DataFrame, predicted: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Share of fields that are equal (missing counts as empty), per row of truth."""
     other = predicted.select(*keys, *[F.col(f).alias(f"_{f}") for f in fields])
-    same: Column = sum((F.when(F.coalesce(F.col(f), F.lit("")) == F.coalesce(F.col(f"_{f}"), F.lit("")), 1.0).otherwise(0.0) for f in fields), F.lit(0.0))
-    return truth.join(other, keys, "left").select(*keys, F.round(same / len(fields), 6).alias("header_field_accuracy"))
+    return truth.join(other, keys, "left").select(*keys, _same(fields, F.col, lambda f: F.col(f"_{f}")))
+
+
+def accuracy_within(lines: DataFrame, read: Column, keys: list[str], fields: list[str], page_width: float) -> DataFrame:
+    """field_accuracy() of the headers of lines (as for model()) against those of the same lines with `read` as their text; both are made where the lines are, and nothing is joined."""
+    both = lines.withColumn("_side", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("text").alias("text")), F.struct(F.lit(1).alias("n"), read.alias("text")))))
+    both = both.withColumn("text", F.col("_side.text")).withColumn("_side", F.col("_side.n"))
+    rows = model(both, [*keys, "_side"], page_width)
+    of = lambda side, f: F.max(F.when(F.col("_side") == side, F.col(f)))
+    pages = rows.groupBy(*keys).agg(F.count_if(F.col("_side") == 0).alias("_pages"), *[of(0, f).alias(f) for f in fields], *[of(1, f).alias(f"_{f}") for f in fields])
+    return pages.where("_pages > 0").select(*keys, _same(fields, F.col, lambda f: F.col(f"_{f}")))
