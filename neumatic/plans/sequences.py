@@ -89,11 +89,13 @@ def w19(spark, sf_dir):
 
 @query("d5_section_path")
 def d5(spark, sf_dir):
-    t = core.tokens(spark, sf_dir)
+    # texts are moved whole; a set of verses instead of distinct ones, as those would make each word several rows
+    t = core.tokens(spark, sf_dir, together=True)
     phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    frames = t.groupBy("score_id", "page").agg(F.countDistinct(F.when(F.length("text") > 6, F.col("verse"))).alias("rows"), F.bool_or(text.verse_number(F.col("text")).isNotNull()).alias("explicit"), F.max(text.section_marker(F.col("text"))).alias("marker"), phrase.alias("phrase"))
+    frames = t.groupBy("score_id", "page").agg(F.size(F.collect_set(F.when(F.length("text") > 6, F.col("verse")))).cast("long").alias("rows"), F.bool_or(text.verse_number(F.col("text")).isNotNull()).alias("explicit"), F.max(text.section_marker(F.col("text"))).alias("marker"), phrase.alias("phrase"))
     # computed by itself: else the planner runs it a second time to filter the other side of the join
     again = computed(ops.repeated_phrases(frames, ["score_id"], "page", "phrase", F.col("rows") == 1)).withColumn("again", F.lit(True))
+    frames = computed(frames.drop("phrase"))
     counts = ops.verse_count(frames, ["score_id"], "page", "rows")
     last = frames.groupBy("score_id").agg(F.max("page").alias("last"))
     f = frames.join(counts, "score_id").join(last, "score_id").join(again, ["score_id", "page"], "left")

@@ -129,3 +129,18 @@ def test_line_roles_move_texts_and_not_words(spark):
 
     plan = queries()["x9_band_roles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(score_id" not in plan
+
+
+def test_frames_of_sections_do_not_move_words(spark, monkeypatch, tmp_path):
+    from neumatic.plans import sequences as plans
+
+    words = ["a", "sixteen", "letters"]
+    rows = [(1, " ".join(words[i % 3] for i in range(70))), (2, ""), (3, None), (None, "longest words here")]
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    held = plans.computed
+    monkeypatch.setattr(plans, "computed", lambda f: seen.append((exchanges(f), f._jdf.queryExecution().optimizedPlan().toString())) or held(f))
+    out = plans.d5(spark, str(tmp_path))
+    # the frames: texts go out once, and no word becomes several rows
+    assert seen[-1][0] == 1 and "Expand" not in "".join(p for _, p in seen)
+    assert sorted((r["score_id"] or 0, r["page"]) for r in out.collect()) == [(1, 0), (1, 1), (1, 2), (2, 0)]
