@@ -144,3 +144,16 @@ def test_frames_of_sections_do_not_move_words(spark, monkeypatch, tmp_path):
     # the frames: texts go out once, and no word becomes several rows
     assert seen[-1][0] == 1 and "Expand" not in "".join(p for _, p in seen)
     assert sorted((r["score_id"] or 0, r["page"]) for r in out.collect()) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+
+
+def test_flags_of_words_and_notes_are_not_joined(spark):
+    from neumatic.operators import lyrics
+
+    words = [(1, 0, 0, 0.0, 1.0, False), (1, 0, 1, 9.0, 1.0, True), (1, 0, 1, 9.0, 1.0, True), (1, 1, 2, 0.0, 1.0, None), (2, 0, 0, 0.0, 1.0, None)]
+    notes = [(1, 0, 5, 0.0, False, False, False), (1, 0, 6, 9.0, False, False, None), (1, 0, 7, 9.0, False, False, False), (1, 1, 8, 0.0, False, False, True), (1, 1, 9, 3.0, False, False, False)]
+    w = spark.createDataFrame(words, "score_id long, line long, word_id long, x double, confidence double, geometry_review boolean")
+    n = spark.createDataFrame(notes, "score_id long, line long, note_id long, x double, slurred boolean, continued boolean, fallback boolean")
+    out = lyrics.aligned_staffs(w, n, ["score_id", "line"], ["score_id", "line"])
+    assert exchanges(out) == 1
+    got = sorted((r["score_id"], r["line"], r["word_id"], r["status"], r["reason"]) for r in out.collect())
+    assert got == [(1, 0, 0, "accepted", None), (1, 0, 1, "needs_review", "syllable_geometry_fallback"), (1, 0, 1, "needs_review", "syllable_geometry_fallback"), (1, 1, 2, "needs_review", "musicxml_fallback"), (2, 0, 0, "no_note_candidate", "no_note_candidate")]
