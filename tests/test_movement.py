@@ -157,3 +157,18 @@ def test_flags_of_words_and_notes_are_not_joined(spark):
     assert exchanges(out) == 1
     got = sorted((r["score_id"], r["line"], r["word_id"], r["status"], r["reason"]) for r in out.collect())
     assert got == [(1, 0, 0, "accepted", None), (1, 0, 1, "needs_review", "syllable_geometry_fallback"), (1, 0, 1, "needs_review", "syllable_geometry_fallback"), (1, 1, 2, "needs_review", "musicxml_fallback"), (2, 0, 0, "no_note_candidate", "no_note_candidate")]
+
+
+def test_steps_of_geometry_are_packed(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from neumatic.operators import shared
+    from neumatic.plans import scores
+
+    frame = spark.range(20_000).select("id", (F.col("id") % 3).cast("int").alias("k"), F.lit(None).cast("string").alias("none"), F.array(F.struct(F.lit("a").alias("x"))).alias("l"))
+    out = shared.stored(frame, "packed")
+    assert out.schema.simpleString() == frame.schema.simpleString() and out.exceptAll(frame).count() == 0 == frame.exceptAll(out).count()
+    assert shared.stored(frame.limit(0), "none").count() == 0
+    names = []
+    monkeypatch.setattr(scores, "stored", lambda f, name: names.append(name) or shared.stored(f, name))
+    assert scores.s9_heads(spark, "/root/testdata/sf0.001").count() > 0 and sorted(names) == ["events", "heads"]
