@@ -52,3 +52,21 @@ def test_references_are_looked_for_where_they_can_be(spark):
         assert (r["a"] or "", r["c"]) == (r["b"], r["d"])
         n += bool(r["b"])
     assert n > 500
+
+
+def test_headers_of_both_readings_are_made_where_the_lines_are(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from neumatic.operators import headers as ops
+    from neumatic.plans import headers as plans
+    from neumatic.queries import queries
+
+    rows = [(i, " ".join("abcdefgh"[(i + j) % 8] * (1 + j % 7) for j in range(40 + 9 * i)), "en") for i in range(1, 9)] + [(20, "", "en"), (21, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    truth, keys = plans.pages(spark, str(tmp_path)), ["score_id", "page"]
+    read = F.when((F.col("score_id") + F.col("nth")) % 3 == 0, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    want = ops.field_accuracy(ops.model(truth, keys, 1000.0), ops.model(truth.withColumn("text", read), keys, 1000.0), keys, plans.FIELDS)
+    got = ops.accuracy_within(truth, read, keys, plans.FIELDS, 1000.0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and len({r["header_field_accuracy"] for r in got.collect()}) > 1
+    plan = queries()["q18_header_accuracy"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
